@@ -22,6 +22,8 @@ _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], dtype=np.uint64)
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[list(SPACES)] = True
+#: Bytes that aren't ASCII letters or digits nor part of another character.
+NOT_ALNUM = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 
 
 def docs_of(df: DataFrame, *columns: str) -> DataFrame:
@@ -103,15 +105,15 @@ def prefix_hashes(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the lower-cased (A-Z) words of some texts in order, and the n + 1 offsets of the texts among them.
 
-    Words end at white space and at the ends of a text.
+    Words end at the bytes marked in ``between`` and at the ends of a text.
     """
     n = len(offsets) - 1
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(n + 1, np.int64)
-    inside = ~_IS_SPACE[data]
+    inside = ~between[data]
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
     last[:-1] &= ~inside[1:]
@@ -125,7 +127,12 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return h, np.searchsorted(start, offsets).astype(np.int64)
 
 
-_STEP = mixed(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
+_STEP = mixed(np.arange(1, 1025, dtype=np.uint64)) | np.uint64(1)
+
+
+def step(i: int) -> np.uint64:
+    """An odd multiplier for the i-th word of a shingle or seed."""
+    return _STEP[i]
 
 
 def shingles(h: np.ndarray, at: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
