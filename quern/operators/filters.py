@@ -8,6 +8,7 @@ import warnings
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from quern.functions.text import contains_any, first_truthy, is_blank, strip
 
@@ -50,7 +51,7 @@ def first_nonblank(*columns: Column) -> Column:
     return F.coalesce(*[F.when(~is_blank(c), c) for c in columns])
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def parses_as_python(code: pd.Series) -> pd.Series:
     """Whether a text is Python without syntax warnings; what can't be parsed at all (too deep, null bytes) isn't."""
 
