@@ -9,9 +9,10 @@ sets are one class; classes, not documents, are joined. Two classes link at ``10
    the smaller one's indexing prefix and the larger one's probing prefix share a shingle under *any* order. Prefix entries
    are packed by bucket of the shingle's hash, one row for each task and bucket, and grouped by Spark; inside a bucket,
    groups of at most ``GROUP`` classes give their pairs.
-3. Larger groups, and entries of listed shingles (which are dealt out evenly rather than by shingle), give a star to the
-   least class first; only classes that still lie in different components afterwards are paired. So a group of copies of
-   any size gives links in proportion to its size, and no pair that could change the result is skipped.
+3. Larger groups, and entries of listed shingles (which are dealt out evenly rather than by shingle), give a star around
+   their most typical class first; only classes that still lie in different components afterwards, and that share enough
+   listed shingles at best, are paired. So a group of copies of any size gives links in proportion to its size, and no
+   pair that could change the result is skipped.
 4. Candidates must share prefix shingles under two more orders too (hashes of the hashes), then are verified exactly.
 5. Links become components (``graph.connected_components``).
 
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import buffers, cut_lineage, docs_of, mixed, shingle_sets, slices
+from quern.llm.common import buffers, cut_lineage, docs_of, mixed, shingle_sets, slices, written
 from quern.llm.graph import connected_components
 
 WORDS = 5
@@ -141,7 +142,8 @@ def _entry_batches(buckets: int, hot: np.ndarray, rank: np.ndarray):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: set[int] = set()
-            parts: list[tuple[np.ndarray, ...]] = []
+            usual: list[tuple[np.ndarray, ...]] = []
+            special: list[tuple[np.ndarray, ...]] = []
             for _, _, s, off in _sets(batch):
                 classes = _class_of(s, off)
                 fresh = _new_rows(off, classes, seen)
@@ -160,41 +162,68 @@ def _entry_batches(buckets: int, hot: np.ndarray, rank: np.ndarray):
                 first = np.searchsorted(doc, np.arange(len(n)))
                 pos = np.arange(len(doc)) - first[doc]
                 size = n[doc]
+                quiet = np.bincount(doc[late == 0], minlength=len(n))[doc]
                 probe = pos < probing(size)
-                t, late, doc, pos, size = t[probe], late[probe], doc[probe], pos[probe], size[probe]
+                t, late, doc, pos, size, quiet = t[probe], late[probe], doc[probe], pos[probe], size[probe], quiet[probe]
                 mark = size << 1 | (pos < indexing(size))
+                listed = late > 0
+                where = (t >> np.uint64(32)).astype(np.int64)
+                usual.append((where[~listed], t[~listed].astype(np.uint32), classes[doc[~listed]], mark[~listed].astype(np.uint32)))
                 # Entries of listed shingles are dealt out by class, past the buckets.
-                where = np.where(late > 0, buckets + (classes[doc].view(np.uint64) % np.uint64(buckets)).astype(np.int64), (t >> np.uint64(32)).astype(np.int64))
-                parts.append((where, t, classes[doc], mark.astype(np.uint64)))
-                if sum(len(p[0]) for p in parts) > 2 << 20:
-                    yield _entries(parts)
-                    parts = []
-            yield _entries(parts)
+                where = buckets + (classes[doc[listed]].view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+                special.append((where, t[listed], classes[doc[listed]], mark[listed].astype(np.uint32), quiet[listed].astype(np.uint32)))
+                if sum(len(p[0]) for p in usual + special) > 2 << 20:
+                    yield from _entries(usual, special)
+                    usual, special = [], []
+            yield from _entries(usual, special)
 
     return pack
 
 
-def _entries(parts: list) -> pa.RecordBatch:
-    where, t, c, mark = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
-    return _packed(where, {"tokens": t, "classes": c, "marks": mark.astype(np.uint32)})
+def _entries(usual: list, special: list) -> Iterator[pa.RecordBatch]:
+    for parts, names in ((usual, ["tokens", "classes", "marks"]), (special, ["tokens", "classes", "marks", "quiets"])):
+        if parts:
+            where, *columns = (np.concatenate(x) for x in zip(*parts, strict=True))
+            batch = _packed(where, dict(zip(names, columns, strict=True)))
+            yield batch if "quiets" in names else batch.append_column("quiets", pa.array([b""] * batch.num_rows, pa.binary()))
 
 
-FOUND = "token long, a long, n_a long, index_a boolean, b long"
+#: Rows of the buckets: pairs (a, b), or with b null an entry of a class; typical: listed shingles of its whole set;
+#: reach: shingles that it can share with a class it wasn't paired with in a bucket.
+FOUND = "token long, a long, n_a long, index_a boolean, b long, typical long, reach long"
 
 
-def _found(token, a, n, index, b=None) -> pa.Table:
+def _found(token, a, n, index, b=None, typical=None, reach=None) -> pa.Table:
     none = b is None
-    return pa.table({"token": pa.array(token.view(np.int64)), "a": pa.array(a), "n_a": pa.array(n.astype(np.int64)), "index_a": pa.array(index), "b": pa.array(np.zeros(len(a), np.int64) if none else b, mask=np.full(len(a), none))})
-
-
-def _bucket_pairs(buckets: int):
-    """Pairs (a, b) of small groups; b null: an entry of a larger group or a listed shingle."""
+    fill = np.zeros(len(a), np.int64)
+    return pa.table(
+        {
+            "token": pa.array(token.astype(np.uint64).view(np.int64)),
+            "a": pa.array(a),
+            "n_a": pa.array(n.astype(np.int64)),
+            "index_a": pa.array(index),
+            "b": pa.array(fill if none else b, mask=np.full(len(a), none)),
+            "typical": pa.array(fill if typical is None else typical),
+            "reach": pa.array(n.astype(np.int64) if reach is None else reach),
+        }
+    )
+
+
+def _bucket_pairs(buckets: int, complete: bool):
+    """Pairs (a, b) of small groups; b null: an entry of a larger group or a listed shingle.
+
+    complete: every shingle of more than GROUP classes is listed. Then a class with a listed shingle in its prefix has all
+    its others in it too, a partner that shares one of those is found in that one's bucket, and any other partner shares
+    listed shingles only.
+    """
 
     def pairs(table: pa.Table) -> pa.Table:
-        token, c, mark = (_joined(table[k], kind) for k, kind in (("tokens", np.uint64), ("classes", np.int64), ("marks", np.uint32)))
+        special = table["bucket"][0].as_py() >= buckets
+        token, c, mark, quiet = (_joined(table[k], kind) for k, kind in (("tokens", np.uint64 if special else np.uint32), ("classes", np.int64), ("marks", np.uint32), ("quiets", np.uint32)))
         n, index = (mark >> 1).astype(np.int64), (mark & 1).astype(bool)
-        if table["bucket"][0].as_py() >= buckets:
-            return _found(token, c, n, index)
+        if special:
+            typical = n - quiet
+            return _found(token, c, n, index, typical=typical, reach=typical if complete else n)
         order = np.lexsort((c, n, token))  # inside a group by size, so a pair's first is the smaller one
         token, c, n, index = token[order], c[order], n[order], index[order]
         new = np.ones(len(token), bool)
@@ -213,7 +242,7 @@ def _bucket_pairs(buckets: int):
             b.append(at + step)
         pair = np.unique(np.stack([c[np.concatenate(a)], c[np.concatenate(b)]], 1), axis=0)
         two = _found(np.zeros(len(pair), np.uint64), np.ascontiguousarray(pair[:, 0]), np.zeros(len(pair), np.int64), np.zeros(len(pair), bool), np.ascontiguousarray(pair[:, 1]))
-        return pa.concat_tables([two, _found(token[large], c[large], n[large], index[large])])
+        return pa.concat_tables([two, _found(token[large].astype(np.uint64) | np.uint64(table["bucket"][0].as_py() << 32), c[large], n[large], index[large])])
 
     return pairs
 
@@ -271,24 +300,29 @@ def near_dup(docs: DataFrame, group_buckets: int | None = None) -> DataFrame:
     rank[np.lexsort((token, df))] = np.arange(len(token))
     order = np.argsort(token)
 
-    packed = texts.mapInArrow(_entry_batches(buckets, token[order], rank[order]), "bucket long, tokens binary, classes binary, marks binary")
-    found = cut_lineage(packed.groupBy("bucket").applyInArrow(_bucket_pairs(buckets), FOUND))
-    large = found.where("b is null").select("token", F.col("a").alias("cls"), F.col("n_a").alias("n"), F.col("index_a").alias("indexed")).distinct()
-    star = large.groupBy("token").agg(F.min(F.struct("n", "cls")).alias("least"))
-    near = large.join(star, "token").where(f"cls <> least.cls and {DEN} * least.n >= {NUM} * n").select(F.col("least.cls").alias("a"), F.col("cls").alias("b"))
+    packed = texts.mapInArrow(_entry_batches(buckets, token[order], rank[order]), "bucket long, tokens binary, classes binary, marks binary, quiets binary")
+    found = written(packed.groupBy("bucket").applyInArrow(_bucket_pairs(buckets, len(token) < MOST_HOT), FOUND))
+    large = found.where("b is null").select("token", F.col("a").alias("cls"), F.col("n_a").alias("n"), F.col("index_a").alias("indexed"), "typical", "reach").distinct()
+    # The centre of a group is its most typical class, the one with the most listed shingles.
+    star = large.groupBy("token").agg(F.max(F.struct("typical", "cls", "n")).alias("centre"))
+    near = large.join(star, "token").where(f"cls <> centre.cls and {DEN} * least(n, centre.n) >= {NUM} * greatest(n, centre.n)").select(F.col("centre.cls").alias("a"), F.col("cls").alias("b"))
     links = _links(found.where("b is not null").select("a", "b").unionByName(near), docs, ids)
     first = connected_components(links)
 
-    # Groups whose classes lie in several components: pairs between components only.
+    # Groups whose classes lie in several components: which components could still be linked, then their classes.
     placed = cut_lineage(large.join(first.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls")))
     torn = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
     open_ = placed.join(torn, "token", "left_semi")
-    sides = open_.groupBy("token", "component").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min(F.when(F.col("indexed"), F.col("n"))).alias("least_indexed"))
+    sides = open_.groupBy("token", "component").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("reach").alias("reach"), F.min(F.when(F.col("indexed"), F.col("n"))).alias("least_indexed"))
     x, y = sides.alias("x"), sides.alias("y")
-    apart = x.join(y, F.col("x.token") == F.col("y.token")).where("x.component <> y.component and x.least_indexed is not null").where(f"x.least_indexed <= y.most and {DEN} * x.most >= {NUM} * y.least").select("x.token", F.col("x.component").alias("small"), F.col("y.component").alias("big"))
-    small = open_.where("indexed").select("token", F.col("component").alias("small"), F.col("cls").alias("a"), F.col("n").alias("n_a"))
-    big = open_.select("token", F.col("component").alias("big"), F.col("cls").alias("b"), F.col("n").alias("n_b"))
-    across = apart.join(small, ["token", "small"]).join(big, ["token", "big"]).where(f"n_a <= n_b and {DEN} * n_a >= {NUM} * n_b").select("a", "b")
+    enough = f"{NUM + DEN} * least({{0}}.reach, {{1}}.reach) >= {NUM} * ({{0}}.{{2}} + {{1}}.{{2}})"
+    apart = x.join(y, F.col("x.token") == F.col("y.token"))
+    apart = apart.where("x.component <> y.component and x.least_indexed is not null").where(f"x.least_indexed <= y.most and {DEN} * x.most >= {NUM} * y.least and " + enough.format("x", "y", "least"))
+    apart = apart.select(F.col("x.component").alias("small"), F.col("y.component").alias("big")).distinct()
+    members = open_.groupBy("component", "cls").agg(F.max("n").alias("n"), F.max("reach").alias("reach"), F.max("indexed").alias("indexed"))
+    s, g = members.where("indexed").alias("s"), members.alias("g")
+    across = apart.join(s, F.col("small") == F.col("s.component")).join(g, F.col("big") == F.col("g.component"))
+    across = across.where(f"s.n <= g.n and {DEN} * s.n >= {NUM} * g.n and " + enough.format("s", "g", "n")).select(F.col("s.cls").alias("a"), F.col("g.cls").alias("b"))
     more = _links(across, docs, ids)
     final = connected_components(links.unionByName(more)) if more.take(1) else first
 
