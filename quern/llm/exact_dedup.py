@@ -154,6 +154,9 @@ def exact_dedup(docs: DataFrame, huge_bytes: int = HUGE_BYTES, segment_chars: in
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """docs without the rows whose text equals that of a row with a smaller doc_id; all columns stay."""
+    """docs without the rows whose text equals that of a row with a smaller doc_id; all columns stay.
+
+    Rows are told apart by doc_id, so those with a null doc_id go only if none of them is kept.
+    """
     kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")

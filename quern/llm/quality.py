@@ -106,8 +106,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAIN) -> Compres
     prior = len(by[1]) / n if n else 0.5
     if min(len(by[0]), len(by[1])) < 2:
         return CompressionModel(b"", b"", 0.0, 0.0, prior)
-    least = min(len(by[0]), len(by[1]))
-    cut = {v: max(1, least * 2 // 3) for v in (0, 1)}  # as many texts of each class
+    cut = {v: max(1, len(by[v]) * 2 // 3) for v in (0, 1)}
     model = CompressionModel(_dictionary(by[1][: cut[1]]), _dictionary(by[0][: cut[0]]), 1.0, 0.0, prior)
     rest = [(t, v) for v in (0, 1) for t in by[v][cut[v] :]]
     x = np.array(model.difference([t for t, _ in rest]))
