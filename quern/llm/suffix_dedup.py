@@ -12,7 +12,7 @@ the suffix that splits best, and a suffix that stands alone after a digit takes
    that occurs twice settles all windows of its block; a core that occurs in one region only settles the rest.
 3. Third digit: the remaining bytes of each window of the unsettled regions, one of each distinct region.
 
-All passes count rows of a key by partial and final aggregation, so a string that a third of all documents hold sends one
+Texts that occur twice go whole before these passes, and one document stands for their copies in them. All passes count rows of a key by partial and final aggregation, so a string that a third of all documents hold sends one
 row a task and pass. Positions come back by a join on the region and are grouped by document.
 
 Defined results: texts are UTF-8 bytes; null is empty. Windows don't cross documents. Rows with a null doc_id are
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import SLICE_BYTES, buffers, docs_of, mixed, powers, prefix_hashes, slices
+from quern.llm.common import SLICE_BYTES, buffers, docs_of, mixed, powers, prefix_hashes, slices, written
 
 DEPTH = 400
 GRAM = 64
@@ -91,23 +91,27 @@ def _pieces(batch: pa.RecordBatch, depth: int) -> Iterator[tuple[int, np.ndarray
 
 
 def _anchor_rows(depth: int, gram: int):
-    """gram, doc_id, n: the anchors of each text, each gram of a text once (n is 2 if it has it more often)."""
+    """doc_id, mark, grams, twice: the anchors of each text, each gram once, and which of them it has more than once."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, marks = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("doc_id", "mark"))
+            found: list[list[np.ndarray]] = [[] for _ in range(batch.num_rows)]
             for a, data, off, _ in _pieces(batch, depth):
                 doc, _, _, _, h = runs(data, off, depth, gram)
-                order = np.lexsort((h, doc))
-                doc, h = doc[order], h[order]
-                cut = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]) if len(h) else np.zeros(0, np.int64)
-                n = np.minimum(np.diff(np.r_[cut, len(h)]), 2)
-                yield pa.RecordBatch.from_arrays([pa.array(h[cut].view(np.int64)), pa.array(ids[a + doc[cut]]), pa.array(marks[a + doc[cut]]), pa.array(n.astype(np.int32))], ["gram", "doc_id", "mark", "n"])
+                at = np.searchsorted(doc, np.arange(len(off)))
+                for d in range(len(off) - 1):
+                    found[a + d].append(h[at[d] : at[d + 1]].view(np.int64))
+            grams, twice = [], []
+            for parts in found:
+                g, n = np.unique(np.concatenate(parts) if parts else np.zeros(0, np.int64), return_counts=True)
+                grams.append(g)
+                twice.append(g[n > 1])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(grams, pa.list_(pa.int64())), pa.array(twice, pa.list_(pa.int64()))], ["doc_id", "mark", "grams", "twice"])
 
     return rows
 
 
-REGIONS = "doc_id long, mark long, region binary, core binary, low int, many int, left binary, right binary, edges array<int>, n long"
+REGIONS = "doc_id long, mark binary, region binary, core binary, low int, many int, left binary, right binary, edges array<int>, n long"
 
 
 def _region_rows(depth: int, gram: int, block: int):
@@ -157,7 +161,7 @@ def _region_batch(out: dict, ids: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [
             pa.array([ids[r][0] for r, _ in out], pa.int64()),
-            pa.array([ids[r][1] for r, _ in out], pa.int64()),
+            pa.array([ids[r][1] for r, _ in out], pa.binary()),
             pa.array([k for _, k in out], pa.binary()),
             pa.array(core, pa.binary()),
             pa.array(low, pa.int32()),
@@ -177,7 +181,7 @@ def _kept_rows(depth: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total, removed, spans, shas, kept = [], [], [], [], []
-            for text, found in zip(batch.column("text"), batch.column("found"), strict=True):
+            for text, found, whole in zip(batch.column("text"), batch.column("found"), batch.column("whole"), strict=True):
                 data = np.frombuffer((text.as_py() or "").encode("utf-8", "surrogatepass"), np.uint8)
                 change = np.zeros(len(data) + 1, np.int32)
                 if found.is_valid and len(found.values):
@@ -189,7 +193,7 @@ def _kept_rows(depth: int):
                         at = edge[(mask >> np.uint64(k) & np.uint64(1)).astype(bool)] - k
                         np.add.at(change, at, 1)
                         np.add.at(change, at + depth, -1)
-                gone = np.cumsum(change)[:-1] > 0
+                gone = np.ones(len(data), bool) if whole.as_py() else np.cumsum(change)[:-1] > 0
                 left = data[~gone].tobytes()
                 total.append(len(data))
                 removed.append(int(gone.sum()))
@@ -206,36 +210,44 @@ KEY = ["doc_id", "mark"]
 
 def marked(docs: DataFrame) -> DataFrame:
     """doc_id, mark, text: the mark tells rows apart that share a doc_id but not a text."""
-    return docs_of(docs, "doc_id", "text").withColumn("mark", F.xxhash64("text"))
+    return docs_of(docs, "doc_id", "text").withColumn("mark", F.unhex(F.md5("text")))
 
 
 def repeated_windows(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> DataFrame:
-    """doc_id, mark, found: for each document the repeated windows, as edges and 64-bit masks (window edge - k for bit k)."""
-    # A block's windows must share a core.
-    block = min(BLOCK, depth // 2)
+    """doc_id, mark, whole, found: what repeats in each document, all of it or windows.
+
+    found holds edges and 64-bit masks: bit k stands for the window that starts at edge - k.
+    """
+    block = min(BLOCK, depth // 2)  # a block's windows must share a core
     texts = marked(docs).where("doc_id is not null").where(F.octet_length("text") >= depth)
-    rows = texts.mapInArrow(_anchor_rows(depth, gram), "gram long, doc_id long, mark long, n int")
-    repeated = rows.groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1").select("gram")
-    grams = rows.join(repeated, "gram", "left_semi").groupBy(*KEY).agg(F.collect_set("gram").alias("grams"))
-    regions = texts.join(grams, KEY).select(*KEY, "text", "grams").mapInArrow(_region_rows(depth, gram, block), REGIONS)
-
-    distinct = regions.groupBy("region", "core", "low", "many", "left", "right").agg(F.sum("n").alias("n"))
-    bits = F.expr("shiftleft(shiftrightunsigned(-1L, 64 - many), low)")
-    cores = distinct.groupBy("core").agg(F.count(F.lit(1)).alias("regions"))
+    rows = written(texts.mapInArrow(_anchor_rows(depth, gram), "doc_id long, mark binary, grams array<long>, twice array<long>"))
+    # A text that occurs twice goes whole; one of its documents stands for it below.
+    copies = rows.groupBy("mark").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
+    whole = rows.select(*KEY).join(copies.where("n > 1").select("mark"), "mark", "left_semi")
+    stands = rows.join(copies.select(*KEY), KEY, "left_semi")
+    grams = stands.select(*KEY, F.explode("grams").alias("gram"), "twice").select(*KEY, "gram", F.when(F.array_contains("twice", F.col("gram")), 2).otherwise(1).alias("n"))
+    repeated = grams.groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1").select("gram")
+    wanted = grams.select(*KEY, "gram").join(repeated, "gram", "left_semi").groupBy(*KEY).agg(F.collect_set("gram").alias("grams"))
+    regions = written(texts.join(wanted, KEY).select(*KEY, "text", "grams").mapInArrow(_region_rows(depth, gram, block), REGIONS))
+
+    distinct = written(regions.groupBy("region", "core", "low", "many", "left", "right").agg(F.sum("n").alias("n")))
+    settled = distinct.where("n > 1").select("region", F.expr("shiftleft(shiftrightunsigned(-1L, 64 - many), low)").alias("mask"))
+    cores = distinct.groupBy("core").agg(F.count(F.lit(1)).alias("regions")).where("regions > 1").select("core")
     # Cores with several regions: their windows, each once for each distinct region.
-    open_ = distinct.join(cores.where("regions > 1").select("core"), "core", "left_semi")
-    windows = open_.select("region", "core", "left", "right", F.explode(F.expr("sequence(low, low + many - 1)")).alias("k"))
+    windows = distinct.join(cores, "core", "left_semi").select("region", "core", "left", "right", F.explode(F.expr("sequence(low, low + many - 1)")).alias("k"))
     rest = [F.col("core"), F.col("k"), F.expr("substring(left, length(left) - k + 1, k)"), F.expr(f"substring(right, 1, {block - 1} - k)")]
     windows = windows.select("region", "k", F.xxhash64(*rest).alias("h1"), F.xxhash64(F.lit(1), *rest).alias("h2"))
     equal = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2")
     partial = windows.join(equal, ["h1", "h2"], "left_semi").groupBy("region").agg(F.expr("bit_or(shiftleft(1L, k))").alias("mask"))
-    whole = distinct.where("n > 1").select("region", bits.alias("mask"))
-    verdict = whole.unionByName(partial).groupBy("region").agg(F.expr("bit_or(mask)").alias("mask"))
-    return regions.select(*KEY, "region", "edges").join(verdict, "region").groupBy(*KEY).agg(F.collect_list(F.struct("edges", "mask")).alias("found"))
+    verdict = settled.unionByName(partial).groupBy("region").agg(F.expr("bit_or(mask)").alias("mask"))
+    parts = regions.select(*KEY, "region", "edges").join(verdict, "region").select(*KEY, F.struct("edges", "mask").alias("found"), F.lit(False).alias("whole"))
+    # collect_list leaves nulls out.
+    every = parts.unionByName(whole.select(*KEY, F.lit(None).cast(parts.schema["found"].dataType).alias("found"), F.lit(True).alias("whole")))
+    return every.groupBy(*KEY).agg(F.max("whole").alias("whole"), F.collect_list("found").alias("found"))
 
 
 def suffix_dedup(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept, the remaining bytes."""
     found = repeated_windows(docs, depth, gram)
-    rows = marked(docs).join(found, KEY, "left").select("doc_id", "text", "found")
+    rows = marked(docs).join(found, KEY, "left").select("doc_id", "text", "whole", "found")
     return rows.mapInArrow(_kept_rows(depth), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
