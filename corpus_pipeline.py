@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm import decontaminate, exact_dedup, near_dup, quality, source_mix
-from quern.llm.common import checkpoint_dir
+from quern.llm.common import written
 from quern.llm.queries import table
 
 
@@ -47,8 +47,6 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STAGES on the documents of sf_dir, each but the last written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
-    folder = f"{checkpoint_dir(spark).rstrip('/')}/pipeline-{spark.sparkContext.applicationId}-{abs(hash(sf_dir))}"
-    for k, (_, stage) in enumerate(STAGES[:-1]):
-        stage(spark, docs, sf_dir).write.mode("overwrite").parquet(f"{folder}/{k}")
-        docs = spark.read.parquet(f"{folder}/{k}")
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
