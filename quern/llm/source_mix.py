@@ -85,6 +85,11 @@ def permuted(index: Column, epoch: Column, n: Column, source: Column, seed: int
     return F.pmod(F.pmod(index, n) * factor + F.pmod(draw("b"), n), n)
 
 
+def sorted_side(df: DataFrame) -> DataFrame:
+    """Asks for a sort-merge join: exploded slots have estimates far under their size, which would broadcast them."""
+    return df.hint("merge")
+
+
 def drawn_slots(quota: DataFrame, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
     """shard, source, k: every output slot with its source and its number among the source's slots."""
     spark = quota.sparkSession
@@ -96,28 +101,28 @@ def drawn_slots(quota: DataFrame, shard_slots: int = SHARD_SLOTS, seed: int = SE
     ranges = some.select("source", "rank", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") * cells).cast("int"), F.least(F.floor(F.col("hi") * cells).cast("int"), F.lit(cells - 1)))).alias("cell"))
     # One row for each shard, from the sum of slots; each is expanded where it lies.
     n = some.agg(F.coalesce(F.sum("slots"), F.lit(0)).alias("n")).where("n > 0")
-    shards = n.select("n", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {shard_slots}"))).alias("shard")).repartition("shard")
+    shards = n.select("n", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {shard_slots}"))).alias("shard")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard")
     slots = shards.select("shard", F.explode(F.expr(f"sequence(shard * {shard_slots}, least(n, (shard + 1) * {shard_slots}) - 1)")).alias("slot"))
     slots = slots.withColumn("u", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "slot"), 11) / F.lit(float(1 << 53))).withColumn("cell", F.floor(F.col("u") * cells).cast("int"))
-    drawn = slots.join(ranges, "cell").where("u >= lo and u < hi").select("shard", "slot", "rank")
+    drawn = slots.join(sorted_side(ranges), "cell").where("u >= lo and u < hi").select("shard", "slot", "rank")
     counts = drawn.groupBy("rank", "shard").agg(F.count(F.lit(1)).alias("m"))
     counts = counts.withColumn("before", F.sum("m").over(W.partitionBy("rank").orderBy("shard").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("m"))
     # k: slots of the source in earlier shards, then the place inside the shard.
-    placed = drawn.join(counts, ["rank", "shard"]).withColumn("k", F.col("before") + F.row_number().over(W.partitionBy("rank", "shard").orderBy("slot")) - 1).select("rank", "shard", "slot", "k")
+    placed = drawn.join(sorted_side(counts), ["rank", "shard"]).withColumn("k", F.col("before") + F.row_number().over(W.partitionBy("rank", "shard").orderBy("slot")) - 1).select("rank", "shard", "slot", "k")
     held = some.join(counts.groupBy("rank").agg(F.sum("m").alias("drawn")), "rank", "left").select("rank", "slots", F.coalesce("drawn", F.lit(0)).alias("drawn"))
     over, under = F.greatest(F.col("drawn") - F.col("slots"), F.lit(0)), F.greatest(F.col("slots") - F.col("drawn"), F.lit(0))
     held = held.withColumn("over_before", F.sum(over).over(upto) - over).withColumn("under_before", F.sum(under).over(upto) - under)
-    placed = placed.join(held.select("rank", "slots", "over_before"), "rank")
+    placed = placed.join(sorted_side(held.select("rank", "slots", "over_before")), "rank")
     right = placed.where("k < slots").select("rank", "shard", "k")
     spare = placed.where("k >= slots").select("shard", (F.col("over_before") + F.col("k") - F.col("slots")).alias("j"))
     lacking = held.where("slots > drawn").select("rank", F.posexplode(F.expr("sequence(drawn, slots - 1)")).alias("i", "k"), "under_before").select("rank", "k", (F.col("under_before") + F.col("i")).alias("j"))
-    moved = spare.join(lacking, "j").select("rank", "shard", "k")
-    return right.unionByName(moved).join(some.select("rank", "source"), "rank").select("shard", "source", "rank", "k")
+    moved = spare.join(sorted_side(lacking), "j").select("rank", "shard", "k")
+    return right.unionByName(moved).join(sorted_side(some.select("rank", "source")), "rank").select("shard", "source", "rank", "k")
 
 
 def slot_blocks(slots: DataFrame, quota: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
     """shard, rank, k, block, n_words: which block each slot reads, and how many of its first words."""
-    rows = slots.select("shard", "rank", "k").join(quota.select("source", "rank", "source_size", "whole", "blocks", "epochs", "rest", "slots"), "rank")
+    rows = slots.select("shard", "rank", "k").join(sorted_side(quota.select("source", "rank", "source_size", "whole", "blocks", "epochs", "rest", "slots")), "rank")
     rows = rows.withColumn("epoch", F.expr("k div blocks")).withColumn("i", F.expr("k % blocks"))
     block = F.when(F.col("i") < F.col("whole"), permuted(F.col("i"), F.col("epoch"), F.greatest("whole", F.lit(1)), F.col("source"), seed)).otherwise(F.col("i"))
     length = F.least(F.lit(block_words).cast("long"), F.col("source_size") - F.col("i") * block_words)
@@ -146,6 +151,6 @@ def source_mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int
     rows = packed(sizes, quota, buckets)
     spans = rows.where("size > 0").select("doc_id", "rank", "size", "at", F.explode(F.expr(f"sequence(at div {block_words}, (at + size - 1) div {block_words})")).alias("block"))
     inside = F.expr(f"greatest(0, least(at + size, block * {block_words} + n_words) - greatest(at, block * {block_words}))")
-    took = spans.join(reads, ["rank", "block"]).groupBy("doc_id", "rank", "size", "at").agg(F.sum(inside * F.col("times")).alias("taken"))
-    out = rows.alias("d").join(took.alias("t"), F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("d.rank") == F.col("t.rank")) & (F.col("d.at") == F.col("t.at")) & (F.col("d.size") == F.col("t.size")), "left")
+    took = spans.join(sorted_side(reads), ["rank", "block"]).groupBy("doc_id", "rank", "size", "at").agg(F.sum(inside * F.col("times")).alias("taken"))
+    out = rows.alias("d").join(sorted_side(took).alias("t"), F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("d.rank") == F.col("t.rank")) & (F.col("d.at") == F.col("t.at")) & (F.col("d.size") == F.col("t.size")), "left")
     return out.select("d.doc_id", "d.size", "d.source_size", "d.target", F.coalesce("t.taken", F.lit(0)).cast("long").alias("taken"))
