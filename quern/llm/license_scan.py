@@ -63,11 +63,11 @@ NOT_WORD = r"[^a-z0-9.]+|\.(?![0-9])|(?<![0-9])\."
 
 def spelled(sentence: str) -> str:
     """The normal form of a sentence of the table above; normalised() is the same for columns."""
-    return re.sub(NOT_WORD, " ", sentence.lower()).strip()
+    return re.sub(" +", " ", re.sub(NOT_WORD, " ", sentence.lower())).strip()
 
 
 def normalised(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(sentence), NOT_WORD, " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(sentence), NOT_WORD, " "), " +", " "))
 
 
 def _starts(sentences: dict[str, str]) -> str:
@@ -76,13 +76,19 @@ def _starts(sentences: dict[str, str]) -> str:
     return "(?iu)(?:" + "|".join(r"[^a-z0-9]+".join(x.replace(".", r"\.") for x in f.split()) for f in firsts) + ")"
 
 
-def license_scan(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules: tuple = RULES) -> DataFrame:
-    """doc_id, sentence_ids (in text order, comma-joined), licenses (sorted, comma-joined), n_licenses."""
-    known = {}
+def known_pieces(sentences: dict[str, str]) -> dict[str, str]:
+    """Normal forms and identifiers; a sentence that is split itself has several, with one identifier."""
+    known: dict[str, str] = {}
     for sentence, name in sentences.items():
         for piece in re.split(SENTENCE_END, sentence):
             if spelled(piece):
                 known.setdefault(spelled(piece), name)
+    return known
+
+
+def license_scan(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules: tuple = RULES) -> DataFrame:
+    """doc_id, sentence_ids (in text order, comma-joined), licenses (sorted, comma-joined), n_licenses."""
+    known = known_pieces(sentences)
     table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
     text = F.coalesce(F.col("text"), F.lit(""))
     names = F.array_compact(F.transform(F.split(text, SENTENCE_END), lambda s: F.try_element_at(table, normalised(s))))

@@ -59,7 +59,30 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_secret_scan, op3_suffix_dedup, op4_chat_format, op5_exact_dedup, op6_source_mix, op7_quality, op8_decontaminate, op9_language_id, op10_near_dup)}
 
+
+
+def _license_sql() -> str:
+    known = ", ".join(f"'{k}': '{v}'" for k, v in license_scan.known_pieces(license_scan.SENTENCES).items())
+    # No look-around here: dots between digits are set aside, the others become spaces.
+    spelled = r"regexp_replace(lower(x), '[^a-z0-9.]+', ' ', 'g')"
+    spelled = rf"regexp_replace(regexp_replace({spelled}, '([0-9])\.([0-9])', '\1#\2', 'g'), '([0-9])\.([0-9])', '\1#\2', 'g')"
+    spelled = f"trim(regexp_replace(replace(replace({spelled}, '.', ' '), '#', '.'), ' +', ' ', 'g'))"
+    steps, last = [], "r0"
+    for k, (name, ids) in enumerate(license_scan.RULES, 1):
+        needle = "|" + "||".join(ids) + "|"
+        steps.append(f"r{k} AS (SELECT doc_id, ids, replace(state, '{needle}', '||') AS state, CASE WHEN contains(state, '{needle}') THEN list_append(got, '{name}') ELSE got END AS got FROM {last})")
+        last = f"r{k}"
+    return rf"""
+        WITH s AS (SELECT doc_id, regexp_split_to_array(coalesce(text, ''), '[.;:!?]\s+|\n+') AS parts FROM documents),
+        n AS (SELECT doc_id, list_filter(list_transform(parts, lambda x: MAP {{{known}}}[{spelled}]), lambda y: y IS NOT NULL) AS names FROM s),
+        r0 AS (SELECT doc_id, ids, '|' || array_to_string(ids, '||') || '|' AS state, []::VARCHAR[] AS got FROM
+            (SELECT doc_id, list_filter(names, lambda x, i: i = 1 OR names[i - 1] <> x) AS ids FROM n)),
+        {", ".join(steps)}
+        SELECT doc_id, array_to_string(ids, ',') AS sentence_ids, array_to_string(list_sort(list_distinct(got)), ',') AS licenses, len(list_distinct(got))::BIGINT AS n_licenses FROM {last}"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_license_scan": _license_sql(),
     "op4_chat_format": r"""
         WITH rows AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -81,6 +104,25 @@ ORACLE_SQL: dict[str, str] = {
             regexp_full_match(seen, 's?(ua)+') AS valid,
             CASE WHEN length(ok) < n_turns THEN length(ok)::BIGINT ELSE -1 END AS bad_turn
         FROM walked""",
+    # The multinomial draws decide in which shard a slot lies, not which blocks are read, so they don't occur here.
+    "op6_source_mix": r"""
+        WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+        s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+        w AS (SELECT *, CASE (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 2.0 ELSE 3.0 END AS weight, 3.0::DOUBLE * source_size AS most FROM s),
+        l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(most) OVER (ORDER BY most / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / sum(weight) OVER (ORDER BY most / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+        t AS (SELECT source, source_size, least(most, coalesce(max(level) FILTER (level <= most / weight) OVER () * weight, most)) AS target FROM l),
+        q AS (SELECT *, least(round(target)::BIGINT, 3 * source_size) AS words, source_size // 256 AS whole FROM t),
+        e AS (SELECT *, CASE WHEN source_size > 0 THEN words // source_size ELSE 0 END AS epochs, CASE WHEN source_size > 0 THEN words % source_size ELSE 0 END AS rest FROM q),
+        -- Blocks that the last, partial epoch reads, and how far.
+        i AS (SELECT *, unnest(range((rest + 255) // 256)) AS i, 'x:42:' || coalesce(source, chr(0) || 'null') || ':' || epochs AS seed FROM e),
+        p AS (SELECT *, list_filter([1000003, 1000033, 1000037, 1000039, 1000081, 1000099, 1000117, 1000121]::BIGINT[], lambda x: greatest(whole, 1) % x <> 0) AS able FROM i),
+        b AS (SELECT source, least(256, source_size - i * 256, rest - i * 256) AS n_words,
+            CASE WHEN i < whole THEN ((i % whole) * able[(('0x' || left(md5('a' || seed[2:]), 12))::BIGINT % len(able)) + 1] + ('0x' || left(md5('b' || seed[2:]), 12))::BIGINT % whole) % whole ELSE i END AS block FROM p),
+        o AS (SELECT d.*, e.source_size, e.target, e.epochs, sum(size) OVER (PARTITION BY d.source ORDER BY ('0x' || left(md5(doc_id::VARCHAR), 4))::BIGINT % 256, doc_id, size ROWS UNBOUNDED PRECEDING)::BIGINT - size AS place FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source),
+        k AS (SELECT doc_id, source, size, place, unnest(range(place // 256, (place + size - 1) // 256 + 1)) AS block FROM o WHERE size > 0),
+        g AS (SELECT k.doc_id, sum(greatest(0, least(place + size, k.block * 256 + n_words) - greatest(place, k.block * 256)))::BIGINT AS more FROM k JOIN b ON b.source IS NOT DISTINCT FROM k.source AND b.block = k.block GROUP BY k.doc_id)
+        SELECT o.doc_id, size, source_size, target, (epochs * size + coalesce(more, 0))::BIGINT AS taken FROM o LEFT JOIN g USING (doc_id)""",
     "op5_exact_dedup": r"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,

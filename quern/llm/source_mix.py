@@ -2,7 +2,7 @@
 
 1. Sizes are words. Sources in code-point order (null last) weigh 1, 2, 3, repeating, and share the words of all sources;
    a target stops at ``most_epochs`` times its source's size and the excess is reshared by weight until none is above.
-2. Each source's documents, ordered by doc_id, are packed end to end and cut into blocks of ``block_words``; only the last
+2. Each source's documents, in an order by hash of doc_id, are packed end to end and cut into blocks of ``block_words``; only the last
    block of a source is shorter. The running word count is taken in two levels (hash buckets, then documents inside a
    bucket), so a source with a third of all rows is spread over many tasks.
 3. Every output slot draws its source with the targets as probabilities; counted by shard of ``shard_slots`` slots these
@@ -13,7 +13,7 @@
    epoch, and the last slot of a source is cut so that its words meet the target. Blocks are joined by index.
 
 Defined results: a null text has no words and is never taken; a null source is a source of its own, after all others. A
-null doc_id sorts first; rows that repeat a doc_id are ordered by size and are as many documents. Extra columns are
+null doc_id sorts first in its bucket; rows that repeat a doc_id are ordered by size and are as many documents. Extra columns are
 ignored. If no document has a word all targets are 0.0. An empty table gives an empty result. Equal seeds give equal mixes.
 """
 
@@ -133,7 +133,7 @@ def slot_blocks(slots: DataFrame, quota: DataFrame, block_words: int = BLOCK_WOR
 def packed(sizes: DataFrame, quota: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """doc_id, source, size, source_size, target, rank, at: where each document starts among its source's words."""
     rows = sizes.join(quota.select(F.col("source").alias("_source"), "rank", "source_size", "target"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
+    rows = rows.withColumn("bucket", F.coalesce(F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 4), 16, 10).cast("int") % buckets, F.lit(0)))
     totals = rows.groupBy("rank", "bucket").agg(F.sum("size").alias("n"))
     totals = totals.withColumn("before", F.sum("n").over(W.partitionBy("rank").orderBy("bucket").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("n")).drop("n")
     inside = W.partitionBy("rank", "bucket").orderBy("doc_id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
