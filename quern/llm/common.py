@@ -11,8 +11,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 SLICE_BYTES = 2 << 20
 #: [\x20\x09-\x0D], the white space of every contract.
@@ -53,6 +55,35 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def squeezed(texts: DataFrame) -> DataFrame:
+    """The column text as zstandard frames, before a shuffle of whole texts; opened() takes them out again."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tool = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            frames = [None if t is None else tool.compress(t.encode("utf-8", "surrogatepass")) for t in batch.column("text").to_pylist()]
+            yield batch.set_column(at, "text", pa.array(frames, pa.binary()))
+
+    return texts.mapInArrow(pack, StructType([StructField(f.name, BinaryType() if f.name == "text" else f.dataType) for f in texts.schema.fields]))
+
+
+def opened(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """A batch whose column text are the UTF-8 bytes that squeezed() packed."""
+    tool = zstandard.ZstdDecompressor()
+    texts = [None if t is None else tool.decompress(t) for t in batch.column("text").to_pylist()]
+    return batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.large_binary()))
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs without the rows whose doc_id is among ids (doc_id); all columns stay, and so do rows with a null doc_id.
+
+    ids are written first: Spark then knows their size, and moves the texts only if they are too many to broadcast.
+    """
+    gone = written(ids.where("doc_id is not null").select(F.col("doc_id").alias("_gone_id")).distinct())
+    return docs.join(gone, docs["doc_id"] == gone["_gone_id"], "left_anti")
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir, or a folder under the warehouse where it is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

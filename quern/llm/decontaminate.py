@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import NOT_ALNUM, buffers, docs_of, mixed, slices, step, words
+from quern.llm.common import NOT_ALNUM, buffers, docs_of, mixed, slices, step, without, words
 
 WINDOW = 12
 MOST_SUBSTITUTIONS = 2
@@ -148,6 +148,5 @@ def decontamination(docs: DataFrame, benchmark: DataFrame, block_words: int = BL
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the contaminated rows; all columns stay."""
-    found = overlaps(docs, benchmark).select(F.col("doc_id").alias("_hit_id")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["_hit_id"]), "left_anti")
+    """docs without the contaminated rows; all columns stay, and so do rows with a null doc_id."""
+    return without(docs, overlaps(docs, benchmark))

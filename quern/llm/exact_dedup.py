@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import cut_lineage, docs_of, text_or_empty
+from quern.llm.common import cut_lineage, docs_of, text_or_empty, without, written
 
 CHUNK = 8192
 #: Two primes under 2^31 with a base for each: byte * power summed over a chunk stays under 2^53, exact in a double.
@@ -143,10 +143,11 @@ def exact_dedup(docs: DataFrame, huge_bytes: int = HUGE_BYTES, segment_chars: in
     key = ["fp", "n_bytes"]
     rows = cut_lineage(fingerprints(docs, huge_bytes, segment_chars).withColumn("fp", F.col("fp").bitwiseAND((1 << fp_bits) - 1)))
     shared = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = rows.where("doc_id is not null").join(shared, key, "left_semi").select("doc_id", *key).distinct()
+    members = rows.where("doc_id is not null").join(shared, key, "left_semi").select("doc_id", *key)
     texts = docs_of(docs, "doc_id", "text").join(members, "doc_id")
     chunks = chunk_rows(texts).groupBy(*key, "chunk").agg(F.min("part").alias("low"), F.max("part").alias("high"))
-    collided = cut_lineage(chunks.where("low <> high").select(*key).distinct())
+    # Hardly ever any: Spark sees their size in the table, and needn't gather a large group to look them up.
+    collided = written(chunks.where("low <> high").select(*key).distinct())
     # A class is a fingerprint and length; in a collision the text's own digest too.
     classed = rows.join(collided.withColumn("split", F.lit(True)), key, "left").withColumn("part", F.when(F.col("split"), F.col("text_sha256")).otherwise("")).drop("split")
     groups = classed.groupBy(*key, "part").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
@@ -156,7 +157,6 @@ def exact_dedup(docs: DataFrame, huge_bytes: int = HUGE_BYTES, segment_chars: in
 def drop_copies(docs: DataFrame) -> DataFrame:
     """docs without the rows whose text equals that of a row with a smaller doc_id; all columns stay.
 
-    Rows are told apart by doc_id, so those with a null doc_id go only if none of them is kept.
+    Rows are told apart by doc_id, so those with a null doc_id stay, and a doc_id that several rows have stays if one does.
     """
-    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")
+    return without(docs, exact_dedup(docs).groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept"))

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import buffers, cut_lineage, docs_of, mixed, shingle_sets, slices, written
+from quern.llm.common import buffers, cut_lineage, docs_of, mixed, opened, shingle_sets, slices, squeezed, without, written
 from quern.llm.graph import connected_components
 
 WORDS = 5
@@ -248,7 +248,7 @@ def _bucket_pairs(buckets: int, complete: bool):
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in map(opened, batches):
         for _, _, s, off in _sets(batch):
             raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(off) - 1, [None, pa.py_buffer(off * 8), pa.py_buffer(np.ascontiguousarray(s))])
             yield pa.RecordBatch.from_arrays([pa.array(_class_of(s, off)), raw.cast(pa.binary())], ["cls", "set"])
@@ -277,31 +277,42 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _links(pairs: DataFrame, docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough."""
     pairs = cut_lineage(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    if not pairs.take(1):
+        return pairs
     asked = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
     # The texts of one document of each class that is asked for.
-    texts = docs_of(docs, "doc_id", "text").join(asked.join(ids, "cls").select("doc_id"), "doc_id", "left_semi")
-    sets = texts.select("text").mapInArrow(_set_rows, "cls long, set binary").dropDuplicates(["cls"])
+    texts = squeezed(docs_of(docs, "doc_id", "text")).join(asked.join(ids, "cls").select("doc_id"), "doc_id", "left_semi")
+    sets = texts.select("text").mapInArrow(_set_rows, "cls long, set binary")
     both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("cls").alias("b"), F.col("set").alias("set_b")), "b")
-    return cut_lineage(both.mapInArrow(_verified, "a long, b long"))
-
+    # A doc_id that several rows have can bring a class twice.
+    return cut_lineage(both.mapInArrow(_verified, "a long, b long").distinct())
 
-def near_dup(docs: DataFrame, group_buckets: int | None = None) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id."""
-    spark = docs.sparkSession
-    buckets = group_buckets or BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = docs_of(docs, "text")
-    rows = cut_lineage(docs_of(docs, "doc_id", "text").mapInArrow(_summaries, "doc_id long, n long, cls long"))
-    ids = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
 
+def _frequent_shingles(texts: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles of more than GROUP classes, ascending, and their places from rare to frequent."""
     counts = texts.mapInArrow(_count_batches(buckets), "bucket long, tokens binary").groupBy("bucket").applyInArrow(_frequent, "token long, df long")
     hot = counts.orderBy(F.desc("df"), "token").limit(MOST_HOT).toArrow()
     token, df = hot["token"].to_numpy().astype(np.uint64), hot["df"].to_numpy()
     rank = np.empty(len(token), np.int64)
     rank[np.lexsort((token, df))] = np.arange(len(token))
     order = np.argsort(token)
+    return token[order], rank[order]
+
+
+def _found_rows(texts: DataFrame, buckets: int) -> DataFrame:
+    """Pairs of small groups and entries of large ones, as FOUND."""
+    token, rank = _frequent_shingles(texts, buckets)
+    packed = texts.mapInArrow(_entry_batches(buckets, token, rank), "bucket long, tokens binary, classes binary, marks binary, quiets binary")
+    return written(packed.groupBy("bucket").applyInArrow(_bucket_pairs(buckets, len(token) < MOST_HOT), FOUND))
 
-    packed = texts.mapInArrow(_entry_batches(buckets, token[order], rank[order]), "bucket long, tokens binary, classes binary, marks binary, quiets binary")
-    found = written(packed.groupBy("bucket").applyInArrow(_bucket_pairs(buckets, len(token) < MOST_HOT), FOUND))
+
+def near_dup(docs: DataFrame, group_buckets: int | None = None) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id."""
+    spark = docs.sparkSession
+    buckets = group_buckets or BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = cut_lineage(docs_of(docs, "doc_id", "text").mapInArrow(_summaries, "doc_id long, n long, cls long"))
+    ids = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
+    found = _found_rows(docs_of(docs, "text"), buckets)
     large = found.where("b is null").select("token", F.col("a").alias("cls"), F.col("n_a").alias("n"), F.col("index_a").alias("indexed"), "typical", "reach").distinct()
     # The centre of a group is its most typical class, the one with the most listed shingles.
     star = large.groupBy("token").agg(F.max(F.struct("typical", "cls", "n")).alias("centre"))
@@ -312,7 +323,8 @@ def near_dup(docs: DataFrame, group_buckets: int | None = None) -> DataFrame:
     # Groups whose classes lie in several components: which components could still be linked, then their classes.
     placed = cut_lineage(large.join(first.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls")))
     torn = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
-    open_ = placed.join(torn, "token", "left_semi")
+    # Written, so that a frequent shingle's rows are aggregated where they lie before they are dealt out again.
+    open_ = written(placed.join(torn, "token", "left_semi"))
     sides = open_.groupBy("token", "component").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("reach").alias("reach"), F.min(F.when(F.col("indexed"), F.col("n"))).alias("least_indexed"))
     x, y = sides.alias("x"), sides.alias("y")
     enough = f"{NUM + DEN} * least({{0}}.reach, {{1}}.reach) >= {NUM} * ({{0}}.{{2}} + {{1}}.{{2}})"
@@ -333,6 +345,9 @@ def near_dup(docs: DataFrame, group_buckets: int | None = None) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one document of each group of near duplicates, the smallest doc_id; all columns stay."""
-    kept = near_dup(docs).where("doc_id = component_id or component_id is null").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")
+    """docs with one document of each group of near duplicates, the smallest doc_id; all columns stay.
+
+    Rows with a null doc_id stay, and a doc_id that several rows have stays if one does.
+    """
+    groups = near_dup(docs).groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return without(docs, groups.where("not kept"))

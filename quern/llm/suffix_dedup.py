@@ -8,7 +8,7 @@ the suffix that splits best, and a suffix that stands alone after a digit takes
    equal anchors at equal places. Neighbouring windows share anchors, so this pass sorts a row for each anchor, not for
    each byte.
 2. Second digit: windows with one anchor are cut, by their distance to it, into blocks of ``BLOCK``. The bytes that
-   all windows of a block share (the core) and those that any of them covers (the region) are two 128-bit digits. A region
+   all windows of a block share (the core) and those that any of them covers (the region) are two digits. A region
    that occurs twice settles all windows of its block; a core that occurs in one region only settles the rest.
 3. Third digit: the remaining bytes of each window of the unsettled regions, one of each distinct region.
 
@@ -17,7 +17,7 @@ row a task and pass. Positions come back by a join on the region and are grouped
 
 Defined results: texts are UTF-8 bytes; null is empty. Windows don't cross documents. Rows with a null doc_id are
 returned whole and nothing is compared with them. Each other row is a document, so rows that repeat both doc_id and text
-are copies of each other. Extra columns are ignored; an empty table gives an empty result. Digits of 128 bits stand for bytes.
+are copies of each other. Extra columns are ignored; an empty table gives an empty result. Digits that decide stand for their bytes as 128-bit hashes.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import SLICE_BYTES, buffers, docs_of, mixed, powers, prefix_hashes, slices, written
+from quern.llm.common import SLICE_BYTES, buffers, docs_of, mixed, opened, powers, prefix_hashes, slices, squeezed, written
 
 DEPTH = 400
 GRAM = 64
@@ -111,7 +111,7 @@ def _anchor_rows(depth: int, gram: int):
     return rows
 
 
-REGIONS = "doc_id long, mark binary, region binary, core binary, low int, many int, left binary, right binary, edges array<int>, n long"
+REGIONS = "doc_id long, mark binary, region binary, core long, low int, many int, left binary, right binary, edges array<int>, n long"
 
 
 def _region_rows(depth: int, gram: int, block: int):
@@ -122,7 +122,7 @@ def _region_rows(depth: int, gram: int, block: int):
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in map(opened, batches):
             ids = list(zip(batch.column("doc_id").to_pylist(), batch.column("mark").to_pylist(), strict=True))
             wanted = batch.column("grams")
             out: dict[tuple[int, bytes], list] = {}
@@ -147,7 +147,7 @@ def _region_rows(depth: int, gram: int, block: int):
                         if have := out.get((a + d, key)):
                             have[-1].append(edge - base)
                         else:
-                            out[a + d, key] = [xxhash.xxh3_128_digest(raw[edge:stop] + b"%d" % b), edge - wb, wb - wa + 1, raw[wa:edge], raw[stop : wb + depth], [edge - base]]
+                            out[a + d, key] = [xxhash.xxh3_64_intdigest(raw[edge:stop] + b"%d" % b) - (1 << 63), edge - wb, wb - wa + 1, raw[wa:edge], raw[stop : wb + depth], [edge - base]]
                 if len(out) > 50_000:
                     yield _region_batch(out, ids)
                     out = {}
@@ -163,7 +163,7 @@ def _region_batch(out: dict, ids: list) -> pa.RecordBatch:
             pa.array([ids[r][0] for r, _ in out], pa.int64()),
             pa.array([ids[r][1] for r, _ in out], pa.binary()),
             pa.array([k for _, k in out], pa.binary()),
-            pa.array(core, pa.binary()),
+            pa.array(core, pa.int64()),
             pa.array(low, pa.int32()),
             pa.array(many, pa.int32()),
             pa.array(left, pa.binary()),
@@ -179,10 +179,10 @@ def _kept_rows(depth: int):
     """What is left of each text, given found array<struct<edges array<int>, mask long>>."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in map(opened, batches):
             total, removed, spans, shas, kept = [], [], [], [], []
             for text, found, whole in zip(batch.column("text"), batch.column("found"), batch.column("whole"), strict=True):
-                data = np.frombuffer((text.as_py() or "").encode("utf-8", "surrogatepass"), np.uint8)
+                data = np.frombuffer(text.as_py() or b"", np.uint8)
                 change = np.zeros(len(data) + 1, np.int32)
                 if found.is_valid and len(found.values):
                     edges = found.values.field("edges")
@@ -228,17 +228,18 @@ def repeated_windows(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> D
     grams = stands.select(*KEY, F.explode("grams").alias("gram"), "twice").select(*KEY, "gram", F.when(F.array_contains("twice", F.col("gram")), 2).otherwise(1).alias("n"))
     repeated = grams.groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1").select("gram")
     wanted = grams.select(*KEY, "gram").join(repeated, "gram", "left_semi").groupBy(*KEY).agg(F.collect_set("gram").alias("grams"))
-    regions = written(texts.join(wanted, KEY).select(*KEY, "text", "grams").mapInArrow(_region_rows(depth, gram, block), REGIONS))
+    regions = written(squeezed(texts.select(*KEY, "text")).join(wanted, KEY).select(*KEY, "text", "grams").mapInArrow(_region_rows(depth, gram, block), REGIONS))
 
-    distinct = written(regions.groupBy("region", "core", "low", "many", "left", "right").agg(F.sum("n").alias("n")))
+    distinct = written(regions.groupBy("region", "core", "low", "many", "left", "right").agg(F.sum("n").alias("n")).withColumn("id", F.monotonically_increasing_id()))
     settled = distinct.where("n > 1").select("region", F.expr("shiftleft(shiftrightunsigned(-1L, 64 - many), low)").alias("mask"))
     cores = distinct.groupBy("core").agg(F.count(F.lit(1)).alias("regions")).where("regions > 1").select("core")
     # Cores with several regions: their windows, each once for each distinct region.
-    windows = distinct.join(cores, "core", "left_semi").select("region", "core", "left", "right", F.explode(F.expr("sequence(low, low + many - 1)")).alias("k"))
+    windows = distinct.join(cores, "core", "left_semi").select("id", "core", "left", "right", F.explode(F.expr("sequence(low, low + many - 1)")).alias("k"))
     rest = [F.col("core"), F.col("k"), F.expr("substring(left, length(left) - k + 1, k)"), F.expr(f"substring(right, 1, {block - 1} - k)")]
-    windows = windows.select("region", "k", F.xxhash64(*rest).alias("h1"), F.xxhash64(F.lit(1), *rest).alias("h2"))
+    windows = windows.select((F.col("id") * BLOCK + F.col("k")).alias("place"), F.xxhash64(*rest).alias("h1"), F.xxhash64(F.lit(1), *rest).alias("h2"))
     equal = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2")
-    partial = windows.join(equal, ["h1", "h2"], "left_semi").groupBy("region").agg(F.expr("bit_or(shiftleft(1L, k))").alias("mask"))
+    partial = windows.join(equal, ["h1", "h2"], "left_semi").groupBy(F.shiftright("place", 6).alias("id")).agg(F.expr("bit_or(shiftleft(1L, cast(place & 63 as int)))").alias("mask"))
+    partial = distinct.select("id", "region").join(partial, "id").select("region", "mask")
     verdict = settled.unionByName(partial).groupBy("region").agg(F.expr("bit_or(mask)").alias("mask"))
     parts = regions.select(*KEY, "region", "edges").join(verdict, "region").select(*KEY, F.struct("edges", "mask").alias("found"), F.lit(False).alias("whole"))
     # collect_list leaves nulls out.
@@ -249,5 +250,5 @@ def repeated_windows(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> D
 def suffix_dedup(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept, the remaining bytes."""
     found = repeated_windows(docs, depth, gram)
-    rows = marked(docs).join(found, KEY, "left").select("doc_id", "text", "whole", "found")
+    rows = squeezed(marked(docs).select(*KEY, "text")).join(found, KEY, "left").select("doc_id", "text", "whole", "found")
     return rows.mapInArrow(_kept_rows(depth), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
