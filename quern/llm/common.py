@@ -16,7 +16,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
+#: Most bytes of an Arrow batch, unless the session sets its own bound.
+BATCH_BYTES = 8 << 20
 #: [\x20\x09-\x0D], the white space of every contract.
 SPACES = (9, 10, 11, 12, 13, 32)
 
@@ -34,6 +36,13 @@ def docs_of(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in columns])
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Batches of BATCH_BYTES at most for Python workers, where the session doesn't say otherwise; JVM and worker hold several."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import NOT_ALNUM, buffers, docs_of, mixed, slices, step, without, words
+from quern.llm.common import NOT_ALNUM, bounded_batches, buffers, docs_of, mixed, slices, step, without, words
 
 WINDOW = 12
 MOST_SUBSTITUTIONS = 2
@@ -127,6 +127,7 @@ def _find_with(items: Items):
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_ITEMS_WORDS) -> DataFrame:
     """(doc_id, item_id) of every contaminated document and the items it contains."""
+    bounded_batches(docs.sparkSession)
     items = docs_of(benchmark, "item_id", "text").where("item_id is not null and text is not null")
     total = items.agg(F.sum(F.size(F.split("text", r"[^\p{L}\p{N}]+")))).first()[0] or 0
     blocks = total // block_words + 1

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import cut_lineage, docs_of, text_or_empty, without, written
+from quern.llm.common import bounded_batches, cut_lineage, docs_of, text_or_empty, without, written
 
 CHUNK = 8192
 #: Two primes under 2^31 with a base for each: byte * power summed over a chunk stays under 2^53, exact in a double.
@@ -112,6 +112,7 @@ def normalised_column(column: F.Column | None = None) -> F.Column:
 
 def fingerprints(docs: DataFrame, huge_bytes: int = HUGE_BYTES, segment_chars: int = SEGMENT_CHARS) -> DataFrame:
     """(doc_id, fp, n_bytes, text_sha256) of each row of docs."""
+    bounded_batches(docs.sparkSession)
     rows = docs_of(docs, "doc_id", "text")
     long = F.octet_length(text_or_empty()) > huge_bytes
     usual = rows.where(~long).mapInArrow(_hash_batches, "doc_id long, fp long, n_bytes long, text_sha256 string")

@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import docs_of
+from quern.llm.common import bounded_batches, docs_of
 from quern.llm.quality import held_out
 
 #: Families of languages.
@@ -149,5 +149,6 @@ def _predict_with(model: LanguageModel):
 
 def language_scores(docs: DataFrame, most: int = MOST_TRAIN) -> DataFrame:
     """doc_id, held_out, lang_pred, score of each row of docs."""
+    bounded_batches(docs.sparkSession)
     rows = docs_of(docs, "doc_id", "text").withColumn("held_out", held_out())
     return rows.mapInArrow(_predict_with(train(docs, most)), "doc_id long, held_out boolean, lang_pred string, score double")

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import buffers, cut_lineage, docs_of, mixed, opened, shingle_sets, slices, squeezed, without, written
+from quern.llm.common import bounded_batches, buffers, cut_lineage, docs_of, mixed, opened, shingle_sets, slices, squeezed, without, written
 from quern.llm.graph import connected_components
 
 WORDS = 5
@@ -114,7 +114,7 @@ def _count_batches(buckets: int):
             for _, _, s, off in _sets(batch):
                 fresh = _new_rows(off, _class_of(s, off), seen)
                 tokens.append(reduced(s[np.repeat(fresh, np.diff(off))], buckets))
-                if sum(map(len, tokens)) > 4 << 20:
+                if sum(map(len, tokens)) > 1 << 20:
                     t = np.concatenate(tokens)
                     tokens = []
                     yield _packed(t >> np.uint64(32), {"tokens": t.astype(np.uint32)})
@@ -172,7 +172,7 @@ def _entry_batches(buckets: int, hot: np.ndarray, rank: np.ndarray):
                 # Entries of listed shingles are dealt out by class, past the buckets.
                 where = buckets + (classes[doc[listed]].view(np.uint64) % np.uint64(buckets)).astype(np.int64)
                 special.append((where, t[listed], classes[doc[listed]], mark[listed].astype(np.uint32), quiet[listed].astype(np.uint32)))
-                if sum(len(p[0]) for p in usual + special) > 2 << 20:
+                if sum(len(p[0]) for p in usual + special) > 512 << 10:
                     yield from _entries(usual, special)
                     usual, special = [], []
             yield from _entries(usual, special)
@@ -309,6 +309,7 @@ def _found_rows(texts: DataFrame, buckets: int) -> DataFrame:
 def near_dup(docs: DataFrame, group_buckets: int | None = None) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     buckets = group_buckets or BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = cut_lineage(docs_of(docs, "doc_id", "text").mapInArrow(_summaries, "doc_id long, n long, cls long"))
     ids = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))

@@ -25,7 +25,7 @@ import zstandard as zstd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import docs_of
+from quern.llm.common import bounded_batches, docs_of
 
 MOST_TRAIN = 1500
 MOST_CHARS = 20_000
@@ -126,12 +126,14 @@ def _score_with(model: CompressionModel):
 
 def quality_scores(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAIN) -> DataFrame:
     """doc_id, held_out, score, predicted of each row of docs."""
+    bounded_batches(docs.sparkSession)
     rows = docs_of(docs, "doc_id", "text").withColumn("held_out", held_out())
     return rows.mapInArrow(_score_with(train(docs, labels, most)), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAIN) -> DataFrame:
     """docs without the rows that are predicted bad; all columns stay, and no shuffle is needed."""
+    bounded_batches(docs.sparkSession)
     model = train(docs, labels, most)
 
     @F.pandas_udf("boolean")

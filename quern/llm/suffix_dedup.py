@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import SLICE_BYTES, buffers, docs_of, mixed, opened, powers, prefix_hashes, slices, squeezed, written
+from quern.llm.common import SLICE_BYTES, bounded_batches, buffers, docs_of, mixed, opened, powers, prefix_hashes, slices, squeezed, written
 
 DEPTH = 400
 GRAM = 64
@@ -249,6 +249,7 @@ def repeated_windows(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> D
 
 def suffix_dedup(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept, the remaining bytes."""
+    bounded_batches(docs.sparkSession)
     found = repeated_windows(docs, depth, gram)
     rows = squeezed(marked(docs).select(*KEY, "text")).join(found, KEY, "left").select("doc_id", "text", "whole", "found")
     return rows.mapInArrow(_kept_rows(depth), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
