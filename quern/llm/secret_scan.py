@@ -1,7 +1,8 @@
 """Secret scan by assignment-aware lexing (operator 2).
 
 A text is lexed for ``name = literal`` pairs as source and configuration files write them: ``name = "literal"``,
-``name: literal``, ``"name": "literal"``, ``name := literal``, ``export NAME=literal``. A pair whose right side is another
+``name: literal``, ``"name": "literal"``, ``name := literal``, ``export NAME=literal``. Names and literals may have any
+length, quoted literals may hold escapes, and what they hold is lexed for pairs too. A pair whose right side is another
 assigned name takes that name's literal (constants are propagated through chains, each name at most once, so cycles end).
 A literal is scored by how sensitive the names are that it reaches and by its own length, alphabet and entropy; those of
 ``threshold`` or more are spans of kind ``literal``. Three fixed patterns give the base spans of the kinds ``assign``,
@@ -32,8 +33,8 @@ ASSIGN_HINT = re.compile(r"password|passwd|secret|token|api_?key", re.ASCII | re
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 LEAST_ASSIGN = 6
-#: The lexer's pair: a name, a separator, then a quoted literal or a bare word.
-PAIR = re.compile(r"""(?<![\w.-])["']?([A-Za-z_][\w.-]{0,63})["']?[ \t]*(?::=|[:=])(?![=:])[ \t]*(?:"([^"\\\n]{0,512})"|'([^'\\\n]{0,512})'|([^\s"'#,;(){}\[\]]{1,512}))""", re.ASCII)
+#: The lexer's pair: a name, a separator, then a quoted literal (with escapes) or a bare word, each of any length.
+PAIR = re.compile(r"""(?<![\w.-])["']?([A-Za-z_][\w.-]*+)["']?[ \t]*+(?::=|[:=])(?![=:])[ \t]*+(?:"([^"\\\n]*+(?:\\.[^"\\\n]*+)*+)"|'([^'\\\n]*+(?:\\.[^'\\\n]*+)*+)'|([^\s"'#,;(){}\[\]]++))""", re.ASCII)
 #: Sensitive words in a name and their weights.
 SENSITIVE = {"password": 1.0, "passwd": 1.0, "pwd": 0.9, "passphrase": 1.0, "secret": 1.0, "token": 0.9, "apikey": 1.0, "accesskey": 1.0, "privatekey": 1.0, "credential": 0.9, "credentials": 0.9, "auth": 0.6, "bearer": 0.8, "key": 0.4}
 #: Whole literals that never are secrets.
@@ -59,12 +60,15 @@ def literal_weight(value: str) -> float:
 
 def scored_literals(text: str, threshold: float = THRESHOLD) -> list[tuple[int, int, float]]:
     """(start, end, score) of each literal that reaches a sensitive name directly or through other names."""
-    pairs, bound = [], {}
-    for m in PAIR.finditer(text):
-        k = next(i for i in (2, 3, 4) if m[i] is not None)
-        pairs.append((m[1], m[k], m.start(k), m.end(k), k == 4))
-        if k != 4 or not re.fullmatch(r"[A-Za-z_][\w.-]*", m[k], re.ASCII):
-            bound[m[1]] = (m.start(k), m.end(k))
+    pairs, bound, parts = [], {}, [(0, len(text))]
+    for part in parts:  # the text, then what its quoted literals hold, where a name that is bound already stays so
+        for m in PAIR.finditer(text, *part):
+            k = next(i for i in (2, 3, 4) if m[i] is not None)
+            pairs.append((m[1], m[k], m.start(k), m.end(k), k == 4))
+            if (part is parts[0] or m[1] not in bound) and (k != 4 or not re.fullmatch(r"[A-Za-z_][\w.-]*", m[k], re.ASCII)):
+                bound[m[1]] = m.span(k)
+            if k != 4 and ("=" in m[k] or ":" in m[k]):
+                parts.append(m.span(k))
     if not pairs:
         return []
     alias = {name: value for name, value, _, _, bare in pairs if bare and name not in bound}

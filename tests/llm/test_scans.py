@@ -53,6 +53,26 @@ def test_secret_scan(spark):
     assert secret_scan.secret_scan(wide(spark, []).limit(0)).count() == 0
 
 
+def test_secrets_of_any_length():
+    import random
+    import string
+    import time
+
+    r = random.Random(11)
+    long = "".join(r.choice(string.ascii_letters + string.digits) for _ in range(900))
+    found = lambda text: [text[a:b] for a, b, _ in secret_scan.scored_literals(text)]
+    assert found(f'private_key = "{long}"') == found(f"PRIVATE_KEY={long}") == found(f"x_{'y' * 80}_pwd = '{long}'") == [long]
+    assert found(r'pwd = "aB3$x\\9zQ!kk77"') == [r"aB3$x\\9zQ!kk77"] and found(r"""pwd = 'aB3$x\'9zQ!kk77'""") == [r"aB3$x\'9zQ!kk77"]
+    assert found('pwd = "aB3$x9zQ!kk77\\\n"') == []
+    # What a literal holds isn't lost by taking the literal whole.
+    assert found(f"log = \"{'w ' * 400} pwd = 'aB3$x9zQ!kk77' \"") == found(r"""log = "\t pwd = 'aB3$x9zQ!kk77' " """) == ["aB3$x9zQ!kk77"]
+    assert found('K = "q8Zt-41xLmP_w0Rk"\nlog = "K=q"\ndb_pwd = K') == ["q8Zt-41xLmP_w0Rk"]
+    begun = time.monotonic()
+    for hard in ("a" * 300000, 'a="' * 100000, "a='b=\"" * 50000, 'a="' + "\\\"" * 200000, "a " * 200000, "pwd:" * 100000):
+        secret_scan.scored_literals(hard)
+    assert time.monotonic() - begun < 20
+
+
 LICENSES = [
     (None, "", ""),
     ("", "", ""),
