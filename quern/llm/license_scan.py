@@ -1,7 +1,9 @@
 """License scan by sentence rules (operator 1), in DataFrame functions only.
 
 A text is split into sentences; each is normalised (lower case, letters, digits and dots between digits; the rest is one
-space) and looked up among known licence sentences. The identifiers found, in text order, are matched against ordered
+space) and looked up among known licence sentences. A line is a sentence, and so are lines that follow one another without
+a terminator or a blank line between them, so sentences are found however they are wrapped; comment leaders (``*``, ``#``,
+``//``) are no words. The identifiers found, in text order, are matched against ordered
 rules: a rule is a sequence of identifiers that must follow one another among the identifiers found. Rules are tried in
 their order, longer ones first, and a match takes its identifiers away from later rules.
 
@@ -70,9 +72,9 @@ def normalised(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(sentence), NOT_WORD, " "), " +", " "))
 
 
-def _starts(sentences: dict[str, str]) -> str:
-    """A necessary condition of a known sentence: one of the table's first two words, in any case, with any gap."""
-    firsts = sorted({" ".join(spelled(s).split()[:2]) for s in sentences})
+def _starts(known: dict[str, str]) -> str:
+    """A necessary condition of a known piece: its first two words, in any case, with any gap."""
+    firsts = sorted({" ".join(piece.split()[:2]) for piece in known})
     return "(?iu)(?:" + "|".join(r"[^a-z0-9]+".join(x.replace(".", r"\.") for x in f.split()) for f in firsts) + ")"
 
 
@@ -86,13 +88,24 @@ def known_pieces(sentences: dict[str, str]) -> dict[str, str]:
     return known
 
 
+#: Between two words of a sentence: no terminator before white space, but at the start of a line, and no blank line.
+GAP = r"(?![^a-z0-9\n]*[.;:!?]\s|[^a-z0-9]*\n[^a-z0-9.\n]*\n)[^a-z0-9]++"
+
+
+def _wrapped(known: dict[str, str]) -> str:
+    """Known pieces in a lower-case text, as group 1, longer ones first: from a line's or sentence's start to an end of one."""
+    pieces = "|".join(GAP.join(re.escape(word) for word in piece.split()) for piece in sorted(known, key=lambda x: (-len(x), x)))
+    end = r"[.;:!?]\s|\n"
+    return rf"(?:\A|(?<=[a-z0-9])(?=[^a-z0-9]*?(?:{end})))[^a-z0-9]*+({pieces})(?=[^a-z0-9]*?(?:\z|{end}))"
+
+
 def license_scan(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules: tuple = RULES) -> DataFrame:
     """doc_id, sentence_ids (in text order, comma-joined), licenses (sorted, comma-joined), n_licenses."""
     known = known_pieces(sentences)
     table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
     text = F.coalesce(F.col("text"), F.lit(""))
-    names = F.array_compact(F.transform(F.split(text, SENTENCE_END), lambda s: F.try_element_at(table, normalised(s))))
-    # A text without the first words of any known sentence is not split.
+    names = F.array_compact(F.transform(F.regexp_extract_all(F.lower(text), F.lit(_wrapped(known)), F.lit(1)), lambda s: F.try_element_at(table, normalised(s))))
+    # A text without the first words of any known sentence is not searched.
     found = docs.select("doc_id", F.when(text.rlike(_starts(known)), names).otherwise(F.array().cast("array<string>")).alias("names"))
     # A sentence of several pieces gives its identifier once.
     once = F.filter(F.transform("names", lambda x, i: F.when((i > 0) & (F.get("names", i - 1) == x), F.lit(None)).otherwise(x)), lambda x: x.isNotNull())

@@ -104,6 +104,26 @@ def test_license_scan(spark):
     assert license_scan.license_scan(wide(spark, []).limit(0)).count() == 0
 
 
+def test_wrapped_licenses(spark):
+    import textwrap
+
+    said = {name: [s for s, n in license_scan.SENTENCES.items() if n == name] for name in license_scan.SENTENCES.values()}
+    body = lambda *names: " ".join(said[n][-1] for n in names)
+    bsd, mit, gpl = body("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"), body("mit-grant", "mit-condition"), body("gpl3-grant", "gpl-warranty")
+    apache = 'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n'
+    leaders = lambda text, leader: "\n".join(leader + line for line in text.split("\n"))
+    texts = []
+    for text, name in ((bsd, "BSD-3-Clause"), (mit, "MIT"), (gpl, "GPL-3.0-or-later"), (apache, "Apache-2.0")):
+        for width in (40, 72, 80):
+            some = text if text == apache else textwrap.fill(text, width)
+            texts += [(x, name) for x in (some, some.replace("\n", "\r\n"), "/*\n" + leaders(some, " * ") + "\n */\ncode();", leaders(some, "# "), leaders(some, "// "), leaders(some, ";; "))]
+    later = 'you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.'
+    texts += [(later, "GPL-3.0-or-later"), ("x\nLicensed under\n\nthe MIT License.", ""), ("Licensed under. the MIT License.", ""), ("Not licensed under\nthe MIT License.", ""), ("Licensed under\nthe MIT License or not.", ""), ("\n" * 300000 + "Licensed under" + " *" * 100000 + " the MIT License", "MIT")]
+    texts += [("Licensed under CC BY\n4.0.\nAll rights\nreserved", "CC-BY-4.0,LicenseRef-Proprietary"), ("Licensed under CC BY 4.0.5", ""), ("Licensed under the MIT License\nand more", "MIT")]
+    rows = {r["doc_id"]: r["licenses"] for r in license_scan.license_scan(wide(spark, [(i, t) for i, (t, _) in enumerate(texts)])).collect()}
+    assert [(texts[i][0][:300], rows[i]) for i in rows if rows[i] != texts[i][1]] == []
+
+
 TURNS = [
     (1, 0, "system", "s"),
     (1, 1, "user", "</turn> ### x \\ \\o \\\\c"),
