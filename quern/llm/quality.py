@@ -1,14 +1,16 @@
 """Quality classifier by compression (operator 7).
 
 Two zstandard dictionaries are built, one from texts labelled good, one from texts labelled bad. A text is compressed with
-each; the difference of the two compressed sizes, divided by the text's own size, says which it resembles. A logistic curve over
+each, in consecutive pieces of ``PIECE_BYTES``, so that every part of a text of any length is held against the dictionary
+rather than against the text's own beginning; the difference of the two sums of compressed sizes, divided by the text's
+own size, says which it resembles. A logistic curve over
 that difference, fitted on training texts that are in neither dictionary, makes it a probability.
 
 Training reads at most ``MOST_TRAIN`` labelled texts of each class, those with the smallest hash of doc_id, and at most
 ``MOST_CHARS`` code points of each; this bounds what comes to the driver. Everything else (scores) reads whole texts in
 Spark tasks, and the two dictionaries (at most ``DICT_BYTES`` each) go along with the task.
 
-Defined results: a null text is an empty one and gets the share of good texts in training; so do all texts if either
+Defined results: a null text is an empty one and gets the share of good labels in training; so do all texts if either
 class is missing in training (0.5 without any label). A document with labels of both kinds trains as neither. Null
 labels and null ids don't train; a null doc_id isn't held out. Extra columns are ignored; repeated rows score alike; an
 empty table gives an empty result.
@@ -31,6 +33,7 @@ MOST_TRAIN = 1500
 MOST_CHARS = 20_000
 DICT_BYTES = 2 << 20
 LEVEL = 6
+PIECE_BYTES = 16 << 10
 
 
 def held_out() -> Column:
@@ -57,8 +60,8 @@ class CompressionModel:
         good, bad = self._tools
         out = []
         for text in texts:
-            a, b = len(good.compress(text)), len(bad.compress(text))
-            out.append((b - a) / (len(text) + 1))
+            pieces = [text[i : i + PIECE_BYTES] for i in range(0, len(text), PIECE_BYTES)]
+            out.append(sum(len(bad.compress(x)) - len(good.compress(x)) for x in pieces) / (len(text) + 1))
         return out
 
     def scores(self, texts: list[bytes]) -> list[float]:
@@ -102,8 +105,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAIN) -> Compres
     rows = docs_of(docs, "doc_id", "text").where("text is not null and text <> ''").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", F.substring("text", 1, MOST_CHARS).alias("text"))
     rows = rows.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * most).collect()
     by = {v: [r["text"].encode("utf-8", "surrogatepass") for r in rows if r["quality"] == v] for v in (0, 1)}
-    n = len(by[0]) + len(by[1])
-    prior = len(by[1]) / n if n else 0.5
+    labelled = {r["low"]: r["count"] for r in marks.groupBy("low").count().collect()}
+    prior = labelled.get(1, 0) / sum(labelled.values()) if labelled else 0.5
     if min(len(by[0]), len(by[1])) < 2:
         return CompressionModel(b"", b"", 0.0, 0.0, prior)
     cut = {v: max(1, len(by[v]) * 2 // 3) for v in (0, 1)}

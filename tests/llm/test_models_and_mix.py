@@ -33,6 +33,25 @@ def test_quality_edges(spark):
     assert quality.quality_scores(docs.limit(0), labels).count() == 0
 
 
+def test_quality_of_long_texts():
+    import random
+
+    r = random.Random(5)
+    phrases = {k: [" ".join("".join(r.choice(letters) for _ in range(6)) for _ in range(5)) for _ in range(20000)] for k, letters in (("good", "abcdefghij"), ("bad", "klmnopqrst"))}
+    said = lambda k, n: " ".join(r.choice(phrases[k]) for _ in range(n // 35 + 1)).encode()[:n]
+    model = quality.CompressionModel(" ".join(phrases["good"]).encode(), " ".join(phrases["bad"]).encode(), 1.0, 0.0, 0.5)
+    short, long, turned = model.difference([said("good", 16 << 10), said("good", 6 << 20), said("good", 1 << 20) + said("bad", 5 << 20)])
+    assert long == pytest.approx(short, rel=0.1) and turned == pytest.approx(-4 / 6 * short, rel=0.1)
+
+
+def test_quality_prior_counts_all_labels(spark):
+    docs = spark.createDataFrame([(i, "good words flow here " * 20 if i % 4 else "%%% $$$ !! " * 20) for i in range(200)] + [(900, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(200)], "doc_id long, quality int")
+    trained = [i for i in range(200) if not held_out(i)]
+    rows = {x["doc_id"]: x["score"] for x in quality.quality_scores(docs, labels, 10).collect()}
+    assert rows[900] == pytest.approx(sum(i % 4 > 0 for i in trained) / len(trained))
+
+
 def test_language_accuracy(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = language_id.language_scores(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
