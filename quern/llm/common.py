@@ -7,7 +7,7 @@ memory in a Python worker is bounded by that and by the longest single text.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -93,6 +93,21 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(gone, docs["doc_id"] == gone["_gone_id"], "left_anti")
 
 
+def one_of_each(docs: DataFrame, grouped: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """docs with one row of each group: the smallest doc_id, null ones last, and one of the rows that share it.
+
+    grouped() gets the rows' texts with a key of each row as doc_id, and returns (doc_id, group_id) of all of them. The key
+    is written along with the rows, so it stays the same for all who read it.
+    """
+    key = "_row_key"
+    rows = written(docs.withColumn(key, F.monotonically_increasing_id()))
+    groups = grouped(rows.select(F.col(key).alias("doc_id"), "text")).select(F.col("doc_id").alias(key), "group_id")
+    groups = written(rows.select(key, F.col("doc_id").alias("_id")).join(groups, key))
+    first = groups.groupBy("group_id").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", key)).alias("first"))
+    gone = written(groups.select(key).join(first.select(F.col(f"first.{key}").alias(key)), key, "left_anti"))
+    return rows.join(gone, key, "left_anti").drop(key)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir, or a folder under the warehouse where it is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

@@ -91,50 +91,61 @@ def overlap(doc: np.ndarray, item: np.ndarray, shift: int) -> bool:
     return bool((wrong[size:] - wrong[:-size] <= most).any())
 
 
+def _hits(column: pa.Array, items: Items) -> list[tuple[int, int]]:
+    """(row, item) of each text in the column and each item that it holds, by row."""
+    present = np.unpackbits(items.present).view(bool)
+    low = np.uint64((1 << _BITS) - 1)
+    data, at = buffers(column)
+    rows: list[tuple[int, int]] = []
+    for a, b in slices(at):
+        h, off = words(data[at[a] : at[b]], at[a : b + 1] - at[a], NOT_ALNUM)
+        tried: set[tuple[int, int, int]] = set()
+        hits = set()
+        for mask in MASKS:
+            s = seeds(h, mask)
+            where = np.flatnonzero(present[(s & low).astype(np.int64)])
+            if not len(where):
+                continue
+            left = np.searchsorted(items.hashes, s[where], "left")
+            right = np.searchsorted(items.hashes, s[where], "right")
+            for p, x, y in zip(where[right > left].tolist(), left[right > left].tolist(), right[right > left].tolist(), strict=True):
+                d = int(np.searchsorted(off, p, "right")) - 1
+                for k in range(x, y):
+                    i, shift = int(items.item[k]), p - int(off[d]) - int(items.pos[k])
+                    if (d, i) in hits or (d, i, shift) in tried:
+                        continue
+                    tried.add((d, i, shift))
+                    if overlap(h[off[d] : off[d + 1]], items.words[i], shift):
+                        hits.add((d, i))
+        rows += sorted((a + d, i) for d, i in hits)
+    return rows
+
+
 def _find_with(items: Items):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        present = np.unpackbits(items.present).view(bool)
-        low = np.uint64((1 << _BITS) - 1)
         for batch in batches:
-            data, at = buffers(batch.column("text"))
-            rows: list[tuple[int, int]] = []
-            for a, b in slices(at):
-                h, off = words(data[at[a] : at[b]], at[a : b + 1] - at[a], NOT_ALNUM)
-                tried: set[tuple[int, int, int]] = set()
-                hits = set()
-                for mask in MASKS:
-                    s = seeds(h, mask)
-                    where = np.flatnonzero(present[(s & low).astype(np.int64)])
-                    if not len(where):
-                        continue
-                    left = np.searchsorted(items.hashes, s[where], "left")
-                    right = np.searchsorted(items.hashes, s[where], "right")
-                    for p, x, y in zip(where[right > left].tolist(), left[right > left].tolist(), right[right > left].tolist(), strict=True):
-                        d = int(np.searchsorted(off, p, "right")) - 1
-                        for k in range(x, y):
-                            i, shift = int(items.item[k]), p - int(off[d]) - int(items.pos[k])
-                            if (d, i) in hits or (d, i, shift) in tried:
-                                continue
-                            tried.add((d, i, shift))
-                            if overlap(h[off[d] : off[d + 1]], items.words[i], shift):
-                                hits.add((d, i))
-                rows += sorted((a + d, i) for d, i in hits)
+            rows = _hits(batch.column("text"), items)
             ids = batch.column("doc_id")
             yield pa.RecordBatch.from_arrays([ids.take(pa.array([r for r, _ in rows], pa.int64())), pa.array([items.ids[i] for _, i in rows], pa.int64())], ["doc_id", "item_id"])
 
     return find
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_ITEMS_WORDS) -> DataFrame:
-    """(doc_id, item_id) of every contaminated document and the items it contains."""
-    bounded_batches(docs.sparkSession)
+def _item_blocks(benchmark: DataFrame, block_words: int) -> Iterator[Items]:
+    """The benchmark in blocks; each is bounded, and there are as many as its size takes."""
     items = docs_of(benchmark, "item_id", "text").where("item_id is not null and text is not null")
     total = items.agg(F.sum(F.size(F.split("text", r"[^\p{L}\p{N}]+")))).first()[0] or 0
     blocks = total // block_words + 1
-    found = None
-    for k in range(blocks):  # a block is bounded; a benchmark of any size is scanned in as many blocks as it takes
+    for k in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
-        some = items_of([(r["item_id"], r["text"]) for r in part.collect()])
+        yield items_of([(r["item_id"], r["text"]) for r in part.collect()])
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_ITEMS_WORDS) -> DataFrame:
+    """(doc_id, item_id) of every contaminated document and the items it contains."""
+    bounded_batches(docs.sparkSession)
+    found = None
+    for some in _item_blocks(benchmark, block_words):
         hits = docs_of(docs, "doc_id", "text").mapInArrow(_find_with(some), "doc_id long, item_id long")
         found = hits if found is None else found.unionByName(hits)
     return found
@@ -151,3 +162,21 @@ def decontamination(docs: DataFrame, benchmark: DataFrame, block_words: int = BL
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the contaminated rows; all columns stay, and so do rows with a null doc_id."""
     return without(docs, overlaps(docs, benchmark))
+
+
+def clean_rows(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_ITEMS_WORDS) -> DataFrame:
+    """docs without the rows whose own text is contaminated, whatever their ids; all columns stay, and there is no shuffle."""
+    bounded_batches(docs.sparkSession)
+
+    def clean_of(items: Items):
+        @F.arrow_udf("boolean")
+        def clean(texts: pa.Array) -> pa.Array:
+            out = np.ones(len(texts), bool)
+            out[[r for r, _ in _hits(texts, items)]] = False
+            return pa.array(out)
+
+        return clean
+
+    for some in _item_blocks(benchmark, block_words):
+        docs = docs.where(clean_of(some)(F.col("text")))
+    return docs

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import bounded_batches, cut_lineage, docs_of, text_or_empty, without, written
+from quern.llm.common import bounded_batches, cut_lineage, docs_of, one_of_each, text_or_empty, without, written
 
 CHUNK = 8192
 #: Two primes under 2^31 with a base for each: byte * power summed over a chunk stays under 2^53, exact in a double.
@@ -161,3 +161,8 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     Rows are told apart by doc_id, so those with a null doc_id stay, and a doc_id that several rows have stays if one does.
     """
     return without(docs, exact_dedup(docs).groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept"))
+
+
+def one_copy(docs: DataFrame) -> DataFrame:
+    """docs with one row of each group of equal texts, whatever their ids: the smallest doc_id's; all columns stay."""
+    return one_of_each(docs, lambda rows: exact_dedup(rows).select("doc_id", F.col("keep_id").alias("group_id")))

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import bounded_batches, buffers, cut_lineage, docs_of, mixed, opened, shingle_sets, slices, squeezed, without, written
+from quern.llm.common import bounded_batches, buffers, cut_lineage, docs_of, mixed, one_of_each, opened, shingle_sets, slices, squeezed, without, written
 from quern.llm.graph import connected_components
 
 WORDS = 5
@@ -352,3 +352,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     groups = near_dup(docs).groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("kept"))
     return without(docs, groups.where("not kept"))
+
+
+def one_near_copy(docs: DataFrame) -> DataFrame:
+    """docs with one row of each group of near duplicates, whatever their ids: the smallest doc_id's; all columns stay."""
+    return one_of_each(docs, lambda rows: near_dup(rows).select("doc_id", F.col("component_id").alias("group_id")))

@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quern.llm import exact_dedup, graph, near_dup, suffix_dedup
 
@@ -147,6 +148,19 @@ def test_near_dup_edges(spark):
     assert near_dup.near_dup(df.limit(0)).count() == 0
 
 
+def test_one_row_of_each_group(spark):
+    text = "one two three four five six seven"
+    rows = [(None, text), (4, text), (2, text), (2, text), (None, "x y"), (None, "x  y"), (7, None), (2, text + " eight nine"), (8, "z"), (8, "z")]
+    df = spark.createDataFrame([(*x, "k", "f", "c", "m", "s", "x", 1) for x in rows], AWKWARD)
+    said = lambda out: sorted((str(r["doc_id"]), " ".join((r["text"] or "").split())) for r in out.collect())
+    kept = exact_dedup.one_copy(df)
+    assert kept.columns == df.columns and said(kept) == [("2", text), ("2", text + " eight nine"), ("7", ""), ("8", "z"), ("None", "x y")]
+    near = df.where("text not like '%nine'").unionByName(df.limit(1).withColumns({"text": F.lit(" " + text.upper()), "doc_id": F.lit(None).cast("long")}))
+    kept = near_dup.one_near_copy(near)
+    assert kept.columns == df.columns and said(kept) == [("2", text), ("8", "z"), ("None", "x y")]
+    assert exact_dedup.one_copy(df.limit(0)).count() == 0 and near_dup.one_near_copy(df.limit(0)).count() == 0
+
+
 def test_components(spark):
     r = random.Random(7)
     edges = [(r.randrange(60), r.randrange(60)) for _ in range(40)] + [(100 + i, 101 + i) for i in range(20)] + [(5, 5)]

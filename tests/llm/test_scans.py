@@ -195,6 +195,15 @@ def test_decontamination(spark):
     assert decontaminate.decontamination(df, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_clean_rows_go_by_the_row(spark):
+    item = " ".join(f"word{i}" for i in range(20))
+    bench = spark.createDataFrame([(1, item), (2, " ".join(f"other{i}" for i in range(20)))], "item_id long, text string")
+    df = wide(spark, [(None, "x " + item), (None, "clean"), (5, item + " y"), (5, "clean too"), (6, None)])
+    for block in (10**6, 10):
+        kept = decontaminate.clean_rows(df, bench, block)
+        assert kept.columns == df.columns and sorted((str(r["doc_id"]), str(r["text"])) for r in kept.collect()) == [("5", "clean too"), ("6", "None"), ("None", "clean")]
+
+
 def test_masks_hit_every_pair_of_substitutions():
     from itertools import combinations
 
