@@ -1,12 +1,13 @@
 """Benchmark decontamination by spaced-seed hashing (operator 8).
 
-Words are runs of letters, digits and bytes over 127, lower-cased (A-Z), so punctuation, case and spacing don't matter.
+Words are runs of letters, marks and digits of Unicode, lower-cased (A-Z), so punctuation, case and spacing don't matter; in
+scripts that set no spaces between words (``UNSPACED``) each character is a word.
 Fixed masks look at some of the words at a position and ignore the others; hashes of benchmark and documents are joined,
 and around each hit the documents' and the item's words are compared on that diagonal. A document is contaminated by an
 item if ``WINDOW`` consecutive words of it (all of it, where an item has fewer) agree with ``MOST_SUBSTITUTIONS``
 exceptions at most, in whole documents and whole items. The masks hit every such pair of windows: each choice of two
 exceptions among twelve words leaves some mask at some place untouched. An item shorter than the window must agree in all
-its words; one of fewer than ``LEAST_WORDS`` words says nothing of where it comes from and is left out.
+its words, and one that is shorter than the masks is looked up as a whole; only items without any word are left out.
 
 The benchmark is read in blocks of at most ``BLOCK_ITEMS_WORDS`` words (so its size may grow); the documents are scanned
 once for each block, without a shuffle.
@@ -18,6 +19,8 @@ table of either kind gives no contamination.
 
 from __future__ import annotations
 
+import functools
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,17 +29,60 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import NOT_ALNUM, bounded_batches, buffers, docs_of, mixed, slices, step, without, words
+from quern.llm.common import NOT_ALNUM, bounded_batches, buffers, docs_of, mixed, powers, prefix_hashes, slices, step, without, words
 
 WINDOW = 12
 MOST_SUBSTITUTIONS = 2
-LEAST_WORDS = 6
+LEAST_WORDS = 1
 #: Positions that count; together they hit any 12 words of which any two differ.
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 2, 3, 6, 7, 8), (0, 1, 2, 3, 4, 5))
+#: For items that are shorter than those, all of their words.
+SHORT_MASKS = tuple(tuple(range(n)) for n in range(LEAST_WORDS, 6))
+#: Code points of scripts without spaces (Thai, Lao, Myanmar, Khmer, New Tai Lue, Tai Tham, kana, Han, Javanese).
+UNSPACED = ((0xE00, 0xEFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19DF), (0x1A20, 0x1AAF), (0x3005, 0x3007), (0x3041, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xA980, 0xA9DF), (0xA9E0, 0xA9FF), (0xAA60, 0xAA7F), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1B000, 0x1B16F), (0x20000, 0x3FFFF))
 BLOCK_ITEMS_WORDS = 1_000_000
 _BITS = 22
 
 
+@functools.cache
+def _classes() -> np.ndarray:
+    """0 between words, 1 part of a word, 2 a word of its own, by code point."""
+    out = np.fromiter((unicodedata.category(chr(c))[0] in "LMN" for c in range(0x110000)), np.uint8, 0x110000)
+    for a, b in UNSPACED:
+        out[a : b + 1] *= 2
+    return out
+
+
+def _code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of UTF-8 texts and the offsets of the texts among them; broken bytes give some code point."""
+    lead = (data & 0xC0) != 0x80
+    at = np.flatnonzero(lead)
+    padded = np.concatenate([data, np.zeros(3, np.uint8)]).astype(np.int64)
+    c = padded[at]
+    x, y, z = (padded[at + k] & 0x3F for k in (1, 2, 3))
+    points = np.select([c < 0x80, c < 0xE0, c < 0xF0], [c, (c & 0x1F) << 6 | x, (c & 0xF) << 12 | x << 6 | y], (c & 7) << 18 | x << 12 | y << 6 | z)
+    return np.minimum(points, 0x10FFFF), np.r_[0, np.cumsum(lead)][offsets]
+
+
+def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of some texts in order, and the n + 1 offsets of the texts among them."""
+    if not len(data) or data.max() < 128:
+        return words(data, offsets, NOT_ALNUM)
+    points, offsets = _code_points(data, offsets)
+    kind = _classes()[points]
+    first = kind > 0
+    last = first.copy()
+    joined = (kind[1:] == 1) & (kind[:-1] == 1)
+    edges = offsets[1:-1]
+    joined[edges[(edges > 0) & (edges < len(points))] - 1] = False
+    first[1:] &= ~joined
+    last[:-1] &= ~joined
+    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    sums = prefix_hashes(np.where((points >= 65) & (points <= 90), points + 32, points).astype(np.uint64))
+    h = mixed((sums[end] - sums[start]) * powers(len(points), inverse=True)[start])
+    return h, np.searchsorted(start, offsets).astype(np.int64)
+
+
 def seeds(h: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
     """The hash at each position at which the mask fits; masks differ in their hashes."""
     m = len(h) - mask[-1]
@@ -58,18 +104,20 @@ class Items:
     item: np.ndarray
     pos: np.ndarray
     present: np.ndarray
+    masks: list[tuple[int, ...]]
 
 
 def items_of(rows: list[tuple[int, str]]) -> Items:
     rows = sorted(set(rows))
-    ids, kept, found = [], [], []
+    ids, kept, found, masks = [], [], [], set()
     for key, text in rows:
         raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-        h, _ = words(raw, np.array([0, len(raw)]), NOT_ALNUM)
+        h, _ = tokens(raw, np.array([0, len(raw)]))
         if len(h) < LEAST_WORDS:
             continue
-        for mask in MASKS:
+        for mask in MASKS if len(h) >= 6 else SHORT_MASKS[len(h) - LEAST_WORDS : len(h) - LEAST_WORDS + 1]:
             s = seeds(h, mask)
+            masks.add(mask)
             found.append((s, np.full(len(s), len(ids)), np.arange(len(s))))
         ids.append(key)
         kept.append(h)
@@ -77,7 +125,7 @@ def items_of(rows: list[tuple[int, str]]) -> Items:
     order = np.argsort(hashes, kind="stable")
     present = np.zeros(1 << _BITS, bool)
     present[(hashes & np.uint64((1 << _BITS) - 1)).astype(np.int64)] = True
-    return Items(ids, kept, hashes[order], item[order], pos[order], np.packbits(present))
+    return Items(ids, kept, hashes[order], item[order], pos[order], np.packbits(present), sorted(masks))
 
 
 def overlap(doc: np.ndarray, item: np.ndarray, shift: int) -> bool:
@@ -98,10 +146,10 @@ def _hits(column: pa.Array, items: Items) -> list[tuple[int, int]]:
     data, at = buffers(column)
     rows: list[tuple[int, int]] = []
     for a, b in slices(at):
-        h, off = words(data[at[a] : at[b]], at[a : b + 1] - at[a], NOT_ALNUM)
+        h, off = tokens(data[at[a] : at[b]], at[a : b + 1] - at[a])
         tried: set[tuple[int, int, int]] = set()
         hits = set()
-        for mask in MASKS:
+        for mask in items.masks:
             s = seeds(h, mask)
             where = np.flatnonzero(present[(s & low).astype(np.int64)])
             if not len(where):
@@ -131,10 +179,13 @@ def _find_with(items: Items):
     return find
 
 
+_UNSPACED_SQL = "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in UNSPACED) + "]"
+
+
 def _item_blocks(benchmark: DataFrame, block_words: int) -> Iterator[Items]:
     """The benchmark in blocks; each is bounded, and there are as many as its size takes."""
     items = docs_of(benchmark, "item_id", "text").where("item_id is not null and text is not null")
-    total = items.agg(F.sum(F.size(F.split("text", r"[^\p{L}\p{N}]+")))).first()[0] or 0
+    total = items.agg(F.sum(F.size(F.split("text", r"[^\p{L}\p{M}\p{N}]+")) + F.regexp_count("text", F.lit(_UNSPACED_SQL)))).first()[0] or 0
     blocks = total // block_words + 1
     for k in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)

@@ -204,6 +204,16 @@ def test_clean_rows_go_by_the_row(spark):
         assert kept.columns == df.columns and sorted((str(r["doc_id"]), str(r["text"])) for r in kept.collect()) == [("5", "clean too"), ("6", "None"), ("None", "clean")]
 
 
+def test_words_of_any_script(spark):
+    chinese, thai = "机器学习模型的训练数据不应包含测试题目", "ข้อมูลฝึกต้องไม่มีข้อสอบ"
+    curly = "it is the first of ten and then come two or more"
+    items = [(1, chinese), (2, thai), (3, "Who wrote Emma?"), (4, curly), (5, "答案是什么"), (6, "...")]
+    docs = ["前文，" + chinese[:5] + "甲" + chinese[6:] + "。后文", "x" + thai + "y", "so: who WROTE, “emma”", "it—is “the” first\u00a0of ten and—then come five or six", "请问答案是什么？", "who wrote it? Emma", "机器 学习", "답 é naïve", "..."]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = {r["doc_id"]: r["items"] for r in decontaminate.decontamination(wide(spark, list(enumerate(docs))), bench).collect()}
+    assert [rows[i] for i in range(len(docs))] == ["1", "2", "3", "4", "5", "", "", "", ""]
+
+
 def test_masks_hit_every_pair_of_substitutions():
     from itertools import combinations
 
