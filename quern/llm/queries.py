@@ -104,25 +104,28 @@ ORACLE_SQL: dict[str, str] = {
             regexp_full_match(seen, 's?(ua)+') AS valid,
             CASE WHEN length(ok) < n_turns THEN length(ok)::BIGINT ELSE -1 END AS bad_turn
         FROM walked""",
-    # The multinomial draws decide in which shard a slot lies, not which blocks are read, so they don't occur here.
     "op6_source_mix": r"""
         WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
         s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
-        w AS (SELECT *, CASE (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 2.0 ELSE 3.0 END AS weight, 3.0::DOUBLE * source_size AS most FROM s),
+        w AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS rank, 3.0::DOUBLE * source_size AS most FROM s),
+        v AS (SELECT *, (rank % 3 + 1)::DOUBLE AS weight FROM w),
         l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(most) OVER (ORDER BY most / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
-            / sum(weight) OVER (ORDER BY most / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
-        t AS (SELECT source, source_size, least(most, coalesce(max(level) FILTER (level <= most / weight) OVER () * weight, most)) AS target FROM l),
-        q AS (SELECT *, least(round(target)::BIGINT, 3 * source_size) AS words, source_size // 256 AS whole FROM t),
-        e AS (SELECT *, CASE WHEN source_size > 0 THEN words // source_size ELSE 0 END AS epochs, CASE WHEN source_size > 0 THEN words % source_size ELSE 0 END AS rest FROM q),
-        -- Blocks that the last, partial epoch reads, and how far.
-        i AS (SELECT *, unnest(range((rest + 255) // 256)) AS i, 'x:42:' || coalesce(source, chr(0) || 'null') || ':' || epochs AS seed FROM e),
-        p AS (SELECT *, list_filter([1000003, 1000033, 1000037, 1000039, 1000081, 1000099, 1000117, 1000121]::BIGINT[], lambda x: greatest(whole, 1) % x <> 0) AS able FROM i),
-        b AS (SELECT source, least(256, source_size - i * 256, rest - i * 256) AS n_words,
-            CASE WHEN i < whole THEN ((i % whole) * able[(('0x' || left(md5('a' || seed[2:]), 12))::BIGINT % len(able)) + 1] + ('0x' || left(md5('b' || seed[2:]), 12))::BIGINT % whole) % whole ELSE i END AS block FROM p),
-        o AS (SELECT d.*, e.source_size, e.target, e.epochs, sum(size) OVER (PARTITION BY d.source ORDER BY ('0x' || left(md5(doc_id::VARCHAR), 4))::BIGINT % 256, doc_id, size ROWS UNBOUNDED PRECEDING)::BIGINT - size AS place FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source),
-        k AS (SELECT doc_id, source, size, place, unnest(range(place // 256, (place + size - 1) // 256 + 1)) AS block FROM o WHERE size > 0),
-        g AS (SELECT k.doc_id, sum(greatest(0, least(place + size, k.block * 256 + n_words) - greatest(place, k.block * 256)))::BIGINT AS more FROM k JOIN b ON b.source IS NOT DISTINCT FROM k.source AND b.block = k.block GROUP BY k.doc_id)
-        SELECT o.doc_id, size, source_size, target, (epochs * size + coalesce(more, 0))::BIGINT AS taken FROM o LEFT JOIN g USING (doc_id)""",
+            / sum(weight) OVER (ORDER BY most / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM v),
+        t AS (SELECT source, rank, source_size, least(most, coalesce(max(level) FILTER (level <= most / weight) OVER () * weight, most)) AS target, ceil(source_size / 64.0)::BIGINT AS blocks FROM l),
+        q AS (SELECT *, CASE WHEN source_size > 0 THEN target * blocks / source_size ELSE 0.0 END AS share FROM t),
+        -- Every slot of a shard of 2048 draws a number from its own stratum, and so a source.
+        c AS (SELECT *, sum(share) OVER (ORDER BY rank ROWS UNBOUNDED PRECEDING) / sum(share) OVER () AS upto, ceil(sum(share) OVER ())::BIGINT AS slots FROM q),
+        r AS (SELECT *, coalesce(lag(upto) OVER (ORDER BY rank), 0) AS lo, CASE WHEN rank = max(rank) FILTER (share > 0) OVER () THEN 1.0 ELSE upto END AS hi FROM c),
+        n AS (SELECT unnest(range((SELECT max(slots) FROM r))) AS slot),
+        u AS (SELECT slot, (slot % 2048 + ('0x' || left(md5('slot:42:' || slot), 12))::BIGINT / 281474976710656.0::DOUBLE) / least(2048, (SELECT max(slots) FROM r) - slot // 2048 * 2048) AS u FROM n),
+        k AS (SELECT source, rank, blocks, row_number() OVER (PARTITION BY rank ORDER BY slot) - 1 AS k FROM u JOIN r ON u >= lo AND u < hi),
+        -- Its source's block by a permutation of each epoch.
+        p AS (SELECT *, k % blocks AS i, list_filter([1000003, 1000033, 1000037, 1000039, 1000081, 1000099, 1000117, 1000121]::BIGINT[], lambda x: blocks % x <> 0) AS able, ':42:' || coalesce(source, chr(0) || 'null') || ':' || k // blocks AS seed FROM k WHERE k < 3 * blocks),
+        b AS (SELECT rank, (i * able[(('0x' || left(md5('a' || seed), 12))::BIGINT % len(able)) + 1] + ('0x' || left(md5('b' || seed), 12))::BIGINT % blocks) % blocks AS block, count(*) AS times FROM p GROUP BY ALL),
+        o AS (SELECT d.*, q.rank, q.source_size, q.target, sum(size) OVER (PARTITION BY q.rank ORDER BY ('0x' || left(md5(doc_id::VARCHAR), 8))::BIGINT % 256, doc_id, size ROWS UNBOUNDED PRECEDING)::BIGINT - size AS place FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
+        x AS (SELECT doc_id, rank, size, place, unnest(range(place // 64, (place + size - 1) // 64 + 1)) AS block FROM o WHERE size > 0),
+        g AS (SELECT doc_id, place, rank, sum((least(place + size, (block + 1) * 64) - greatest(place, block * 64)) * times)::BIGINT AS taken FROM x JOIN b USING (rank, block) GROUP BY ALL)
+        SELECT o.doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM o LEFT JOIN g USING (doc_id, place, rank)""",
     "op5_exact_dedup": r"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,

@@ -5,12 +5,15 @@
 2. Each source's documents, in an order by hash of doc_id, are packed end to end and cut into blocks of ``block_words``; only the last
    block of a source is shorter. The running word count is taken in two levels (hash buckets, then documents inside a
    bucket), so a source with a third of all rows is spread over many tasks.
-3. Every output slot draws its source with the targets as probabilities; counted by shard of ``shard_slots`` slots these
-   are multinomial counts. Running counts over shards number the slots of a source; the few slots past a source's quota
-   go to the sources that drew too few, so totals meet the targets exactly.
-4. Slot k of a source reads epoch k div n and block perm(k mod n), where perm is an affine map of the indexes of the
-   whole blocks, with a multiplier and an offset drawn from seed, source and epoch. The short block comes last in each
-   epoch, and the last slot of a source is cut so that its words meet the target. Blocks are joined by index.
+3. The output has as many slots as the targets take blocks, in shards of ``shard_slots``. Every slot draws its source from
+   the targets' distribution with its own random number, and the draws of a shard are its counts of each source. The
+   numbers of a shard are stratified (slot t of m draws from [t/m, (t+1)/m)), so a source's count in a shard misses its
+   share by two at most, where plain multinomial draws would miss by the square root of the count. Nothing corrects the
+   counts afterwards: what a source gives is what was drawn.
+4. Running counts over shards number the slots of a source. Slot k reads epoch k div n and block perm(k mod n) of its
+   source's n blocks, where perm is an affine map of the indexes with a multiplier and an offset drawn from seed, source
+   and epoch. Blocks are joined by index. A slot past ``most_epochs`` epochs has no block left and stays empty, so no
+   document is read more often.
 
 Defined results: a null text has no words and is never taken; a null source is a source of its own, after all others. A
 null doc_id sorts first in its bucket; rows that repeat a doc_id are ordered by size and are as many documents. Extra columns are
@@ -23,11 +26,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quern.functions.running import running_total
 from quern.llm.common import cut_lineage
 
-BLOCK_WORDS = 256
-SHARD_SLOTS = 4096
+BLOCK_WORDS = 64
+SHARD_SLOTS = 2048
+#: Least number of buckets of a source; there are more where the table has over BUCKET_ROWS rows for each.
 BUCKETS = 256
+BUCKET_ROWS = 1 << 20
+#: Shards that one bucket of the running counts holds.
+SHARD_BUCKET = 1 << 12
+#: Cells of [0, 1) by which draws meet the sources' ranges.
+CELLS = 1 << 12
 MOST_EPOCHS = 3
 WEIGHTS = (1, 2, 3)
 SEED = 42
@@ -67,14 +77,17 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, most_epochs: int = MOST_
     return rows.select("source", "source_size", "weight", F.least("most", F.coalesce(F.col("level") * F.col("weight"), F.col("most"))).alias("target"), "rank")
 
 
-def quotas(target: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Adds words (the target, rounded), blocks, whole (blocks of full length), epochs, rest and slots."""
-    length = F.lit(block_words).cast("long")
-    rows = target.withColumn("words", F.least(F.round("target").cast("long"), F.col("source_size") * MOST_EPOCHS))
-    rows = rows.withColumn("whole", F.expr(f"source_size div {block_words}")).withColumn("blocks", F.ceil(F.col("source_size") / length).cast("long"))
-    rows = rows.withColumn("epochs", F.when(F.col("source_size") > 0, F.expr("words div source_size")).otherwise(F.lit(0)).cast("long"))
-    rows = rows.withColumn("rest", F.col("words") - F.col("epochs") * F.col("source_size"))
-    return rows.withColumn("slots", F.col("epochs") * F.col("blocks") + F.ceil(F.col("rest") / length).cast("long"))
+def quotas(target: DataFrame, block_words: int = BLOCK_WORDS, most_epochs: int = MOST_EPOCHS) -> DataFrame:
+    """Adds blocks, share (the blocks that the target takes), most (the slots that can be filled), and the range [lo, hi) of [0, 1)."""
+    rows = target.withColumn("blocks", F.ceil(F.col("source_size") / F.lit(block_words)).cast("long")).withColumn("most", F.col("blocks") * most_epochs)
+    rows = rows.withColumn("share", F.when(F.col("source_size") > 0, F.col("target") * F.col("blocks") / F.col("source_size")).otherwise(0.0))
+    every, upto = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing), W.orderBy("rank").rowsBetween(W.unboundedPreceding, W.currentRow)
+    before = W.orderBy("rank").rowsBetween(W.unboundedPreceding, -1)
+    some = F.when(F.col("share") > 0, F.col("rank"))
+    rows = rows.withColumn("slots", F.ceil(F.sum("share").over(every)).cast("long"))
+    rows = rows.withColumn("lo", F.coalesce(F.try_divide(F.sum("share").over(before), F.sum("share").over(every)), F.lit(0.0)))
+    # The last source's range ends at 1 whatever the rounding.
+    return rows.withColumn("hi", F.when(F.col("rank") == F.max(some).over(every), 1.0).otherwise(F.coalesce(F.try_divide(F.sum("share").over(upto), F.sum("share").over(every)), F.lit(0.0))))
 
 
 def permuted(index: Column, epoch: Column, n: Column, source: Column, seed: int = SEED) -> Column:
@@ -90,67 +103,70 @@ def sorted_side(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+def uniform(*keys: Column) -> Column:
+    """A number in [0, 1) drawn by MD5 from the keys."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *[k.cast("string") for k in keys])), 1, 12), 16, 10).cast("long") / F.lit(float(1 << 48))
+
+
 def drawn_slots(quota: DataFrame, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
-    """shard, source, k: every output slot with its source and its number among the source's slots."""
+    """shard, slot, rank, k: every output slot with the source that it drew and its number among that source's slots."""
     spark = quota.sparkSession
-    every = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    upto = W.orderBy("rank").rowsBetween(W.unboundedPreceding, W.currentRow)
-    cells = 1 << 12
-    some = quota.where("slots > 0").withColumn("p", F.col("slots") / F.sum("slots").over(every))
-    some = some.withColumn("hi", F.sum("p").over(upto)).withColumn("hi", F.when(F.col("rank") == F.max("rank").over(every), F.lit(1.0)).otherwise(F.col("hi"))).withColumn("lo", F.coalesce(F.lag("hi").over(W.orderBy("rank")), F.lit(0.0)))
-    ranges = some.select("source", "rank", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") * cells).cast("int"), F.least(F.floor(F.col("hi") * cells).cast("int"), F.lit(cells - 1)))).alias("cell"))
-    # One row for each shard, from the sum of slots; each is expanded where it lies.
-    n = some.agg(F.coalesce(F.sum("slots"), F.lit(0)).alias("n")).where("n > 0")
-    shards = n.select("n", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {shard_slots}"))).alias("shard")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard")
-    slots = shards.select("shard", F.explode(F.expr(f"sequence(shard * {shard_slots}, least(n, (shard + 1) * {shard_slots}) - 1)")).alias("slot"))
-    slots = slots.withColumn("u", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "slot"), 11) / F.lit(float(1 << 53))).withColumn("cell", F.floor(F.col("u") * cells).cast("int"))
+    n = quota.agg(F.max("slots")).first()[0] or 0
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    slots = spark.range(0, n, 1, parts).select(F.col("id").alias("slot"), F.expr(f"id div {shard_slots}").alias("shard"))
+    m = F.least(F.lit(shard_slots).cast("long"), F.lit(n) - F.col("shard") * shard_slots)
+    slots = slots.withColumn("u", (F.col("slot") % shard_slots + uniform(F.lit("slot"), F.lit(seed), F.col("slot"))) / m).withColumn("cell", F.floor(F.col("u") * CELLS).cast("int"))
+    # Each source's range as the cells that it touches.
+    last = F.least(F.floor(F.col("hi") * CELLS).cast("int"), F.lit(CELLS - 1))
+    ranges = quota.where("hi > lo").select("rank", "lo", "hi", F.explode(F.sequence(F.least(F.floor(F.col("lo") * CELLS).cast("int"), last), last)).alias("cell"))
     drawn = slots.join(sorted_side(ranges), "cell").where("u >= lo and u < hi").select("shard", "slot", "rank")
     counts = drawn.groupBy("rank", "shard").agg(F.count(F.lit(1)).alias("m"))
-    counts = counts.withColumn("before", F.sum("m").over(W.partitionBy("rank").orderBy("shard").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("m"))
-    # k: slots of the source in earlier shards, then the place inside the shard.
-    placed = drawn.join(sorted_side(counts), ["rank", "shard"]).withColumn("k", F.col("before") + F.row_number().over(W.partitionBy("rank", "shard").orderBy("slot")) - 1).select("rank", "shard", "slot", "k")
-    held = some.join(counts.groupBy("rank").agg(F.sum("m").alias("drawn")), "rank", "left").select("rank", "slots", F.coalesce("drawn", F.lit(0)).alias("drawn"))
-    over, under = F.greatest(F.col("drawn") - F.col("slots"), F.lit(0)), F.greatest(F.col("slots") - F.col("drawn"), F.lit(0))
-    held = held.withColumn("over_before", F.sum(over).over(upto) - over).withColumn("under_before", F.sum(under).over(upto) - under)
-    placed = placed.join(sorted_side(held.select("rank", "slots", "over_before")), "rank")
-    right = placed.where("k < slots").select("rank", "shard", "k")
-    spare = placed.where("k >= slots").select("shard", (F.col("over_before") + F.col("k") - F.col("slots")).alias("j"))
-    lacking = held.where("slots > drawn").select("rank", F.posexplode(F.expr("sequence(drawn, slots - 1)")).alias("i", "k"), "under_before").select("rank", "k", (F.col("under_before") + F.col("i")).alias("j"))
-    moved = spare.join(sorted_side(lacking), "j").select("rank", "shard", "k")
-    return right.unionByName(moved).join(sorted_side(some.select("rank", "source")), "rank").select("shard", "source", "rank", "k")
-
-
-def slot_blocks(slots: DataFrame, quota: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
-    """shard, rank, k, block, n_words: which block each slot reads, and how many of its first words."""
-    rows = slots.select("shard", "rank", "k").join(sorted_side(quota.select("source", "rank", "source_size", "whole", "blocks", "epochs", "rest", "slots")), "rank")
-    rows = rows.withColumn("epoch", F.expr("k div blocks")).withColumn("i", F.expr("k % blocks"))
-    block = F.when(F.col("i") < F.col("whole"), permuted(F.col("i"), F.col("epoch"), F.greatest("whole", F.lit(1)), F.col("source"), seed)).otherwise(F.col("i"))
-    length = F.least(F.lit(block_words).cast("long"), F.col("source_size") - F.col("i") * block_words)
-    cut = F.when(F.col("epoch") < F.col("epochs"), length).otherwise(F.least(length, F.col("rest") - F.col("i") * block_words))
-    return rows.select("shard", "rank", "k", block.alias("block"), cut.alias("n_words"))
+    counts = running_total(counts, "m", ["shard"], F.expr(f"shard div {SHARD_BUCKET}"), "upto", ["rank"]).select("rank", "shard", (F.col("upto") - F.col("m")).alias("before"))
+    inside = W.partitionBy("rank", "shard").orderBy("slot")
+    return drawn.join(sorted_side(counts), ["rank", "shard"]).select("shard", "slot", "rank", (F.col("before") + F.row_number().over(inside) - 1).alias("k"))
+
+
+def slot_blocks(slots: DataFrame, quota: DataFrame, seed: int = SEED) -> DataFrame:
+    """shard, slot, rank, k, block: which block of its source each slot reads; null where all readings are used up."""
+    rows = slots.join(sorted_side(quota.where("blocks > 0").select("source", "rank", "blocks", "most")), "rank")
+    block = permuted(F.col("k") % F.col("blocks"), F.expr("k div blocks"), F.col("blocks"), F.col("source"), seed)
+    return rows.select("shard", "slot", "rank", "k", F.when(F.col("k") < F.col("most"), block).alias("block"))
 
 
 def packed(sizes: DataFrame, quota: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """doc_id, source, size, source_size, target, rank, at: where each document starts among its source's words."""
     rows = sizes.join(quota.select(F.col("source").alias("_source"), "rank", "source_size", "target"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    rows = rows.withColumn("bucket", F.coalesce(F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 4), 16, 10).cast("int") % buckets, F.lit(0)))
-    totals = rows.groupBy("rank", "bucket").agg(F.sum("size").alias("n"))
-    totals = totals.withColumn("before", F.sum("n").over(W.partitionBy("rank").orderBy("bucket").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("n")).drop("n")
-    inside = W.partitionBy("rank", "bucket").orderBy("doc_id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
-    rows = rows.withColumn("upto", F.sum("size").over(inside))
-    return rows.join(totals, ["rank", "bucket"]).select("doc_id", "source", "size", "source_size", "target", "rank", (F.col("before") + F.col("upto") - F.col("size")).alias("at"))
+    bucket = F.coalesce(F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 8), 16, 10).cast("long") % buckets, F.lit(0))
+    rows = running_total(rows, "size", ["doc_id", "size"], bucket, "upto", ["rank"])
+    return rows.select("doc_id", "source", "size", "source_size", "target", "rank", (F.col("upto") - F.col("size")).alias("at"))
 
 
-def source_mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, buckets: int = BUCKETS, seed: int = SEED) -> DataFrame:
-    """doc_id, size, source_size, target, taken: the words the mix takes of each document."""
+def pieces(rows: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """doc_id, rank, size, at, block, inside: the blocks over which each packed document lies, and its words in each."""
+    spans = rows.where("size > 0").select("doc_id", "rank", "size", "at", F.explode(F.expr(f"sequence(at div {block_words}, (at + size - 1) div {block_words})")).alias("block"))
+    return spans.withColumn("inside", F.expr(f"least(at + size, (block + 1) * {block_words}) - greatest(at, block * {block_words})"))
+
+
+def prepared(docs: DataFrame, block_words: int = BLOCK_WORDS, buckets: int = BUCKETS) -> tuple[DataFrame, DataFrame]:
+    """The packed documents and the sources' quotas."""
     sizes = cut_lineage(measured(docs))
     quota = cut_lineage(quotas(targets(sizes), block_words))
-    reads = slot_blocks(drawn_slots(quota, shard_slots, seed), quota, block_words, seed)
-    # A block is read whole by most of its slots; short readings keep a row of their own.
-    reads = reads.groupBy("rank", "block", "n_words").agg(F.count(F.lit(1)).alias("times"))
-    rows = packed(sizes, quota, buckets)
-    spans = rows.where("size > 0").select("doc_id", "rank", "size", "at", F.explode(F.expr(f"sequence(at div {block_words}, (at + size - 1) div {block_words})")).alias("block"))
-    inside = F.expr(f"greatest(0, least(at + size, block * {block_words} + n_words) - greatest(at, block * {block_words}))")
-    took = spans.join(sorted_side(reads), ["rank", "block"]).groupBy("doc_id", "rank", "size", "at").agg(F.sum(inside * F.col("times")).alias("taken"))
+    return packed(sizes, quota, max(buckets, sizes.count() // BUCKET_ROWS)), quota
+
+
+def shard_pieces(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, buckets: int = BUCKETS, seed: int = SEED) -> DataFrame:
+    """shard, slot, doc_id, first, n_words: the words of each document that each slot of the output holds."""
+    rows, quota = prepared(docs, block_words, buckets)
+    reads = slot_blocks(drawn_slots(quota, shard_slots, seed), quota, seed).where("block is not null")
+    held = pieces(rows, block_words).join(sorted_side(reads), ["rank", "block"])
+    return held.select("shard", "slot", "doc_id", F.expr(f"greatest(0, block * {block_words} - at)").alias("first"), F.col("inside").alias("n_words"))
+
+
+def source_mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, buckets: int = BUCKETS, seed: int = SEED) -> DataFrame:
+    """doc_id, size, source_size, target, taken: the words the mix takes of each document."""
+    rows, quota = prepared(docs, block_words, buckets)
+    reads = slot_blocks(drawn_slots(quota, shard_slots, seed), quota, seed).where("block is not null")
+    reads = reads.groupBy("rank", "block").agg(F.count(F.lit(1)).alias("times"))
+    took = pieces(rows, block_words).join(sorted_side(reads), ["rank", "block"]).groupBy("doc_id", "rank", "size", "at").agg(F.sum(F.col("inside") * F.col("times")).alias("taken"))
     out = rows.alias("d").join(sorted_side(took).alias("t"), F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("d.rank") == F.col("t.rank")) & (F.col("d.at") == F.col("t.at")) & (F.col("d.size") == F.col("t.size")), "left")
     return out.select("d.doc_id", "d.size", "d.source_size", "d.target", F.coalesce("t.taken", F.lit(0)).cast("long").alias("taken"))

@@ -102,27 +102,49 @@ def test_source_mix(spark, block):
     assert sorted((str(r["doc_id"]), r["size"]) for r in out) == sorted((str(i), count(t)) for i, t, _ in rows)
     assert sorted(round(r["target"], 6) for r in out) == sorted(round(expected[s], 6) for _, _, s in rows)
     assert all(0 <= r["taken"] <= 3 * r["size"] for r in out)
-    by_target = {}
-    for r in out:
-        by_target[round(r["target"], 6)] = by_target.get(round(r["target"], 6), 0) + r["taken"]
-    assert sum(by_target.values()) == pytest.approx(sum(sizes.values()), abs=len(sizes))
+    # A source gets its share of each shard's slots, but for two, and the blocks of that many slots.
+    for target in {r["target"] for r in out}:
+        mine = [r for r in out if r["target"] == target]
+        shards = sum(sizes.values()) // block // 16 + 2
+        assert abs(sum(r["taken"] for r in mine) - target * len({r["source_size"] for r in mine})) <= (2 * shards + 2) * block * max(1, len(mine))
     again = source_mix.source_mix(docs.repartition(3), block, 16, 3)
     assert sorted(map(str, again.collect())) == sorted(map(str, out))
     assert source_mix.source_mix(docs.limit(0)).count() == 0
     assert {r["target"] for r in source_mix.source_mix(docs.where("doc_id in (500, 501)")).collect()} == {0.0}
 
 
-def test_slots_are_a_permutation(spark):
-    quota = source_mix.quotas(source_mix.targets(spark.createDataFrame([(1, "a", 1000), (2, "b", 50), (3, "c", 400)], "doc_id long, source string, size long")), 8)
-    slots = source_mix.drawn_slots(quota, 10)
-    for r in slots.groupBy("source").agg(F.count("*").alias("n"), F.countDistinct("k").alias("d"), F.max("k").alias("m")).collect():
-        assert r["n"] == r["d"] == r["m"] + 1
-    blocks = source_mix.slot_blocks(slots, quota, 8).join(quota.select("rank", "words", "blocks"), "rank")
-    for r in blocks.groupBy("rank", "words").agg(F.sum("n_words").alias("n")).collect():
-        assert r["n"] == r["words"]
-    epochs = blocks.withColumn("epoch", F.expr("k div blocks")).groupBy("rank", "epoch").agg(F.count("*").alias("n"), F.countDistinct("block").alias("d")).collect()
-    assert all(r["n"] == r["d"] for r in epochs)
-    assert slots.groupBy("shard").agg(F.countDistinct("source").alias("s")).agg(F.max("s")).first()[0] > 1
+def some_sources(spark):
+    rows = [(i, " ".join(["w"] * (1 + i * 7 % 23)), "abcd"[min(i % 7, 3)]) for i in range(400)]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string")
+
+
+def test_slots_are_drawn_and_permuted(spark):
+    _, quota = source_mix.prepared(some_sources(spark), 8)
+    slots = source_mix.slot_blocks(source_mix.drawn_slots(quota, 32), quota).join(quota.select("rank", "blocks", "share", "lo", "hi"), "rank").collect()
+    assert sorted(r["slot"] for r in slots) == list(range(max(r["slots"] for r in quota.collect())))
+    for rank in {r["rank"] for r in slots}:
+        mine = [r for r in slots if r["rank"] == rank]
+        assert sorted(r["k"] for r in mine) == list(range(len(mine)))
+        n = mine[0]["blocks"]
+        for epoch in range(3):
+            blocks = [r["block"] for r in mine if r["k"] // n == epoch]
+            assert len(set(blocks)) == len(blocks) and set(blocks) <= set(range(n))
+        assert all((r["block"] is None) == (r["k"] >= 3 * n) for r in mine)
+        for shard in {r["shard"] for r in slots}:
+            size = sum(r["shard"] == shard for r in slots)
+            assert abs(sum(r["shard"] == shard for r in mine) - size * (mine[0]["hi"] - mine[0]["lo"])) < 2
+
+
+def test_draws_decide_what_is_taken(spark):
+    docs = some_sources(spark)
+    drawn = [{r["rank"]: r["n"] for r in source_mix.drawn_slots(source_mix.prepared(docs, 8)[1], 32, seed).groupBy("rank").agg(F.count("*").alias("n")).collect()} for seed in (42, 7)]
+    assert len({str(sorted(d.items())) for d in drawn}) > 1
+    taken = [{r["source_size"]: r["n"] for r in source_mix.source_mix(docs, 8, 32, seed=seed).groupBy("source_size").agg(F.sum("taken").alias("n")).collect()} for seed in (42, 7)]
+    assert len({str(sorted(t.items())) for t in taken}) > 1
+    # The slots' own words add up to what is taken of each document.
+    whole = {r["doc_id"]: r["taken"] for r in source_mix.source_mix(docs, 8, 32).collect()}
+    parts = {r["doc_id"]: r["n"] for r in source_mix.shard_pieces(docs, 8, 32).groupBy("doc_id").agg(F.sum("n_words").alias("n")).collect()}
+    assert {i: n for i, n in whole.items() if n} == parts
 
 
 def test_pipeline(spark):
