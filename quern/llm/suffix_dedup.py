@@ -1,28 +1,34 @@
 """Removal of repeated byte strings by a depth-limited radix sort of suffixes (operator 3).
 
-Suffixes are told apart only through their first ``DEPTH`` bytes; those that stay together are exactly the repeated
-windows, and every byte that such a window covers is removed. Digits are taken most significant first, from the part of
-the suffix that splits best, and a suffix that stands alone after a digit takes no part in later passes:
-
-1. First digit: the ``GRAM`` bytes at the window's anchor, its least hashed gram (the leftmost such). Equal windows have
-   equal anchors at equal places. Neighbouring windows share anchors, so this pass sorts a row for each anchor, not for
-   each byte.
-2. Second digit: windows with one anchor are cut, by their distance to it, into blocks of ``BLOCK``. The bytes that
-   all windows of a block share (the core) and those that any of them covers (the region) are two digits. A region
-   that occurs twice settles all windows of its block; a core that occurs in one region only settles the rest.
-3. Third digit: the remaining bytes of each window of the unsettled regions, one of each distinct region.
-
-Texts that occur twice go whole before these passes, and one document stands for their copies in them. All passes count rows of a key by partial and final aggregation, so a string that a third of all documents hold sends one
-row a task and pass. Positions come back by a join on the region and are grouped by document.
-
-Defined results: texts are UTF-8 bytes; null is empty. Windows don't cross documents. Rows with a null doc_id are
-returned whole and nothing is compared with them. Each other row is a document, so rows that repeat both doc_id and text
-are copies of each other. Extra columns are ignored; an empty table gives an empty result. Digits that decide stand for their bytes as 128-bit hashes.
+Suffixes are ordered only through their first ``DEPTH`` bytes; those that stay together are exactly the repeated windows,
+and every byte that such a window covers is removed. Passes take digits from the front of a suffix, most significant
+first; a group after a pass is named by the digest of all its bytes so far (its rank), and a suffix that stands alone
+drops out.
+
+One row a byte would shuffle several times the text, so only a content-defined sample of the suffixes is sorted, and each
+sampled suffix stands for up to ``BLOCK`` windows around it:
+
+0. Sample. A window's anchor is its least hashed gram of ``GRAM`` bytes (the leftmost such): equal windows have equal
+   anchors at equal places. Windows of one anchor are cut, by their distance to it, into blocks of ``BLOCK``; the sampled
+   suffix of a block starts where its window nearest the anchor does. Anchors whose gram occurs once can't be repeated and
+   are left out; texts that occur twice go whole, and one of them stands for its copies.
+1. Passes 1 to ``PASSES`` order the sampled suffixes by successive pieces of the bytes that all windows of a block share.
+2. The last pass orders, inside a group, the windows of each sampled suffix by the bytes that remain on either side.
+   Equal neighbourhoods (regions) of a sampled suffix are one row with a count throughout; a region that occurs twice
+   settles all its windows, so only groups with several regions take part.
+
+Rows of a key are counted by partial and final aggregation, so a string that a third of all documents hold sends one row a
+task and pass. Positions come back by a join on the region and are grouped by document.
+
+Defined results: texts are UTF-8 bytes; null is empty. Windows don't cross documents. Each row is a document, whatever its
+doc_id (null ones too), and rows that repeat both doc_id and text are copies of each other. Extra columns are ignored; an
+empty table gives an empty result. Groups are named by 128-bit digests, which are seeded at random for each run.
 """
 
 from __future__ import annotations
 
 import hashlib
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,11 +37,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import SLICE_BYTES, bounded_batches, buffers, docs_of, mixed, opened, powers, prefix_hashes, slices, squeezed, written
+from quern.llm.common import SLICE_BYTES, bounded_batches, buffers, docs_of, mixed, opened, powers, prefix_hashes, slices, squeezed, text_or_empty, written
 
 DEPTH = 400
 GRAM = 64
 BLOCK = 64
+PASSES = 3
 _PLACE = 22  # bits of a position inside a slice; SLICE_BYTES + DEPTH fits
 
 
@@ -91,7 +98,7 @@ def _pieces(batch: pa.RecordBatch, depth: int) -> Iterator[tuple[int, np.ndarray
 
 
 def _anchor_rows(depth: int, gram: int):
-    """doc_id, mark, grams, twice: the anchors of each text, each gram once, and which of them it has more than once."""
+    """row, body, grams, twice: the anchors of each text, each gram once, and which of them it has more than once."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,24 +113,32 @@ def _anchor_rows(depth: int, gram: int):
                 g, n = np.unique(np.concatenate(parts) if parts else np.zeros(0, np.int64), return_counts=True)
                 grams.append(g)
                 twice.append(g[n > 1])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(grams, pa.list_(pa.int64())), pa.array(twice, pa.list_(pa.int64()))], ["doc_id", "mark", "grams", "twice"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("body"), pa.array(grams, pa.list_(pa.int64())), pa.array(twice, pa.list_(pa.int64()))], ["row", "body", "grams", "twice"])
 
     return rows
 
 
-REGIONS = "doc_id long, mark binary, region binary, core long, low int, many int, left binary, right binary, edges array<int>, n long"
+RANKS = [f"rank{i}" for i in range(1, PASSES + 1)]
+REGIONS = "row binary, region binary, " + "".join(f"{r} binary, " for r in RANKS) + "low int, many int, left binary, right binary, edges array<int>, n long"
 
 
-def _region_rows(depth: int, gram: int, block: int):
+def depths(depth: int, block: int) -> list[int]:
+    """How many bytes of a sampled suffix are ordered after each pass; the last is what all windows of a block share."""
+    return [(depth - block + 1) * i // PASSES for i in range(1, PASSES + 1)]
+
+
+def _region_rows(depth: int, gram: int, block: int, seed: int):
     """The blocks of windows whose anchor repeats; equal regions of a text are one row.
 
-    edges: starts of the block's windows nearest the anchor, so window k of the block starts at edge - k; low and many:
-    the first k and the number of windows; left and right: the bytes of the region around the core.
+    edges: starts of the sampled suffixes, window k of a block starts at edge - k; rank1, rank2, ...: digests of the bytes
+    that each pass has seen; low and many: the first k and the number of windows; left and right: the bytes of the region
+    around those that all its windows share.
     """
+    cuts = depths(depth, block)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in map(opened, batches):
-            ids = list(zip(batch.column("doc_id").to_pylist(), batch.column("mark").to_pylist(), strict=True))
+            ids = batch.column("row").to_pylist()
             wanted = batch.column("grams")
             out: dict[tuple[int, bytes], list] = {}
             for a, data, off, shift in _pieces(batch, depth):
@@ -143,11 +158,12 @@ def _region_rows(depth: int, gram: int, block: int):
                         edge = p - b * block
                         wa, wb = max(x, edge - block + 1), min(y, edge)
                         stop = edge - block + 1 + depth
-                        key = xxhash.xxh3_128_digest(raw[wa : wb + depth] + b"%d" % (edge - wb))
+                        key = xxhash.xxh3_128_digest(raw[wa : wb + depth] + b"%d" % (edge - wb), seed)
                         if have := out.get((a + d, key)):
                             have[-1].append(edge - base)
                         else:
-                            out[a + d, key] = [xxhash.xxh3_64_intdigest(raw[edge:stop] + b"%d" % b) - (1 << 63), edge - wb, wb - wa + 1, raw[wa:edge], raw[stop : wb + depth], [edge - base]]
+                            ranks = [xxhash.xxh3_128_digest(raw[edge : edge + c], seed) for c in cuts]
+                            out[a + d, key] = [*ranks, edge - wb, wb - wa + 1, raw[wa:edge], raw[stop : wb + depth], [edge - base]]
                 if len(out) > 50_000:
                     yield _region_batch(out, ids)
                     out = {}
@@ -157,13 +173,12 @@ def _region_rows(depth: int, gram: int, block: int):
 
 
 def _region_batch(out: dict, ids: list) -> pa.RecordBatch:
-    core, low, many, left, right, edges = zip(*out.values(), strict=True) if out else ((),) * 6
+    *ranks, low, many, left, right, edges = zip(*out.values(), strict=True) if out else ((),) * (PASSES + 5)
     return pa.RecordBatch.from_arrays(
         [
-            pa.array([ids[r][0] for r, _ in out], pa.int64()),
-            pa.array([ids[r][1] for r, _ in out], pa.binary()),
+            pa.array([ids[r] for r, _ in out], pa.binary()),
             pa.array([k for _, k in out], pa.binary()),
-            pa.array(core, pa.int64()),
+            *[pa.array(r, pa.binary()) for r in ranks],
             pa.array(low, pa.int32()),
             pa.array(many, pa.int32()),
             pa.array(left, pa.binary()),
@@ -171,7 +186,7 @@ def _region_batch(out: dict, ids: list) -> pa.RecordBatch:
             pa.array(edges, pa.list_(pa.int32())),
             pa.array([min(2, len(e)) for e in edges], pa.int64()),
         ],
-        ["doc_id", "mark", "region", "core", "low", "many", "left", "right", "edges", "n"],
+        ["row", "region", *RANKS, "low", "many", "left", "right", "edges", "n"],
     )
 
 
@@ -205,51 +220,69 @@ def _kept_rows(depth: int):
     return rows
 
 
-KEY = ["doc_id", "mark"]
+def rows_of(docs: DataFrame) -> DataFrame:
+    """row, body, doc_id, text: body names the text, row the text and its doc_id, both by SHA-256."""
+    rows = docs_of(docs, "doc_id", "text")
+    body = F.sha2(text_or_empty(), 256)
+    row = F.sha2(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), body), 256)
+    return rows.select(F.unhex(F.substring(row, 1, 32)).alias("row"), F.unhex(F.substring(body, 1, 32)).alias("body"), "doc_id", "text")
+
 
+def passes(suffixes: DataFrame, ranks: list[str]) -> list[DataFrame]:
+    """The suffixes left after each pass: those whose rank, the digest of the bytes seen so far, others have too."""
+    out = []
+    for rank in ranks:
+        shared = suffixes.groupBy(rank).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(rank)
+        suffixes = suffixes.join(shared, rank, "left_semi")
+        out.append(suffixes)
+    return out
 
-def marked(docs: DataFrame) -> DataFrame:
-    """doc_id, mark, text: the mark tells rows apart that share a doc_id but not a text."""
-    return docs_of(docs, "doc_id", "text").withColumn("mark", F.unhex(F.md5("text")))
+
+def sampled_suffixes(docs: DataFrame, depth: int, gram: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Blocks of windows with repeated anchors (REGIONS), and (row) of the texts that occur twice."""
+    texts = rows_of(docs).where(F.octet_length("text") >= depth).select("row", "body", "text")
+    anchors_ = written(texts.mapInArrow(_anchor_rows(depth, gram), "row binary, body binary, grams array<long>, twice array<long>"))
+    # A text that occurs twice goes whole; one of its documents stands for it below.
+    copies = anchors_.groupBy("body").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("n"))
+    whole = anchors_.select("row", "body").join(copies.where("n > 1").select("body"), "body", "left_semi").select("row").distinct()
+    stands = anchors_.join(copies.select("row"), "row", "left_semi").dropDuplicates(["row"])
+    grams = stands.select("row", F.explode("grams").alias("gram"), "twice").select("row", "gram", F.when(F.array_contains("twice", F.col("gram")), 2).otherwise(1).alias("n"))
+    repeated = grams.groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1").select("gram")
+    wanted = grams.select("row", "gram").join(repeated, "gram", "left_semi").groupBy("row").agg(F.collect_set("gram").alias("grams"))
+    block = min(BLOCK, depth // 2)  # a block's windows must share some bytes
+    found = squeezed(texts.select("row", "text")).join(wanted, "row").select("row", "text", "grams").mapInArrow(_region_rows(depth, gram, block, seed), REGIONS)
+    return written(found), whole
 
 
 def repeated_windows(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> DataFrame:
-    """doc_id, mark, whole, found: what repeats in each document, all of it or windows.
+    """row, whole, found: what repeats in each document, all of it or windows.
 
     found holds edges and 64-bit masks: bit k stands for the window that starts at edge - k.
     """
-    block = min(BLOCK, depth // 2)  # a block's windows must share a core
-    texts = marked(docs).where("doc_id is not null").where(F.octet_length("text") >= depth)
-    rows = written(texts.mapInArrow(_anchor_rows(depth, gram), "doc_id long, mark binary, grams array<long>, twice array<long>"))
-    # A text that occurs twice goes whole; one of its documents stands for it below.
-    copies = rows.groupBy("mark").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
-    whole = rows.select(*KEY).join(copies.where("n > 1").select("mark"), "mark", "left_semi")
-    stands = rows.join(copies.select(*KEY), KEY, "left_semi")
-    grams = stands.select(*KEY, F.explode("grams").alias("gram"), "twice").select(*KEY, "gram", F.when(F.array_contains("twice", F.col("gram")), 2).otherwise(1).alias("n"))
-    repeated = grams.groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1").select("gram")
-    wanted = grams.select(*KEY, "gram").join(repeated, "gram", "left_semi").groupBy(*KEY).agg(F.collect_set("gram").alias("grams"))
-    regions = written(squeezed(texts.select(*KEY, "text")).join(wanted, KEY).select(*KEY, "text", "grams").mapInArrow(_region_rows(depth, gram, block), REGIONS))
-
-    distinct = written(regions.groupBy("region", "core", "low", "many", "left", "right").agg(F.sum("n").alias("n")).withColumn("id", F.monotonically_increasing_id()))
+    block = min(BLOCK, depth // 2)
+    regions, whole = sampled_suffixes(docs, depth, gram, secrets.randbits(63))
+    same = [F.first(c).alias(c) for c in (*RANKS, "low", "many", "left", "right")]
+    distinct = written(regions.groupBy("region").agg(*same, F.sum("n").alias("n")).withColumn("id", F.monotonically_increasing_id()))
     settled = distinct.where("n > 1").select("region", F.expr("shiftleft(shiftrightunsigned(-1L, 64 - many), low)").alias("mask"))
-    cores = distinct.groupBy("core").agg(F.count(F.lit(1)).alias("regions")).where("regions > 1").select("core")
-    # Cores with several regions: their windows, each once for each distinct region.
-    windows = distinct.join(cores, "core", "left_semi").select("id", "core", "left", "right", F.explode(F.expr("sequence(low, low + many - 1)")).alias("k"))
-    rest = [F.col("core"), F.col("k"), F.expr("substring(left, length(left) - k + 1, k)"), F.expr(f"substring(right, 1, {block - 1} - k)")]
+    # A row for each distinct region: what is left after the passes has several regions in its group.
+    left = written(passes(distinct.select("id", *RANKS), RANKS)[-1].select("id"))
+    last = RANKS[-1]
+    windows = distinct.join(left, "id", "left_semi").select("id", last, "left", "right", F.explode(F.expr("sequence(low, low + many - 1)")).alias("k"))
+    rest = [F.col(last), F.col("k"), F.expr("substring(left, length(left) - k + 1, k)"), F.expr(f"substring(right, 1, {block - 1} - k)")]
     windows = windows.select((F.col("id") * BLOCK + F.col("k")).alias("place"), F.xxhash64(*rest).alias("h1"), F.xxhash64(F.lit(1), *rest).alias("h2"))
     equal = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2")
     partial = windows.join(equal, ["h1", "h2"], "left_semi").groupBy(F.shiftright("place", 6).alias("id")).agg(F.expr("bit_or(shiftleft(1L, cast(place & 63 as int)))").alias("mask"))
     partial = distinct.select("id", "region").join(partial, "id").select("region", "mask")
     verdict = settled.unionByName(partial).groupBy("region").agg(F.expr("bit_or(mask)").alias("mask"))
-    parts = regions.select(*KEY, "region", "edges").join(verdict, "region").select(*KEY, F.struct("edges", "mask").alias("found"), F.lit(False).alias("whole"))
+    parts = regions.select("row", "region", "edges").join(verdict, "region").select("row", F.struct("edges", "mask").alias("found"), F.lit(False).alias("whole"))
     # collect_list leaves nulls out.
-    every = parts.unionByName(whole.select(*KEY, F.lit(None).cast(parts.schema["found"].dataType).alias("found"), F.lit(True).alias("whole")))
-    return every.groupBy(*KEY).agg(F.max("whole").alias("whole"), F.collect_list("found").alias("found"))
+    every = parts.unionByName(whole.select("row", F.lit(None).cast(parts.schema["found"].dataType).alias("found"), F.lit(True).alias("whole")))
+    return every.groupBy("row").agg(F.max("whole").alias("whole"), F.collect_list("found").alias("found"))
 
 
 def suffix_dedup(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept, the remaining bytes."""
     bounded_batches(docs.sparkSession)
     found = repeated_windows(docs, depth, gram)
-    rows = squeezed(marked(docs).select(*KEY, "text")).join(found, KEY, "left").select("doc_id", "text", "whole", "found")
+    rows = squeezed(rows_of(docs).select("row", "doc_id", "text")).join(found, "row", "left").select("doc_id", "text", "whole", "found")
     return rows.mapInArrow(_kept_rows(depth), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

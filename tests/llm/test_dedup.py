@@ -90,10 +90,38 @@ def test_suffix_dedup_edges(spark, monkeypatch):
     assert [(x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in rows] == suffix_expected(texts, 40)
     df = spark.createDataFrame([(None, "a" * 50, "k", "f", "c", "m", "s", "x", 1), (1, "b" + "a" * 30, "k", "f", "c", "m", "s", "x", 1), (1, "c" * 10, "k", "f", "c", "m", "s", "x", 1)], AWKWARD)
     got = sorted((str(x["doc_id"]), x["n_bytes"], x["n_removed"]) for x in suffix_dedup.suffix_dedup(df, 20, 8).collect())
-    assert got == [("1", 10, 0), ("1", 31, 30), ("None", 50, 0)]
+    assert got == [("1", 10, 0), ("1", 31, 30), ("None", 50, 50)]
+    twice = df.unionByName(df)
+    assert sorted((x["n_bytes"], x["n_removed"]) for x in suffix_dedup.suffix_dedup(twice, 20, 8).collect()) == [(10, 0), (10, 0), (31, 31), (31, 31), (50, 50), (50, 50)]
     assert suffix_dedup.suffix_dedup(df.limit(0)).count() == 0
 
 
+def test_passes_group_suffixes_by_their_first_bytes(spark):
+    """After each pass, groups are those of the sampled suffixes in order, compared through the pass's depth."""
+    r = random.Random(8)
+    base = ["".join(r.choice("abcd") for _ in range(150)) for _ in range(5)]
+    texts = ["".join(r.choice(base)[r.randrange(60) :][: r.randrange(30, 90)] for _ in range(5)) for _ in range(40)]
+    depth, gram = 60, 12
+    cuts = suffix_dedup.depths(depth, 30)
+    regions, _ = suffix_dedup.sampled_suffixes(docs_of(spark, texts), depth, gram, 7)
+    rows = {x["row"]: x["text"].encode() for x in suffix_dedup.rows_of(docs_of(spark, texts)).collect()}
+    suffixes = regions.select("row", F.explode("edges").alias("edge"), *suffix_dedup.RANKS).dropDuplicates(["row", "edge"])
+    live = {(x["row"], x["edge"]) for x in suffixes.collect()}
+    said = lambda x, cut: rows[x[0]][x[1] : x[1] + cut]
+    for cut, rank, kept in zip(cuts, suffix_dedup.RANKS, suffix_dedup.passes(suffixes, suffix_dedup.RANKS), strict=True):
+        order = sorted(live, key=lambda x: said(x, cut))
+        groups = {}
+        for x in order:
+            groups.setdefault(said(x, cut), set()).add(x)
+        expected = {frozenset(g) for g in groups.values() if len(g) > 1}
+        found = {}
+        for x in kept.collect():
+            found.setdefault(x[rank], set()).add((x["row"], x["edge"]))
+        assert {frozenset(g) for g in found.values()} == expected
+        live = {x for g in expected for x in g}
+    assert live
+
+
 def near_expected(texts):
     sets = []
     for t in texts:
