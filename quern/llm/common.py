@@ -31,6 +31,10 @@ _IS_SPACE[list(SPACES)] = True
 NOT_ALNUM = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 
 
+#: Paths of the tables that written() has made, by session.
+_tables: dict[int, list[str]] = {}
+
+
 def docs_of(df: DataFrame, *columns: str) -> DataFrame:
     """Only the named columns, so columns that clash with an operator's own names never get near it."""
     return df.select(*[F.col(f"`{c}`") for c in columns])
@@ -61,6 +65,7 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _tables.setdefault(id(spark), []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -77,11 +82,16 @@ def squeezed(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(pack, StructType([StructField(f.name, BinaryType() if f.name == "text" else f.dataType) for f in texts.schema.fields]))
 
 
-def opened(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """A batch whose column text are the UTF-8 bytes that squeezed() packed."""
+def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches whose column text are the UTF-8 bytes that squeezed() packed, of BATCH_BYTES each or one longer text."""
     tool = zstandard.ZstdDecompressor()
-    texts = [None if t is None else tool.decompress(t) for t in batch.column("text").to_pylist()]
-    return batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.large_binary()))
+    for batch in batches:
+        at = batch.schema.get_field_index("text")
+        frames = batch.column("text").to_pylist()
+        ends = np.r_[0, np.cumsum([0 if t is None else zstandard.frame_content_size(t) for t in frames])]
+        for a, b in slices(ends, BATCH_BYTES):
+            texts = [None if t is None else tool.decompress(t) for t in frames[a:b]]
+            yield batch.slice(a, b - a).set_column(at, "text", pa.array(texts, pa.large_binary()))
 
 
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -109,9 +119,23 @@ def one_of_each(docs: DataFrame, grouped: Callable[[DataFrame], DataFrame]) -> D
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder under the warehouse where it is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+    """spark.checkpoint.dir, else the folder that the context was given; on one machine (tests) else one under the warehouse."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if named:
+        return named
+    if context.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+
+
+def forget(spark: SparkSession, but: DataFrame) -> None:
+    """Removes the tables that written() has made for this session, except those that ``but`` reads."""
+    kept = {f.rsplit("/", 1)[0] for f in but.inputFiles()}
+    for path in [p for p in _tables.get(id(spark), []) if not any(k.endswith(p.split(":", 1)[-1]) for k in kept)]:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        _tables[id(spark)].remove(path)
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -137,7 +137,7 @@ def _region_rows(depth: int, gram: int, block: int, seed: int):
     cuts = depths(depth, block)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in map(opened, batches):
+        for batch in opened(batches):
             ids = batch.column("row").to_pylist()
             wanted = batch.column("grams")
             out: dict[tuple[int, bytes], list] = {}
@@ -194,7 +194,7 @@ def _kept_rows(depth: int):
     """What is left of each text, given found array<struct<edges array<int>, mask long>>."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in map(opened, batches):
+        for batch in opened(batches):
             total, removed, spans, shas, kept = [], [], [], [], []
             for text, found, whole in zip(batch.column("text"), batch.column("found"), batch.column("whole"), strict=True):
                 data = np.frombuffer(text.as_py() or b"", np.uint8)
@@ -244,7 +244,9 @@ def sampled_suffixes(docs: DataFrame, depth: int, gram: int, seed: int) -> tuple
     anchors_ = written(texts.mapInArrow(_anchor_rows(depth, gram), "row binary, body binary, grams array<long>, twice array<long>"))
     # A text that occurs twice goes whole; one of its documents stands for it below.
     copies = anchors_.groupBy("body").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("n"))
-    whole = anchors_.select("row", "body").join(copies.where("n > 1").select("body"), "body", "left_semi").select("row").distinct()
+    # Written: a table of measured size is broadcast, or Spark splits the rows of a body that very many texts have.
+    several = written(copies.where("n > 1").select("body"))
+    whole = anchors_.select("row", "body").join(several, "body", "left_semi").select("row").distinct()
     stands = anchors_.join(copies.select("row"), "row", "left_semi").dropDuplicates(["row"])
     grams = stands.select("row", F.explode("grams").alias("gram"), "twice").select("row", "gram", F.when(F.array_contains("twice", F.col("gram")), 2).otherwise(1).alias("n"))
     repeated = grams.groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1").select("gram")
