@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import bounded_batches, buffers, cut_lineage, docs_of, mixed, one_of_each, opened, shingle_sets, slices, squeezed, without, written
+from quern.llm.common import bounded_batches, buffers, cut_lineage, docs_of, mixed, one_of_each, opened, shingle_sets, slices, squeezed, written
 from quern.llm.graph import connected_components
 
 WORDS = 5
@@ -40,8 +40,9 @@ WORDS = 5
 NUM, DEN = 3, 4
 GROUP = 8
 MOST_HOT = 1 << 19
-#: Buckets for each shuffle partition; spark.sql.shuffle.partitions grows with the data, and the buckets with it.
+#: Buckets for each shuffle partition, and the shingles of all texts for each bucket: the larger number of buckets holds.
 BUCKETS = 16
+BUCKET_SHINGLES = 1 << 20
 #: The two further orders sort by these remixes of the hashes.
 ORDERS = (np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F))
 
@@ -115,22 +116,28 @@ def _count_batches(buckets: int):
                 fresh = _new_rows(off, _class_of(s, off), seen)
                 tokens.append(reduced(s[np.repeat(fresh, np.diff(off))], buckets))
                 if sum(map(len, tokens)) > 1 << 20:
-                    t = np.concatenate(tokens)
+                    yield _counted(tokens)
                     tokens = []
-                    yield _packed(t >> np.uint64(32), {"tokens": t.astype(np.uint32)})
-            t = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
-            yield _packed(t >> np.uint64(32), {"tokens": t.astype(np.uint32)})
+            yield _counted(tokens)
 
     return pack
 
 
+def _counted(tokens: list[np.ndarray]) -> pa.RecordBatch:
+    """Counts of the shingles so far, by bucket: one that all texts share is one entry here."""
+    t, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *tokens]), return_counts=True)
+    # Most occur once: their counts take next to no space in a shuffle.
+    return _packed(t >> np.uint64(32), {"tokens": t.astype(np.uint32), "counts": n.astype(np.uint32)})
+
+
 def _joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
     """The values of all rows of a packed column."""
     return np.concatenate([np.frombuffer(buffers(c)[0].tobytes(), kind) for c in column.chunks] or [np.zeros(0, kind)])
 
 
 def _frequent(table: pa.Table) -> pa.Table:
-    token, n = np.unique(_joined(table["tokens"], np.uint32), return_counts=True)
+    token, at = np.unique(_joined(table["tokens"], np.uint32), return_inverse=True)
+    n = np.bincount(at, _joined(table["counts"], np.uint32), len(token)).astype(np.int64)
     hot = n > GROUP
     key = table["bucket"][0].as_py() << 32
     return pa.table({"token": pa.array(token[hot].astype(np.int64) | key), "df": pa.array(n[hot].astype(np.int64))})
@@ -248,7 +255,7 @@ def _bucket_pairs(buckets: int, complete: bool):
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in map(opened, batches):
+    for batch in opened(batches):
         for _, _, s, off in _sets(batch):
             raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(off) - 1, [None, pa.py_buffer(off * 8), pa.py_buffer(np.ascontiguousarray(s))])
             yield pa.RecordBatch.from_arrays([pa.array(_class_of(s, off)), raw.cast(pa.binary())], ["cls", "set"])
@@ -290,7 +297,7 @@ def _links(pairs: DataFrame, docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def _frequent_shingles(texts: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent shingles of more than GROUP classes, ascending, and their places from rare to frequent."""
-    counts = texts.mapInArrow(_count_batches(buckets), "bucket long, tokens binary").groupBy("bucket").applyInArrow(_frequent, "token long, df long")
+    counts = texts.mapInArrow(_count_batches(buckets), "bucket long, tokens binary, counts binary").groupBy("bucket").applyInArrow(_frequent, "token long, df long")
     hot = counts.orderBy(F.desc("df"), "token").limit(MOST_HOT).toArrow()
     token, df = hot["token"].to_numpy().astype(np.uint64), hot["df"].to_numpy()
     rank = np.empty(len(token), np.int64)
@@ -310,23 +317,24 @@ def near_dup(docs: DataFrame, group_buckets: int | None = None) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    buckets = group_buckets or BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = cut_lineage(docs_of(docs, "doc_id", "text").mapInArrow(_summaries, "doc_id long, n long, cls long"))
+    buckets = group_buckets or max(BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions")), (rows.agg(F.sum("n")).first()[0] or 0) // BUCKET_SHINGLES)
     ids = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
     found = _found_rows(docs_of(docs, "text"), buckets)
     large = found.where("b is null").select("token", F.col("a").alias("cls"), F.col("n_a").alias("n"), F.col("index_a").alias("indexed"), "typical", "reach").distinct()
     # The centre of a group is its most typical class, the one with the most listed shingles.
-    star = large.groupBy("token").agg(F.max(F.struct("typical", "cls", "n")).alias("centre"))
+    # Written, here and below, so that a group's rows can be split over tasks where they meet its one row.
+    star = written(large.groupBy("token").agg(F.max(F.struct("typical", "cls", "n")).alias("centre")))
     near = large.join(star, "token").where(f"cls <> centre.cls and {DEN} * least(n, centre.n) >= {NUM} * greatest(n, centre.n)").select(F.col("centre.cls").alias("a"), F.col("cls").alias("b"))
     links = _links(found.where("b is not null").select("a", "b").unionByName(near), docs, ids)
     first = connected_components(links)
 
     # Groups whose classes lie in several components: which components could still be linked, then their classes.
     placed = cut_lineage(large.join(first.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls")))
-    torn = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
+    torn = written(placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token"))
     # Written, so that a frequent shingle's rows are aggregated where they lie before they are dealt out again.
     open_ = written(placed.join(torn, "token", "left_semi"))
-    sides = open_.groupBy("token", "component").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("reach").alias("reach"), F.min(F.when(F.col("indexed"), F.col("n"))).alias("least_indexed"))
+    sides = written(open_.groupBy("token", "component").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("reach").alias("reach"), F.min(F.when(F.col("indexed"), F.col("n"))).alias("least_indexed")))
     x, y = sides.alias("x"), sides.alias("y")
     enough = f"{NUM + DEN} * least({{0}}.reach, {{1}}.reach) >= {NUM} * ({{0}}.{{2}} + {{1}}.{{2}})"
     apart = x.join(y, F.col("x.token") == F.col("y.token"))
@@ -345,15 +353,6 @@ def near_dup(docs: DataFrame, group_buckets: int | None = None) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one document of each group of near duplicates, the smallest doc_id; all columns stay.
-
-    Rows with a null doc_id stay, and a doc_id that several rows have stays if one does.
-    """
-    groups = near_dup(docs).groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("kept"))
-    return without(docs, groups.where("not kept"))
-
-
 def one_near_copy(docs: DataFrame) -> DataFrame:
     """docs with one row of each group of near duplicates, whatever their ids: the smallest doc_id's; all columns stay."""
     return one_of_each(docs, lambda rows: near_dup(rows).select("doc_id", F.col("component_id").alias("group_id")))

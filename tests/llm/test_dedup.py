@@ -43,10 +43,12 @@ def test_exact_dedup(spark, huge, segment, bits):
 def test_exact_dedup_edges(spark):
     df = spark.createDataFrame([(None, "a", "k", "f", "c", "m", "s", "x", 1), (3, "a", "k", "f", "c", "m", "s", "x", 1), (3, "a", "k", "f", "c", "m", "s", "x", 1), (None, "z", "k", "f", "c", "m", "s", "x", 1)], AWKWARD)
     got = sorted(((str(r["doc_id"]), r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_dedup(df).collect()), key=str)
-    assert got == [("3", 3, 3, True), ("3", 3, 3, True), ("None", 3, 3, False), ("None", None, 1, True)]
-    kept = exact_dedup.drop_copies(df)
-    assert kept.columns == df.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["3", "3", "None", "None"]
-    assert exact_dedup.exact_dedup(df.limit(0)).count() == 0 and exact_dedup.drop_copies(df.limit(0)).count() == 0
+    assert got == [("3", 3, 3, False), ("3", 3, 3, True), ("None", 3, 3, False), ("None", None, 1, True)]
+    none = spark.createDataFrame([(None, "a"), (None, "a"), (None, "b" * 9), (None, "c" * 9)], DOCS)
+    for bits in (62, 0):
+        got = sorted((r["group_size"], r["kept"], r["keep_id"]) for r in exact_dedup.exact_dedup(none, fp_bits=bits).collect())
+        assert got == [(1, True, None), (1, True, None), (2, False, None), (2, True, None)]
+    assert exact_dedup.exact_dedup(df.limit(0)).count() == 0
 
 
 @given(st.binary(max_size=40000), st.integers(0, 40000))
@@ -171,8 +173,6 @@ def test_near_dup_edges(spark):
     df = spark.createDataFrame([(None, text, "k", "f", "c", "m", "s", "x", 1), (4, text, "k", "f", "c", "m", "s", "x", 1), (2, text + " ", "k", "f", "c", "m", "s", "x", 1), (2, text, "k", "f", "c", "m", "s", "x", 1), (9, None, "k", "f", "c", "m", "s", "x", 1), (None, "", "k", "f", "c", "m", "s", "x", 1)], AWKWARD)
     got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in near_dup.near_dup(df).collect())
     assert got == [("2", 3, "2"), ("2", 3, "2"), ("4", 3, "2"), ("9", 0, "9"), ("None", 0, "None"), ("None", 3, "2")]
-    kept = near_dup.keep_one(df)
-    assert kept.columns == df.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["2", "2", "9", "None", "None"]
     assert near_dup.near_dup(df.limit(0)).count() == 0
 
 
@@ -189,6 +189,34 @@ def test_one_row_of_each_group(spark):
     assert exact_dedup.one_copy(df.limit(0)).count() == 0 and near_dup.one_near_copy(df.limit(0)).count() == 0
 
 
+def test_a_shingle_in_every_document(spark, monkeypatch):
+    """The list of frequent shingles is full and one passage is in all texts; groups are those of brute force."""
+    monkeypatch.setattr(near_dup, "GROUP", 3)
+    r = random.Random(6)
+    passage = [f"p{i}" for i in range(12)]
+    texts = []
+    for i in range(40):
+        own = [f"d{i}x{j}" for j in range(r.randrange(2, 30))]
+        texts += [" ".join([*own, *passage])] + [" ".join([*own[1:], *passage])] * (i % 3 == 0)
+    for most in (1 << 19, 4):
+        monkeypatch.setattr(near_dup, "MOST_HOT", most)
+        rows = near_dup.near_dup(docs_of(spark, texts)).orderBy("doc_id").collect()
+        assert [(x["n_shingles"], x["component_id"]) for x in rows] == near_expected(texts)
+
+
+def test_opened_texts_come_in_slices(monkeypatch):
+    import pyarrow as pa
+    import zstandard
+
+    from quern.llm import common
+
+    monkeypatch.setattr(common, "BATCH_BYTES", 100)
+    texts = [b"a" * 90, None, b"b" * 20, b"c" * 5000, b"", b"d"]
+    frames = [None if t is None else zstandard.ZstdCompressor().compress(t) for t in texts]
+    out = list(common.opened(iter([pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(frames, pa.binary())], ["doc_id", "text"])])))
+    assert [b.column("doc_id").to_pylist() for b in out] == [[0, 1], [2], [3], [4, 5]] and [t for b in out for t in b.column("text").to_pylist()] == texts
+
+
 def test_components(spark):
     r = random.Random(7)
     edges = [(r.randrange(60), r.randrange(60)) for _ in range(40)] + [(100 + i, 101 + i) for i in range(20)] + [(5, 5)]
