@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm import decontaminate, exact_dedup, near_dup, quality, source_mix
-from quern.llm.common import written
+from quern.llm.common import forget, written
 from quern.llm.queries import table
 
 
@@ -49,4 +49,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir))
+        forget(spark, docs)
     return STAGES[-1][1](spark, docs, sf_dir)
