@@ -94,15 +94,6 @@ def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(a, b - a).set_column(at, "text", pa.array(texts, pa.large_binary()))
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id is among ids (doc_id); all columns stay, and so do rows with a null doc_id.
-
-    ids are written first: Spark then knows their size, and moves the texts only if they are too many to broadcast.
-    """
-    gone = written(ids.where("doc_id is not null").select(F.col("doc_id").alias("_gone_id")).distinct())
-    return docs.join(gone, docs["doc_id"] == gone["_gone_id"], "left_anti")
-
-
 def one_of_each(docs: DataFrame, grouped: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """docs with one row of each group: the smallest doc_id, null ones last, and one of the rows that share it.
 

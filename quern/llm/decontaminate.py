@@ -2,18 +2,23 @@
 
 Words are runs of letters, marks and digits of Unicode, lower-cased (A-Z), so punctuation, case and spacing don't matter; in
 scripts that set no spaces between words (``UNSPACED``) each character is a word.
-Fixed masks look at some of the words at a position and ignore the others; hashes of benchmark and documents are joined,
-and around each hit the documents' and the item's words are compared on that diagonal. A document is contaminated by an
-item if ``WINDOW`` consecutive words of it (all of it, where an item has fewer) agree with ``MOST_SUBSTITUTIONS``
-exceptions at most, in whole documents and whole items. The masks hit every such pair of windows: each choice of two
-exceptions among twelve words leaves some mask at some place untouched. An item shorter than the window must agree in all
-its words, and one that is shorter than the masks is looked up as a whole; only items without any word are left out.
-
-The benchmark is read in blocks of at most ``BLOCK_ITEMS_WORDS`` words (so its size may grow); the documents are scanned
-once for each block, without a shuffle.
+Fixed masks look at some of the words at a position and ignore the others. Seeds (hashes of what a mask sees) of benchmark
+and documents are joined as tables, and each pair is verified on its diagonal with the words around it. A document is
+contaminated by an item if ``WINDOW`` consecutive words of it (all of it, where an item has fewer) agree with
+``MOST_SUBSTITUTIONS`` exceptions at most, in whole documents and whole items. The masks hit every such pair of windows:
+each choice of two exceptions among twelve words leaves some mask at some place untouched. An item shorter than the window
+must agree in all its words, and one that is shorter than the masks is looked up as a whole; only items without any word
+are left out.
+
+1. The benchmark becomes a table of seeds, each with the ``REACH`` item words on either side of its first one.
+2. A bitmap of the benchmark's seeds (at most ``1 << MOST_BITS`` bits; a fuller one lets more pass) goes along with the
+   scan of documents, which emits a row for each of their seeds that is in it, with the words around it.
+3. Both tables meet on the seed: Spark sees the benchmark's written size, and broadcasts it or splits common seeds. Pairs
+   are verified in Arrow batches.
 
 Defined results: a null text is an empty one; a null item text or id is left out. Rows of documents are independent;
-rows that repeat a doc_id share their findings, and so do rows with a null doc_id. Extra columns are ignored; an empty
+in ``decontamination`` rows that repeat a doc_id share their findings, and so do rows with a null doc_id; ``clean_rows``
+goes by the row. Extra columns are ignored; an empty
 table of either kind gives no contamination.
 """
 
@@ -22,14 +27,13 @@ from __future__ import annotations
 import functools
 import unicodedata
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import NOT_ALNUM, bounded_batches, buffers, docs_of, mixed, powers, prefix_hashes, slices, step, without, words
+from quern.llm.common import NOT_ALNUM, bounded_batches, buffers, docs_of, mixed, powers, prefix_hashes, slices, step, words, written
 
 WINDOW = 12
 MOST_SUBSTITUTIONS = 2
@@ -40,8 +44,11 @@ MASKS = ((0, 1, 2, 4, 6, 7), (0, 2, 3, 6, 7, 8), (0, 1, 2, 3, 4, 5))
 SHORT_MASKS = tuple(tuple(range(n)) for n in range(LEAST_WORDS, 6))
 #: Code points of scripts without spaces (Thai, Lao, Myanmar, Khmer, New Tai Lue, Tai Tham, kana, Han, Javanese).
 UNSPACED = ((0xE00, 0xEFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19DF), (0x1A20, 0x1AAF), (0x3005, 0x3007), (0x3041, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xA980, 0xA9DF), (0xA9E0, 0xA9FF), (0xAA60, 0xAA7F), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1B000, 0x1B16F), (0x20000, 0x3FFFF))
-BLOCK_ITEMS_WORDS = 1_000_000
-_BITS = 22
+#: Words on either side of a seed's first one that its window can reach.
+REACH = WINDOW - 1
+MOST_BITS = 27
+#: Stand for the places before and after an item, and before and after a document.
+NO_ITEM, NO_TEXT = np.uint64(0), np.uint64(1)
 
 
 @functools.cache
@@ -94,140 +101,115 @@ def seeds(h: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
     return mixed(s)
 
 
-@dataclass
-class Items:
-    """Words of some benchmark items and their seeds, sorted."""
-
-    ids: list[int]
-    words: list[np.ndarray]
-    hashes: np.ndarray
-    item: np.ndarray
-    pos: np.ndarray
-    present: np.ndarray
-    masks: list[tuple[int, ...]]
-
-
-def items_of(rows: list[tuple[int, str]]) -> Items:
-    rows = sorted(set(rows))
-    ids, kept, found, masks = [], [], [], set()
-    for key, text in rows:
-        raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-        h, _ = tokens(raw, np.array([0, len(raw)]))
-        if len(h) < LEAST_WORDS:
-            continue
-        for mask in MASKS if len(h) >= 6 else SHORT_MASKS[len(h) - LEAST_WORDS : len(h) - LEAST_WORDS + 1]:
-            s = seeds(h, mask)
-            masks.add(mask)
-            found.append((s, np.full(len(s), len(ids)), np.arange(len(s))))
-        ids.append(key)
-        kept.append(h)
-    hashes, item, pos = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.uint64), np.zeros(0, int), np.zeros(0, int))
-    order = np.argsort(hashes, kind="stable")
-    present = np.zeros(1 << _BITS, bool)
-    present[(hashes & np.uint64((1 << _BITS) - 1)).astype(np.int64)] = True
-    return Items(ids, kept, hashes[order], item[order], pos[order], np.packbits(present), sorted(masks))
-
-
-def overlap(doc: np.ndarray, item: np.ndarray, shift: int) -> bool:
-    """Whether some window of the item agrees with the document's words at item position + shift."""
-    size = min(WINDOW, len(item))
-    most = MOST_SUBSTITUTIONS if len(item) >= WINDOW else 0
-    a, b = max(0, -shift), min(len(item), len(doc) - shift)
-    if b - a < size:
-        return False
-    wrong = np.r_[0, np.cumsum(doc[a + shift : b + shift] != item[a:b])]
-    return bool((wrong[size:] - wrong[:-size] <= most).any())
-
-
-def _hits(column: pa.Array, items: Items) -> list[tuple[int, int]]:
-    """(row, item) of each text in the column and each item that it holds, by row."""
-    present = np.unpackbits(items.present).view(bool)
-    low = np.uint64((1 << _BITS) - 1)
-    data, at = buffers(column)
-    rows: list[tuple[int, int]] = []
-    for a, b in slices(at):
-        h, off = tokens(data[at[a] : at[b]], at[a : b + 1] - at[a])
-        tried: set[tuple[int, int, int]] = set()
-        hits = set()
-        for mask in items.masks:
-            s = seeds(h, mask)
-            where = np.flatnonzero(present[(s & low).astype(np.int64)])
-            if not len(where):
-                continue
-            left = np.searchsorted(items.hashes, s[where], "left")
-            right = np.searchsorted(items.hashes, s[where], "right")
-            for p, x, y in zip(where[right > left].tolist(), left[right > left].tolist(), right[right > left].tolist(), strict=True):
-                d = int(np.searchsorted(off, p, "right")) - 1
-                for k in range(x, y):
-                    i, shift = int(items.item[k]), p - int(off[d]) - int(items.pos[k])
-                    if (d, i) in hits or (d, i, shift) in tried:
-                        continue
-                    tried.add((d, i, shift))
-                    if overlap(h[off[d] : off[d + 1]], items.words[i], shift):
-                        hits.add((d, i))
-        rows += sorted((a + d, i) for d, i in hits)
-    return rows
+def around(h: np.ndarray, off: np.ndarray, doc: np.ndarray, at: np.ndarray, empty: np.uint64) -> np.ndarray:
+    """The words from REACH before to REACH after each place, one row each; ``empty`` beyond the ends of a text."""
+    place = at[:, None] + np.arange(-REACH, REACH + 1)
+    inside = (place >= off[doc][:, None]) & (place < off[doc + 1][:, None])
+    out = np.full(place.shape, empty, np.uint64)
+    out[inside] = np.maximum(h[place[inside]], np.uint64(2))
+    return out
 
 
-def _find_with(items: Items):
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = _hits(batch.column("text"), items)
-            ids = batch.column("doc_id")
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array([r for r, _ in rows], pa.int64())), pa.array([items.ids[i] for _, i in rows], pa.int64())], ["doc_id", "item_id"])
+def _lists(rows: np.ndarray) -> pa.Array:
+    return pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(rows).view(np.int64).reshape(-1)), rows.shape[1]).cast(pa.list_(pa.int64()))
 
-    return find
 
+SEEDS = "item_id long, n long, seed long, words array<long>"
 
-_UNSPACED_SQL = "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in UNSPACED) + "]"
 
+def _seed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The seeds of benchmark items, each with the item's number of words and those around the seed."""
+    for batch in batches:
+        data, bounds = buffers(batch.column("text"))
+        for a, b in slices(bounds):
+            h, off = tokens(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a])
+            size = np.diff(off)
+            for mask in (*MASKS, *SHORT_MASKS):
+                s, doc = seeds(h, mask), np.repeat(np.arange(b - a), size)
+                at = np.arange(len(s))
+                fits = (doc[at] == doc[at + mask[-1]]) & ((size[doc[at]] >= 6) if mask in MASKS else (size[doc[at]] == len(mask))) if len(s) else np.zeros(0, bool)
+                at = at[fits]
+                yield pa.RecordBatch.from_arrays([batch.column("item_id").take(pa.array(a + doc[at])), pa.array(size[doc[at]]), pa.array(s[at].view(np.int64)), _lists(around(h, off, doc[at], at, NO_ITEM))], ["item_id", "n", "seed", "words"])
 
-def _item_blocks(benchmark: DataFrame, block_words: int) -> Iterator[Items]:
-    """The benchmark in blocks; each is bounded, and there are as many as its size takes."""
+
+def benchmark_seeds(benchmark: DataFrame) -> DataFrame:
+    """SEEDS of the benchmark, written; a seed that an item has several times with the same words around it is one row."""
     items = docs_of(benchmark, "item_id", "text").where("item_id is not null and text is not null")
-    total = items.agg(F.sum(F.size(F.split("text", r"[^\p{L}\p{M}\p{N}]+")) + F.regexp_count("text", F.lit(_UNSPACED_SQL)))).first()[0] or 0
-    blocks = total // block_words + 1
-    for k in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
-        yield items_of([(r["item_id"], r["text"]) for r in part.collect()])
+    return written(items.mapInArrow(_seed_rows, SEEDS).distinct())
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_ITEMS_WORDS) -> DataFrame:
-    """(doc_id, item_id) of every contaminated document and the items it contains."""
-    bounded_batches(docs.sparkSession)
-    found = None
-    for some in _item_blocks(benchmark, block_words):
-        hits = docs_of(docs, "doc_id", "text").mapInArrow(_find_with(some), "doc_id long, item_id long")
-        found = hits if found is None else found.unionByName(hits)
-    return found
+def bitmap(some: DataFrame) -> tuple[int, np.ndarray]:
+    """The number of bits, and which seeds' low bits occur: 16 bits for each seed, and 1 << MOST_BITS of them at most."""
+    n = some.count()
+    bits = min(MOST_BITS, max(10, (16 * n).bit_length()))
+    place = F.col("seed").bitwiseAND((1 << bits) - 1)
+    words64 = some.select(F.shiftright(place, 6).alias("word"), F.expr("shiftleft(1L, cast(seed & 63 as int))").alias("bit")).groupBy("word").agg(F.expr("bit_or(bit)").alias("bit")).toArrow()
+    out = np.zeros(max(1, (1 << bits) >> 6), np.int64)
+    out[words64["word"].to_numpy()] = words64["bit"].to_numpy()
+    return bits, out
 
 
-def decontamination(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_ITEMS_WORDS) -> DataFrame:
-    """One row per document: doc_id, contaminated, n_items, items (ascending, comma-joined)."""
-    by = overlaps(docs, benchmark, block_words).distinct().groupBy(F.col("doc_id").alias("_id")).agg(F.array_sort(F.collect_list("item_id")).alias("found"))
-    rows = docs_of(docs, "doc_id").join(by, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    found = F.coalesce("found", F.array().cast("array<long>"))
-    return rows.select("doc_id", (F.size(found) > 0).alias("contaminated"), F.size(found).cast("long").alias("n_items"), F.array_join(found.cast("array<string>"), ",").alias("items"))
+def _hit_rows(bits: int, present: np.ndarray):
+    """The seeds of documents that are in the bitmap, with the words around them."""
+    low = np.uint64((1 << bits) - 1)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.unpackbits(present.view(np.uint8), bitorder="little").view(bool)
+        for batch in batches:
+            data, bounds = buffers(batch.column("text"))
+            for a, b in slices(bounds):
+                h, off = tokens(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a])
+                for mask in (*MASKS, *SHORT_MASKS):
+                    s = seeds(h, mask)
+                    at = np.flatnonzero(table[(s & low).astype(np.int64)])
+                    if not len(at):
+                        continue
+                    doc = np.searchsorted(off, at, "right") - 1
+                    fits = at + mask[-1] < off[doc + 1]
+                    at, doc = at[fits], doc[fits]
+                    yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(a + doc)), pa.array(s[at].view(np.int64)), _lists(around(h, off, doc, at, NO_TEXT))], ["key", "seed", "around"])
+
+    return rows
+
 
+def agree(doc: np.ndarray, item: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For rows of words around a seed: whether some window agrees, or all of an item that is shorter than a window."""
+    real = (item != NO_ITEM) & (doc != NO_TEXT)
+    same = (doc == item) & real
+    count = lambda x: np.pad(np.cumsum(x, 1), ((0, 0), (1, 0)))
+    windows = lambda x: count(x)[:, WINDOW:] - count(x)[:, :-WINDOW]
+    close = ((windows(real) == WINDOW) & (windows(same) >= WINDOW - MOST_SUBSTITUTIONS)).any(1)
+    return np.where(n >= WINDOW, close, same.sum(1) == n)
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the contaminated rows; all columns stay, and so do rows with a null doc_id."""
-    return without(docs, overlaps(docs, benchmark))
 
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        width = 2 * REACH + 1
+        doc, item = (batch.column(c).flatten().to_numpy().view(np.uint64).reshape(-1, width) for c in ("around", "words"))
+        ok = agree(doc, item, batch.column("n").to_numpy())
+        yield batch.select(["key", "item_id"]).filter(pa.array(ok))
 
-def clean_rows(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_ITEMS_WORDS) -> DataFrame:
-    """docs without the rows whose own text is contaminated, whatever their ids; all columns stay, and there is no shuffle."""
-    bounded_batches(docs.sparkSession)
 
-    def clean_of(items: Items):
-        @F.arrow_udf("boolean")
-        def clean(texts: pa.Array) -> pa.Array:
-            out = np.ones(len(texts), bool)
-            out[[r for r, _ in _hits(texts, items)]] = False
-            return pa.array(out)
+def row_overlaps(rows: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(key, item_id) of rows (key long, text) and the items that they hold, once each."""
+    bounded_batches(rows.sparkSession)
+    some = benchmark_seeds(benchmark)
+    hits = rows.select("key", "text").mapInArrow(_hit_rows(*bitmap(some)), "key long, seed long, around array<long>")
+    return hits.join(some, "seed").select("key", "item_id", "n", "around", "words").mapInArrow(_verified, "key long, item_id long").distinct()
+
+
+def decontamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """One row per document: doc_id, contaminated, n_items, items (ascending, comma-joined)."""
+    by = row_overlaps(docs_of(docs, "doc_id", "text").withColumnRenamed("doc_id", "key"), benchmark)
+    by = written(by.groupBy("key").agg(F.array_sort(F.collect_list("item_id")).alias("found")))
+    rows = docs_of(docs, "doc_id").join(by, F.col("doc_id").eqNullSafe(F.col("key")), "left")
+    found = F.coalesce("found", F.array().cast("array<long>"))
+    return rows.select("doc_id", (F.size(found) > 0).alias("contaminated"), F.size(found).cast("long").alias("n_items"), F.array_join(found.cast("array<string>"), ",").alias("items"))
 
-        return clean
 
-    for some in _item_blocks(benchmark, block_words):
-        docs = docs.where(clean_of(some)(F.col("text")))
-    return docs
+def clean_rows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """docs without the rows whose own text is contaminated, whatever their ids; all columns stay."""
+    key = "_row_key"
+    rows = written(docs.withColumn(key, F.monotonically_increasing_id()))
+    gone = written(row_overlaps(rows.select(F.col(key).alias("key"), "text"), benchmark).select(F.col("key").alias(key)).distinct())
+    return rows.join(gone, key, "left_anti").drop(key)
