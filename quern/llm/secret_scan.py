@@ -1,25 +1,31 @@
 """Secret scan by assignment-aware lexing (operator 2).
 
-A text is lexed for ``name = literal`` pairs as source and configuration files write them: ``name = "literal"``,
-``name: literal``, ``"name": "literal"``, ``name := literal``, ``export NAME=literal``. Names and literals may have any
-length, quoted literals may hold escapes, and what they hold is lexed for pairs too. A pair whose right side is another
-assigned name takes that name's literal (constants are propagated through chains, each name at most once, so cycles end).
-A literal is scored by how sensitive the names are that it reaches and by its own length, alphabet and entropy; those of
-``threshold`` or more are spans of kind ``literal``. Three fixed patterns give the base spans of the kinds ``assign``,
-``access`` and ``hex``; a scored literal that lies inside a base span adds nothing.
+A text is lexed as source and configuration files are written: strings (one line, triple or backtick, with prefixes and
+escapes), names, assignment signs (``=``, ``:``, ``:=``, ``=>``), call arguments (``set("name", "literal")``), XML elements
+and YAML lists and blocks. Each assignment gives a name and the terms of its right side: literals, joined where the source
+joins them (``"a" + "b"``, strings side by side, parentheses over lines), lists item by item, and other names. What a
+string holds is lexed too. Names and literals may have any length.
+
+Constants are propagated in the order of the text: a name on a right side stands for its last assignment before that place,
+or where there is none (configuration that refers forward) for its first one after it. A literal is scored by the most
+sensitive name that reaches it and by its own length, alphabet and entropy; those of ``threshold`` or more are spans of
+kind ``literal``. Three fixed patterns give the base spans of the kinds ``assign``, ``access`` and ``hex``; a scored literal
+that lies inside a base span adds nothing.
 
 Defined results: a null text is an empty one, without spans. Rows are independent, so ties, repeated rows and null ids
 need no rule; extra columns are ignored; an empty table gives an empty result. Positions count code points, ends are
-exclusive.
+exclusive. Work is in proportion to a text's length.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,8 +39,24 @@ ASSIGN_HINT = re.compile(r"password|passwd|secret|token|api_?key", re.ASCII | re
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 LEAST_ASSIGN = 6
-#: The lexer's pair: a name, a separator, then a quoted literal (with escapes) or a bare word, each of any length.
-PAIR = re.compile(r"""(?<![\w.-])["']?([A-Za-z_][\w.-]*+)["']?[ \t]*+(?::=|[:=])(?![=:])[ \t]*+(?:"([^"\\\n]*+(?:\\.[^"\\\n]*+)*+)"|'([^'\\\n]*+(?:\\.[^'\\\n]*+)*+)'|([^\s"'#,;(){}\[\]]++))""", re.ASCII)
+def _string(kind: str) -> str:
+    """A closed string with a prefix or none; its groups kind1 to kind5 are what it holds. A quote right after a word is an apostrophe."""
+    three = [rf"{q * 3}(?P<{kind}{i}>(?:[^{q}\\]|\\.|{q}(?!{q * 2}))*+){q * 3}" for i, q in ((1, '"'), (2, "'"))]
+    one = [rf"{q}(?P<{kind}{i}>[^{q}\\\n]*+(?:\\[^\n][^{q}\\\n]*+)*+){q}" for i, q in ((3, '"'), (4, "'"))]
+    return rf"(?<!\w)[rRbBuUfF]{{0,2}}(?:{'|'.join(three + one)}|`(?P<{kind}5>[^`\n]*+)`)"
+
+
+SIGN = r"[ \t]*+(?P<sign>:=|=>|[:=](?![=:]))[ \t]*+"
+#: What can begin an assignment: a string or name with a sign (or, in a call, a string with a comma), or an XML element.
+HEAD = re.compile(
+    rf"""\\.|{_string("s")}(?:{SIGN}|[ \t]*+(?P<comma>,)[ \t]*+(?=[rRbBuUfF]?["']))?|<(?P<tag>[A-Za-z_][\w.-]*+)>(?P<body>[^<>\s]++)</(?P=tag)>|(?<![\w.-])(?P<name>[A-Za-z_][\w.-]*+)["']?{SIGN.replace("sign", "sign2")}""", re.ASCII | re.DOTALL
+)
+TERM = re.compile(rf"""{_string("t")}|(?P<bare>[^\s"'`#,;(){{}}\[\]<>|+]++(?:\+[^\s"'`#,;(){{}}\[\]<>|+]+)*+\+?)""", re.ASCII | re.DOTALL)
+NAME = re.compile(r"[A-Za-z_][\w.-]*+", re.ASCII)
+BLANK, BLANKS = re.compile(r"[ \t]*+"), re.compile(r"\s*+")
+#: After a YAML key without a value: its list items or block, by indentation.
+BLOCK = re.compile(r"(?:[|>][+-]?\d?)?[ \t]*+\n")
+LINE = re.compile(r"([ \t]*+)(- )?([^\n]*+)\n?")
 #: Sensitive words in a name and their weights.
 SENSITIVE = {"password": 1.0, "passwd": 1.0, "pwd": 0.9, "passphrase": 1.0, "secret": 1.0, "token": 0.9, "apikey": 1.0, "accesskey": 1.0, "privatekey": 1.0, "credential": 0.9, "credentials": 0.9, "auth": 0.6, "bearer": 0.8, "key": 0.4}
 #: Whole literals that never are secrets.
@@ -58,34 +80,152 @@ def literal_weight(value: str) -> float:
     return min(1.0, entropy / 3.5) * (0.4, 0.5, 0.85, 1.0, 1.0)[kinds] * min(1.0, n / 12)
 
 
+def _held(m: re.Match, kind: str) -> tuple[int, int] | None:
+    """The span of what a string holds, if the match is one."""
+    return next((m.span(f"{kind}{i}") for i in range(1, 6) if m[f"{kind}{i}"] is not None), None)
+
+
+@dataclass
+class Assignment:
+    """A name, the literal pieces that its right side joins, and the names that occur there."""
+
+    name: str
+    at: int
+    literals: list[tuple[int, int]]
+    names: list[tuple[str, int, int]]
+
+
+def _right_side(text: str, pos: int, end: int, name: str, at: int, sign: str) -> tuple[list[Assignment], int, list[tuple[int, int]]]:
+    """The assignments of a right side that begins at pos (a list gives one for each item), where it ends, and its strings."""
+    out, strings, depth, listed, resume = [Assignment(name, at, [], [])], [], 0, False, None
+    if sign == ":" and (m := BLOCK.match(text, pos, end)) and text[pos : pos + 1] in "|>\n \t":
+        return _indented(text, m.end(), end, name, at, text.rfind("\n", 0, at) + 1, m[0].strip() != "")
+    while True:
+        pos = (BLANKS if depth else BLANK).match(text, pos, end).end()
+        c = text[pos : pos + 1]
+        if c in ("(", "[") and c and not out[-1].literals and not out[-1].names:
+            depth, listed, pos = depth + 1, listed or c == "[", pos + 1
+            continue
+        m = TERM.match(text, pos, end)
+        if not m:
+            break
+        if held := _held(m, "t"):
+            out[-1].literals.append(held)
+            strings.append(held)
+        elif NAME.fullmatch(m["bare"]):
+            out[-1].names.append((m["bare"], *m.span("bare")))
+            resume = m.start()  # it may be assigned itself: a = b = "c"
+        else:
+            out[-1].literals.append(m.span("bare"))
+        pos = m.end()
+        after = (BLANKS if depth else BLANK).match(text, pos, end).end()
+        if text[after : after + 1] == "+":
+            pos = BLANKS.match(text, after + 1, end).end()
+        elif listed and text[after : after + 1] == ",":
+            out.append(Assignment(name, at, [], []))
+            pos = after + 1
+        elif held and (n := TERM.match(text, after, end)) and _held(n, "t"):
+            pos = after
+        else:
+            break
+    return out, pos if resume is None else resume, strings
+
+
+def _indented(text: str, pos: int, end: int, name: str, at: int, start: int, block: bool) -> tuple[list[Assignment], int, list[tuple[int, int]]]:
+    """A YAML key's list items, or its block as one literal."""
+    own = BLANK.match(text, start).end() - start
+    out, first, last = [], None, pos
+    while pos < end and (m := LINE.match(text, pos, end)):
+        deeper = len(m[1]) > own or (m[2] and len(m[1]) == own and not block)
+        if not m[3].strip() and not m[2]:
+            if not block or m.end() == pos:
+                break
+        elif not deeper or not (block or m[2]):
+            break
+        elif block:
+            first, last = m.end(1) if first is None else first, m.end(3)
+        else:
+            value = TERM.match(text, m.start(3), m.end(3))
+            if value and not text[value.end() : m.end(3)].strip():
+                out.append(Assignment(name, at, [_held(value, "t") or value.span("bare")], []))
+        if m.end() == pos:
+            break
+        pos = m.end()
+    if first is not None:
+        return [Assignment(name, at, [(first, last)], [])], last, []
+    # Lines of a list are lexed on their own too.
+    return out, last if block else at + len(name), []
+
+
+def assignments(text: str) -> tuple[list[Assignment], int]:
+    """All assignments: first those of the text in order, as many as the number says, then those that strings hold."""
+    out: list[Assignment] = []
+    parts = [(0, len(text))]
+    outer = 0
+    for k, (pos, end) in enumerate(parts):
+        while pos < end and (m := HEAD.search(text, pos, end)):
+            pos = m.end()
+            held = _held(m, "s")
+            if m["tag"]:
+                out.append(Assignment(m["tag"], m.start("tag"), [m.span("body")], []))
+            elif m["name"] or (held and (m["sign"] or m["comma"]) and NAME.fullmatch(text, *held)):
+                name, at = (m["name"], m.start("name")) if m["name"] else (text[held[0] : held[1]], held[0])
+                found, after, strings = _right_side(text, pos, end, name, at, m["sign2"] or m["sign"] or ",")
+                out += [x for x in found if x.literals or x.names]
+                pos = max(pos, after) if after > pos else pos
+                parts += [x for x in strings if "=" in text[x[0] : x[1]] or ":" in text[x[0] : x[1]]]
+                held = None
+            if held and ("=" in text[held[0] : held[1]] or ":" in text[held[0] : held[1]]):
+                parts.append(held)
+        if k == 0:
+            outer = len(out)
+    return out, outer
+
+
 def scored_literals(text: str, threshold: float = THRESHOLD) -> list[tuple[int, int, float]]:
     """(start, end, score) of each literal that reaches a sensitive name directly or through other names."""
-    pairs, bound, parts = [], {}, [(0, len(text))]
-    for part in parts:  # the text, then what its quoted literals hold, where a name that is bound already stays so
-        for m in PAIR.finditer(text, *part):
-            k = next(i for i in (2, 3, 4) if m[i] is not None)
-            pairs.append((m[1], m[k], m.start(k), m.end(k), k == 4))
-            if (part is parts[0] or m[1] not in bound) and (k != 4 or not re.fullmatch(r"[A-Za-z_][\w.-]*", m[k], re.ASCII)):
-                bound[m[1]] = m.span(k)
-            if k != 4 and ("=" in m[k] or ":" in m[k]):
-                parts.append(m.span(k))
-    if not pairs:
-        return []
-    alias = {name: value for name, value, _, _, bare in pairs if bare and name not in bound}
-    best: dict[tuple[int, int], float] = {}
-    for name, value, start, end, bare in pairs:
-        if not (weight := name_weight(name)):
-            continue
-        at, seen = (start, end), set()
-        if bare and (value in bound or value in alias):
-            while value in alias and value not in bound and value not in seen:
-                seen.add(value)
-                value = alias[value]
-            if value not in bound:
+    found, outer = assignments(text)
+    # Where each name is assigned: in the text itself, or where it isn't, in what strings hold.
+    where: dict[str, list[int]] = {}
+    for some in (range(outer), range(outer, len(found))):
+        known = set(where)
+        for i in some:
+            if found[i].name not in known:
+                where.setdefault(found[i].name, []).append(i)
+    weight = [name_weight(x.name) for x in found]
+    reached: dict[int, float] = {}
+    own: dict[int, list[tuple[int, int]]] = {}
+    for level in sorted({w for w in weight if w}, reverse=True):
+        todo = [i for i, w in enumerate(weight) if w == level and i not in reached]
+        for i in todo:  # grows as names lead on; each assignment is visited once, by its most sensitive name
+            if i in reached:
                 continue
-            at = bound[value]
-        if (score := weight * literal_weight(text[at[0] : at[1]])) >= threshold:
-            best[at] = max(best.get(at, 0.0), score)
+            reached[i] = level
+            own[i] = list(found[i].literals)
+            for name, start, stop in found[i].names:
+                places = where.get(name)
+                if not places:
+                    own[i].append((start, stop))
+                    continue
+                k = bisect.bisect_left(places, i)
+                earlier = places[k - 1] if k else None
+                if earlier is None:
+                    later = [p for p in places[k : k + 2] if p != i]
+                    earlier = later[0] if later else None
+                if earlier is not None:
+                    group = found[earlier].at
+                    while earlier > 0 and found[earlier - 1].at == group and found[earlier - 1].name == name:
+                        earlier -= 1
+                    while earlier < len(found) and found[earlier].at == group and found[earlier].name == name:
+                        todo.append(earlier)
+                        earlier += 1
+    best: dict[tuple[int, int], float] = {}
+    for i, level in reached.items():
+        pieces = sorted(own[i])
+        if (score := level * literal_weight("".join("".join(text[a:b].split("\n")) if "\n" not in text[a:b] else "".join(text[a:b].split()) for a, b in pieces))) >= threshold:
+            for at in pieces:
+                if at[0] < at[1]:
+                    best[at] = max(best.get(at, 0.0), score)
     return [(a, b, s) for (a, b), s in sorted(best.items())]
 
 
