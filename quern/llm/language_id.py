@@ -4,8 +4,9 @@ A linear model predicts the language family first; inside the family, one linear
 its languages votes. Features are hashed byte n-grams (2 to 4) of the lower-cased letters of the whole text, counted,
 square-rooted and scaled to length one. Languages outside ``FAMILIES`` are a family of their own each.
 
-Training reads at most ``MOST_TRAIN`` documents of each language, those with the smallest hash of doc_id, and at most
-``MOST_CHARS`` code points of each; this bounds what comes to the driver. Predictions read whole texts in Spark tasks; the
+Training reads at most ``MOST_TRAIN`` documents of each language, those with the smallest hash of doc_id. Their features are
+taken from whole texts in Spark tasks and come to the driver as the hashed n-grams that occur (``DIMS`` at most), so what
+it holds is bounded by the number of languages; each machine is fitted on the rows of its own languages. Predictions read whole texts in Spark tasks; the
 weights that go along are ``DIMS`` numbers for each family and pair.
 
 Defined results: ``und`` with score 0.0 where the text is null or has no letter, and for every text if nothing was learned.
@@ -24,9 +25,10 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quern.llm.common import bounded_batches, docs_of
+from quern.llm.common import bounded_batches, docs_of, written
 from quern.llm.quality import held_out
 
 #: Families of languages.
@@ -34,7 +36,8 @@ FAMILIES = {"en": "germanic", "de": "germanic", "nl": "germanic", "sv": "germani
 DIMS = 1 << 12
 ORDERS = (2, 3, 4)
 MOST_TRAIN = 600
-MOST_CHARS = 20_000
+#: Rows on which one family's machine is fitted.
+MOST_FAMILY = 6000
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
 #: Bytes of lower-cased text that aren't letters become a space; those over 127 are parts of letters here.
@@ -107,35 +110,54 @@ class LanguageModel:
         return best, float(sure)
 
 
-def fit(texts: list[tuple[str, str]], families: dict[str, str] = FAMILIES) -> LanguageModel:
-    """The model of (text, language) rows."""
-    rows = [(t, lang) for t, lang in texts if t and LETTER.search(t)]
-    languages = sorted({lang for _, lang in rows})
+def fit(rows: list[tuple[np.ndarray, np.ndarray, str]], families: dict[str, str] = FAMILIES) -> LanguageModel:
+    """The model of rows (n-grams that occur, their weights, language)."""
+    languages = sorted({lang for _, _, lang in rows})
     own = {lang: families.get(lang, lang) for lang in languages}
     model = LanguageModel(languages, own)
     if len(languages) < 2:
         return model
-    x = np.stack([features(t) for t, _ in rows])
-    lang = np.array([v for _, v in rows])
-    family = np.array([own[v] for v in lang])
-    if len(kinds := sorted(set(family))) > 1:
-        model.family_weights = {str(f): linear_svm(x, np.where(family == f, 1.0, -1.0)) for f in kinds}
+
+    def machine(some: list, left: set[str]) -> np.ndarray:
+        x = np.zeros((len(some), DIMS), np.float32)
+        for i, (at, weight, _) in enumerate(some):
+            x[i, at] = weight
+        return linear_svm(x, np.array([1.0 if lang in left else -1.0 for _, _, lang in some]))
+
+    if len(kinds := sorted(set(own.values()))) > 1:
+        # Of each language an equal share, so the rows of one machine stay bounded whatever the number of languages.
+        share = max(20, MOST_FAMILY // len(languages))
+        some = [r for lang in languages for r in [x for x in rows if x[2] == lang][:share]]
+        model.family_weights = {f: machine(some, {k for k in languages if own[k] == f}) for f in kinds}
     for f in kinds:
         for a, b in combinations([k for k in languages if own[k] == f], 2):
-            of = (lang == a) | (lang == b)
-            model.pair_weights[a, b] = linear_svm(x[of], np.where(lang[of] == a, 1.0, -1.0))
+            model.pair_weights[a, b] = machine([r for r in rows if r[2] in (a, b)], {a})
     return model
 
 
+def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        at, weight = [], []
+        for text in batch.column("text"):
+            x = features(text.as_py()) if LETTER.search(text.as_py()) else np.zeros(0)
+            at.append(np.flatnonzero(x).astype(np.int32))
+            weight.append(x[at[-1]].astype(np.float32))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(at, pa.list_(pa.int32())), pa.array(weight, pa.list_(pa.float32()))], ["doc_id", "lang", "at", "weight"])
+
+
 def train(docs: DataFrame, most: int = MOST_TRAIN) -> LanguageModel:
+    """The model from the documents that aren't held out and have a language."""
     rows = docs_of(docs, "doc_id", "text", "lang").where("doc_id is not null and lang is not null and text is not null").where(~held_out())
-    keys = rows.select("lang", F.struct(F.xxhash64("doc_id").alias("h"), "doc_id").alias("k"))
-    # The smallest hashes of each language: a bounded list from every task, so a language with most rows is no hot group.
-    least = keys.groupBy("lang", F.spark_partition_id().alias("part")).agg(F.slice(F.array_sort(F.collect_list("k")), 1, most).alias("ks"))
-    chosen = least.groupBy("lang").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ks"))), 1, most).alias("ks")).select("lang", F.explode("ks.doc_id").alias("doc_id"))
-    got = rows.join(F.broadcast(chosen), ["doc_id", "lang"]).select("doc_id", "lang", F.substring("text", 1, MOST_CHARS).alias("text"))
-    got = got.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).orderBy("doc_id", "lang").collect()
-    return fit([(r["text"], r["lang"]) for r in got])
+    keys = rows.select("lang", "doc_id", F.xxhash64("doc_id").alias("h"))
+    # Per language as many hash ranges as it has rows, so that the lowest one or two hold enough: no list of all partitions' rows.
+    sizes = written(keys.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
+    limit = F.least(F.lit(float(1 << 63)), F.lit(float(1 << 63)) * 4 * most / F.col("n") - F.lit(float(1 << 62)) * 2)
+    near = keys.join(F.broadcast(sizes), "lang").where((F.col("n") <= 2 * most) | (F.col("h").cast("double") < limit))
+    place = F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))
+    chosen = near.withColumn("place", place).where(F.col("place") <= most).select("lang", "doc_id").distinct()
+    got = rows.join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    got = got.mapInArrow(_feature_rows, "doc_id long, lang string, at array<int>, weight array<float>").where("size(at) > 0").orderBy("doc_id", "lang").collect()
+    return fit([(np.array(r["at"]), np.array(r["weight"]), r["lang"]) for r in got])
 
 
 def _predict_with(model: LanguageModel):
