@@ -30,7 +30,22 @@ SENTENCES = {
     "You may not use this file except in compliance with the License.": "apache2-compliance",
     "You may obtain a copy of the License at": "apache2-copy",
     "This work is licensed under the GNU General Public License, version 3.": "gpl3-notice",
-    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.": "gpl3-grant",
+    "This program is free software": "gpl-free",
+    "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.": "gpl3-grant",
+    "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation": "gpl-grant",
+    "either version 2 of the License, or (at your option) any later version.": "version2-later",
+    "either version 2.1 of the License, or (at your option) any later version.": "version2.1-later",
+    "either version 3 of the License, or (at your option) any later version.": "version3-later",
+    "This library is free software": "lgpl-free",
+    "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation": "lgpl-grant",
+    "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.": "lgpl3-grant",
+    "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.": "agpl3-grant",
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.": "mpl2-notice",
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.": "isc-grant",
+    "Distributed under the Boost Software License, Version 1.0.": "bsl-notice",
+    "This is free and unencumbered software released into the public domain.": "unlicense-notice",
+    "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide.": "cc0-grant",
+    "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0": "epl2-notice",
     "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.": "gpl-warranty",
     "Licensed under CC BY-NC 4.0.": "cc-by-nc-4-notice",
     "This work is licensed under CC BY 4.0.": "cc-by-4-notice",
@@ -42,12 +57,23 @@ SENTENCES = {
     "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.": "bsd-endorse",
     "All rights reserved.": "all-rights-reserved",
 }
+#: Licence names of SPDX tags; a tag is a sentence of its own.
+SPDX = ("MIT", "Apache-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "ISC", "BSL-1.0", "Unlicense", "CC0-1.0", "EPL-2.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0")
+SENTENCES |= {f"SPDX License Identifier {name}": f"spdx-{name}" for name in SPDX}
 #: Ordered rules, each a licence and the identifiers that must follow one another; longer ones come first.
 RULES = (
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse")),
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
     ("Apache-2.0", ("apache2-notice", "apache2-compliance", "apache2-copy")),
     ("MIT", ("mit-grant", "mit-condition")),
+    ("GPL-2.0-or-later", ("gpl-free", "gpl-grant", "version2-later")),
+    ("GPL-3.0-or-later", ("gpl-free", "gpl-grant", "version3-later")),
+    ("LGPL-2.1-or-later", ("lgpl-free", "lgpl-grant", "version2.1-later")),
+    ("LGPL-3.0-or-later", ("lgpl-free", "lgpl-grant", "version3-later")),
+    ("LGPL-2.1-or-later", ("lgpl-grant", "version2.1-later")),
+    ("LGPL-3.0-or-later", ("lgpl-grant", "version3-later")),
+    ("GPL-2.0-or-later", ("gpl-grant", "version2-later")),
+    ("GPL-3.0-or-later", ("gpl-grant", "version3-later")),
     ("GPL-3.0-or-later", ("gpl3-grant", "gpl-warranty")),
     ("Apache-2.0", ("apache2-notice",)),
     ("MIT", ("mit-notice",)),
@@ -56,8 +82,19 @@ RULES = (
     ("CC-BY-NC-4.0", ("cc-by-nc-4-notice",)),
     ("CC-BY-SA-4.0", ("cc-by-sa-4-notice",)),
     ("CC-BY-4.0", ("cc-by-4-notice",)),
+    ("LGPL-3.0-or-later", ("lgpl3-grant",)),
+    ("AGPL-3.0-or-later", ("agpl3-grant",)),
+    ("MPL-2.0", ("mpl2-notice",)),
+    ("ISC", ("isc-grant",)),
+    ("BSL-1.0", ("bsl-notice",)),
+    ("Unlicense", ("unlicense-notice",)),
+    ("CC0-1.0", ("cc0-grant",)),
+    ("EPL-2.0", ("epl2-notice",)),
+    *((name, (f"spdx-{name}",)) for name in SPDX),
     ("LicenseRef-Proprietary", ("all-rights-reserved",)),
 )
+#: An SPDX tag begins a line of its own here, without the colon that would end a sentence.
+TAG = r"spdx-license-identifier:[ \t]*"
 #: A sentence ends at . ; : ! ? before white space, or at a blank or full line end.
 SENTENCE_END = r"(?:[.;:!?]\s+|\n+)"
 NOT_WORD = r"[^a-z0-9.]+|\.(?![0-9])|(?<![0-9])\."
@@ -103,8 +140,8 @@ def license_scan(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules:
     """doc_id, sentence_ids (in text order, comma-joined), licenses (sorted, comma-joined), n_licenses."""
     known = known_pieces(sentences)
     table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-    text = F.coalesce(F.col("text"), F.lit(""))
-    names = F.array_compact(F.transform(F.regexp_extract_all(F.lower(text), F.lit(_wrapped(known)), F.lit(1)), lambda s: F.try_element_at(table, normalised(s))))
+    text = F.regexp_replace(F.lower(F.coalesce(F.col("text"), F.lit(""))), TAG, "\nspdx license identifier ")
+    names = F.array_compact(F.transform(F.regexp_extract_all(text, F.lit(_wrapped(known)), F.lit(1)), lambda s: F.try_element_at(table, normalised(s))))
     # A text without the first words of any known sentence is not searched.
     found = docs.select("doc_id", F.when(text.rlike(_starts(known)), names).otherwise(F.array().cast("array<string>")).alias("names"))
     # A sentence of several pieces gives its identifier once.

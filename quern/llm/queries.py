@@ -73,7 +73,7 @@ def _license_sql() -> str:
         steps.append(f"r{k} AS (SELECT doc_id, ids, replace(state, '{needle}', '||') AS state, CASE WHEN contains(state, '{needle}') THEN list_append(got, '{name}') ELSE got END AS got FROM {last})")
         last = f"r{k}"
     return rf"""
-        WITH s AS (SELECT doc_id, regexp_split_to_array(coalesce(text, ''), '[.;:!?]\s+|\n+') AS parts FROM documents),
+        WITH s AS (SELECT doc_id, regexp_split_to_array(regexp_replace(lower(coalesce(text, '')), 'spdx-license-identifier:[ \t]*', chr(10) || 'spdx license identifier ', 'g'), '[.;:!?]\s+|\n+') AS parts FROM documents),
         n AS (SELECT doc_id, list_filter(list_transform(parts, lambda x: MAP {{{known}}}[{spelled}]), lambda y: y IS NOT NULL) AS names FROM s),
         r0 AS (SELECT doc_id, ids, '|' || array_to_string(ids, '||') || '|' AS state, []::VARCHAR[] AS got FROM
             (SELECT doc_id, list_filter(names, lambda x, i: i = 1 OR names[i - 1] <> x) AS ids FROM n)),
