@@ -348,7 +348,7 @@ def near_dup(docs: DataFrame, group_buckets: int | None = None) -> DataFrame:
     final = connected_components(links.unionByName(more)) if more.take(1) else first
 
     placed = rows.join(final.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    least = placed.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    least = written(placed.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id")))
     out = placed.join(least, "component", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
