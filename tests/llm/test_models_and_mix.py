@@ -19,6 +19,10 @@ def test_quality_accuracy(spark):
     assert all(r["held_out"] == held_out(r["doc_id"]) and (r["score"] >= 0.5) == (r["predicted"] == 1) for r in rows)
     tried = [r for r in rows if r["held_out"]]
     assert sum(r["predicted"] == r["quality"] for r in tried) / len(tried) > 0.85
+    good, bad = ([r["score"] for r in tried if r["quality"] == v] for v in (1, 0))
+    assert sum((g > b) + (g == b) / 2 for g in good for b in bad) / (len(good) * len(bad)) > 0.95
+    # Calibration: the mean score is the share of good labels, within a few points.
+    assert abs(sum(r["score"] for r in tried) / len(tried) - len(good) / len(tried)) < 0.1
 
 
 def test_quality_edges(spark):
@@ -44,6 +48,27 @@ def test_quality_of_long_texts():
     assert long == pytest.approx(short, rel=0.1) and turned == pytest.approx(-4 / 6 * short, rel=0.1)
 
 
+def test_quality_sizes_are_those_of_the_pieces():
+    import zstandard
+
+    model = quality.CompressionModel(b"good words flow " * 200, b"%%% $$$ !! " * 200, 1.0, 0.0, 0.5)
+    size = lambda d, t: len(zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_dict_id=False).compress(t))
+    for text in (b"", b"good words", b"good words flow here " * 3000, b"%%% good " * 5000):
+        pieces = [text[i : i + quality.PIECE_BYTES] for i in range(0, len(text), quality.PIECE_BYTES)]
+        assert model.difference([text]) == [sum(size(model.bad, p) - size(model.good, p) for p in pieces) / (len(text) + 1)]
+
+
+def test_dictionaries_hold_the_ends_of_texts():
+    text = b"".join(b"%07d " % i for i in range(200000))
+    part = quality.spread(text, 8 << 10)
+    assert len(part) <= 9 << 10 and text[:100] in part and text[-100:] in part and text[len(text) // 3 * 2 :][:20000].count(b" ") > 0
+    assert quality.spread(b"short", 8 << 10) == b"short"
+    left, right = b"good words flow here " * 50000, b"%%% $$$ !! @@ " * 75000
+    model = quality.CompressionModel(quality._dictionary([left]), quality._dictionary([right]), 1.0, 0.0, 0.5)
+    one, other = model.difference([left + right, right + left])
+    assert abs(one - other) < 0.002
+
+
 def test_quality_prior_counts_all_labels(spark):
     docs = spark.createDataFrame([(i, "good words flow here " * 20 if i % 4 else "%%% $$$ !! " * 20) for i in range(200)] + [(900, "")], "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(200)], "doc_id long, quality int")
@@ -60,6 +85,32 @@ def test_language_accuracy(spark):
     assert sum(r["lang_pred"] == r["lang"] for r in tried) / len(tried) > 0.95
 
 
+def test_votes_are_those_of_all_pairs():
+    import random
+    from itertools import combinations
+
+    import numpy as np
+
+    r = random.Random(4)
+    letters = {"en": "abcde", "de": "cdefg", "nl": "efghi", "fr": "jklmn", "es": "lmnop"}
+    said = lambda k: " ".join("".join(r.choice(letters[k]) for _ in range(4)) for _ in range(30))
+    rows = [(said(k), k) for k in letters for _ in range(12)]
+    sparse = [(np.flatnonzero(x := language_id.features(t)), x[np.flatnonzero(x)], k) for t, k in rows]
+    model = language_id.fit(sparse)
+    for text, _ in rows:
+        x = np.append(language_id.features(text), 1.0)
+        family = max(sorted(model.family_weights), key=lambda f: model.family_weights[f] @ x)
+        inside = [k for k in model.languages if language_id.FAMILIES[k] == family]
+        votes = {k: [0, 0.0] for k in inside}
+        for a, b in combinations(inside, 2):
+            m = model.pair_weights[a, b] @ x
+            votes[a if m > 0 else b][0] += 1
+            votes[a][1] += m
+            votes[b][1] -= m
+        assert model.predict(text)[0] == max(inside, key=lambda k: votes[k])
+    assert sum(model.predict(t)[0] == k for t, k in rows) / len(rows) > 0.95
+
+
 def test_language_edges(spark):
     said = {"en": "the cat and the dog with that thing", "de": "der hund und die katze mit schönem ding", "fr": "le chat et la chienne avec une été", "xx": "zqzq qzqz zzqq qqzz"}
     rows = [(i, " ".join([said[k]] * (1 + i % 5)), k, "s") for i, k in enumerate([*said] * 20)]

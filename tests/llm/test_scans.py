@@ -73,6 +73,52 @@ def test_secrets_of_any_length():
     assert time.monotonic() - begun < 20
 
 
+def test_literals_of_each_syntax():
+    key = "q8Zt-41xLmP_w0Rk"
+    found = lambda text: [text[a:b] for a, b, _ in secret_scan.scored_literals(text)]
+    for text in (
+        f'db_pwd = "{key}"', f"db_pwd := '{key}'", f"'db_pwd' => '{key}',", f'{{"db_pwd": "{key}"}}', f"db_pwd: {key}", f"export DB_PWD={key}", f"<db_pwd>{key}</db_pwd>",
+        f'connect(user="x", db_pwd="{key}")', f'setenv("DB_PWD", "{key}")', f'db_pwd = """{key}"""', f"db_pwd = b'{key}'", f"const dbPwd = `{key}`;", f"db_pwd:\n  - {key}\n", f"a:\n  db_pwd: |\n    {key}\n  b: c",
+        f"it's here: db_pwd = '{key}'", f"db_pwd = ['{key}']", f'# db_pwd = "{key}"', f'log = "db_pwd={key}"',
+    ):
+        assert found(text) == [key], text
+    assert found(f'db_pwd = "{key[:8]}" + "{key[8:]}"') == found(f'db_pwd = ("{key[:8]}"\n  "{key[8:]}")') == [key[:8], key[8:]]
+    assert found(f'db_pwd = ["{key}", "{key[::-1]}"]') == [key, key[::-1]]
+    # Constants: the last assignment before the place counts, or the first one after it.
+    assert found(f'K = "{key}"\ndb_pwd = K\nK = "zz"') == found(f'K = "zz"\nK = "{key}"\ndb_pwd = K') == found(f'db_pwd = K\nK = "{key}"\nK = "zz"') == [key]
+    assert found(f'K = "{key}"\nK = "zz"\ndb_pwd = K') == []
+    assert found(f'A = "{key}"\nB = A\nA = "zz"\ndb_pwd = B') == [key] and found(f'A = "{key[:8]}" + B\nB = "{key[8:]}"\nx = 1') == []
+    assert found('db_pwd = db_pwd\n' * 3) == [] and found("if db_pwd == other: pass") == []
+
+
+def literals_expected(lines):
+    """Brute force over programs of simple assignments: each sensitive name's reachable literal, by walking the lines."""
+    out = set()
+    for i, (name, value) in enumerate(lines):
+        if not secret_scan.name_weight(name):
+            continue
+        at, seen = i, set()
+        while at is not None and not lines[at][1].startswith('"') and at not in seen:
+            seen.add(at)
+            named = [k for k, (n, _) in enumerate(lines) if n == lines[at][1]]
+            at = max((k for k in named if k < at), default=min((k for k in named if k > at), default=None))
+        if at is not None and lines[at][1].startswith('"') and secret_scan.name_weight(name) * secret_scan.literal_weight(lines[at][1][1:-1]) >= secret_scan.THRESHOLD:
+            out.add(at)
+    return out
+
+
+def test_propagation_is_that_of_brute_force():
+    import random
+
+    r = random.Random(2)
+    for _ in range(300):
+        lines = [(r.choice(["aa", "bb", "cc", "api_token", "db_pwd", "dd"]), r.choice(["aa", "bb", "cc", "db_pwd", "dd", f'"q8Zt41xLmPw0Rk{i}"', '"short"'])) for i in range(r.randrange(1, 12))]
+        text = "\n".join(f"{n} = {v}" for n, v in lines)
+        starts = [sum(len(f"{n} = {v}") + 1 for n, v in lines[:k]) for k in range(len(lines))]
+        expected = {(starts[k] + len(lines[k][0]) + 4, starts[k] + len(lines[k][0]) + 2 + len(lines[k][1])) for k in literals_expected(lines)}
+        assert {(a, b) for a, b, _ in secret_scan.scored_literals(text)} == expected, text
+
+
 LICENSES = [
     (None, "", ""),
     ("", "", ""),
@@ -80,7 +126,7 @@ LICENSES = [
     ("x. licensed UNDER the   Apache License, Version 2.0.  Y", "apache2-notice", "Apache-2.0"),
     ("Licensed under CC BY-NC 4.0.\nAll rights reserved.", "cc-by-nc-4-notice,all-rights-reserved", "CC-BY-NC-4.0,LicenseRef-Proprietary"),
     ("Licensed under the MIT License and others.", "", ""),
-    ("\n".join(license_scan.SENTENCES), None, "Apache-2.0,BSD-3-Clause,CC-BY-4.0,CC-BY-NC-4.0,CC-BY-SA-4.0,GPL-3.0-only,GPL-3.0-or-later,LicenseRef-Proprietary,MIT"),
+    ("\n".join(license_scan.SENTENCES), None, ",".join(sorted({name for name, _ in license_scan.RULES}))),
     ("All rights reserved! all rights reserved.", "all-rights-reserved", "LicenseRef-Proprietary"),
 ]
 
@@ -109,14 +155,18 @@ def test_wrapped_licenses(spark):
 
     said = {name: [s for s, n in license_scan.SENTENCES.items() if n == name] for name in license_scan.SENTENCES.values()}
     body = lambda *names: " ".join(said[n][-1] for n in names)
+    lesser = "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."
+    older = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."
+    affero = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
     bsd, mit, gpl = body("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"), body("mit-grant", "mit-condition"), body("gpl3-grant", "gpl-warranty")
     apache = 'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n'
     leaders = lambda text, leader: "\n".join(leader + line for line in text.split("\n"))
     texts = []
-    for text, name in ((bsd, "BSD-3-Clause"), (mit, "MIT"), (gpl, "GPL-3.0-or-later"), (apache, "Apache-2.0")):
+    for text, name in ((bsd, "BSD-3-Clause"), (mit, "MIT"), (gpl, "GPL-3.0-or-later"), (apache, "Apache-2.0"), (lesser, "LGPL-2.1-or-later"), (older, "GPL-2.0-or-later"), (affero, "AGPL-3.0-or-later"), (body("isc-grant"), "ISC"), (body("mpl2-notice"), "MPL-2.0")):
         for width in (40, 72, 80):
             some = text if text == apache else textwrap.fill(text, width)
             texts += [(x, name) for x in (some, some.replace("\n", "\r\n"), "/*\n" + leaders(some, " * ") + "\n */\ncode();", leaders(some, "# "), leaders(some, "// "), leaders(some, ";; "))]
+    texts += [("// SPDX-License-Identifier: Apache-2.0\ncode()", "Apache-2.0"), ("/* SPDX-License-Identifier: MIT */", "MIT"), ("the SPDX-License-Identifier is MIT", ""), ("MIT.", "")]
     later = 'you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.'
     texts += [(later, "GPL-3.0-or-later"), ("x\nLicensed under\n\nthe MIT License.", ""), ("Licensed under. the MIT License.", ""), ("Not licensed under\nthe MIT License.", ""), ("Licensed under\nthe MIT License or not.", ""), ("\n" * 300000 + "Licensed under" + " *" * 100000 + " the MIT License", "MIT")]
     texts += [("Licensed under CC BY\n4.0.\nAll rights\nreserved", "CC-BY-4.0,LicenseRef-Proprietary"), ("Licensed under CC BY 4.0.5", ""), ("Licensed under the MIT License\nand more", "MIT")]
@@ -168,7 +218,7 @@ def contaminated_expected(text, item):
     return any(sum(x != y for x, y in zip(a[i : i + size], b[j : j + size], strict=True)) <= most for i in range(len(a) - size + 1) for j in range(len(b) - size + 1))
 
 
-def test_decontamination(spark):
+def test_decontamination(spark, monkeypatch):
     import random
 
     r = random.Random(3)
@@ -184,13 +234,14 @@ def test_decontamination(spark):
             part[r.randrange(len(part))] = word()
         docs.append(r.choice([" ", ", ", "\n", " !! "]).join([*words, *part, *[word() for _ in range(r.randrange(20))]]).upper() if r.random() < 0.2 else " ".join([*words, *part]))
     bench = spark.createDataFrame([(i, t, "q") for i, t in items], "item_id long, text string, doc_id string")
-    for block in (10**6, 20):
-        rows = {x["doc_id"]: x["items"] for x in decontaminate.decontamination(wide(spark, list(enumerate(docs))), bench, block).collect()}
+    for bits in (27, 5):
+        monkeypatch.setattr(decontaminate, "MOST_BITS", bits)
+        rows = {x["doc_id"]: x["items"] for x in decontaminate.decontamination(wide(spark, list(enumerate(docs))), bench).collect()}
         expected = {d: ",".join(str(i) for i, t in items if i is not None and contaminated_expected(text, t)) for d, text in enumerate(docs)}
         assert rows == expected and sum(map(bool, expected.values())) > 20
     df = wide(spark, [*enumerate(docs), (None, items[0][1]), (None, "clean")])
-    kept = decontaminate.drop_contaminated(df, bench)
-    assert kept.columns == df.columns and kept.count() == sum(not v for v in expected.values()) + 2
+    kept = decontaminate.clean_rows(df, bench)
+    assert kept.columns == df.columns and kept.count() == sum(not v for v in expected.values()) + 1
     assert decontaminate.decontamination(df.limit(0), bench).count() == 0
     assert decontaminate.decontamination(df, bench.limit(0)).where("contaminated").count() == 0
 
@@ -199,9 +250,18 @@ def test_clean_rows_go_by_the_row(spark):
     item = " ".join(f"word{i}" for i in range(20))
     bench = spark.createDataFrame([(1, item), (2, " ".join(f"other{i}" for i in range(20)))], "item_id long, text string")
     df = wide(spark, [(None, "x " + item), (None, "clean"), (5, item + " y"), (5, "clean too"), (6, None)])
-    for block in (10**6, 10):
-        kept = decontaminate.clean_rows(df, bench, block)
-        assert kept.columns == df.columns and sorted((str(r["doc_id"]), str(r["text"])) for r in kept.collect()) == [("5", "clean too"), ("6", "None"), ("None", "clean")]
+    kept = decontaminate.clean_rows(df, bench)
+    assert kept.columns == df.columns and sorted((str(r["doc_id"]), str(r["text"])) for r in kept.collect()) == [("5", "clean too"), ("6", "None"), ("None", "clean")]
+
+
+def test_a_large_benchmark_with_one_opening(spark):
+    """20,000 items that begin alike: the opening is in all of them, and is found with each only where a window agrees."""
+    opening = "choose the best answer to this question"
+    items = [(i, f"{opening} " + " ".join(f"q{i}w{j}" for j in range(9))) for i in range(20000)] + [(20000, "who wrote emma")]
+    docs = [items[7][1] + " and more", f"{opening} but of another kind than any item has it", "so: Who wrote 'Emma'?", "word " * 100000 + items[9][1], items[11][1].replace("q11w1 ", "x ").replace("q11w5", "y")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = {r["doc_id"]: r["items"] for r in decontaminate.decontamination(wide(spark, list(enumerate(docs))), bench).collect()}
+    assert rows == {0: "7", 1: "", 2: "20000", 3: "9", 4: "11"}
 
 
 def test_words_of_any_script(spark):
