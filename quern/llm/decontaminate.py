@@ -46,7 +46,9 @@ SHORT_MASKS = tuple(tuple(range(n)) for n in range(LEAST_WORDS, 6))
 UNSPACED = ((0xE00, 0xEFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19DF), (0x1A20, 0x1AAF), (0x3005, 0x3007), (0x3041, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xA980, 0xA9DF), (0xA9E0, 0xA9FF), (0xAA60, 0xAA7F), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1B000, 0x1B16F), (0x20000, 0x3FFFF))
 #: Words on either side of a seed's first one that its window can reach.
 REACH = WINDOW - 1
-MOST_BITS = 27
+LEAST_BITS, MOST_BITS = 22, 27
+#: A seed sets the bits that it has from each of these places on.
+PROBES = (0, 18, 36)
 #: Stand for the places before and after an item, and before and after a document.
 NO_ITEM, NO_TEXT = np.uint64(0), np.uint64(1)
 
@@ -139,17 +141,16 @@ def benchmark_seeds(benchmark: DataFrame) -> DataFrame:
 
 
 def bitmap(some: DataFrame) -> tuple[int, np.ndarray]:
-    """The number of bits, and which seeds' low bits occur: 16 bits for each seed, and 1 << MOST_BITS of them at most."""
-    n = some.count()
-    bits = min(MOST_BITS, max(10, (16 * n).bit_length()))
-    place = F.col("seed").bitwiseAND((1 << bits) - 1)
-    words64 = some.select(F.shiftright(place, 6).alias("word"), F.expr("shiftleft(1L, cast(seed & 63 as int))").alias("bit")).groupBy("word").agg(F.expr("bit_or(bit)").alias("bit")).toArrow()
+    """The number of bits, and which of them the seeds set: 64 bits for each seed, and 1 << MOST_BITS of them at most."""
+    bits = min(MOST_BITS, max(LEAST_BITS, (64 * some.count()).bit_length()))
+    place = F.explode(F.array(*[F.shiftrightunsigned("seed", p).bitwiseAND((1 << bits) - 1) for p in PROBES]))
+    held = some.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(place & 63 as int)))").alias("bit")).toArrow()
     out = np.zeros(max(1, (1 << bits) >> 6), np.int64)
-    out[words64["word"].to_numpy()] = words64["bit"].to_numpy()
+    out[held["word"].to_numpy()] = held["bit"].to_numpy()
     return bits, out
 
 
-def _hit_rows(bits: int, present: np.ndarray):
+def _hit_rows(bits: int, present: np.ndarray, masks: list[tuple[int, ...]]):
     """The seeds of documents that are in the bitmap, with the words around them."""
     low = np.uint64((1 << bits) - 1)
 
@@ -159,9 +160,11 @@ def _hit_rows(bits: int, present: np.ndarray):
             data, bounds = buffers(batch.column("text"))
             for a, b in slices(bounds):
                 h, off = tokens(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a])
-                for mask in (*MASKS, *SHORT_MASKS):
+                for mask in masks:
                     s = seeds(h, mask)
-                    at = np.flatnonzero(table[(s & low).astype(np.int64)])
+                    at = np.arange(len(s))
+                    for p in PROBES:
+                        at = at[table[(s[at] >> np.uint64(p) & low).astype(np.int64)]]
                     if not len(at):
                         continue
                     doc = np.searchsorted(off, at, "right") - 1
@@ -194,7 +197,9 @@ def row_overlaps(rows: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(key, item_id) of rows (key long, text) and the items that they hold, once each."""
     bounded_batches(rows.sparkSession)
     some = benchmark_seeds(benchmark)
-    hits = rows.select("key", "text").mapInArrow(_hit_rows(*bitmap(some)), "key long, seed long, around array<long>")
+    short = {r["n"] for r in some.where("n < 6").select("n").distinct().collect()}
+    masks = [*MASKS, *(m for m in SHORT_MASKS if len(m) in short)]
+    hits = rows.select("key", "text").mapInArrow(_hit_rows(*bitmap(some), masks), "key long, seed long, around array<long>")
     return hits.join(some, "seed").select("key", "item_id", "n", "around", "words").mapInArrow(_verified, "key long, item_id long").distinct()
 
 

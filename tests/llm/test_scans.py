@@ -236,6 +236,7 @@ def test_decontamination(spark, monkeypatch):
     bench = spark.createDataFrame([(i, t, "q") for i, t in items], "item_id long, text string, doc_id string")
     for bits in (27, 5):
         monkeypatch.setattr(decontaminate, "MOST_BITS", bits)
+        monkeypatch.setattr(decontaminate, "LEAST_BITS", min(22, bits))
         rows = {x["doc_id"]: x["items"] for x in decontaminate.decontamination(wide(spark, list(enumerate(docs))), bench).collect()}
         expected = {d: ",".join(str(i) for i, t in items if i is not None and contaminated_expected(text, t)) for d, text in enumerate(docs)}
         assert rows == expected and sum(map(bool, expected.values())) > 20
