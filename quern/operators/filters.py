@@ -98,9 +98,13 @@ def rendered_reasoning(problem: Column, solution: Column, think: bool = False) -
     return F.when((p != "") & (s != ""), F.concat(F.lit("Problem:\n"), p, F.lit("\n\nSolution:\n"), wrapped))
 
 
+#: Fixed value: the opening thought of a solution without tags.
+OPENING_THOUGHT = "<think>\nAnalyze the problem and solve systematically.\n</think>\n"
+
+
 def with_think(solution: Column) -> Column:
     """A solution without tags gets a short opening thought."""
-    return F.when(F.contains(solution, F.lit("<think>")), solution).otherwise(F.concat(F.lit("<think>\nAnalyze the problem and solve systematically.\n</think>\n"), solution))
+    return F.when(F.contains(solution, F.lit("<think>")), solution).otherwise(F.concat(F.lit(OPENING_THOUGHT), solution))
 
 
 def prompt_of(*names: str) -> Column:

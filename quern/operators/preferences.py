@@ -12,49 +12,72 @@ MOST_WORDS = 350
 MOST_RATIO = 8.0
 
 
-def _list(raw: Column) -> Column:
-    return F.when(raw.startswith("["), F.from_json(raw, f"array<{TURN}>"))
+FIELDS = ("system", "prompt", "chosen", "rejected", "question", "instruction")
 
 
-def _one(raw: Column) -> Column:
-    return F.when(raw.startswith("{"), F.from_json(raw, TURN))
+def _field(record: Column, name: str) -> Column:
+    """struct(kind, text, turns, turn) of a record's field: which JSON type it has, and its value as such."""
+    value = F.try_variant_get(record, f"$.{name}", "variant")
+    return F.struct(
+        F.upper(F.substring(F.schema_of_variant(value), 1, 5)).alias("kind"),
+        F.try_variant_get(record, f"$.{name}", "string").alias("text"),
+        F.try_variant_get(record, f"$.{name}", f"array<{TURN}>").alias("turns"),
+        F.try_variant_get(record, f"$.{name}", TURN).alias("turn"),
+    ).alias(name)
 
 
 def _last(turns: Column, role: str) -> Column:
     return strip(F.try_element_at(F.filter(turns, lambda t: t["role"] == role), F.lit(-1))["content"])
 
 
+def _as_prompt(f: Column) -> Column:
+    one = F.when(f["turn"]["role"] == "user", strip(f["turn"]["content"]))
+    return F.when(f["kind"] == "ARRAY", _last(f["turns"], "user")).when(f["kind"] == "OBJEC", one).otherwise(strip(f["text"]))
+
+
+def _as_answer(f: Column) -> Column:
+    end = F.try_element_at(f["turns"], F.lit(-1))
+    said = lambda t: F.when(t["role"] == "assistant", strip(t["content"]))
+    return F.when(f["kind"] == "ARRAY", said(end)).when(f["kind"] == "OBJEC", said(f["turn"])).otherwise(strip(f["text"]))
+
+
+def _pair(f: Column) -> Column:
+    """struct(system, prompt, chosen, rejected) of a record's fields."""
+    first_system = strip(F.try_element_at(F.filter(f["prompt"]["turns"], lambda t: (t["role"] == "system") & (strip(t["content"]) != "")), F.lit(1))["content"])
+    system = first_truthy(f["system"]["text"], first_system, _last(f["chosen"]["turns"], "system"), _last(f["rejected"]["turns"], "system"))
+    asked = first_truthy(_as_prompt(f["prompt"]), _last(f["chosen"]["turns"], "user"), strip(first_truthy(f["question"]["text"], f["instruction"]["text"])))
+    answer = lambda name: F.coalesce(_as_answer(f[name]), F.lit(""))
+    return F.struct(F.nullif(system, F.lit("")).alias("system"), asked.alias("prompt"), answer("chosen").alias("chosen"), answer("rejected").alias("rejected"))
+
+
+def _pairs(records: DataFrame, raw: str) -> Column:
+    """array<struct> of a record's pair; each value is bound once, so the record is parsed once."""
+    once = lambda value, then: F.transform(F.array(value), then)
+    return F.flatten(F.flatten(once(F.try_parse_json(F.col(raw)), lambda v: once(F.struct(*[_field(v, n) for n in FIELDS]), lambda f: F.array(_pair(f))))))
+
+
 def normalised(records: DataFrame, raw: str = "json") -> DataFrame:
     """Adds system, prompt, chosen and rejected to JSON records whose fields are strings, turns or lists of turns.
 
-    A null field is as a missing one. The last user's turn is the prompt; a completion list must end with the assistant;
-    a missing prompt comes from the chosen list, then from question, then from instruction.
+    A field's JSON type decides, not what a string begins with. A null field is as a missing one. The last user's turn is
+    the prompt; a completion list must end with the assistant; a missing prompt comes from the chosen list, then from
+    question, then from instruction.
     """
-    fields = F.from_json(F.col(raw), "struct<system:string,prompt:string,chosen:string,rejected:string,question:string,instruction:string>")
-    rows = records.withColumn("_f", fields)
-    f = {n: F.col(f"_f.{n}") for n in ("system", "prompt", "chosen", "rejected", "question", "instruction")}
-    prompt_list = _list(f["prompt"])
-    prompt = F.when(f["prompt"].startswith("["), _last(prompt_list, "user")).when(f["prompt"].startswith("{"), F.when(_one(f["prompt"])["role"] == "user", strip(_one(f["prompt"])["content"]))).otherwise(strip(f["prompt"]))
-
-    def completion(c: Column) -> Column:
-        end = F.try_element_at(_list(c), F.lit(-1))
-        return F.when(c.startswith("["), F.when(end["role"] == "assistant", strip(end["content"]))).when(c.startswith("{"), F.when(_one(c)["role"] == "assistant", strip(_one(c)["content"]))).otherwise(strip(c))
-
-    first_system = strip(F.try_element_at(F.filter(prompt_list, lambda t: (t["role"] == "system") & (strip(t["content"]) != "")), F.lit(1))["content"])
-    system = first_truthy(f["system"], first_system, _last(_list(f["chosen"]), "system"), _last(_list(f["rejected"]), "system"))
-    asked = first_truthy(prompt, _last(_list(f["chosen"]), "user"), strip(first_truthy(f["question"], f["instruction"])))
-    return rows.select(*records.columns, F.nullif(system, F.lit("")).alias("system"), asked.alias("prompt"), F.coalesce(completion(f["chosen"]), F.lit("")).alias("chosen"), F.coalesce(completion(f["rejected"]), F.lit("")).alias("rejected"))
+    return records.select(*records.columns, F.inline(_pairs(records, raw)))
 
 
-def keeps(prompt: Column, chosen: Column, rejected: Column) -> Column:
+def keeps(prompt: Column, chosen: Column, rejected: Column, chosen_words: Column | None = None, rejected_words: Column | None = None) -> Column:
     """Whether a pair is complete, differs and is neither long nor lopsided."""
-    a, b = word_count(chosen), word_count(rejected)
+    a, b = word_count(chosen) if chosen_words is None else chosen_words, word_count(rejected) if rejected_words is None else rejected_words
     fair = (F.least(a, b) == 0) | (F.greatest(a, b) <= F.least(a, b) * F.lit(MOST_RATIO))
     return (prompt != "") & (chosen != "") & (rejected != "") & (chosen != rejected) & (a <= MOST_WORDS) & (b <= MOST_WORDS) & fair
 
 
 def pairs(records: DataFrame, raw: str = "json") -> DataFrame:
-    return normalised(records, raw).where(keeps(F.col("prompt"), F.col("chosen"), F.col("rejected")))
+    """The pairs that are kept, with the words of both answers, counted once."""
+    counted = F.transform(_pairs(records, raw), lambda p: F.struct(*[p[k].alias(k) for k in ("system", "prompt", "chosen", "rejected")], word_count(p["chosen"]).alias("chosen_words"), word_count(p["rejected"]).alias("rejected_words")))
+    kept = F.filter(counted, lambda p: keeps(p["prompt"], p["chosen"], p["rejected"], p["chosen_words"], p["rejected_words"]))
+    return records.select(*records.columns, F.inline(kept))
 
 
 def budgets(total: int, ratio: float = 0.5) -> tuple[int, int]:

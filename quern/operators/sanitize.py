@@ -19,8 +19,8 @@ POSTAMBLES = (
     r"\n*(?:Hope this helps|Let me know if you have any questions|Let me know if you need anything else|Feel free to ask)[^.\n]*\.?$",
     r"\n*(?:Happy coding|Good luck)[\.!]*$",
 )
-#: Rounds at most; each removes at least one opening or ending, and a row that no pattern fits any more stays as it is.
-ROUNDS = 32
+#: Words of which every opening and ending holds one.
+MARKS = r"(?iu)Sure|Certainly|Of course|Here is|Here's|Below is|Here are|I'd be happy to help|Alright|Hope this helps|Let me know if you|Feel free to ask|Happy coding|Good luck"
 
 
 def _java(pattern: str) -> str:
@@ -36,7 +36,9 @@ def _round(text: Column, patterns: tuple[str, ...]) -> Column:
 
 def _settled(text: Column, patterns: tuple[str, ...]) -> Column:
     fits = lambda t: functools.reduce(lambda a, b: a | b, [t.rlike(_java(p)) for p in patterns])
-    rounds = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), strip(text), lambda acc, _: F.when(fits(acc), _round(acc, patterns)).otherwise(acc))
+    # Each round removes one mark at least, so there are as many rounds as marks at most; a row that settles earlier stays as it is.
+    most = F.regexp_count(text, F.lit(MARKS)) + 1
+    rounds = F.aggregate(F.sequence(F.lit(1), most), strip(text), lambda acc, _: F.when(fits(acc), _round(acc, patterns)).otherwise(acc))
     return F.when(fits(strip(text)), rounds).otherwise(strip(text))
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 NUMBER = r"(-?[0-9]+(?:\.[0-9]+)?)"
@@ -27,12 +26,33 @@ def softmax(scores: Column) -> Column:
     return F.transform(powers, lambda v: v / total)
 
 
+def nucleus_kept(scores: Column, p: float) -> Column:
+    """array<boolean>: entries in descending order of probability up to the one that crosses p, that one kept."""
+    entry = lambda q, i: F.struct((-q).alias("low"), i.alias("index"))
+    zero = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n"))
+    step = lambda acc, x: F.struct((acc["sum"] - x["low"]).alias("sum"), (acc["n"] + (acc["sum"] <= p).cast("int")).alias("n"))
+
+    def cut(entries: Column) -> Column:
+        order = F.array_sort(entries)
+        return F.transform(F.array(F.element_at(order, F.greatest(F.aggregate(order, zero, step)["n"], F.lit(1)))), lambda last: F.transform(entries, lambda x: x <= last))
+
+    # The entries are bound once, and so is the last one kept.
+    whole = F.flatten(F.flatten(F.transform(F.array(F.transform(softmax(scores), entry)), cut)))
+    return F.when(F.size(scores) > 0, whole).otherwise(F.array().cast("array<boolean>"))
+
+
 def nucleus(rows: DataFrame, by: list[str], scores: str, p: float) -> DataFrame:
-    """by, index, kept: entries of each row's scores in descending order up to the one that crosses p, that one kept."""
-    probs = rows.select(*by, F.posexplode(softmax(F.col(scores))).alias("index", "q"))
-    before = W.partitionBy(*by).orderBy(F.desc("q"), "index").rowsBetween(W.unboundedPreceding, -1)
-    kept = F.coalesce(F.sum("q").over(before), F.lit(0.0)) <= p
-    return probs.select(*by, F.col("index").cast("long").alias("index"), kept.alias("kept"))
+    """by, index, kept: one row for each entry of nucleus_kept()."""
+    return rows.select(*by, F.posexplode(nucleus_kept(F.col(scores), p)).alias("index", "kept")).withColumn("index", F.col("index").cast("long"))
+
+
+def summary(results: list[tuple[str, DataFrame]]) -> DataFrame:
+    """task, metric, value: the figures of several evaluations (one row each) as one table."""
+    parts = [df.select(F.lit(task).alias("task"), F.inline(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in df.columns]))) for task, df in results]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def penalised(scores: Column, seen: Column, penalty: float, spared: list[int] | None = None) -> Column:

@@ -16,7 +16,7 @@ def sliding_windows(streams: DataFrame, length: int, tokens: str = "tokens") ->
 def random_windows(streams: DataFrame, length: int, count: int, seed: int = 42, tokens: str = "tokens") -> DataFrame:
     """``count`` windows of each stream with starts drawn by a hash, below n - length - 1, with replacement."""
     rows = streams.where(F.size(tokens) > length + 1).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
-    rows = rows.withColumn("start", F.pmod(F.xxhash64(F.lit(seed), *[c for c in streams.columns if c != tokens], "draw"), (F.size(tokens) - length - 1).cast("long")).cast("int"))
+    rows = rows.withColumn("start", (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), *[F.col(c).cast("string") for c in streams.columns if c != tokens], F.col("draw").cast("string"))), 1, 12), 16, 10).cast("long") % (F.size(tokens) - length - 1)).cast("int"))
     return rows.withColumn("x", F.slice(tokens, F.col("start") + 1, length)).withColumn("y", F.slice(tokens, F.col("start") + 2, length)).drop(tokens)
 
 

@@ -137,15 +137,15 @@ def preference_records(spark: SparkSession, d: str) -> DataFrame:
     other = t.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("other"))
     rows = t.join(other, "doc_id").withColumn("ask", F.substring("text", 1, 40))
     turn = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
-    flat = F.to_json(F.struct(F.col("ask").alias("prompt"), F.col("text").alias("chosen"), F.col("other").alias("rejected")))
+    flat = F.to_json(F.struct(F.concat(F.lit("[INST] "), "ask").alias("prompt"), F.col("text").alias("chosen"), F.col("other").alias("rejected")))
     listed = F.to_json(F.struct(F.array(turn("system", F.lit("Be kind.")), turn("user", F.col("ask")), turn("assistant", F.col("text"))).alias("chosen"), F.array(turn("user", F.col("ask")), turn("assistant", F.col("other"))).alias("rejected")))
     single = F.to_json(F.struct(F.lit("").alias("system"), F.lit("").alias("prompt"), F.col("ask").alias("question"), turn("assistant", F.col("text")).alias("chosen"), turn("assistant", F.col("other")).alias("rejected")))
-    ends = F.to_json(F.struct(F.col("ask").alias("instruction"), F.array(turn("user", F.col("ask"))).alias("chosen"), F.col("other").alias("rejected")))
+    ends = F.to_json(F.struct(F.col("ask").alias("instruction"), F.array(turn("user", F.col("ask"))).alias("chosen"), F.concat(F.lit('{"a": 1} '), "other").alias("rejected")))
     return rows.select(F.col("doc_id").alias("pos"), F.when(F.col("doc_id") % 4 == 0, flat).when(F.col("doc_id") % 4 == 1, listed).when(F.col("doc_id") % 4 == 2, single).otherwise(ends).alias("json"))
 
 
 _WORDS_SQL = "len(list_filter(regexp_split_to_array(%s, '[\\s\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+'), lambda x: x <> ''))"
-_PREF_SQL = f"""WITH p AS (SELECT a.doc_id AS pos, {STRIP % 'left(a.text, 40)'} AS prompt, CASE WHEN a.doc_id % 4 = 3 THEN '' ELSE {STRIP % 'a.text'} END AS chosen, {STRIP % 'b.text'} AS rejected, CASE WHEN a.doc_id % 4 = 1 THEN 'Be kind.' END AS system FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1), w AS (SELECT *, {_WORDS_SQL % 'chosen'} AS c, {_WORDS_SQL % 'rejected'} AS r FROM p)"""
+_PREF_SQL = f"""WITH p AS (SELECT a.doc_id AS pos, CASE WHEN a.doc_id % 4 = 0 THEN trim('[INST] ' || left(a.text, 40), {_WS}) ELSE {STRIP % 'left(a.text, 40)'} END AS prompt, CASE WHEN a.doc_id % 4 = 3 THEN '' ELSE {STRIP % 'a.text'} END AS chosen, CASE WHEN a.doc_id % 4 = 3 THEN trim('{{"a": 1}} ' || b.text, {_WS}) ELSE {STRIP % 'b.text'} END AS rejected, CASE WHEN a.doc_id % 4 = 1 THEN 'Be kind.' END AS system FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1), w AS (SELECT *, {_WORDS_SQL % 'chosen'} AS c, {_WORDS_SQL % 'rejected'} AS r FROM p)"""
 
 
 @query(_PREF_SQL + " SELECT pos, md5(prompt) AS prompt, md5(chosen) AS chosen, md5(rejected) AS rejected, system FROM w")
@@ -156,7 +156,7 @@ def pref_normalise(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_PREF_SQL + " SELECT pos, c::BIGINT AS chosen_words, r::BIGINT AS rejected_words FROM w WHERE prompt <> '' AND chosen <> '' AND rejected <> '' AND chosen <> rejected AND c <= 350 AND r <= 350 AND (least(c, r) = 0 OR greatest(c, r) <= 8.0 * least(c, r))")
 def pref_gate(spark: SparkSession, d: str) -> DataFrame:
-    return preferences.pairs(preference_records(spark, d)).select("pos", T.word_count(F.col("chosen")).alias("chosen_words"), T.word_count(F.col("rejected")).alias("rejected_words"))
+    return preferences.pairs(preference_records(spark, d)).select("pos", "chosen_words", "rejected_words")
 
 
 _CLEAN_SQL = f"SELECT conv_id, turn, {STRIP % 'role'} AS role, rtrim(trim(text, chr(10) || chr(13)), {_WS}) AS content FROM conversations"
@@ -357,35 +357,55 @@ def bpe_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return tokens.decode(coded, VOCABULARY).select("doc_id", F.md5("text").alias("digest"))
 
 
+def plain_bytes(text: Column) -> Column:
+    """A text's bytes as ids."""
+    code = F.hex(F.encode(F.coalesce(text, F.lit("")), "UTF-8"))
+    spots = F.when(F.length(code) > 0, F.sequence(F.lit(1), F.length(code) - 1, F.lit(2))).otherwise(F.array().cast("array<int>"))
+    return F.transform(spots, lambda i: F.conv(F.substr(code, i, F.lit(2)), 16, 10).cast("int"))
+
+
 def encoded_dialogues(spark: SparkSession, d: str) -> DataFrame:
     """conv_id, turns with byte ids for role and content."""
-    raw = lambda c: F.transform(F.sequence(F.lit(1), F.octet_length(c)), lambda i: F.lit(7).cast("int"))
+    raw = plain_bytes
     rows = sft.gate(sft.dialogues(table(spark, d, "conversations")))
     return rows.select("conv_id", F.transform("messages", lambda t: F.struct(t["role"].alias("role"), raw(t["role"]).alias("role_ids"), raw(t["content"]).alias("content_ids"))).alias("turns"))
 
 
-_SFT_SQL = f"WITH c AS ({_CLEAN_SQL}), g AS (SELECT conv_id FROM c JOIN (SELECT conv_id, count(*) AS raw FROM conversations GROUP BY 1) USING (conv_id) WHERE content <> '' GROUP BY conv_id, raw HAVING raw >= 2 AND bool_or(role = 'user') AND bool_or(role = 'assistant')), t AS (SELECT conv_id, turn, role, strlen(role) AS r, strlen(content) AS n FROM c JOIN g USING (conv_id) WHERE content <> ''), s AS (SELECT *, sum(r + n + 4) OVER (PARTITION BY conv_id ORDER BY turn) - (r + n + 4) AS place FROM t)"
+_SFT_SQL = f"WITH c AS ({_CLEAN_SQL}), g AS (SELECT conv_id FROM c JOIN (SELECT conv_id, count(*) AS raw FROM conversations GROUP BY 1) USING (conv_id) WHERE content <> '' GROUP BY conv_id, raw HAVING raw >= 2 AND bool_or(role = 'user') AND bool_or(role = 'assistant')), t AS (SELECT conv_id, turn, role, strlen(role) AS r, strlen(content) AS n, content FROM c JOIN g USING (conv_id) WHERE content <> ''), s AS (SELECT *, sum(r + n + 4) OVER (PARTITION BY conv_id ORDER BY turn) - (r + n + 4) AS place FROM t)"
+
+
+def _bytes_sql(column: str) -> str:
+    return f"list_transform(range(strlen({column})), lambda i: ('0x' || substr(hex(encode({column})), 2 * i::INT + 1, 2))::INT)"
+
+
+_IDS_SQL = _SFT_SQL + f""", b AS (SELECT conv_id, turn, role, {_bytes_sql('role')} AS r, {_bytes_sql('content')} AS n FROM s),
+i AS (SELECT conv_id, flatten(list(list_concat([{sft.TURN_START}], r, [10], n, [{sft.TURN_END}, 10]) ORDER BY turn))[1:2048] AS ids,
+    flatten(list(CASE WHEN role = 'assistant' THEN list_concat(list_transform(range(len(r) + 2), lambda x: -100), n, [{sft.TURN_END}], [-100]) ELSE list_transform(range(len(r) + len(n) + 4), lambda x: -100) END ORDER BY turn))[1:2048] AS labels FROM b GROUP BY conv_id)"""
 
 
-@query(_SFT_SQL + " SELECT conv_id, least(2048, sum(r + n + 4))::BIGINT AS n_ids, coalesce(sum(greatest(0, least(2048, place + r + 2 + n + 1) - (place + r + 2))) FILTER (role = 'assistant'), 0)::BIGINT AS n_labels FROM s GROUP BY conv_id")
+@query(_IDS_SQL + " SELECT conv_id, len(ids) AS n_ids, len(list_filter(labels, lambda x: x <> -100)) AS n_labels, md5(array_to_string(ids, ' ')) AS ids, md5(array_to_string(labels, ' ')) AS labels FROM i")
 def loss_mask_counts(spark: SparkSession, d: str) -> DataFrame:
     rows = encoded_dialogues(spark, d).select("conv_id", sft.labelled(F.col("turns"), 2048).alias("e"))
-    return rows.select("conv_id", F.size("e.input_ids").cast("long").alias("n_ids"), F.size(F.filter("e.labels", lambda v: v != sft.IGNORE)).cast("long").alias("n_labels"))
+    return rows.select("conv_id", F.size("e.input_ids").cast("long").alias("n_ids"), F.size(F.filter("e.labels", lambda v: v != sft.IGNORE)).cast("long").alias("n_labels"), _digest("e.input_ids").alias("ids"), _digest("e.labels").alias("labels"))
 
 
-_BATCH_SQL = _SFT_SQL + ", e AS (SELECT conv_id, least(2048, sum(r + n + 4)) AS n FROM s GROUP BY conv_id), b AS (SELECT conv_id, n, conv_id // 8 AS batch FROM e)"
+def _digest(ids: str) -> Column:
+    return F.md5(F.array_join(F.col(ids).cast("array<string>"), " "))
 
 
-@query(_BATCH_SQL + " SELECT conv_id, least(1024, ceil(max(n) OVER (PARTITION BY batch) / 16) * 16)::BIGINT AS length, least(n, 1024)::BIGINT AS filled FROM b")
+_BATCH_SQL = _IDS_SQL + ", e AS (SELECT *, least(1024, ceil(max(len(ids)) OVER (PARTITION BY conv_id // 8) / 16) * 16)::BIGINT AS length FROM i), f AS (SELECT *, list_transform(range(length - least(len(ids), length)), lambda x: 0) AS more FROM e)"
+
+
+@query(_BATCH_SQL + f" SELECT conv_id, length, least(len(ids), 1024)::BIGINT AS filled, md5(array_to_string(list_concat(ids[1:length], list_transform(more, lambda x: {sft.PAD})), ' ')) AS ids, md5(array_to_string(list_concat(labels[1:length], list_transform(more, lambda x: -100)), ' ')) AS labels FROM f")
 def pad_to_16(spark: SparkSession, d: str) -> DataFrame:
     rows = encoded_dialogues(spark, d).select("conv_id", F.inline(F.array(sft.labelled(F.col("turns"), 2048))))
     out = sft.padded(sft.batched(rows, "conv_id", 8), [("input_ids", "labels")], 16, 1024)
-    return out.select("conv_id", F.size("input_ids").cast("long").alias("length"), F.aggregate("input_ids_mask", F.lit(0).cast("long"), lambda a, x: a + x).alias("filled"))
+    return out.select("conv_id", F.size("input_ids").cast("long").alias("length"), F.aggregate("input_ids_mask", F.lit(0).cast("long"), lambda a, x: a + x).alias("filled"), _digest("input_ids").alias("ids"), _digest("labels").alias("labels"))
 
 
 @query(_PREF_SQL + ", k AS (SELECT pos, strlen(prompt) + 12 + CASE WHEN system IS NULL THEN 0 ELSE strlen(system) + 10 END - 4 AS head, strlen(chosen) + 13 AS c_n, strlen(rejected) + 13 AS r_n FROM w WHERE prompt <> '' AND chosen <> '' AND rejected <> '' AND chosen <> rejected AND c <= 350 AND r <= 350 AND (least(c, r) = 0 OR greatest(c, r) <= 8.0 * least(c, r))) SELECT pos, (ceil(max(head + greatest(c_n, r_n)) OVER (PARTITION BY pos // 4) / 16) * 16)::BIGINT AS length, (head + c_n)::BIGINT AS chosen, (head + r_n)::BIGINT AS rejected FROM k")
 def dual_pad(spark: SparkSession, d: str) -> DataFrame:
-    raw = lambda c: F.transform(F.sequence(F.lit(1), F.octet_length(c)), lambda i: F.lit(7).cast("int"))
+    raw = plain_bytes
     rows = preferences.pairs(preference_records(spark, d))
     for side in ("chosen", "rejected"):
         turns = preferences.pair_turns(F.col("system"), F.col("prompt"), F.col(side))
@@ -396,10 +416,11 @@ def dual_pad(spark: SparkSession, d: str) -> DataFrame:
     return out.select("pos", F.size("chosen_ids").cast("long").alias("length"), filled("chosen_ids_mask").alias("chosen"), filled("rejected_ids_mask").alias("rejected"))
 
 
-@query(f"WITH p AS ({_PAIRS_SQL}), n AS (SELECT conv_id, turn, strlen(problem) AS p, least(strlen(solution), 255) AS s FROM p) SELECT conv_id, turn, least(greatest(p, 1), 256 - s) + s AS n_ids, least(greatest(p, 1), 256 - s) - 1 AS from_index FROM n")
+@query(f"WITH p AS ({_PAIRS_SQL}), n AS (SELECT conv_id, turn, strlen(coalesce(problem, '')) AS p, least(strlen(coalesce(solution, '')), 255) AS s FROM p UNION ALL SELECT conv_id, -1, 0, least(strlen(coalesce(text, '')), 255) FROM conversations WHERE turn = 0) SELECT conv_id, turn, least(greatest(p, 1), 256 - s) + s AS n_ids, least(greatest(p, 1), 256 - s) - 1 AS from_index FROM n")
 def continuation_window(spark: SparkSession, d: str) -> DataFrame:
-    raw = lambda c: F.transform(F.sequence(F.lit(1), F.octet_length(c)), lambda i: F.lit(7).cast("int"))
-    rows = turn_pairs(spark, d).where("problem <> '' and solution <> ''").select("conv_id", "turn", sft.scoring_window(raw(F.col("problem")), raw(F.col("solution")), 256, tokens.END_OF_TEXT).alias("w"))
+    # Each conversation's first text also with an empty prompt: an end mark stands for it.
+    alone = table(spark, d, "conversations").where("turn = 0").select("conv_id", F.lit(-1).cast("long").alias("turn"), F.lit("").alias("problem"), F.col("text").alias("solution"))
+    rows = turn_pairs(spark, d).unionByName(alone).select("conv_id", "turn", sft.scoring_window(plain_bytes(F.col("problem")), plain_bytes(F.col("solution")), 256, tokens.END_OF_TEXT).alias("w"))
     return rows.select("conv_id", "turn", F.size("w.ids").cast("long").alias("n_ids"), F.col("w.from_index").cast("long").alias("from_index"))
 
 
@@ -433,7 +454,7 @@ def tiled_stream(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("vec_id", F.size("tokens").cast("long").alias("n"), F.aggregate("tokens", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
 
 
-@query()
+@query(_STREAM_SQL + ", w AS (SELECT vec_id, t, unnest(range(8)) AS draw FROM s), v AS (SELECT *, ('0x' || left(md5('42:' || vec_id || ':' || draw), 12))::BIGINT % (len(t) - 17) AS start FROM w) SELECT vec_id, draw, start, list_sum(t[start + 1:start + 16])::BIGINT AS x, list_sum(t[start + 2:start + 17])::BIGINT AS y FROM v")
 def random_windows(spark: SparkSession, d: str) -> DataFrame:
     return _window_sums(windows.random_windows(streams(spark, d), 16, 8), "draw", "start")
 
@@ -464,8 +485,8 @@ def topk_mask(spark: SparkSession, d: str) -> DataFrame:
 
 @query("WITH u AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, unnest(range(len(embedding))) AS index, list_max(embedding)::DOUBLE AS m FROM embeddings), q AS (SELECT vec_id, index, exp(v - m) / sum(exp(v - m)) OVER (PARTITION BY vec_id) AS p FROM u), c AS (SELECT *, sum(p) OVER (PARTITION BY vec_id ORDER BY p DESC, index) - p AS before FROM q) SELECT vec_id, count(*) FILTER (before <= 0.7) AS kept FROM c GROUP BY vec_id")
 def nucleus_mask(spark: SparkSession, d: str) -> DataFrame:
-    rows = score.nucleus(table(spark, d, "embeddings"), ["vec_id"], "embedding", 0.7)
-    return rows.groupBy("vec_id").agg(F.count_if("kept").alias("kept"))
+    kept = F.filter(score.nucleus_kept(F.col("embedding"), 0.7), lambda k: k)
+    return table(spark, d, "embeddings").select("vec_id", F.size(kept).cast("long").alias("kept"))
 
 
 @query("SELECT vec_id, list_position(embedding, list_max(embedding)) - 1 AS best, (list_position(embedding, list_max(embedding)) - 1 = label) AS hit FROM embeddings")
@@ -474,15 +495,11 @@ def argmax_choice(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select("vec_id", best.cast("long").alias("best"), (best == F.col("label")).alias("hit"))
 
 
-@query("WITH u AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, unnest(range(len(embedding))) AS i FROM embeddings) SELECT vec_id, round(sum(CASE WHEN i = label OR i = 7 THEN CASE WHEN v > 0 THEN v / 1.25 ELSE v * 1.25 END ELSE v END / 0.5), 6) AS total FROM u GROUP BY vec_id")
+@query("WITH u AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, unnest(range(len(embedding))) AS i FROM embeddings) SELECT vec_id, round(sum(CASE WHEN (i = label OR i = 7) AND i <> 9 THEN CASE WHEN v > 0 THEN v / 1.25 ELSE v * 1.25 END ELSE v END / 0.5), 6) AS total FROM u GROUP BY vec_id")
 def repetition_penalty(spark: SparkSession, d: str) -> DataFrame:
     scores = F.transform("embedding", lambda x: x.cast("double"))
     out = score.tempered(score.penalised(scores, F.array("label", F.lit(7), F.lit(9)), 1.25, [9]), 0.5)
-    # A label of 9 is spared by penalised(), and so left out here by the same rule.
-    return table(spark, d, "embeddings").where("label <> 9").select("vec_id", F.round(F.aggregate(out, F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
-
-
-ORACLE_SQL["repetition_penalty"] = ORACLE_SQL["repetition_penalty"].replace("FROM embeddings)", "FROM embeddings WHERE label <> 9)")
+    return table(spark, d, "embeddings").select("vec_id", F.round(F.aggregate(out, F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
 @query("WITH p AS (SELECT a.vec_id, a.embedding AS x, b.embedding AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1), u AS (SELECT vec_id, unnest(x)::DOUBLE AS x, unnest(y)::DOUBLE AS y FROM p), g AS (SELECT vec_id, max(abs(x - y)) AS m, avg(abs(x - y)) AS a, sum(x * y) / (sqrt(sum(x * x)) * sqrt(sum(y * y))) AS c FROM u GROUP BY vec_id) SELECT vec_id, m = 0 AS equal, round(m, 6) AS max_diff, round(a, 6) AS mean_diff, round(c, 6) AS cosine, CASE WHEN m = 0 THEN 'identical' WHEN c > 0.999 AND m < 1e-4 THEN 'close' ELSE 'different' END AS verdict FROM g")

@@ -170,4 +170,4 @@ def test_reports(spark):
     assert {r["stage"]: (r["files"], r["bytes"]) for r in reports.stage_files(files).collect()} == {"pretrain": (1, 10), "sft": (1, 5), "dpo": (1, 60_000)}
     assert tuple(reports.enough_tokens(files, 1).first()) == (30_007, True)
     counts = spark.createDataFrame([("a", 300, None, None), ("b", 100, "u", "s")], "source string, tokens long, upstream string, status string")
-    assert "| **a** | `Custom` | 300 | 75.00% | 100% Unique |" in reports.card(reports.source_table(counts), reports.corpus_summary(counts, ("b",)))
+    assert "- a: 300 tokens (75.00 %), from Custom, 100% Unique" in reports.card(reports.source_table(counts), reports.corpus_summary(counts, ("b",)))
