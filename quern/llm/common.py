@@ -64,7 +64,7 @@ def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage is cut, and later readers take only the columns they need."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     _tables.setdefault(id(spark), []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -120,10 +120,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
 
 
-def forget(spark: SparkSession, but: DataFrame) -> None:
-    """Removes the tables that written() has made for this session, except those that ``but`` reads."""
-    kept = {f.rsplit("/", 1)[0] for f in but.inputFiles()}
-    for path in [p for p in _tables.get(id(spark), []) if not any(k.endswith(p.split(":", 1)[-1]) for k in kept)]:
+def tables(spark: SparkSession) -> list[str]:
+    """Paths of the tables that written() has made for this session and that are still there."""
+    return list(_tables.get(id(spark), []))
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Removes tables that written() has made, once nothing reads them any more."""
+    for path in paths:
         place = spark._jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
         _tables[id(spark)].remove(path)
