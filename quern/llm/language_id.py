@@ -145,6 +145,16 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(at, pa.list_(pa.int32())), pa.array(weight, pa.list_(pa.float32()))], ["doc_id", "lang", "at", "weight"])
 
 
+def _sparse_rows(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, str]]:
+    """What fit() reads of the rows above, as views of the Arrow columns rather than Python numbers."""
+    for batch in table.to_batches():
+        at, weight = batch.column("at"), batch.column("weight")
+        ends, values, sizes = at.offsets.to_numpy(), at.values.to_numpy(), weight.values.to_numpy()
+        first = weight.offsets.to_numpy()
+        for i, lang in enumerate(batch.column("lang").to_pylist()):
+            yield values[ends[i] : ends[i + 1]], sizes[first[i] : first[i + 1]], lang
+
+
 def train(docs: DataFrame, most: int = MOST_TRAIN) -> LanguageModel:
     """The model from the documents that aren't held out and have a language."""
     rows = docs_of(docs, "doc_id", "text", "lang").where("doc_id is not null and lang is not null and text is not null").where(~held_out())
@@ -156,8 +166,8 @@ def train(docs: DataFrame, most: int = MOST_TRAIN) -> LanguageModel:
     place = F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))
     chosen = near.withColumn("place", place).where(F.col("place") <= most).select("lang", "doc_id").distinct()
     got = rows.join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
-    got = got.mapInArrow(_feature_rows, "doc_id long, lang string, at array<int>, weight array<float>").where("size(at) > 0").orderBy("doc_id", "lang").collect()
-    return fit([(np.array(r["at"]), np.array(r["weight"]), r["lang"]) for r in got])
+    got = got.mapInArrow(_feature_rows, "doc_id long, lang string, at array<int>, weight array<float>").where("size(at) > 0").orderBy("doc_id", "lang").toArrow()
+    return fit(list(_sparse_rows(got)))
 
 
 def _predict_with(model: LanguageModel):
