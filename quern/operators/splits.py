@@ -48,21 +48,31 @@ def token_prefix(df: DataFrame, tokens: str, most: int, pos: str, bucket_rows: i
     return placed.where(F.col("_upto") - F.col(tokens) < most).drop("_upto")
 
 
-def shuffled_rank(df: DataFrame, key: str, seed: int = 42, out: str = "rank", buckets: int = 64) -> DataFrame:
-    """Adds each row's place (0, 1, ..) in an order by a keyed hash: a shuffle that any partitioning repeats."""
+def budget_counts(df: DataFrame, keep: Column, budget: int, pos: str, bucket_rows: int = 1 << 16) -> DataFrame:
+    """kept, skipped: rows that pass and rows that don't, up to the row in the order of pos whose passing fills the budget.
+
+    A row passes where keep is true; null counts as false. The first passing row always counts, as with a budget of 1.
+    """
+    rows = df.select(F.col(pos), F.coalesce(keep, F.lit(False)).cast("long").alias("_keep"))
+    placed = running_total(rows, "_keep", [pos], F.floor(F.col(pos) / bucket_rows), "_upto")
+    read = placed.where(F.col("_upto") - F.col("_keep") < max(budget, 1))
+    return read.agg(F.count_if(F.col("_keep") == 1).alias("kept"), F.count_if(F.col("_keep") == 0).alias("skipped"))
+
+
+def shuffled_rank(df: DataFrame, key: str, seed: int = 42, out: str = "rank", buckets: int = 64, total: str | None = None) -> DataFrame:
+    """Adds each row's place (0, 1, ..) in an order by a keyed hash: a shuffle that any partitioning repeats; total: all rows."""
     h = F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 256)
     rows = df.withColumn("_h", h).withColumn("_one", F.lit(1).cast("long"))
     bucket = F.floor(F.conv(F.substring("_h", 1, 4), 16, 10).cast("int") * F.lit(buckets) / 65536)
-    ranked = running_total(rows, "_one", ["_h"], bucket, "_upto")
+    ranked = running_total(rows, "_one", ["_h"], bucket, "_upto", total=total)
     return ranked.withColumn(out, F.col("_upto") - 1).drop("_h", "_one", "_upto")
 
 
 def tail_split(df: DataFrame, key: str, least: int = 50, ratio: float = 0.05, seed: int = 42) -> DataFrame:
     """Adds split: after a keyed shuffle the last max(least, ratio n) rows are val, all of them if there are fewer."""
-    ranked = shuffled_rank(df, key, seed, "_rank")
-    n = df.count()
-    size = min(n, max(least, int(n * ratio)))
-    return ranked.withColumn("split", F.when(F.col("_rank") >= n - size, "val").otherwise("train")).drop("_rank")
+    ranked = shuffled_rank(df, key, seed, "_rank", total="_rows")
+    size = F.greatest(F.lit(least), F.floor(F.col("_rows") * F.lit(ratio)))
+    return ranked.withColumn("split", F.when(F.col("_rank") >= F.col("_rows") - size, "val").otherwise("train")).drop("_rank", "_rows")
 
 
 #: Shares of the instruction mix, the last takes the remainder.

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import numbers
 from quern.functions import text as T
+from quern.functions.running import running_total
 from quern.operators import filters, mix, preferences, profile, reports, sanitize, scaling, score, sft, splits, tokens, windows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -257,6 +258,11 @@ def prefix_budget(spark: SparkSession, d: str) -> DataFrame:
     return splits.token_prefix(rows, "n", 500_000, "doc_id", 256)
 
 
+@query("WITH r AS (SELECT coalesce(length(text) >= 1000, false) AS keep, coalesce(sum(CASE WHEN length(text) >= 1000 THEN 1 ELSE 0 END) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM documents) SELECT count(*) FILTER (WHERE keep) AS kept, count(*) FILTER (WHERE NOT keep) AS skipped FROM r WHERE before < 60")
+def budget_counters(spark: SparkSession, d: str) -> DataFrame:
+    return splits.budget_counts(docs(spark, d), F.length("text") >= 1000, 60, "doc_id", 256)
+
+
 @query("WITH p AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'code' WHEN 1 THEN 'reasoning' WHEN 2 THEN 'constraints' WHEN 3 THEN 'dialogue' ELSE 'synthetic' END AS pillar FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY pillar ORDER BY doc_id) AS nth FROM p) SELECT doc_id, pillar FROM r WHERE nth <= CASE pillar WHEN 'code' THEN 75 WHEN 'reasoning' THEN 75 WHEN 'constraints' THEN 60 WHEN 'dialogue' THEN 45 ELSE 46 END")
 def sft_pillar_mix(spark: SparkSession, d: str) -> DataFrame:
     t = docs(spark, d, "doc_id")
@@ -324,7 +330,8 @@ def shard_sizes(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""WITH w(source, id) AS (VALUES ('en', 0), ('fr', 1), ('de', 2), ('es', 3)), x AS (SELECT lang AS source, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS pos, strlen(text) + 1 AS n FROM documents), r AS (SELECT source, pos, n, sum(n) OVER (ORDER BY pos, id) AS upto FROM x JOIN w USING (source)) SELECT source, pos, n FROM r WHERE upto - n < 50000""")
 def validation_prefix(spark: SparkSession, d: str) -> DataFrame:
-    numbered = mix_documents(spark, d).withColumn("pos", F.row_number().over(W.partitionBy("source").orderBy("pos")).cast("long") - 1)
+    rows = mix_documents(spark, d).withColumn("one", F.lit(1).cast("long"))
+    numbered = running_total(rows, "one", ["pos"], F.floor(F.col("pos") / 256), "nth", ["source"]).withColumn("pos", F.col("nth") - 1).drop("nth", "one")
     return mix.round_robin(numbered, mix_weights(spark), mix.validation_tokens(BUDGET)).select("source", "pos", "n")
 
 
@@ -557,6 +564,14 @@ def pref_margin(spark: SparkSession, d: str) -> DataFrame:
     return score.preference_margin(table(spark, d, "lineitem").withColumn("other", F.col("l_quantity") * 1000), "l_extendedprice", "other")
 
 
+_SUMMARY_SQL = [(task, metric, ORACLE_SQL[task]) for task, metrics in (("perplexity", ("loss", "perplexity")), ("choice_accuracy", ("accuracy", "samples")), ("pref_margin", ("margin", "wins", "samples"))) for metric in metrics]
+
+
+@query(" UNION ALL ".join(f"SELECT '{task}' AS task, '{metric}' AS metric, {metric}::DOUBLE AS value FROM ({sql})" for task, metric, sql in _SUMMARY_SQL))
+def task_summary(spark: SparkSession, d: str) -> DataFrame:
+    return score.summary([(f.__name__, f(spark, d)) for f in (perplexity, choice_accuracy, pref_margin)])
+
+
 @query("WITH u AS (SELECT vec_id, unnest(embedding[1:63])::DOUBLE AS p, unnest(range(63)) AS i FROM embeddings) SELECT vec_id, round(coalesce(sum(p) FILTER ((i + 1) % 3 <> 0), 0), 6) AS logp FROM u GROUP BY vec_id")
 def masked_logp(spark: SparkSession, d: str) -> DataFrame:
     labels = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.when(i % 3 == 0, F.lit(-100)).otherwise(i))

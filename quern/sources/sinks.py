@@ -92,3 +92,16 @@ def write_splits(df: DataFrame, folder: str, split: str, ids: str, pos: str, sha
 def write_jsonl(df: DataFrame, path: str) -> None:
     """UTF-8 JSON Lines; null fields are left out."""
     df.write.mode("overwrite").option("ignoreNullFields", "true").json(path)
+
+
+def write_vocabulary(tokens: DataFrame, merges: DataFrame, specials: list[str], path: str) -> None:
+    """(token, id) and (rank, left, right) as the JSON object that read_vocabulary reads, in a folder of any store.
+
+    The format is one JSON object, so a vocabulary is one row; its size is that of a vocabulary, whatever the corpus.
+    """
+    by_id = F.transform(F.array_sort(F.collect_list(F.struct("id", "token"))), lambda t: F.struct(t["token"], t["id"]))
+    by_rank = F.transform(F.array_sort(F.collect_list(F.struct("rank", "left", "right"))), lambda m: F.concat_ws(" ", m["left"], m["right"]))
+    encoder = tokens.agg(F.map_from_entries(by_id).alias("encoder"), F.lit(0).alias("_one"))
+    both = encoder.join(merges.agg(by_rank.alias("merges"), F.lit(0).alias("_one")), "_one")
+    special = F.array(*[F.lit(s) for s in specials]).cast("array<string>").alias("special_tokens")
+    both.select(F.to_json(F.struct(special, "encoder", "merges"))).coalesce(1).write.mode("overwrite").text(path)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.functions import numbers
-from quern.operators import filters, mix, preferences, sanitize, scaling, score, sft
+from quern.operators import filters, mix, preferences, sanitize, scaling, score, sft, splits
 from quern.sources import readers
 
 
@@ -70,3 +70,20 @@ def test_more_readers(spark, tmp_path):
     code = "def f(x):\n    for y in x:\n        print(y)\n" * 10
     spark.createDataFrame([(code,), ("short",)], "content string").write.parquet(str(tmp_path / "code"))
     assert [r["text"] for r in readers.read_code(spark, [str(tmp_path / "code")]).collect()] == [code.strip()]
+
+
+@pytest.mark.parametrize("budget", [0, 1, 3, 100])
+def test_budget_counts(spark, budget):
+    """Against the plain loop; null is no pass, and rows after the one that fills the budget don't count."""
+    flags = [None, False, True, False, True, None, True, False, True]
+    kept = skipped = 0
+    for flag in flags:
+        if flag:
+            kept += 1
+            if kept >= budget:
+                break
+        else:
+            skipped += 1
+    df = spark.createDataFrame(list(enumerate(flags)), "pos long, ok boolean").repartition(3)
+    assert tuple(splits.budget_counts(df, F.col("ok"), budget, "pos", 2).first()) == (kept, skipped)
+    assert tuple(splits.budget_counts(df.limit(0), F.col("ok"), budget, "pos", 2).first()) == (0, 0)

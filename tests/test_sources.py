@@ -69,6 +69,18 @@ def test_vocabulary(spark, tmp_path):
     assert words.count() == 2 and [tuple(r) for r in merges.orderBy("rank").collect()] == [(0, "a", "b"), (1, "ab", "c d")]
 
 
+def test_vocabulary_round_trip(spark, tmp_path):
+    words = spark.createDataFrame([("b\n", 1), ("a", 0), ('"é', 2)], "token string, id int").repartition(3)
+    merges = spark.createDataFrame([(1, "ab", "c"), (0, "a", "b")], "rank int, left string, right string")
+    sinks.write_vocabulary(words, merges, ["<|end|>"], str(tmp_path / "v"))
+    (line,) = [x for p in (tmp_path / "v").glob("part-*") for x in p.read_text().splitlines()]
+    assert list(json.loads(line).items()) == [("special_tokens", ["<|end|>"]), ("encoder", {"a": 0, "b\n": 1, '"é': 2}), ("merges", ["a b", "ab c"])]
+    again, ranks = readers.read_vocabulary(spark, str(tmp_path / "v"))
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, words.collect())) and sorted(map(tuple, ranks.collect())) == sorted(map(tuple, merges.collect()))
+    sinks.write_vocabulary(words.limit(0), merges.limit(0), [], str(tmp_path / "none"))
+    assert readers.read_vocabulary(spark, str(tmp_path / "none"))[0].count() == 0
+
+
 def test_stream_equals_batch(spark, tmp_path):
     docs = spark.createDataFrame([(i, "word " * (i + 3), "s") for i in range(40)], "doc_id long, text string, source string")
     docs.repartition(4).write.parquet(str(tmp_path / "in"))
