@@ -1,6 +1,8 @@
 import hashlib
 import re
 
+import numpy as np
+
 from quern.llm import chat_format, decontaminate, license_scan, secret_scan
 
 WIDE = "doc_id long, text string, spans string, found string, names string, held_out string"
@@ -215,7 +217,12 @@ def contaminated_expected(text, item):
     if len(b) < decontaminate.LEAST_WORDS:
         return False
     size, most = min(decontaminate.WINDOW, len(b)), decontaminate.MOST_SUBSTITUTIONS if len(b) >= decontaminate.WINDOW else 0
-    return any(sum(x != y for x, y in zip(a[i : i + size], b[j : j + size], strict=True)) <= most for i in range(len(a) - size + 1) for j in range(len(b) - size + 1))
+    if len(a) < size:
+        return False
+    # All windows of a against all of b: how many of their words agree, place by place.
+    same = np.array(a)[:, None] == np.array(b)[None, :]
+    agree = sum(same[k : k + len(a) - size + 1, k : k + len(b) - size + 1].astype(np.int32) for k in range(size))
+    return bool((size - agree <= most).any())
 
 
 def test_decontamination(spark, monkeypatch):
