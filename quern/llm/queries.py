@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import chat_format, decontaminate, exact_dedup, language_id, license_scan, near_dup, quality, secret_scan, source_mix, suffix_dedup
+from quern.llm import chat_format, decontaminate, exact_dedup, fill_middle, language_id, license_scan, near_dup, quality, secret_scan, source_audit, source_mix, suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,9 +57,16 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_dup(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_secret_scan, op3_suffix_dedup, op4_chat_format, op5_exact_dedup, op6_source_mix, op7_quality, op8_decontaminate, op9_language_id, op10_near_dup)}
+def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.source_divergence(table(spark, sf_dir, "documents"))
 
 
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.fim_digest(fill_middle.fill_in_middle(table(spark, sf_dir, "documents")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_secret_scan, op3_suffix_dedup, op4_chat_format, op5_exact_dedup, op6_source_mix, op7_quality, op8_decontaminate, op9_language_id, op10_near_dup, op11_source_audit, op13_fill_middle)}
+
 
 def _license_sql() -> str:
     known = ", ".join(f"'{k}': '{v}'" for k, v in license_scan.known_pieces(license_scan.SENTENCES).items())
@@ -131,4 +138,27 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
             doc_id = min(doc_id) OVER w AS kept, sha256(t) AS text_sha256
         FROM n WINDOW w AS (PARTITION BY t)""",
+    "op11_source_audit": rf"""
+        WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+        t AS (SELECT row, lang, source, unnest(regexp_extract_all(translate(text, '{source_audit.UPPER}', '{source_audit.LOWER}'), '{source_audit.TERM}')) AS term FROM d),
+        kept AS (SELECT lang, term, count(*) AS lang_n FROM t GROUP BY ALL HAVING count(DISTINCT row) >= 30),
+        langs AS (SELECT lang, sum(lang_n) AS lang_total, count(*) AS terms FROM kept GROUP BY ALL),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        n AS (SELECT lang, source, term, count(*) AS n FROM t JOIN kept USING (lang, term) GROUP BY ALL),
+        c AS (SELECT g.lang, g.source, k.term, coalesce(n.n, 0) AS n, k.lang_n FROM g JOIN kept k USING (lang) LEFT JOIN n USING (lang, source, term)),
+        s AS (SELECT *, sum(n) OVER (PARTITION BY lang, source) AS total FROM c),
+        p AS (SELECT lang, source, term, n, 1 + 1000000000::HUGEINT * (n + 5) // (total + 5 * terms) AS p, 1 + 1000000000::HUGEINT * (lang_n + 5) // (lang_total + 5 * terms) AS q FROM s JOIN langs USING (lang)),
+        pair AS (SELECT a.lang, a.source, b.source AS item, coalesce(f.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+            LEFT JOIN (SELECT x.lang, x.source, y.source AS other, sum(abs(x.p - y.p)) AS value FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) f ON f.lang = a.lang AND f.source = a.source AND f.other = b.source),
+        every AS (SELECT lang, source, 'pair' AS part, item, value FROM pair UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q),
+        r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM every)
+        SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM r WHERE part = 'pair' OR rank <= 50""",
+    "op13_fill_middle": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(doc_id::VARCHAR, 'null')) AS h FROM documents),
+        u AS (SELECT doc_id, t, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS units, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[25:32])::BIGINT AS h4 FROM d),
+        c AS (SELECT *, len(units) AS n, least(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS a, greatest(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS b,
+            CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM u),
+        x AS (SELECT *, array_to_string(units[1:a], '') AS prefix, array_to_string(units[a + 1:b], '') AS middle, array_to_string(units[b + 1:], '') AS suffix FROM c)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+            sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(t) AS restored_sha256 FROM x""",
 }
