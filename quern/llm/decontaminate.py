@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import NOT_ALNUM, bounded_batches, buffers, docs_of, mixed, powers, prefix_hashes, slices, step, words, written
+from quern.llm.common import LOWER, NOT_ALNUM, bounded_batches, buffers, docs_of, mixed, slices, step, word_hashes, words, written
 
 WINDOW = 12
 MOST_SUBSTITUTIONS = 2
@@ -62,22 +62,25 @@ def _classes() -> np.ndarray:
     return out
 
 
-def _code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The code points of UTF-8 texts and the offsets of the texts among them; broken bytes give some code point."""
+def _code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The code points of UTF-8 texts, the offsets of the texts among them and the byte where each begins and the last ends.
+
+    Broken bytes give some code point.
+    """
     lead = (data & 0xC0) != 0x80
     at = np.flatnonzero(lead)
     padded = np.concatenate([data, np.zeros(3, np.uint8)]).astype(np.int64)
     c = padded[at]
     x, y, z = (padded[at + k] & 0x3F for k in (1, 2, 3))
     points = np.select([c < 0x80, c < 0xE0, c < 0xF0], [c, (c & 0x1F) << 6 | x, (c & 0xF) << 12 | x << 6 | y], (c & 7) << 18 | x << 12 | y << 6 | z)
-    return np.minimum(points, 0x10FFFF), np.r_[0, np.cumsum(lead)][offsets]
+    return np.minimum(points, 0x10FFFF), np.r_[0, np.cumsum(lead)][offsets], np.r_[at, len(data)]
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of some texts in order, and the n + 1 offsets of the texts among them."""
     if not len(data) or data.max() < 128:
         return words(data, offsets, NOT_ALNUM)
-    points, offsets = _code_points(data, offsets)
+    points, offsets, place = _code_points(data, offsets)
     kind = _classes()[points]
     first = kind > 0
     last = first.copy()
@@ -87,9 +90,7 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     first[1:] &= ~joined
     last[:-1] &= ~joined
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    sums = prefix_hashes(np.where((points >= 65) & (points <= 90), points + 32, points).astype(np.uint64))
-    h = mixed((sums[end] - sums[start]) * powers(len(points), inverse=True)[start])
-    return h, np.searchsorted(start, offsets).astype(np.int64)
+    return word_hashes(LOWER[data], place[start], place[end]), np.searchsorted(start, offsets).astype(np.int64)
 
 
 def seeds(h: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:

@@ -1,7 +1,7 @@
 """Near-duplicate groups by an n-gram Jaccard self-join with several global orders (operator 10).
 
 A document's set is its distinct five-word shingles (see ``common.shingle_sets``), as 64-bit hashes. Documents with equal
-sets are one class; classes, not documents, are joined. Two classes link at ``100 * both >= 75 * either``.
+sets are one class; classes, not documents, are joined. Two classes link at ``100 * both >= 75 * either`` (a parameter).
 
 1. Frequencies. All distinct shingles of all documents are counted; the ``MOST_HOT`` most frequent of those in more than
    ``GROUP`` classes go along with the later tasks (a bounded list: it only decides the order, never the result).
@@ -24,7 +24,7 @@ empty result. Hashes of 64 bits stand for shingles and sets.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +37,7 @@ from quern.llm.graph import connected_components
 
 WORDS = 5
 #: The threshold as a fraction, 75 / 100.
-NUM, DEN = 3, 4
+LEAST = (3, 4)
 GROUP = 8
 MOST_HOT = 1 << 19
 #: Buckets for each shuffle partition, and the shingles of all texts for each bucket: the larger number of buckets holds.
@@ -47,14 +47,16 @@ BUCKET_SHINGLES = 1 << 20
 ORDERS = (np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F))
 
 
-def probing(n: np.ndarray) -> np.ndarray:
+def probing(n: np.ndarray, least: tuple[int, int] = LEAST) -> np.ndarray:
     """n - ceil(t n) + 1"""
-    return n - -(-NUM * n // DEN) + 1
+    num, den = least
+    return n - -(-num * n // den) + 1
 
 
-def indexing(n: np.ndarray) -> np.ndarray:
+def indexing(n: np.ndarray, least: tuple[int, int] = LEAST) -> np.ndarray:
     """n - ceil(2t / (1 + t) n) + 1"""
-    return n - -(-2 * NUM * n // (NUM + DEN)) + 1
+    num, den = least
+    return n - -(-2 * num * n // (num + den)) + 1
 
 
 def reduced(tokens: np.ndarray, buckets: int) -> np.ndarray:
@@ -143,7 +145,7 @@ def _frequent(table: pa.Table) -> pa.Table:
     return pa.table({"token": pa.array(token[hot].astype(np.int64) | key), "df": pa.array(n[hot].astype(np.int64))})
 
 
-def _entry_batches(buckets: int, hot: np.ndarray, rank: np.ndarray):
+def _entry_batches(buckets: int, hot: np.ndarray, rank: np.ndarray, least: tuple[int, int] = LEAST):
     """Prefix entries under the first order; hot: listed shingles ascending, rank: their place from rare to frequent."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,9 +172,9 @@ def _entry_batches(buckets: int, hot: np.ndarray, rank: np.ndarray):
                 pos = np.arange(len(doc)) - first[doc]
                 size = n[doc]
                 quiet = np.bincount(doc[late == 0], minlength=len(n))[doc]
-                probe = pos < probing(size)
+                probe = pos < probing(size, least)
                 t, late, doc, pos, size, quiet = t[probe], late[probe], doc[probe], pos[probe], size[probe], quiet[probe]
-                mark = size << 1 | (pos < indexing(size))
+                mark = size << 1 | (pos < indexing(size, least))
                 listed = late > 0
                 where = (t >> np.uint64(32)).astype(np.int64)
                 usual.append((where[~listed], t[~listed].astype(np.uint32), classes[doc[~listed]], mark[~listed].astype(np.uint32)))
@@ -216,7 +218,7 @@ def _found(token, a, n, index, b=None, typical=None, reach=None) -> pa.Table:
     )
 
 
-def _bucket_pairs(buckets: int, complete: bool):
+def _bucket_pairs(buckets: int, complete: bool, least: tuple[int, int] = LEAST):
     """Pairs (a, b) of small groups; b null: an entry of a larger group or a listed shingle.
 
     complete: every shingle of more than GROUP classes is listed. Then a class with a listed shingle in its prefix has all
@@ -224,6 +226,8 @@ def _bucket_pairs(buckets: int, complete: bool):
     listed shingles only.
     """
 
+    num, den = least
+
     def pairs(table: pa.Table) -> pa.Table:
         special = table["bucket"][0].as_py() >= buckets
         token, c, mark, quiet = (_joined(table[k], kind) for k, kind in (("tokens", np.uint64 if special else np.uint32), ("classes", np.int64), ("marks", np.uint32), ("quiets", np.uint32)))
@@ -244,7 +248,7 @@ def _bucket_pairs(buckets: int, complete: bool):
         a, b = [], []
         for step in range(1, GROUP):
             at = np.flatnonzero((left >= step) & ~large & index)
-            at = at[n[at] * DEN >= NUM * n[at + step]]
+            at = at[n[at] * den >= num * n[at + step]]
             a.append(at)
             b.append(at + step)
         pair = np.unique(np.stack([c[np.concatenate(a)], c[np.concatenate(b)]], 1), axis=0)
@@ -261,27 +265,40 @@ def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(_class_of(s, off)), raw.cast(pa.binary())], ["cls", "set"])
 
 
-def linked(x: np.ndarray, y: np.ndarray) -> bool:
+def similar(x: np.ndarray, y: np.ndarray, least: tuple[int, int]) -> bool:
+    """Whether two sets of distinct hashes share enough of what either has."""
+    num, den = least
+    if den * min(len(x), len(y)) < num * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return den * both >= num * (len(x) + len(y) - both)
+
+
+def linked(x: np.ndarray, y: np.ndarray, least: tuple[int, int] = LEAST) -> bool:
     """Whether two sets of distinct hashes share prefixes under the further orders and are similar enough."""
     small, large = (x, y) if len(x) <= len(y) else (y, x)
-    if DEN * len(small) < NUM * len(large):
+    if least[1] * len(small) < least[0] * len(large):
         return False
     for salt in ORDERS:
-        i, p = int(indexing(np.int64(len(small)))), int(probing(np.int64(len(large))))
+        i, p = int(indexing(np.int64(len(small)), least)), int(probing(np.int64(len(large)), least))
         left, right = np.sort(mixed(small ^ salt))[:i], np.sort(mixed(large ^ salt))[:p]
         if not np.isin(left, right, assume_unique=True).any():
             return False
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return DEN * both >= NUM * (len(x) + len(y) - both)
+    return similar(x, y, least)
 
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = [[np.frombuffer(v.as_py(), np.uint64) for v in batch.column(k)] for k in ("set_a", "set_b")]
-        yield batch.select(["a", "b"]).filter(pa.array([linked(x, y) for x, y in zip(*sets, strict=True)], pa.bool_()))
+def verified(test: Callable[[np.ndarray, np.ndarray], bool]):
+    """The pairs (a, b) whose sets set_a and set_b pass a test."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [[np.frombuffer(v.as_py(), np.uint64) for v in batch.column(k)] for k in ("set_a", "set_b")]
+            yield batch.select(["a", "b"]).filter(pa.array([test(x, y) for x, y in zip(*sets, strict=True)], pa.bool_()))
+
+    return rows
 
 
-def _links(pairs: DataFrame, docs: DataFrame, ids: DataFrame) -> DataFrame:
+def _links(pairs: DataFrame, docs: DataFrame, ids: DataFrame, least: tuple[int, int]) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough."""
     pairs = cut_lineage(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     if not pairs.take(1):
@@ -292,7 +309,7 @@ def _links(pairs: DataFrame, docs: DataFrame, ids: DataFrame) -> DataFrame:
     sets = texts.select("text").mapInArrow(_set_rows, "cls long, set binary")
     both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("cls").alias("b"), F.col("set").alias("set_b")), "b")
     # A doc_id that several rows have can bring a class twice.
-    return cut_lineage(both.mapInArrow(_verified, "a long, b long").distinct())
+    return cut_lineage(both.mapInArrow(verified(lambda x, y: linked(x, y, least)), "a long, b long").distinct())
 
 
 def _frequent_shingles(texts: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -306,27 +323,28 @@ def _frequent_shingles(texts: DataFrame, buckets: int) -> tuple[np.ndarray, np.n
     return token[order], rank[order]
 
 
-def _found_rows(texts: DataFrame, buckets: int) -> DataFrame:
+def _found_rows(texts: DataFrame, buckets: int, least: tuple[int, int]) -> DataFrame:
     """Pairs of small groups and entries of large ones, as FOUND."""
     token, rank = _frequent_shingles(texts, buckets)
-    packed = texts.mapInArrow(_entry_batches(buckets, token, rank), "bucket long, tokens binary, classes binary, marks binary, quiets binary")
-    return written(packed.groupBy("bucket").applyInArrow(_bucket_pairs(buckets, len(token) < MOST_HOT), FOUND))
+    packed = texts.mapInArrow(_entry_batches(buckets, token, rank, least), "bucket long, tokens binary, classes binary, marks binary, quiets binary")
+    return written(packed.groupBy("bucket").applyInArrow(_bucket_pairs(buckets, len(token) < MOST_HOT, least), FOUND))
 
 
-def near_dup(docs: DataFrame, group_buckets: int | None = None) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id."""
+def near_dup(docs: DataFrame, group_buckets: int | None = None, least: tuple[int, int] = LEAST) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id; documents of a similarity of ``least`` or more link."""
+    num, den = least
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = cut_lineage(docs_of(docs, "doc_id", "text").mapInArrow(_summaries, "doc_id long, n long, cls long"))
     buckets = group_buckets or max(BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions")), (rows.agg(F.sum("n")).first()[0] or 0) // BUCKET_SHINGLES)
     ids = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    found = _found_rows(docs_of(docs, "text"), buckets)
+    found = _found_rows(docs_of(docs, "text"), buckets, least)
     large = found.where("b is null").select("token", F.col("a").alias("cls"), F.col("n_a").alias("n"), F.col("index_a").alias("indexed"), "typical", "reach").distinct()
     # The centre of a group is its most typical class, the one with the most listed shingles.
     # Written, here and below, so that a group's rows can be split over tasks where they meet its one row.
     star = written(large.groupBy("token").agg(F.max(F.struct("typical", "cls", "n")).alias("centre")))
-    near = large.join(star, "token").where(f"cls <> centre.cls and {DEN} * least(n, centre.n) >= {NUM} * greatest(n, centre.n)").select(F.col("centre.cls").alias("a"), F.col("cls").alias("b"))
-    links = _links(found.where("b is not null").select("a", "b").unionByName(near), docs, ids)
+    near = large.join(star, "token").where(f"cls <> centre.cls and {den} * least(n, centre.n) >= {num} * greatest(n, centre.n)").select(F.col("centre.cls").alias("a"), F.col("cls").alias("b"))
+    links = _links(found.where("b is not null").select("a", "b").unionByName(near), docs, ids, least)
     first = connected_components(links)
 
     # Groups whose classes lie in several components: which components could still be linked, then their classes.
@@ -336,15 +354,15 @@ def near_dup(docs: DataFrame, group_buckets: int | None = None) -> DataFrame:
     open_ = written(placed.join(torn, "token", "left_semi"))
     sides = written(open_.groupBy("token", "component").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("reach").alias("reach"), F.min(F.when(F.col("indexed"), F.col("n"))).alias("least_indexed")))
     x, y = sides.alias("x"), sides.alias("y")
-    enough = f"{NUM + DEN} * least({{0}}.reach, {{1}}.reach) >= {NUM} * ({{0}}.{{2}} + {{1}}.{{2}})"
+    enough = f"{num + den} * least({{0}}.reach, {{1}}.reach) >= {num} * ({{0}}.{{2}} + {{1}}.{{2}})"
     apart = x.join(y, F.col("x.token") == F.col("y.token"))
-    apart = apart.where("x.component <> y.component and x.least_indexed is not null").where(f"x.least_indexed <= y.most and {DEN} * x.most >= {NUM} * y.least and " + enough.format("x", "y", "least"))
+    apart = apart.where("x.component <> y.component and x.least_indexed is not null").where(f"x.least_indexed <= y.most and {den} * x.most >= {num} * y.least and " + enough.format("x", "y", "least"))
     apart = apart.select(F.col("x.component").alias("small"), F.col("y.component").alias("big")).distinct()
     members = open_.groupBy("component", "cls").agg(F.max("n").alias("n"), F.max("reach").alias("reach"), F.max("indexed").alias("indexed"))
     s, g = members.where("indexed").alias("s"), members.alias("g")
     across = apart.join(s, F.col("small") == F.col("s.component")).join(g, F.col("big") == F.col("g.component"))
-    across = across.where(f"s.n <= g.n and {DEN} * s.n >= {NUM} * g.n and " + enough.format("s", "g", "n")).select(F.col("s.cls").alias("a"), F.col("g.cls").alias("b"))
-    more = _links(across, docs, ids)
+    across = across.where(f"s.n <= g.n and {den} * s.n >= {num} * g.n and " + enough.format("s", "g", "n")).select(F.col("s.cls").alias("a"), F.col("g.cls").alias("b"))
+    more = _links(across, docs, ids, least)
     final = connected_components(links.unionByName(more)) if more.take(1) else first
 
     placed = rows.join(final.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))

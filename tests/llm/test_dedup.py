@@ -234,3 +234,22 @@ def test_components(spark):
     got = {x["node"]: x["component"] for x in graph.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for x in {y for e in edges if e[0] != e[1] for y in e}}
     assert graph.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_words_with_equal_polynomial_hashes(spark):
+    """Thue-Morse words collide under any polynomial hash modulo 2^64; texts of them share no word."""
+    import numpy as np
+
+    from quern.llm import common, decontaminate
+
+    morse = ["".join("xy"[(i.bit_count() + k) % 2] for i in range(2048)) for k in range(2)]
+    texts = [" ".join([m] * 8) for m in morse]
+    rows = near_dup.near_dup(docs_of(spark, [*texts, texts[0].upper()])).orderBy("doc_id").collect()
+    assert [x["component_id"] for x in rows] == [0, 1, 0]
+    items = spark.createDataFrame([(5, texts[0])], "item_id long, text string")
+    assert {x["doc_id"]: x["contaminated"] for x in decontaminate.decontamination(docs_of(spark, texts), items).collect()} == {0: True, 1: False}
+    some = ["", "a", "A", "b", "abcdefgh", "abcdefghi", "abcdefgh\0", "é", "x" * 64, "x" * 65, "X" * 65, *morse, "ab", "ba", "a" * 16, "a" * 8]
+    data = common.LOWER[np.frombuffer("".join(some).encode(), np.uint8)]
+    ends = np.cumsum([len(x.encode()) for x in some])
+    h = common.word_hashes(data, np.r_[0, ends[:-1]], ends).tolist()
+    assert len(set(h)) == len(some) - 2 and h[1] == h[2] and h[9] == h[10]
