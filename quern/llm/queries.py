@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import chat_format, decontaminate, exact_dedup, fill_middle, language_id, license_scan, near_dup, quality, secret_scan, source_audit, source_mix, suffix_dedup
+from quern.llm import chat_format, decontaminate, exact_dedup, fill_middle, language_id, license_scan, minhash, near_dup, quality, secret_scan, source_audit, source_mix, suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,11 +61,15 @@ def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_audit.source_divergence(table(spark, sf_dir, "documents"))
 
 
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.minhash_near_dup(table(spark, sf_dir, "documents"))
+
+
 def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.fim_digest(fill_middle.fill_in_middle(table(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_secret_scan, op3_suffix_dedup, op4_chat_format, op5_exact_dedup, op6_source_mix, op7_quality, op8_decontaminate, op9_language_id, op10_near_dup, op11_source_audit, op13_fill_middle)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_secret_scan, op3_suffix_dedup, op4_chat_format, op5_exact_dedup, op6_source_mix, op7_quality, op8_decontaminate, op9_language_id, op10_near_dup, op11_source_audit, op12_minhash, op13_fill_middle)}
 
 
 def _license_sql() -> str:
