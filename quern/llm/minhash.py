@@ -124,6 +124,12 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("node").slice(a, b - a), raw.cast(pa.binary())], ["node", "set"])
 
 
+def _plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node and text of squeezed texts."""
+    for batch in opened(batches):
+        yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("text").cast(pa.large_string()).cast(pa.string())], ["node", "text"])
+
+
 def _bodies(docs: DataFrame) -> DataFrame:
     """doc_id, text, body: the text's digest."""
     return docs_of(docs, "doc_id", "text").withColumn("body", F.unhex(F.substring(F.sha2(text_or_empty(), 256), 1, 32)))
@@ -182,7 +188,7 @@ def minhash_near_dup(docs: DataFrame, least: tuple[int, int] = LEAST, bands: int
     components = connected_components(links)
     rest = written(torn(shared, components))
     if rest.take(1):
-        texts = written(_texts(docs, nodes.join(rest, "node", "left_semi")))
+        texts = written(_texts(docs, nodes.join(rest, "node", "left_semi")).mapInArrow(_plain, "node long, text string"))
         found = near_dup(texts.select(F.col("node").alias("doc_id"), F.col("text")), least=least)
         more = found.where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
         components = connected_components(links.unionByName(more))

@@ -99,6 +99,15 @@ def test_minhash_near_dup(spark, monkeypatch, seed, group):
     assert [(x["doc_id"], x["n_shingles"], x["component_id"], x["kept"]) for x in rows] == expected(texts)
 
 
+def test_what_stars_leave_goes_through_the_prefix_join(spark, monkeypatch):
+    """Without any candidate of their own, buckets are torn, and all links come from the exact join."""
+    monkeypatch.setattr(minhash, "GROUP", 1)
+    monkeypatch.setattr(minhash, "candidates", lambda shared, least: shared.select(shared["node"].alias("a"), shared["node"].alias("b")).limit(0))
+    texts = texts_of(3)
+    rows = minhash.minhash_near_dup(spark.createDataFrame(list(enumerate(texts)), DOCS)).orderBy("doc_id").collect()
+    assert [(x["doc_id"], x["n_shingles"], x["component_id"], x["kept"]) for x in rows] == expected(texts)
+
+
 def test_other_thresholds_and_long_texts(spark):
     r = random.Random(9)
     long = [f"v{r.randrange(10**6)}" for _ in range(300_000)]
