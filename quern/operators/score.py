@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,32 +15,41 @@ def argmax(scores: Column) -> Column:
     return F.when(F.size(scores) > 0, F.array_position(scores, F.array_max(scores)) - 1)
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value worked out once, however often use looks at it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def top_k(scores: Column, k: int) -> Column:
-    """Which entries are among the k largest; ties with the k-th stay."""
+    """Which entries are among the k largest; ties with the k-th stay. One sort a row."""
     least = F.element_at(F.sort_array(scores, asc=False), F.least(F.lit(k), F.size(scores)))
-    return F.transform(scores, lambda v: v >= least)
+    return bound(F.struct(scores.alias("all"), F.when(F.size(scores) > 0, least).alias("least")), lambda s: F.transform(s["all"], lambda v: v >= s["least"]))
 
 
 def softmax(scores: Column) -> Column:
-    most = F.array_max(scores)
-    powers = F.transform(scores, lambda v: F.exp(v.cast("double") - most))
-    total = F.aggregate(powers, F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(powers, lambda v: v / total)
+    powers = bound(F.struct(scores.alias("all"), F.array_max(scores).cast("double").alias("most")), lambda s: F.transform(s["all"], lambda v: F.exp(v.cast("double") - s["most"])))
+    total = lambda p: F.aggregate(p, F.lit(0.0), lambda acc, x: acc + x)
+    return bound(powers, lambda p: bound(F.struct(p.alias("all"), total(p).alias("total")), lambda s: F.transform(s["all"], lambda v: v / s["total"])))
 
 
 def nucleus_kept(scores: Column, p: float) -> Column:
-    """array<boolean>: entries in descending order of probability up to the one that crosses p, that one kept."""
-    entry = lambda q, i: F.struct((-q).alias("low"), i.alias("index"))
-    zero = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n"))
-    step = lambda acc, x: F.struct((acc["sum"] - x["low"]).alias("sum"), (acc["n"] + (acc["sum"] <= p).cast("int")).alias("n"))
-
-    def cut(entries: Column) -> Column:
-        order = F.array_sort(entries)
-        return F.transform(F.array(F.element_at(order, F.greatest(F.aggregate(order, zero, step)["n"], F.lit(1)))), lambda last: F.transform(entries, lambda x: x <= last))
-
-    # The entries are bound once, and so is the last one kept.
-    whole = F.flatten(F.flatten(F.transform(F.array(F.transform(softmax(scores), entry)), cut)))
-    return F.when(F.size(scores) > 0, whole).otherwise(F.array().cast("array<boolean>"))
+    """array<boolean>: entries in descending order of probability up to the one that crosses p, that one kept.
+
+    One sort and one fold over it: the fold keeps the last entry before which the sum is not yet over p, and what isn't
+    behind that entry stays.
+    """
+    entries = F.transform(softmax(scores), lambda q, i: F.struct((-q).alias("low"), i.alias("index")))
+    none = F.struct(F.lit(0.0).alias("sum"), F.lit(float("-inf")).alias("low"), F.lit(-1).alias("index"))
+
+    def step(acc: Column, x: Column) -> Column:
+        still = acc["sum"] <= p
+        return F.struct((acc["sum"] - x["low"]).alias("sum"), F.when(still, x["low"]).otherwise(acc["low"]).alias("low"), F.when(still, x["index"]).otherwise(acc["index"]).alias("index"))
+
+    def kept(all_: Column) -> Column:
+        last = F.aggregate(F.sort_array(all_), none, step)
+        return bound(F.struct(all_.alias("all"), last.alias("last")), lambda s: F.transform(s["all"], lambda x: (x["low"] < s["last"]["low"]) | ((x["low"] == s["last"]["low"]) & (x["index"] <= s["last"]["index"]))))
+
+    return F.when(F.size(scores) > 0, bound(entries, kept)).otherwise(F.array().cast("array<boolean>"))
 
 
 def nucleus(rows: DataFrame, by: list[str], scores: str, p: float) -> DataFrame:

@@ -102,6 +102,13 @@ def padded(df: DataFrame, sides: list[tuple[str, str]], multiple: int = 16, most
     return rows.drop("_length")
 
 
+def prompt_ids(ids: Column, context: int, answer: int) -> Column:
+    """The last ids of a prompt that leave room for ``answer`` more in a context; what is cut off is the oldest."""
+    if not 0 <= answer < context:
+        raise ValueError("an answer must be shorter than the context")
+    return F.slice(ids, F.greatest(F.size(ids) - (context - answer), F.lit(0)) + 1, F.lit(context - answer))
+
+
 def scoring_window(prompt_ids: Column, continuation_ids: Column, most: int, end: int) -> Column:
     """struct(ids, from_index): a prompt cut on the left and a continuation to score, within ``most`` tokens."""
     tail = F.slice(continuation_ids, 1, most - 1)

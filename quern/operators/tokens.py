@@ -59,13 +59,23 @@ def byte_count(text: Column) -> Column:
     return (F.octet_length(text) + 1).cast("long")
 
 
+def byte_values(text: Column) -> Column:
+    """array<int>: the UTF-8 bytes of a text; null is an empty text. Time is linear: a byte of a binary value is found at once."""
+    value = lambda raw, i: F.conv(F.hex(F.substring(raw, i, F.lit(1))), 16, 10).cast("int")
+    # The binary value is bound once; each place is then looked up in it.
+    every = F.transform(F.array(F.encode(F.coalesce(text, F.lit("")), "UTF-8")), lambda raw: F.transform(_places(F.octet_length(raw)), lambda i: value(raw, i)))
+    return F.get(every, F.lit(0))
+
+
+def _places(n: Column) -> Column:
+    """1 to n, or nothing."""
+    return F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+
+
 def byte_ids(text: Column) -> Column:
     """Base ids of a text's bytes: printable bytes come first, in the usual byte-level order; then the end mark."""
-    table = _base_ids()
-    code = F.hex(F.encode(text, "UTF-8"))
-    spots = F.when(F.length(code) > 0, F.sequence(F.lit(1), F.length(code) - 1, F.lit(2))).otherwise(F.array().cast("array<int>"))
-    ids = F.transform(spots, lambda i: F.element_at(F.array(*map(F.lit, table)), F.conv(F.substr(code, i, F.lit(2)), 16, 10).cast("int") + 1))
-    return F.array_append(ids, F.lit(END_OF_TEXT))
+    table = F.array(*map(F.lit, _base_ids()))
+    return F.array_append(F.transform(byte_values(text), lambda v: F.get(table, v)), F.lit(END_OF_TEXT))
 
 
 def _base_ids() -> list[int]:

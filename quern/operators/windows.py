@@ -13,6 +13,18 @@ def sliding_windows(streams: DataFrame, length: int, tokens: str = "tokens") ->
     return rows.withColumn("x", F.slice(tokens, F.col("start") + 1, length)).withColumn("y", F.slice(tokens, F.col("start") + 2, length)).drop(tokens)
 
 
+def range_windows(ranges: DataFrame, length: int, step: int = 1) -> DataFrame:
+    """path, start, x, y: the windows of whole shards from rows of readers.read_token_ranges(overlap=length) of them.
+
+    A shard of n tokens has windows at 0, step, .. below n - length, wherever its rows are cut. With a step of batch * length
+    these are the consecutive blocks of a loader.
+    """
+    skip = F.pmod(-F.col("first"), F.lit(step))
+    last = F.least(F.col("own") - 1, F.size("tokens") - length - 1)
+    rows = ranges.where(skip <= last).withColumn("at", F.explode(F.sequence(skip.cast("int"), last.cast("int"), F.lit(step))))
+    return rows.select("path", (F.col("first") + F.col("at")).alias("start"), F.slice("tokens", F.col("at") + 1, length).alias("x"), F.slice("tokens", F.col("at") + 2, length).alias("y"))
+
+
 def random_windows(streams: DataFrame, length: int, count: int, seed: int = 42, tokens: str = "tokens") -> DataFrame:
     """``count`` windows of each stream with starts drawn by a hash, below n - length - 1, with replacement."""
     rows = streams.where(F.size(tokens) > length + 1).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
@@ -54,12 +66,17 @@ def document_spans(tokens: DataFrame, end: int, by: list[str]) -> DataFrame:
     return rows.withColumn("doc", F.row_number().over(W.partitionBy(*by).orderBy("pos")) - 1).select(*by, "doc", "first", (F.col("pos") - F.col("first") + 1).alias("n"))
 
 
-def sampled_document(tokens: Column, start: Column, end: int, prefix: int, truth: int, reach: int = 5000) -> Column:
-    """struct(prefix, truth) of the document that begins after the first end mark within reach of start.
+def sampled_documents(drawn: DataFrame, end: int, prefix: int, truth: int, reach: int = 5000) -> DataFrame:
+    """drawn (draw, path, size, offset, tokens: reach + prefix + truth of them) with outcome, prefix and truth.
 
-    Null if there is none or if the prefix holds an end mark.
+    A document begins after the first end mark within reach of the offset. outcome accounts for every draw: found, no mark
+    (within reach, in the same shard), too short (fewer than prefix + truth + 1 tokens are left in the shard), or mark in
+    prefix; only a found one has prefix and truth.
     """
-    near = F.slice(tokens, start + 1, F.lit(reach))
-    at = F.array_position(near, F.lit(end)).cast("int")
-    head = F.slice(tokens, start + at + 1, F.lit(prefix))
-    return F.when((at > 0) & (F.size(head) == prefix) & ~F.array_contains(head, F.lit(end)), F.struct(head.alias("prefix"), F.slice(tokens, start + at + 1 + prefix, F.lit(truth)).alias("truth")))
+    at = F.array_position(F.slice("tokens", 1, reach), F.lit(end)).cast("int")
+    head = F.slice("tokens", F.col("at") + 1, F.lit(prefix))
+    left = F.col("size") - F.col("offset") - F.col("at")
+    outcome = F.when(F.col("at") == 0, "no mark").when(left <= prefix + truth, "too short").when(F.array_contains(head, F.lit(end)), "mark in prefix").otherwise("found")
+    rows = drawn.withColumn("at", at).withColumn("outcome", outcome)
+    found = F.col("outcome") == "found"
+    return rows.select("draw", "path", "offset", "outcome", F.when(found, head).alias("prefix"), F.when(found, F.slice("tokens", F.col("at") + 1 + prefix, F.lit(truth))).alias("truth"))

@@ -364,16 +364,9 @@ def bpe_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return tokens.decode(coded, VOCABULARY).select("doc_id", F.md5("text").alias("digest"))
 
 
-def plain_bytes(text: Column) -> Column:
-    """A text's bytes as ids."""
-    code = F.hex(F.encode(F.coalesce(text, F.lit("")), "UTF-8"))
-    spots = F.when(F.length(code) > 0, F.sequence(F.lit(1), F.length(code) - 1, F.lit(2))).otherwise(F.array().cast("array<int>"))
-    return F.transform(spots, lambda i: F.conv(F.substr(code, i, F.lit(2)), 16, 10).cast("int"))
-
-
 def encoded_dialogues(spark: SparkSession, d: str) -> DataFrame:
     """conv_id, turns with byte ids for role and content."""
-    raw = plain_bytes
+    raw = tokens.byte_values
     rows = sft.gate(sft.dialogues(table(spark, d, "conversations")))
     return rows.select("conv_id", F.transform("messages", lambda t: F.struct(t["role"].alias("role"), raw(t["role"]).alias("role_ids"), raw(t["content"]).alias("content_ids"))).alias("turns"))
 
@@ -382,7 +375,7 @@ _SFT_SQL = f"WITH c AS ({_CLEAN_SQL}), g AS (SELECT conv_id FROM c JOIN (SELECT
 
 
 def _bytes_sql(column: str) -> str:
-    return f"list_transform(range(strlen({column})), lambda i: ('0x' || substr(hex(encode({column})), 2 * i::INT + 1, 2))::INT)"
+    return f"list_transform(regexp_extract_all(hex(encode({column})), '..'), lambda x: ('0x' || x)::INT)"
 
 
 _IDS_SQL = _SFT_SQL + f""", b AS (SELECT conv_id, turn, role, {_bytes_sql('role')} AS r, {_bytes_sql('content')} AS n FROM s),
@@ -392,8 +385,8 @@ i AS (SELECT conv_id, flatten(list(list_concat([{sft.TURN_START}], r, [10], n, [
 
 @query(_IDS_SQL + " SELECT conv_id, len(ids) AS n_ids, len(list_filter(labels, lambda x: x <> -100)) AS n_labels, md5(array_to_string(ids, ' ')) AS ids, md5(array_to_string(labels, ' ')) AS labels FROM i")
 def loss_mask_counts(spark: SparkSession, d: str) -> DataFrame:
-    rows = encoded_dialogues(spark, d).select("conv_id", sft.labelled(F.col("turns"), 2048).alias("e"))
-    return rows.select("conv_id", F.size("e.input_ids").cast("long").alias("n_ids"), F.size(F.filter("e.labels", lambda v: v != sft.IGNORE)).cast("long").alias("n_labels"), _digest("e.input_ids").alias("ids"), _digest("e.labels").alias("labels"))
+    rows = encoded_dialogues(spark, d).select("conv_id", F.inline(F.array(sft.labelled(F.col("turns"), 2048))))
+    return rows.select("conv_id", F.size("input_ids").cast("long").alias("n_ids"), F.size(F.filter("labels", lambda v: v != sft.IGNORE)).cast("long").alias("n_labels"), _digest("input_ids").alias("ids"), _digest("labels").alias("labels"))
 
 
 def _digest(ids: str) -> Column:
@@ -410,25 +403,61 @@ def pad_to_16(spark: SparkSession, d: str) -> DataFrame:
     return out.select("conv_id", F.size("input_ids").cast("long").alias("length"), F.aggregate("input_ids_mask", F.lit(0).cast("long"), lambda a, x: a + x).alias("filled"), _digest("input_ids").alias("ids"), _digest("labels").alias("labels"))
 
 
-@query(_PREF_SQL + ", k AS (SELECT pos, strlen(prompt) + 12 + CASE WHEN system IS NULL THEN 0 ELSE strlen(system) + 10 END - 4 AS head, strlen(chosen) + 13 AS c_n, strlen(rejected) + 13 AS r_n FROM w WHERE prompt <> '' AND chosen <> '' AND rejected <> '' AND chosen <> rejected AND c <= 350 AND r <= 350 AND (least(c, r) = 0 OR greatest(c, r) <= 8.0 * least(c, r))) SELECT pos, (ceil(max(head + greatest(c_n, r_n)) OVER (PARTITION BY pos // 4) / 16) * 16)::BIGINT AS length, (head + c_n)::BIGINT AS chosen, (head + r_n)::BIGINT AS rejected FROM k")
+def _turn_sql(role: str, content: str) -> str:
+    return f"list_concat([{sft.TURN_START}], {_bytes_sql(role)}, [10], {_bytes_sql(content)}, [{sft.TURN_END}, 10])"
+
+
+def _filled_sql(column: str, fill: int) -> str:
+    return f"md5(array_to_string(list_concat({column}, list_transform(range(length - len({column})), lambda x: {fill})), ' '))"
+
+
+_DUAL_SQL = _PREF_SQL + f""", k AS (SELECT pos, list_concat(CASE WHEN system IS NULL THEN []::INT[] ELSE {_turn_sql("'system'", "system")} END, {_turn_sql("'user'", "prompt")}, [{sft.TURN_START}], {_bytes_sql("'assistant'")}, [10]) AS head, {_bytes_sql("chosen")} AS c, {_bytes_sql("rejected")} AS r FROM w WHERE prompt <> '' AND chosen <> '' AND rejected <> '' AND chosen <> rejected AND c <= 350 AND r <= 350 AND (least(c, r) = 0 OR greatest(c, r) <= 8.0 * least(c, r))),
+t AS (SELECT pos, list_concat(head, c, [{sft.TURN_END}, 10]) AS ci, list_concat(head, r, [{sft.TURN_END}, 10]) AS ri, list_concat(list_transform(head, lambda x: -100), c, [{sft.TURN_END}, -100]) AS cl, list_concat(list_transform(head, lambda x: -100), r, [{sft.TURN_END}, -100]) AS rl FROM k),
+l AS (SELECT *, (ceil(max(greatest(len(ci), len(ri))) OVER (PARTITION BY pos // 4) / 16) * 16)::BIGINT AS length FROM t)
+SELECT pos, length, len(ci) AS chosen, len(ri) AS rejected, {_filled_sql("ci", sft.PAD)} AS chosen_ids, {_filled_sql("cl", -100)} AS chosen_labels, {_filled_sql("ri", sft.PAD)} AS rejected_ids, {_filled_sql("rl", -100)} AS rejected_labels FROM l"""
+
+
+@query(_DUAL_SQL)
 def dual_pad(spark: SparkSession, d: str) -> DataFrame:
-    raw = plain_bytes
+    raw = tokens.byte_values
     rows = preferences.pairs(preference_records(spark, d))
     for side in ("chosen", "rejected"):
         turns = preferences.pair_turns(F.col("system"), F.col("prompt"), F.col(side))
         coded = F.transform(turns, lambda t: F.struct(t["role"].alias("role"), raw(t["role"]).alias("role_ids"), raw(t["content"]).alias("content_ids")))
-        rows = rows.withColumn("e", sft.labelled(coded, 1 << 20)).withColumn(f"{side}_ids", F.col("e.input_ids")).withColumn(f"{side}_labels", F.col("e.labels")).drop("e")
+        rows = rows.select(*[c for c in rows.columns if c != "turns"], coded.alias("turns"))
+        rows = rows.select("*", F.inline(F.array(sft.labelled(F.col("turns"), 1 << 20)))).withColumnsRenamed({"input_ids": f"{side}_ids", "labels": f"{side}_labels"})
     out = sft.padded(sft.batched(rows, "pos", 4), [("chosen_ids", "chosen_labels"), ("rejected_ids", "rejected_labels")])
     filled = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
-    return out.select("pos", F.size("chosen_ids").cast("long").alias("length"), filled("chosen_ids_mask").alias("chosen"), filled("rejected_ids_mask").alias("rejected"))
+    return out.select("pos", F.size("chosen_ids").cast("long").alias("length"), filled("chosen_ids_mask").alias("chosen"), filled("rejected_ids_mask").alias("rejected"), *[_digest(f"{side}_{what}").alias(f"{side}_{what}") for side in ("chosen", "rejected") for what in ("ids", "labels")])
+
 
+_WINDOW_SQL = f"""WITH p AS ({_PAIRS_SQL}), n AS (SELECT conv_id, turn, {_bytes_sql("coalesce(problem, '')")} AS p, {_bytes_sql("coalesce(solution, '')")}[1:255] AS s FROM p UNION ALL SELECT conv_id, -1, []::INT[], {_bytes_sql("coalesce(text, '')")}[1:255] FROM conversations WHERE turn = 0),
+h AS (SELECT conv_id, turn, CASE WHEN len(p) > 0 THEN p ELSE [{tokens.END_OF_TEXT}] END AS p, s, least(greatest(len(p), 1), 256 - len(s)) AS room FROM n)
+SELECT conv_id, turn, room + len(s) AS n_ids, room - 1 AS from_index, md5(array_to_string(list_concat(p[len(p) - room + 1:], s), ' ')) AS ids FROM h"""
 
-@query(f"WITH p AS ({_PAIRS_SQL}), n AS (SELECT conv_id, turn, strlen(coalesce(problem, '')) AS p, least(strlen(coalesce(solution, '')), 255) AS s FROM p UNION ALL SELECT conv_id, -1, 0, least(strlen(coalesce(text, '')), 255) FROM conversations WHERE turn = 0) SELECT conv_id, turn, least(greatest(p, 1), 256 - s) + s AS n_ids, least(greatest(p, 1), 256 - s) - 1 AS from_index FROM n")
+
+@query(_WINDOW_SQL)
 def continuation_window(spark: SparkSession, d: str) -> DataFrame:
     # Each conversation's first text also with an empty prompt: an end mark stands for it.
     alone = table(spark, d, "conversations").where("turn = 0").select("conv_id", F.lit(-1).cast("long").alias("turn"), F.lit("").alias("problem"), F.col("text").alias("solution"))
-    rows = turn_pairs(spark, d).unionByName(alone).select("conv_id", "turn", sft.scoring_window(plain_bytes(F.col("problem")), plain_bytes(F.col("solution")), 256, tokens.END_OF_TEXT).alias("w"))
-    return rows.select("conv_id", "turn", F.size("w.ids").cast("long").alias("n_ids"), F.col("w.from_index").cast("long").alias("from_index"))
+    rows = turn_pairs(spark, d).unionByName(alone).select("conv_id", "turn", tokens.byte_values(F.col("problem")).alias("p"), tokens.byte_values(F.col("solution")).alias("s"))
+    rows = rows.select("conv_id", "turn", F.inline(F.array(sft.scoring_window(F.col("p"), F.col("s"), 256, tokens.END_OF_TEXT))))
+    return rows.select("conv_id", "turn", F.size("ids").cast("long").alias("n_ids"), F.col("from_index").cast("long").alias("from_index"), _digest("ids").alias("ids"))
+
+
+_PROMPT_SQL = f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations),
+t AS (SELECT conv_id, '<|im_start|>system' || chr(10) || 'Be brief.<|im_end|>' || chr(10) || string_agg('<|im_start|>' || role || chr(10) || {STRIP % 'text'} || '<|im_end|>' || chr(10), '' ORDER BY turn) || '<|im_start|>assistant' || chr(10) AS prompt FROM r WHERE back <= 6 GROUP BY conv_id),
+b AS (SELECT conv_id, {_bytes_sql("prompt")} AS ids FROM t)
+SELECT conv_id, len(ids) AS n_prompt, least(len(ids), 384) AS n_ids, md5(array_to_string(ids[greatest(len(ids) - 384, 0) + 1:], ' ')) AS ids FROM b"""
+
+
+@query(_PROMPT_SQL)
+def prompt_window(spark: SparkSession, d: str) -> DataFrame:
+    rows = sft.dialogues(table(spark, d, "conversations"))
+    prompt = sft.chatml(sft.last_turns(F.col("messages"), 3), F.lit("Be brief."), cue=True)
+    coded = rows.select("conv_id", tokens.byte_values(prompt).alias("all"))
+    cut = coded.select("conv_id", F.size("all").cast("long").alias("n_prompt"), sft.prompt_ids(F.col("all"), 512, 128).alias("ids"))
+    return cut.select("conv_id", "n_prompt", F.size("ids").cast("long").alias("n_ids"), _digest("ids").alias("ids"))
 
 
 def streams(spark: SparkSession, d: str) -> DataFrame:
@@ -477,12 +506,6 @@ def eot_spans(spark: SparkSession, d: str) -> DataFrame:
     return windows.document_spans(line, 50, ["shard"]).select("shard", F.col("doc").cast("long").alias("doc"), F.col("first").cast("long").alias("first"), F.col("n").cast("long").alias("n"))
 
 
-@query()
-def sampled_documents(spark: SparkSession, d: str) -> DataFrame:
-    rows = streams(spark, d)
-    return rows.select("vec_id", windows.sampled_document(F.col("tokens"), F.lit(2), 3, 4, 6).alias("s")).where("s is not null").select("vec_id", F.size("s.prefix").alias("prefix"), F.size("s.truth").alias("truth"))
-
-
 @query("WITH u AS (SELECT vec_id, unnest(embedding) AS v, unnest(range(len(embedding))) AS i FROM embeddings), r AS (SELECT *, rank() OVER (PARTITION BY vec_id ORDER BY v DESC) AS place FROM u) SELECT vec_id, count(*) AS kept, sum(i)::BIGINT AS places FROM r WHERE place <= 5 GROUP BY vec_id")
 def topk_mask(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "embeddings").select("vec_id", score.top_k(F.col("embedding"), 5).alias("m"))

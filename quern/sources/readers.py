@@ -4,14 +4,19 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from itertools import accumulate, groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
+from quern.functions.running import running_total
 from quern.functions.text import first_truthy, strip
 from quern.operators.filters import code_quality, min_length, pick_text_column, rendered_reasoning
+from quern.sources.ranges import TokenRanges
+from quern.sources.stores import store_of
 
 MESSAGES = "array<struct<role:string,content:string>>"
 
@@ -89,25 +94,83 @@ def token_files(spark: SparkSession, root: str, split: str) -> DataFrame:
     return named.join(F.broadcast(first), F.col("kind") == F.col("first")).select("path", "length").orderBy("path")
 
 
-def read_shards(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """path, tokens array<int> of headerless files of little-endian 16-bit tokens, one row a file."""
+def shard_paths(spark: SparkSession, root: str, split: str) -> list[tuple[str, int]]:
+    """Path and bytes of a split's shards, in order; one entry a file, as Spark itself lists them."""
+    return [(f"{root.rstrip('/')}/{r['path']}", r["length"]) for r in token_files(spark, root, split).collect()]
 
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            tokens = [np.frombuffer(c.as_py()[: len(c.as_py()) // 2 * 2], "<u2").astype(np.int32) for c in batch.column("content")]
-            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(tokens, pa.list_(pa.int32()))], ["path", "tokens"])
 
-    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInArrow(unpack, "path string, tokens array<int>")
+def read_token_ranges(spark: SparkSession, shards: list[tuple[str, int]], overlap: int = 0, row_tokens: int = 1 << 16, task_tokens: int = 1 << 24, store: str | None = None) -> DataFrame:
+    """path, size, first, own, tokens: token shards in rows of ``row_tokens`` tokens, with up to ``overlap`` that follow.
 
+    Tasks read byte ranges, so a shard of any size is read by many of them; no row holds more than row_tokens + overlap.
+    size is the shard's number of tokens, first the place of a row's first one, own how many are its own.
+    """
+    spark.dataSource.register(TokenRanges)
+    rows = spark.read.format("token_ranges").option("files", json.dumps(shards)).option("overlap", overlap).option("rowTokens", row_tokens).option("taskTokens", task_tokens)
+    return (rows.option("store", store) if store else rows).load()
 
-def read_token_documents(spark: SparkSession, paths: str | list[str], end: int) -> DataFrame:
-    """path, pos, ids of the documents in token shards, each without its end mark; what follows the last mark is left out."""
-    rows = read_shards(spark, paths)
+
+def read_at(places: DataFrame, length: int, store: str | None = None) -> DataFrame:
+    """places (path, size, offset and any others) with tokens, up to ``length`` of them from each offset of a shard on.
+
+    Only these bytes are read, so the cost goes with the number of places, not with the size of the shards.
+    """
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths, sizes, offsets = (batch.column(c).to_pylist() for c in ("path", "size", "offset"))
+            out: list = [None] * batch.num_rows
+            for path, rows in groupby(sorted(range(batch.num_rows), key=lambda i: (paths[i], offsets[i])), key=paths.__getitem__):
+                with store_of(path.rpartition("/")[0], store).open(path) as file:
+                    for i in rows:
+                        file.seek(2 * offsets[i])
+                        out[i] = np.frombuffer(file.read(2 * min(length, sizes[i] - offsets[i])), "<u2").astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.int32()))], [*batch.schema.names, "tokens"])
+
+    return places.mapInArrow(fetch, StructType([*places.schema.fields, StructField("tokens", ArrayType(IntegerType()))]))
+
+
+def drawn_places(spark: SparkSession, shards: list[tuple[str, int]], count: int, reserve: int, seed: int = 42) -> DataFrame:
+    """draw, path, size, offset: ``count`` seeded positions, with replacement, in the concatenation of shards.
+
+    The last ``reserve`` tokens of the whole aren't drawn. Positions meet the shards in cells as large as a shard is on
+    average, so a shard has few cells and a cell few shards, and no draw is compared with all of them.
+    """
+    sizes = [(path, n // 2) for path, n in shards if n > 1]
+    total = sum(n for _, n in sizes)
+    if total <= reserve:
+        return spark.createDataFrame([], "draw long, path string, size long, offset long")
+    cell = -(-total // len(sizes))
+    begins = [0, *accumulate(n for _, n in sizes)]
+    files = spark.createDataFrame([(path, n, begin) for (path, n), begin in zip(sizes, begins, strict=False)], "path string, size long, begin long")
+    files = files.withColumn("cell", F.explode(F.sequence(F.floor(F.col("begin") / cell), F.floor((F.col("begin") + F.col("size") - 1) / cell))))
+    place = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"))), 1, 12), 16, 10).cast("long") % (total - reserve + 1)
+    draws = spark.range(count).select(F.col("id").alias("draw"), place.alias("place")).withColumn("cell", F.floor(F.col("place") / cell))
+    met = draws.join(files, "cell").where("place >= begin and place < begin + size")
+    return met.select("draw", "path", "size", (F.col("place") - F.col("begin")).alias("offset"))
+
+
+def range_documents(ranges: DataFrame, end: int) -> DataFrame:
+    """path, pos, ids: the documents in ranges without overlap, each up to its end mark; what follows the last mark is left out.
+
+    Only documents that reach over the end of a row are shuffled; pos counts empty documents too, which aren't returned.
+    """
     marks = F.filter(F.transform("tokens", lambda t, i: F.when(t == end, i)), lambda i: i.isNotNull())
-    rows = rows.withColumn("marks", marks).where(F.size("marks") > 0)
-    rows = rows.select("path", "tokens", F.posexplode("marks").alias("pos", "stop"), "marks")
-    first = F.when(F.col("pos") > 0, F.get("marks", F.col("pos") - 1) + 1).otherwise(F.lit(0))
-    return rows.select("path", "pos", F.slice("tokens", first + 1, F.col("stop") - first).alias("ids")).where(F.size("ids") > 0)
+    rows = ranges.select("path", "first", "tokens", marks.alias("marks")).withColumn("n", F.size("marks").cast("long"))
+    # Documents before each row, from a table of one short row for each row of tokens.
+    before = running_total(rows.select("path", "first", "n"), "n", ["first"], F.floor(F.col("first") / (1 << 26)), "upto", ["path"]).select("path", "first", (F.col("upto") - F.col("n")).alias("before"))
+    rows = rows.withColumn("bounds", F.concat(F.array(F.lit(-1)), F.col("marks"), F.array(F.size("tokens"))))
+    cut = lambda k: F.slice("tokens", F.get("bounds", k) + 2, F.get("bounds", k + 1) - F.get("bounds", k) - 1)
+    pieces = F.transform(F.sequence(F.lit(0), F.size("marks")), lambda k: F.struct(k.cast("long").alias("k"), cut(k).alias("ids")))
+    parts = rows.select("path", "first", "n", F.inline(pieces)).join(before, ["path", "first"]).select("path", (F.col("before") + F.col("k")).alias("pos"), "first", (F.col("k") < F.col("n")).alias("ends"), ((F.col("k") > 0) & (F.col("k") < F.col("n"))).alias("whole"), "ids")
+    inner = parts.where("whole").select("path", "pos", "ids")
+    torn = parts.where("not whole").groupBy("path", "pos").agg(F.max("ends").alias("ends"), F.array_sort(F.collect_list(F.struct("first", "ids"))).alias("p"))
+    return inner.unionByName(torn.where("ends").select("path", "pos", F.flatten(F.transform("p", lambda x: x["ids"])).alias("ids"))).where(F.size("ids") > 0)
+
+
+def read_token_documents(spark: SparkSession, shards: list[tuple[str, int]], end: int, store: str | None = None) -> DataFrame:
+    """path, pos, ids of the documents in token shards, each without its end mark; what follows the last mark is left out."""
+    return range_documents(read_token_ranges(spark, shards, store=store), end)
 
 
 def read_vocabulary(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -119,6 +182,14 @@ def read_vocabulary(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
     return tokens, merges
 
 
+def read_tokenizer(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(token, id) and (rank, left, right) of a byte-level tokenizer file in JSON with model.vocab and model.merges."""
+    model = json.loads(spark.read.text(path, wholetext=True).first()["value"])["model"]
+    tokens = spark.createDataFrame(list(model["vocab"].items()), "token string, id int")
+    pairs = [m.split(" ", 1) if isinstance(m, str) else m for m in model["merges"]]
+    return tokens, spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "rank int, left string, right string")
+
+
 def first_matching(df: DataFrame, language: str | None, pos: str) -> DataFrame:
     """The first row, or the first in a language; a top-1, not a sort."""
     kept = df.where(F.lower("lang") == language.lower()) if language else df

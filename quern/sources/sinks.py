@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import posixpath
+import json
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
-from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -14,79 +14,123 @@ from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMes
 
 from quern.functions.running import running_total
 from quern.operators.mix import shard_pieces, shard_tokens
+from quern.sources.stores import store_of
+
+#: Written last: the names and tokens of the shards that one job wrote.
+MANIFEST = "_shards_{job}.json"
 
 
 @dataclass
 class _Wrote(WriterCommitMessage):
-    files: tuple[tuple[str, str], ...]
+    shards: tuple[tuple[str, str, int], ...]
+
+
+def shard_name(split: str, shard: int) -> str:
+    """train_00000.bin; a split without numbers (shard -1) is train.bin."""
+    return f"{split}.bin" if shard < 0 else f"{split}_{shard:05d}.bin"
 
 
 class _ShardWriter(DataSourceWriter):
-    """Each task writes whole shards under temporary names; the commit gives them their own."""
+    """Each task writes whole shards below _temporary/<job>/<task attempt>; the commit gives them their names.
+
+    Attempts don't share a folder, so one that is retried, lost or run twice leaves nothing but its own temporary files, and
+    those of the attempts that didn't count go with the job's folder. The manifest comes last: what it names is whole.
+    """
+
+    def __init__(self, folder: str, job: str, store: str | None) -> None:
+        self.folder, self.job, self.named = folder.rstrip("/"), job, store
 
-    def __init__(self, folder: str, prefix: str) -> None:
-        self.folder, self.prefix = folder, prefix
+    @property
+    def temporary(self) -> str:
+        return f"{self.folder}/_temporary/{self.job}"
 
     def write(self, rows: Iterator) -> _Wrote:
         from pyspark import TaskContext
 
-        task = TaskContext.get().taskAttemptId()
-        Path(self.folder).mkdir(parents=True, exist_ok=True)
-        done, shard, out = [], None, None
-        for row in rows:  # sorted by shard, at
-            if row["shard"] != shard:
+        store, task = store_of(self.folder, self.named), TaskContext.get().taskAttemptId()
+        done: list[list] = []
+        key, out = None, None
+        for row in rows:  # sorted by split, shard, at
+            if (row["split"], row["shard"]) != key:
                 if out:
                     out.close()
-                shard = row["shard"]
-                name = posixpath.join(self.folder, f"{self.prefix}_{shard:05d}.bin")
-                done.append((f"{name}.{task}.part", name))
-                out = open(done[-1][0], "wb")  # noqa: SIM115
-            out.write(np.asarray(row["tokens"], "<u2").tobytes())
+                key = (row["split"], row["shard"])
+                name = shard_name(*key)
+                done.append([f"{self.temporary}/{task}/{name}", name, 0])
+                out = store.create(done[-1][0])
+            if row["at"] != done[-1][2]:
+                raise ValueError(f"{name}: a piece begins at {row['at']} where {done[-1][2]} tokens have been written")
+            ids = np.asarray(row["tokens"], np.int64)
+            if len(ids) and not 0 <= ids.min() <= ids.max() <= 0xFFFF:
+                raise ValueError(f"{name}: a token needs more than 16 bits")
+            out.write(ids.astype("<u2").tobytes())
+            done[-1][2] += len(ids)
         if out:
             out.close()
-        return _Wrote(tuple(done))
+        return _Wrote(tuple(tuple(x) for x in done))
 
     def commit(self, messages: list) -> None:
-        for m in messages:
-            for part, name in m.files if m else ():
-                Path(part).replace(name)
+        store = store_of(self.folder, self.named)
+        shards = sorted((name, part, n) for m in messages if m for part, name, n in m.shards)
+        if len({name for name, _, _ in shards}) < len(shards):
+            raise ValueError("several tasks wrote the same shard")
+        for name, part, _ in shards:
+            store.rename(part, f"{self.folder}/{name}")
+        with store.create(f"{self.folder}/{MANIFEST.format(job=self.job)}") as out:
+            out.write(json.dumps([{"name": name, "tokens": n} for name, _, n in shards]).encode())
+        store.delete_folder(self.temporary)
 
     def abort(self, messages: list) -> None:
-        for m in messages:
-            for part, _ in m.files if m else ():
-                Path(part).unlink(missing_ok=True)
+        store_of(self.folder, self.named).delete_folder(self.temporary)
 
 
 class TokenShards(DataSource):
-    """Format "token_shards": rows (shard, at, tokens) become {prefix}_{shard}.bin in a folder that all executors share."""
+    """Format "token_shards": rows (split, shard, at, tokens) become {split}_{shard}.bin in a folder of a store.
+
+    Options: path, job (a name of its own for each job), store (see stores.py).
+    """
 
     @classmethod
     def name(cls) -> str:
         return "token_shards"
 
     def schema(self) -> str:
-        return "shard long, at long, tokens array<int>"
+        return "split string, shard long, at long, tokens array<int>"
 
     def writer(self, schema, overwrite: bool) -> _ShardWriter:
-        return _ShardWriter(self.options["path"], self.options.get("prefix", "train"))
+        return _ShardWriter(self.options["path"], self.options["job"], self.options.get("store"))
+
 
+def write_shards(pieces: DataFrame, folder: str, prefix: str = "train", partitions: int | None = None, store: str | None = None) -> None:
+    """Writes the pieces of a shard in order into one file, all splits in one job.
 
-def write_shards(pieces: DataFrame, folder: str, prefix: str = "train", partitions: int | None = None) -> None:
-    """Writes the pieces of a shard in order into one file; a task streams its shards, never holding one whole."""
+    pieces has shard, at, tokens, and split, for which prefix stands where there is none. A task streams its shards and
+    never holds one whole. Tokens need 16 bits at most, and a shard's pieces must follow each other without a gap; else the
+    job fails and leaves no shard.
+    """
     spark: SparkSession = pieces.sparkSession
     spark.dataSource.register(TokenShards)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = pieces.select(F.col("shard").cast("long").alias("shard"), F.col("at").cast("long").alias("at"), "tokens")
-    rows.repartition(n, "shard").sortWithinPartitions("shard", "at").write.format("token_shards").option("path", folder).option("prefix", prefix).mode("append").save()
+    split = F.col("split") if "split" in pieces.columns else F.lit(prefix)
+    rows = pieces.select(split.alias("split"), F.col("shard").cast("long").alias("shard"), F.col("at").cast("long").alias("at"), "tokens")
+    writer = rows.repartition(n, "split", "shard").sortWithinPartitions("split", "shard", "at").write.format("token_shards")
+    writer = writer.option("store", store) if store else writer
+    writer.option("path", folder).option("job", uuid.uuid4().hex).mode("append").save()
+
 
+def write_splits(df: DataFrame, folder: str, split: str, ids: str, pos: str, shard_size: int | None = 25_000_000, end: int | None = None, store: str | None = None) -> None:
+    """Token documents in the order of pos as shards of each split, in one job.
 
-def write_splits(df: DataFrame, folder: str, split: str, ids: str, pos: str, shard_size: int = 25_000_000) -> None:
-    """Token documents as numbered shards of each split, in the order of pos."""
-    rows = df.select(F.col(split).alias("source"), F.col(pos).alias("pos"), F.lit(0).alias("epoch"), F.col(ids).alias("ids"), F.size(ids).cast("long").alias("n"))
-    placed = running_total(rows, "n", ["pos"], F.floor(F.col("pos") / 4096), "end", ["source"]).withColumn("start", F.col("end") - F.col("n")).drop("end").where("n > 0")
-    pieces = shard_tokens(shard_pieces(placed.drop("ids"), shard_size, 1 << 62), rows, keep=("source",))
-    for row in df.select(split).distinct().toLocalIterator():  # a handful of splits
-        write_shards(pieces.where(F.col("source") == row[0]).drop("source"), folder, row[0])
+    end, if given, follows each document. shard_size None gives one file without a number for each split.
+    """
+    tokens = F.col(ids) if end is None else F.array_append(F.col(ids), F.lit(end))
+    rows = df.select(F.col(split).alias("source"), F.col(pos).alias("pos"), F.lit(0).alias("epoch"), tokens.alias("ids"), F.size(ids).cast("long").alias("n"))
+    rows = rows.withColumn("n", F.col("n") + 1) if end is not None else rows
+    placed = running_total(rows.drop("ids"), "n", ["pos"], F.floor(F.col("pos") / 4096), "end", ["source"]).withColumn("start", F.col("end") - F.col("n")).drop("end").where("n > 0")
+    pieces = shard_tokens(shard_pieces(placed, shard_size or 1 << 62, 1 << 62), rows, keep=("source",))
+    if shard_size is None:
+        pieces = pieces.withColumn("shard", F.lit(-1))
+    write_shards(pieces.withColumnRenamed("source", "split"), folder, store=store)
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:

@@ -48,7 +48,7 @@ def test_shards_round_trip(spark, tmp_path):
     assert np.fromfile(tmp_path / "bin/train_00001.bin", "<u2").tolist() == [65535, 9, 50256]
     files = readers.token_files(spark, str(tmp_path / "bin"), "train")
     assert files.agg(F.sum("length")).first()[0] == 16
-    docs = readers.read_token_documents(spark, str(tmp_path / "bin"), 50256).orderBy("path", "pos").collect()
+    docs = readers.read_token_documents(spark, readers.shard_paths(spark, str(tmp_path / "bin"), "train"), 50256).orderBy("path", "pos").collect()
     assert [r["ids"] for r in docs] == [[1, 2], [7], [65535, 9]]
     assert readers.token_files(spark, str(tmp_path / "bin"), "val").count() == 0
 
