@@ -47,18 +47,23 @@ def _string(kind: str) -> str:
 
 
 SIGN = r"[ \t]*+(?P<sign>:=|=>|[:=](?![=:]))[ \t]*+"
-#: What can begin an assignment: a string or name with a sign (or, in a call, a string with a comma), or an XML element.
+#: What can begin an assignment: a string or name with a sign, also as a subscript (or, in a call, a string with a comma), a
+#: preprocessor's definition, or an XML element or its attributes key and value.
 HEAD = re.compile(
-    rf"""\\.|{_string("s")}(?:{SIGN}|[ \t]*+(?P<comma>,)[ \t]*+(?=[rRbBuUfF]?["']))?|<(?P<tag>[A-Za-z_][\w.-]*+)>(?P<body>[^<>\s]++)</(?P=tag)>|(?<![\w.-])(?P<name>[A-Za-z_][\w.-]*+)["']?{SIGN.replace("sign", "sign2")}""", re.ASCII | re.DOTALL
+    rf"""\\.|\#[ \t]*+define[ \t]++(?P<def>[A-Za-z_]\w*+)[ \t]++(?=["\d\w])|\b(?:key|name)[ \t]*+=[ \t]*+["'](?P<attr>[A-Za-z_][\w.-]*+)["'][ \t]++(?:value|content)[ \t]*+(?==)|{_string("s")}(?:(?:[ \t]*+\])?{SIGN}|[ \t]*+(?P<comma>,)[ \t]*+(?=[rRbBuUfF]?["']))?|<(?P<tag>[A-Za-z_][\w.-]*+)>(?P<body>[^<>\s]++)</(?P=tag)>|(?<![\w.-])(?P<name>[A-Za-z_][\w.-]*+)["']?{SIGN.replace("sign", "sign2")}""", re.ASCII | re.DOTALL
 )
 TERM = re.compile(rf"""{_string("t")}|(?P<bare>[^\s"'`#,;(){{}}\[\]<>|+]++(?:\+[^\s"'`#,;(){{}}\[\]<>|+]+)*+\+?)""", re.ASCII | re.DOTALL)
 NAME = re.compile(r"[A-Za-z_][\w.-]*+", re.ASCII)
+#: After a name on a right side: its arguments, or what ``new`` makes.
+CALL = re.compile(r"[ \t]*+(\()|(?<=\bnew)[ \t]++(?=[A-Za-z_])")
 BLANK, BLANKS = re.compile(r"[ \t]*+"), re.compile(r"\s*+")
 #: After a YAML key without a value: its list items or block, by indentation.
 BLOCK = re.compile(r"(?:[|>][+-]?\d?)?[ \t]*+\n")
 LINE = re.compile(r"([ \t]*+)(- )?([^\n]*+)\n?")
 #: Sensitive words in a name and their weights.
 SENSITIVE = {"password": 1.0, "passwd": 1.0, "pwd": 0.9, "passphrase": 1.0, "secret": 1.0, "token": 0.9, "apikey": 1.0, "accesskey": 1.0, "privatekey": 1.0, "credential": 0.9, "credentials": 0.9, "auth": 0.6, "bearer": 0.8, "key": 0.4}
+#: Every sensitive name holds one of these; a text without any has no sensitive name.
+SENSITIVE_HINT = re.compile("pass|pwd|secret|token|key|cred|auth|bearer", re.ASCII | re.IGNORECASE)
 #: Whole literals that never are secrets.
 HARMLESS = {"true", "false", "null", "none", "changeme", "example", "placeholder", "password", "secret", "token", "string", "undefined"}
 THRESHOLD = 0.6
@@ -112,6 +117,12 @@ def _right_side(text: str, pos: int, end: int, name: str, at: int, sign: str) ->
         if held := _held(m, "t"):
             out[-1].literals.append(held)
             strings.append(held)
+        elif NAME.fullmatch(m["bare"]) and (call := CALL.match(text, m.end(), end)) and not out[-1].literals and not out[-1].names:
+            # new String("a"), getenv("X", "a"): each argument is an item, the function's own name isn't a value.
+            if call[1]:
+                depth, listed = depth + 1, True
+            pos = call.end()
+            continue
         elif NAME.fullmatch(m["bare"]):
             out[-1].names.append((m["bare"], *m.span("bare")))
             resume = m.start()  # it may be assigned itself: a = b = "c"
@@ -132,8 +143,12 @@ def _right_side(text: str, pos: int, end: int, name: str, at: int, sign: str) ->
 
 
 def _indented(text: str, pos: int, end: int, name: str, at: int, start: int, block: bool) -> tuple[list[Assignment], int, list[tuple[int, int]]]:
-    """A YAML key's list items, or its block as one literal."""
-    own = BLANK.match(text, start).end() - start
+    """A YAML key's list items, or its block as one literal.
+
+    What belongs to a key is indented more than the key itself stands; items of a list may stand right below it. So a line
+    belongs to no more keys than it is indented by.
+    """
+    own = at - start - (text[at - 1 : at] in ('"', "'"))
     out, first, last = [], None, pos
     while pos < end and (m := LINE.match(text, pos, end)):
         deeper = len(m[1]) > own or (m[2] and len(m[1]) == own and not block)
@@ -166,7 +181,14 @@ def assignments(text: str) -> tuple[list[Assignment], int]:
         while pos < end and (m := HEAD.search(text, pos, end)):
             pos = m.end()
             held = _held(m, "s")
-            if m["tag"]:
+            if m["attr"] or m["def"]:
+                kind = "attr" if m["attr"] else "def"
+                pos += len(m["attr"] and "=" or "")
+                found, after, strings = _right_side(text, pos, end, m[kind], m.start(kind), "=")
+                out += [x for x in found if x.literals or x.names]
+                pos = max(pos, after)
+                parts += strings
+            elif m["tag"]:
                 out.append(Assignment(m["tag"], m.start("tag"), [m.span("body")], []))
             elif m["name"] or (held and (m["sign"] or m["comma"]) and NAME.fullmatch(text, *held)):
                 name, at = (m["name"], m.start("name")) if m["name"] else (text[held[0] : held[1]], held[0])
@@ -197,6 +219,7 @@ def scored_literals(text: str, threshold: float = THRESHOLD) -> list[tuple[int,
     own: dict[int, list[tuple[int, int]]] = {}
     for level in sorted({w for w in weight if w}, reverse=True):
         todo = [i for i, w in enumerate(weight) if w == level and i not in reached]
+        queued = set(todo)
         for i in todo:  # grows as names lead on; each assignment is visited once, by its most sensitive name
             if i in reached:
                 continue
@@ -205,7 +228,9 @@ def scored_literals(text: str, threshold: float = THRESHOLD) -> list[tuple[int,
             for name, start, stop in found[i].names:
                 places = where.get(name)
                 if not places:
-                    own[i].append((start, stop))
+                    # Alone, it may be a literal without quotes; joined to something else, it is some variable.
+                    if len(found[i].literals) + len(found[i].names) == 1:
+                        own[i].append((start, stop))
                     continue
                 k = bisect.bisect_left(places, i)
                 earlier = places[k - 1] if k else None
@@ -213,11 +238,15 @@ def scored_literals(text: str, threshold: float = THRESHOLD) -> list[tuple[int,
                     later = [p for p in places[k : k + 2] if p != i]
                     earlier = later[0] if later else None
                 if earlier is not None:
+                    if earlier in queued:
+                        continue  # its group came along with it
                     group = found[earlier].at
                     while earlier > 0 and found[earlier - 1].at == group and found[earlier - 1].name == name:
                         earlier -= 1
                     while earlier < len(found) and found[earlier].at == group and found[earlier].name == name:
-                        todo.append(earlier)
+                        if earlier not in queued:
+                            queued.add(earlier)
+                            todo.append(earlier)
                         earlier += 1
     best: dict[tuple[int, int], float] = {}
     for i, level in reached.items():
@@ -236,7 +265,7 @@ def spans_of(text: str, threshold: float = THRESHOLD) -> list[tuple[str, int, in
         out += [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST_ASSIGN]
     out += [("access", m.start(), m.end()) for m in ACCESS.finditer(text)] if "AKIA" in text else []
     out += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
-    if "=" in text or ":" in text:
+    if SENSITIVE_HINT.search(text):
         out += [("literal", a, b) for a, b, _ in scored_literals(text, threshold) if not any(s <= a and b <= e for _, s, e in out)]
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
