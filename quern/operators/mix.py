@@ -36,6 +36,28 @@ def curriculum_weights(sources: DataFrame, total: int, params: int) -> DataFrame
     return rows.select("id", "source", (share / total).alias("weight"))
 
 
+def curriculum_table(budgets: DataFrame) -> DataFrame:
+    """total, params, source, weight of every row of budgets (total long, params long), as curriculum_weights gives them.
+
+    The sources are few and fixed, so each row works out its own weights; there is no join and no shuffle.
+    """
+    tier = F.lit(None)
+    for most, anchor, times in reversed(TIERS):
+        both = F.struct(F.lit(anchor).alias("anchor"), F.lit(times).alias("times"))
+        tier = both if most is None else F.when(F.col("params") < most, both).otherwise(tier)
+    rows = budgets.select("total", "params", tier.alias("tier"))
+    fixed = {}
+    for name, ratio, pool, kind in CURRICULUM:
+        if kind == "anchor":
+            fixed[name] = (F.col("total") * F.col("tier.anchor")).cast("long")
+        elif kind == "pool":
+            fixed[name] = F.least((F.col("total") * F.lit(ratio)).cast("long"), (F.lit(pool) * F.col("tier.times")).cast("long"))
+    rest = F.greatest(F.col("total") - sum(fixed.values()), F.lit(0))
+    whole = sum(ratio for _, ratio, _, kind in CURRICULUM if kind == "open")
+    share = lambda name, ratio: (fixed[name].cast("double") if name in fixed else F.lit(ratio / whole) * rest) / F.col("total")
+    return rows.select("total", "params", F.inline(F.array(*[F.struct(F.lit(name).alias("source"), share(name, ratio).alias("weight")) for name, ratio, _, _ in CURRICULUM])))
+
+
 def normalised_weights(sources: DataFrame, weight: str = "weight") -> DataFrame:
     return sources.withColumn(weight, F.col(weight) / F.sum(weight).over(W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
 

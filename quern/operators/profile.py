@@ -24,18 +24,25 @@ def family(meta: Column) -> Column:
     return F.when(named == "", "unclassified").otherwise(named)
 
 
-def family_stats(df: DataFrame, by: str, text: str = "text") -> DataFrame:
-    """Documents, share in percent, mean length and estimated tokens of each family, lengths without outer white space."""
-    g = df.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(strip(F.col(text)))).alias("chars"))
+def family_stats(df: DataFrame, by: str, text: str = "text", pos: str | None = None) -> DataFrame:
+    """Documents, share in percent, mean length and estimated tokens of each family, lengths without outer white space.
+
+    With pos also first, the family's least position, and place: by number of documents, families seen first going first
+    among those of equal size. Least positions are kept by the partial aggregation, so rows aren't sorted.
+    """
+    seen = [F.min(pos).alias("first")] if pos else []
+    g = df.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(strip(F.col(text)))).alias("chars"), *seen)
     whole = F.sum("n").over(W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    return g.select(by, "n", (F.col("n") / whole * 100).alias("share"), (F.col("chars") / F.greatest("n", F.lit(1))).alias("mean_chars"), (F.col("chars") / F.lit(3.8)).cast("long").alias("tokens"))
+    place = [F.col("first"), F.row_number().over(W.orderBy(F.desc("n"), "first", by)).alias("place")] if pos else []
+    return g.select(by, "n", (F.col("n") / whole * 100).alias("share"), (F.col("chars") / F.greatest("n", F.lit(1))).alias("mean_chars"), (F.col("chars") / F.lit(3.8)).cast("long").alias("tokens"), *place)
 
 
-def family_tags(df: DataFrame, by: str, meta: str) -> DataFrame:
-    """by, tag, n: how often each 'key:value' of the tag keys occurs in a family."""
+def family_tags(df: DataFrame, by: str, meta: str, pos: str | None = None) -> DataFrame:
+    """by, tag, n: how often each 'key:value' of the tag keys occurs in a family; with pos also first, where it first does."""
     keep = F.map_filter(F.col(meta), lambda k, _: k.isin(*TAGS))
-    rows = df.select(by, F.explode(F.map_entries(keep)).alias("e"))
-    return rows.groupBy(by, F.concat("e.key", F.lit(":"), "e.value").alias("tag")).agg(F.count(F.lit(1)).alias("n"))
+    rows = df.select(by, *([F.col(pos).alias("_pos")] if pos else []), F.explode(F.map_entries(keep)).alias("e"))
+    seen = [F.min("_pos").alias("first")] if pos else []
+    return rows.groupBy(by, F.concat("e.key", F.lit(":"), "e.value").alias("tag")).agg(F.count(F.lit(1)).alias("n"), *seen)
 
 
 def family_samples(df: DataFrame, by: str, pos: str, most: int = 2) -> DataFrame:
@@ -43,8 +50,13 @@ def family_samples(df: DataFrame, by: str, pos: str, most: int = 2) -> DataFrame
     return df.withColumn("nth", F.row_number().over(W.partitionBy(by).orderBy(pos))).where(F.col("nth") <= most)
 
 
+def first_rows(df: DataFrame, pos: str, most: int = 20) -> DataFrame:
+    """The first rows by position: each task keeps its own first ones, so nothing is sorted as a whole."""
+    return df.orderBy(pos).limit(most)
+
+
 def marker_counts(df: DataFrame, text: str = "text", markers: tuple[str, ...] = MARKERS) -> DataFrame:
-    """marker, n: how many of the rows hold each marker."""
+    """marker, n: how many of the rows hold each marker, in the order of markers."""
     counts = df.agg(*[F.count_if(F.contains(F.col(text), F.lit(m))).alias(f"m{i}") for i, m in enumerate(markers)])
     pairs = F.array(*[F.struct(F.lit(m).alias("marker"), F.col(f"m{i}").alias("n")) for i, m in enumerate(markers)])
     return counts.select(F.inline(pairs))

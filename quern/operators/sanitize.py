@@ -36,10 +36,14 @@ def _round(text: Column, patterns: tuple[str, ...]) -> Column:
 
 def _settled(text: Column, patterns: tuple[str, ...]) -> Column:
     fits = lambda t: functools.reduce(lambda a, b: a | b, [t.rlike(_java(p)) for p in patterns])
-    # Each round removes one mark at least, so there are as many rounds as marks at most; a row that settles earlier stays as it is.
+    # Each round removes one mark at least, so there are as many rounds as marks at most; the first that changes nothing is
+    # the last that looks at the text.
     most = F.regexp_count(text, F.lit(MARKS)) + 1
-    rounds = F.aggregate(F.sequence(F.lit(1), most), strip(text), lambda acc, _: F.when(fits(acc), _round(acc, patterns)).otherwise(acc))
-    return F.when(fits(strip(text)), rounds).otherwise(strip(text))
+    first = F.struct(strip(text).alias("text"), F.lit(True).alias("goes_on"))
+    again = lambda acc: F.struct(_round(acc["text"], patterns).alias("text"), F.lit(True).alias("goes_on"))
+    over = lambda acc: F.struct(acc["text"].alias("text"), F.lit(False).alias("goes_on"))
+    step = lambda acc, _: F.when(~acc["goes_on"], acc).when(fits(acc["text"]), again(acc)).otherwise(over(acc))
+    return F.when(fits(strip(text)), F.aggregate(F.sequence(F.lit(1), most), first, step)["text"]).otherwise(strip(text))
 
 
 def without_preamble(text: Column) -> Column:

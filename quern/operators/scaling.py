@@ -19,25 +19,55 @@ def parameters(vocab: Column, width: Column, layers: Column, ffn: Column, heads:
     return vocab * width + width + layers * (side + 2 * width + 3 * width * ffn)
 
 
-def architecture_grid(spark: SparkSession, budget: int, vocab: int) -> DataFrame:
-    """Every width with its layers, parameters and distance to the budget; width 192 to 4096 in steps of 64."""
+def architectures(budgets: DataFrame, vocab: int, budget: str = "budget") -> DataFrame:
+    """budget, width, layers, ffn, heads, kv_heads, params: the best model for each budget of a table.
+
+    Widths go from 192 to 4096; each is given the layers that come nearest to the budget, its proportions must fit, and the
+    nearest of all wins, the narrowest of ties. If none fits, the smallest width with the fewest layers stands in.
+    """
     padded = -(-vocab // 64) * 64
-    rows = spark.range(192, 4097, 64).select(F.col("id").alias("width"), F.expr(f"id div {HEAD}").alias("heads")).where(F.col("heads") % KV_SHARE == 0)
+    rows = budgets.select(F.col(budget).alias("budget")).distinct().withColumn("width", F.explode(F.sequence(F.lit(192), F.lit(4096), F.lit(64)).cast("array<long>")))
+    rows = rows.withColumn("heads", F.expr(f"width div {HEAD}")).where(F.col("heads") % KV_SHARE == 0)
     rows = rows.withColumn("kv_heads", F.expr(f"heads div {KV_SHARE}")).withColumn("ffn", (F.bround(F.lit(8 / 3) * F.col("width") / STEP_FFN) * STEP_FFN).cast("long"))
     size = lambda layers: parameters(F.lit(padded), F.col("width"), layers, F.col("ffn"), F.col("heads"), F.col("kv_heads"))
     each = size(F.lit(1)) - size(F.lit(0))
-    left = F.lit(budget) - F.lit(padded) * F.col("width")
+    left = F.col("budget") - F.lit(padded) * F.col("width")
     rows = rows.withColumn("least_params", size(F.lit(LEAST_LAYERS))).withColumn("layers", F.greatest(F.lit(LEAST_LAYERS), F.bround(left / each).cast("long")))
     fits = (left > 0) & (F.col("layers") / F.col("width")).between(0.010, 0.040)
-    return rows.withColumn("params", size(F.col("layers"))).withColumn("off", F.when(fits, F.abs(F.col("params") - budget)))
+    rows = rows.withColumn("params", size(F.col("layers"))).withColumn("off", F.when(fits, F.abs(F.col("params") - F.col("budget"))))
+    best = F.min(F.when(F.col("off").isNotNull(), F.struct("off", "width", "layers", "ffn", "heads", "kv_heads", "params")))
+    floor = F.min(F.struct(F.col("least_params").alias("off"), "width", F.lit(LEAST_LAYERS).cast("long").alias("layers"), "ffn", "heads", "kv_heads", F.col("least_params").alias("params")))
+    return rows.groupBy("budget").agg(F.coalesce(best, floor).alias("a")).select("budget", "a.width", "a.layers", "a.ffn", "a.heads", "a.kv_heads", "a.params")
 
 
 def architecture(spark: SparkSession, budget: int, vocab: int) -> DataFrame:
-    """The grid's row nearest to the budget, the narrowest of ties; if none fits, the smallest with the fewest layers."""
-    grid = architecture_grid(spark, budget, vocab)
-    best = F.min(F.when(F.col("off").isNotNull(), F.struct("off", "width", "layers", "ffn", "heads", "kv_heads", "params")))
-    floor = F.min(F.struct(F.col("least_params").alias("off"), "width", F.lit(LEAST_LAYERS).cast("long").alias("layers"), "ffn", "heads", "kv_heads", F.col("least_params").alias("params")))
-    return grid.agg(F.coalesce(best, floor).alias("a")).select("a.width", "a.layers", "a.ffn", "a.heads", "a.kv_heads", "a.params")
+    """The row of architectures() for one budget, without it."""
+    return architectures(spark.createDataFrame([(budget,)], "budget long"), vocab).drop("budget")
+
+
+def _up_to(value: Column, multiple: int) -> Column:
+    return F.ceil(value / multiple) * multiple
+
+
+def model_plans(budgets: DataFrame, vocab: int = 50_259, length: int = 2048, budget: str = "budget") -> DataFrame:
+    """The second search: every width from 384 in steps of a group of heads with every depth of its own range.
+
+    budget, width, layers, heads, kv_heads, ffn, params, embedding, most_rate, least_rate, batch_tokens, tokens; the first
+    nearest to the budget wins. Rates and batches follow the width and size that were found.
+    """
+    padded = -(-vocab // 128) * 128
+    step = HEAD * KV_SHARE
+    rows = budgets.select(F.col(budget).alias("budget")).distinct().withColumn("width", F.explode(F.sequence(F.lit(384), F.lit(4095), F.lit(step)).cast("array<long>")))
+    rows = rows.withColumn("heads", F.expr(f"width div {HEAD}")).withColumn("kv_heads", F.expr(f"heads div {KV_SHARE}")).withColumn("ffn", _up_to(F.floor(F.lit(8 / 3) * F.col("width")), STEP_FFN).cast("long"))
+    fewest = F.greatest(F.lit(4), F.floor(F.col("width") * F.lit(0.010)))
+    most = F.greatest(fewest + 2, F.floor(F.col("width") * F.lit(0.025)) + 6)
+    rows = rows.withColumn("layers", F.explode(F.sequence(fewest, most - 1)))
+    rows = rows.withColumn("params", parameters(F.lit(padded), F.col("width"), F.col("layers"), F.col("ffn"), F.col("heads"), F.col("kv_heads")))
+    best = F.min(F.struct(F.abs(F.col("params") - F.col("budget")).alias("off"), "width", "layers", "heads", "kv_heads", "ffn", "params"))
+    found = rows.groupBy("budget").agg(best.alias("a")).select("budget", "a.width", "a.layers", "a.heads", "a.kv_heads", "a.ffn", "a.params")
+    rate = F.round(F.lit(6e-4) * F.sqrt(F.lit(768.0) / F.col("width")), 6)
+    batch = F.when(F.col("params") >= 125_000_000, _up_to(F.floor(F.lit(250_000) * F.sqrt(F.col("params") / F.lit(125e6))), length).cast("long")).otherwise(F.lit(262_144))
+    return found.select("*", (F.lit(padded) * F.col("width")).alias("embedding"), rate.alias("most_rate"), F.round(rate * 0.1, 7).alias("least_rate"), batch.alias("batch_tokens"), (F.col("params") * 20).alias("tokens"))
 
 
 def learning_rates(width: Column) -> tuple[Column, Column]:

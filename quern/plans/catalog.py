@@ -187,18 +187,19 @@ def last_messages(spark: SparkSession, d: str) -> DataFrame:
     return kept.select("conv_id", F.size("m").cast("long").alias("n"), F.element_at("m", 1).alias("first_turn"))
 
 
-@query(f"SELECT source, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (), 6) AS share, round(sum(length({STRIP % 'text'})) / count(*), 6) AS mean_chars, (trunc(sum(length({STRIP % 'text'})) / 3.8::DOUBLE))::BIGINT AS tokens FROM documents GROUP BY source")
+@query(f"WITH g AS (SELECT source, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (), 6) AS share, round(sum(length({STRIP % 'text'})) / count(*), 6) AS mean_chars, (trunc(sum(length({STRIP % 'text'})) / 3.8::DOUBLE))::BIGINT AS tokens, min(doc_id) AS \"first\" FROM documents GROUP BY source) SELECT *, row_number() OVER (ORDER BY n DESC, \"first\") AS place FROM g")
 def family_stats(spark: SparkSession, d: str) -> DataFrame:
-    return profile.family_stats(docs(spark, d, "source", "text"), "source").select("source", "n", F.round("share", 6).alias("share"), F.round("mean_chars", 6).alias("mean_chars"), "tokens")
+    rows = profile.family_stats(docs(spark, d, "source", "text", "doc_id"), "source", pos="doc_id")
+    return rows.select("source", "n", F.round("share", 6).alias("share"), F.round("mean_chars", 6).alias("mean_chars"), "tokens", "first", F.col("place").cast("long").alias("place"))
 
 
 def _tagged() -> Column:
     return F.create_map(F.lit("domain"), F.col("lang"), F.lit("difficulty"), F.expr("if(n_chars > 1500, 'hard', 'easy')"), F.lit("other"), F.col("source"))
 
 
-@query("WITH t AS (SELECT source, 'domain:' || lang AS tag FROM documents UNION ALL SELECT source, 'difficulty:' || CASE WHEN n_chars > 1500 THEN 'hard' ELSE 'easy' END FROM documents) SELECT source, tag, count(*) AS n FROM t GROUP BY ALL")
+@query("WITH t AS (SELECT doc_id, source, 'domain:' || lang AS tag FROM documents UNION ALL SELECT doc_id, source, 'difficulty:' || CASE WHEN n_chars > 1500 THEN 'hard' ELSE 'easy' END FROM documents) SELECT source, tag, count(*) AS n, min(doc_id) AS \"first\" FROM t GROUP BY source, tag")
 def family_tags(spark: SparkSession, d: str) -> DataFrame:
-    return profile.family_tags(docs(spark, d, "source", "lang", "n_chars").withColumn("meta", _tagged()), "source", "meta")
+    return profile.family_tags(docs(spark, d, "doc_id", "source", "lang", "n_chars").withColumn("meta", _tagged()), "source", "meta", "doc_id")
 
 
 @query("WITH r AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS nth FROM documents) SELECT source, doc_id, nth FROM r WHERE nth <= 2")
@@ -221,6 +222,11 @@ def marker_freq(spark: SparkSession, d: str) -> DataFrame:
     return profile.marker_counts(docs(spark, d).select(F.expr(CODE).alias("text")))
 
 
+@query(f"WITH a AS (SELECT {CODE_SQL} AS t FROM documents ORDER BY doc_id LIMIT 20) {_MARKERS_SQL}")
+def marker_first(spark: SparkSession, d: str) -> DataFrame:
+    return profile.marker_counts(profile.first_rows(docs(spark, d).select("doc_id", F.expr(CODE).alias("text")), "doc_id"))
+
+
 @query("SELECT min(length(text)) AS least, max(length(text)) AS most, round(avg(length(text)), 6) AS mean, trunc(avg(length(text)) / 4)::BIGINT AS tokens FROM documents")
 def length_profile(spark: SparkSession, d: str) -> DataFrame:
     return profile.length_profile(docs(spark, d, "text")).withColumn("mean", F.round("mean", 6))
@@ -274,17 +280,22 @@ def hash_rank_split(spark: SparkSession, d: str) -> DataFrame:
     return splits.tail_split(docs(spark, d, "doc_id"), "doc_id")
 
 
-@query("""WITH s(id, source, ratio, pool, kind) AS (VALUES (0, 'FineWeb-Edu', 0.42::DOUBLE, NULL::BIGINT, 'open'), (1, 'DCLM-Edu', 0.18, NULL, 'open'), (2, 'The-Stack-Filtered', 0.16, NULL, 'open'), (3, 'NuminaMath-CoT', 0.08, 220000000, 'pool'), (4, 'OpenMathReasoning', 0.06, 200000000, 'pool'), (5, 'SLM-Synthetic-Pretrain', 0.1, NULL, 'anchor')),
-r(total, params, anchor, times) AS (VALUES (10000000::BIGINT, 125::BIGINT, 0.11::DOUBLE, 2.2::DOUBLE), (10000000000, 350, 0.09, 3.0), (80000000000, 1000, 0.05, 2.2)),
+_SIZES_SQL = "SELECT (20000000 + p_partkey * 350000)::BIGINT AS budget FROM part"
+
+
+def model_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """budget: a model size for each part, from 20 M up."""
+    return table(spark, d, "part").select(F.expr("20000000L + p_partkey * 350000L").alias("budget"))
+
+
+@query(f"""WITH b AS (SELECT budget AS params, budget * 40 AS total FROM ({_SIZES_SQL})), s(source, ratio, pool, kind) AS (VALUES ('FineWeb-Edu', 0.42::DOUBLE, NULL::BIGINT, 'open'), ('DCLM-Edu', 0.18, NULL, 'open'), ('The-Stack-Filtered', 0.16, NULL, 'open'), ('NuminaMath-CoT', 0.08, 220000000, 'pool'), ('OpenMathReasoning', 0.06, 200000000, 'pool'), ('SLM-Synthetic-Pretrain', 0.1, NULL, 'anchor')),
+r AS (SELECT *, CASE WHEN params < 200000000 THEN 0.11::DOUBLE WHEN params <= 600000000 THEN 0.09 ELSE 0.05 END AS anchor, CASE WHEN params BETWEEN 200000000 AND 600000000 THEN 3.0::DOUBLE ELSE 2.2 END AS times FROM b),
 t AS (SELECT *, CASE kind WHEN 'anchor' THEN trunc(total * anchor) WHEN 'pool' THEN least(trunc(total * ratio), trunc(pool * times)) END AS tokens FROM s CROSS JOIN r),
-u AS (SELECT *, total - sum(tokens) OVER (PARTITION BY total) AS rest, sum(ratio) FILTER (kind = 'open') OVER (PARTITION BY total) AS ratios FROM t)
-SELECT total, source, round(coalesce(tokens, ratio / ratios * rest) / total, 9) AS weight FROM u""")
+u AS (SELECT *, total - sum(tokens) OVER (PARTITION BY params) AS rest, sum(ratio) FILTER (kind = 'open') OVER (PARTITION BY params) AS ratios FROM t)
+SELECT total, params, source, round(coalesce(tokens, ratio / ratios * rest) / total, 9) AS weight FROM u""")
 def curriculum_weights(spark: SparkSession, d: str) -> DataFrame:
-    out = None
-    for total, params in ((10_000_000, 125_000_000), (10_000_000_000, 350_000_000), (80_000_000_000, 1_000_000_000)):
-        part = mix.curriculum_weights(mix.curriculum(spark), total, params).select(F.lit(total).cast("long").alias("total"), "source", F.round("weight", 9).alias("weight"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    budgets = model_sizes(spark, d).select((F.col("budget") * 40).alias("total"), F.col("budget").alias("params"))
+    return mix.curriculum_table(budgets).withColumn("weight", F.round("weight", 9))
 
 
 BUDGET, SHARD = 3_000_000, 250_000
@@ -335,12 +346,20 @@ def validation_prefix(spark: SparkSession, d: str) -> DataFrame:
     return mix.round_robin(numbered, mix_weights(spark), mix.validation_tokens(BUDGET)).select("source", "pos", "n")
 
 
-@query()
+#: White space of Unicode, for a character class.
+_BLANK = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+#: SQL has no look-ahead: a mark (U+E000) cuts the last of several blanks off where a word follows.
+_TEXT_PIECES_SQL = rf"""WITH s AS (SELECT regexp_replace(text, '([{_BLANK}])([{_BLANK}])([^{_BLANK}])', '\1' || chr(57344) || '\2\3', 'g') AS t FROM documents),
+p AS (SELECT unnest(regexp_extract_all(t, '''(?:[sdmt]|ll|ve|re)| ?\p{{L}}+| ?\p{{N}}+| ?[^{_BLANK}\p{{L}}\p{{N}}\x{{E000}}]+|[{_BLANK}]+')) AS piece FROM s),
+c AS (SELECT piece, count(*) AS n FROM p GROUP BY piece)"""
+
+
+@query(_TEXT_PIECES_SQL + " SELECT piece, n FROM c")
 def pretoken_counts(spark: SparkSession, d: str) -> DataFrame:
     return tokens.piece_counts(docs(spark, d, "text"))
 
 
-@query()
+@query(_TEXT_PIECES_SQL + ", b AS (SELECT n, regexp_extract_all(hex(encode(piece)), '..') AS x FROM c), i AS (SELECT n, x, unnest(range(1, len(x))) AS i FROM b) SELECT x[i] AS \"left\", x[i + 1] AS \"right\", sum(n)::BIGINT AS n FROM i GROUP BY ALL")
 def pair_stats(spark: SparkSession, d: str) -> DataFrame:
     return tokens.pair_counts(tokens.piece_counts(docs(spark, d, "text")))
 
@@ -607,25 +626,35 @@ def parsed_sizes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", numbers.parse_size(F.expr(text)).alias("size"))
 
 
-@query("WITH s AS (SELECT unnest(range(0, 1001)) AS step) SELECT step, round(CASE WHEN step < 100 THEN 0.0006 * (step + 1) / 100 ELSE 0.00006 + 0.5 * (1 + cos(pi() * (step - 100) / 900.0)) * 0.00054 END, 10) AS rate, round(CASE WHEN step < 100 THEN step / 100.0 ELSE 0.1 + 0.9 * 0.5 * (1 + cos(pi() * (step - 100) / 900.0)) END, 10) AS factor FROM s")
+@query("WITH s AS (SELECT event_id, event_id % 1201 AS step FROM events) SELECT event_id, round(CASE WHEN step < 100 THEN 0.0006 * (step + 1) / 100 WHEN step > 1000 THEN 0.00006 ELSE 0.00006 + 0.5 * (1 + cos(pi() * (step - 100) / 900.0)) * 0.00054 END, 10) AS rate, round(CASE WHEN step < 100 THEN step / 100.0 ELSE 0.1 + 0.9 * 0.5 * (1 + cos(pi() * least((step - 100) / 900.0, 1.0))) END, 10) AS factor FROM s")
 def lr_schedule(spark: SparkSession, d: str) -> DataFrame:
-    s = F.col("id")
-    return spark.range(1001).select(s.alias("step"), F.round(scaling.cosine_rate(s, 100, 1000, 6e-4, 6e-5), 10).alias("rate"), F.round(scaling.cosine_factor(s, 100, 1000), 10).alias("factor"))
+    s = F.col("event_id") % 1201
+    return table(spark, d, "events").select("event_id", F.round(scaling.cosine_rate(s, 100, 1000, 6e-4, 6e-5), 10).alias("rate"), F.round(scaling.cosine_factor(s, 100, 1000), 10).alias("factor"))
 
 
-@query("WITH m AS (SELECT unnest([70000000, 125000000, 350000000, 1000000000]::BIGINT[]) AS params) SELECT params, params * 50 AS tokens, params * 50 // 131072 AS steps, least(2000, greatest(100, trunc((params * 50 // 131072) * 0.03)))::BIGINT AS warmup FROM m")
+@query(f"WITH m AS (SELECT budget AS params FROM ({_SIZES_SQL})) SELECT params, params * 50 AS tokens, params * 50 // 131072 AS steps, least(2000, greatest(100, trunc((params * 50 // 131072) * 0.03)))::BIGINT AS warmup FROM m")
 def training_budget(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([(70_000_000,), (125_000_000,), (350_000_000,), (1_000_000_000,)], "params long")
-    return rows.select("params", *[c.cast("long").alias(k) for k, c in scaling.training_budget(F.col("params")).items()])
+    return model_sizes(spark, d).select(F.col("budget").alias("params"), *[c.cast("long").alias(k) for k, c in scaling.training_budget(F.col("budget")).items()])
 
 
-@query("""WITH g AS (SELECT w AS width, w // 64 AS heads, w // 192 AS kv_heads, (round_even(8.0::DOUBLE / 3 * w / 256, 0) * 256)::BIGINT AS ffn FROM (SELECT unnest(range(192, 4097, 192)) AS w)),
+@query(f"""WITH g AS (SELECT w AS width, w // 64 AS heads, w // 192 AS kv_heads, (round_even(8.0::DOUBLE / 3 * w / 256, 0) * 256)::BIGINT AS ffn FROM (SELECT unnest(range(192, 4097, 192)) AS w)),
 e AS (SELECT *, width * heads * 64 * 2 + 2 * width * kv_heads * 64 + 2 * width + 3 * width * ffn AS each FROM g),
-l AS (SELECT *, greatest(8, round_even((125000000 - 50304 * width) / each::DOUBLE, 0))::BIGINT AS layers FROM e),
-p AS (SELECT *, 50304 * width + width + layers * each AS params FROM l WHERE 125000000 - 50304 * width > 0 AND layers / width::DOUBLE BETWEEN 0.01 AND 0.04)
-SELECT width, layers, ffn, heads, kv_heads, params FROM p ORDER BY abs(params - 125000000), width LIMIT 1""")
+l AS (SELECT budget, e.*, greatest(8, round_even((budget - 50304 * width) / each::DOUBLE, 0))::BIGINT AS layers FROM e CROSS JOIN ({_SIZES_SQL})),
+p AS (SELECT *, 50304 * width + width + layers * each AS params, budget - 50304 * width > 0 AND layers / width::DOUBLE BETWEEN 0.01 AND 0.04 AS fits, 50304 * width + width + 8 * each AS floor FROM l),
+r AS (SELECT *, row_number() OVER (PARTITION BY budget ORDER BY NOT fits, CASE WHEN fits THEN abs(params - budget) ELSE floor END, width) AS nth FROM p)
+SELECT budget, width, CASE WHEN fits THEN layers ELSE 8 END AS layers, ffn, heads, kv_heads, CASE WHEN fits THEN params ELSE floor END AS params FROM r WHERE nth = 1""")
 def architecture_search(spark: SparkSession, d: str) -> DataFrame:
-    return scaling.architecture(spark, 125_000_000, 50_273)
+    return scaling.architectures(model_sizes(spark, d), 50_273)
+
+
+@query(f"""WITH g AS (SELECT w AS width, w // 64 AS heads, w // 192 AS kv_heads, (ceil(floor(8.0::DOUBLE / 3 * w) / 256) * 256)::BIGINT AS ffn, greatest(4, floor(w * 0.01::DOUBLE))::BIGINT AS fewest, floor(w * 0.025::DOUBLE)::BIGINT AS tall FROM (SELECT unnest(range(384, 4096, 192)) AS w)),
+e AS (SELECT *, width * heads * 64 * 2 + 2 * width * kv_heads * 64 + 2 * width + 3 * width * ffn AS each, unnest(range(fewest, greatest(fewest + 2, tall + 6))) AS layers FROM g),
+p AS (SELECT budget, e.*, 50304 * width + width + layers * each AS params FROM e CROSS JOIN ({_SIZES_SQL})),
+r AS (SELECT *, row_number() OVER (PARTITION BY budget ORDER BY abs(params - budget), width, layers) AS nth FROM p)
+SELECT budget, width, layers, heads, kv_heads, ffn, params, 50304 * width AS embedding, round(0.0006::DOUBLE * sqrt(768.0 / width), 6) AS most_rate, round(round(0.0006::DOUBLE * sqrt(768.0 / width), 6) * 0.1, 7) AS least_rate,
+    CASE WHEN params >= 125000000 THEN (ceil(floor(250000 * sqrt(params / 125e6::DOUBLE)) / 2048) * 2048)::BIGINT ELSE 262144 END AS batch_tokens, params * 20 AS tokens FROM r WHERE nth = 1""")
+def model_plans(spark: SparkSession, d: str) -> DataFrame:
+    return scaling.model_plans(model_sizes(spark, d))
 
 
 def source_tokens(spark: SparkSession, d: str) -> DataFrame:
@@ -646,9 +675,12 @@ def card_summary(spark: SparkSession, d: str) -> DataFrame:
 _TOKENS_SQL = ", ".join(f"('{t}', {i}, '{reports.TOKEN_ROLES[t]}')" for t, i in tokens.SPECIAL_TOKENS.items())
 
 
-@query(f"SELECT * FROM (VALUES {_TOKENS_SQL}) t(token, id, role)")
+@query(f"WITH c AS (SELECT string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn) || '<|endoftext|>' AS t FROM conversations GROUP BY conv_id) SELECT token, id, role, (SELECT sum(len(string_split(t, token)) - 1)::BIGINT FROM c) AS n FROM (VALUES {_TOKENS_SQL}) v(token, id, role)")
 def special_tokens(spark: SparkSession, d: str) -> DataFrame:
-    return reports.special_token_table(spark)
+    rows = sft.dialogues(table(spark, d, "conversations"))
+    turn = lambda t: F.concat(F.lit("<|im_start|>"), t["role"], F.lit("\n"), t["content"], F.lit("<|im_end|>\n"))
+    texts = rows.select(F.concat(F.array_join(F.transform("messages", turn), ""), F.lit("<|endoftext|>")).alias("text"))
+    return reports.special_token_counts(spark, texts)
 
 
 @query("SELECT split_part(url, '/', 3) AS stage, count(*) AS files, sum(length(html))::BIGINT AS bytes FROM pages GROUP BY 1")

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from quern.functions.shared import shared_folder
 from quern.operators import merges, splits, tokens, windows
-from quern.plans.catalog import _SPLIT_SQL, STRIP, _bytes_sql, docs, query
+from quern.plans.catalog import _SPLIT_SQL, STRIP, _bytes_sql, docs, query, table
 from quern.sources import footers, readers, sinks
+from quern.streaming import incremental
 
 #: How each seventh of the documents is written: the columns of its Parquet files, none for text files.
 _LAYOUTS: tuple[dict[str, str], ...] = (
@@ -109,3 +110,24 @@ def merged_ids(spark: SparkSession, d: str) -> DataFrame:
     vocabulary, pairs = readers.read_tokenizer(spark, TOKENIZER)
     coded = merges.encode_by_merges(docs(spark, d), pairs, vocabulary, "doc_id", end=tokens.END_OF_TEXT)
     return coded.select("doc_id", F.size("ids").cast("long").alias("n"), F.md5(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("digest"))
+
+
+@query(f"SELECT {_SPLIT_SQL} AS split, count(*) AS docs, sum(strlen(text) + 1)::BIGINT AS tokens FROM documents WHERE length({STRIP % 'text'}) > 30 GROUP BY 1")
+def stream_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Totals of all documents as they arrive in two lots of files, the second after a restart from the checkpoint."""
+    top, rows = shared_folder(spark), docs(spark, d, "doc_id", "text", "source")
+    for lot in (0, 1):
+        rows.where(F.col("doc_id") % 2 == lot).repartition(3).write.mode("append").parquet(f"{top}/in")
+        incremental.keep_totals(incremental.new_documents(spark, f"{top}/in", files=2), f"{top}/totals", f"{top}/checkpoint").awaitTermination()
+    return incremental.latest_totals(spark, f"{top}/totals")
+
+
+@query("WITH e AS (SELECT epoch_ms(epoch_ms(ts) // 600000 * 600000) AS begin, event_type FROM events), c AS (SELECT begin, event_type, count(*) AS n FROM e GROUP BY begin, event_type) SELECT * FROM c WHERE begin < (SELECT epoch_ms((epoch_ms(max(ts)) - 3600000) // 600000 * 600000) FROM events)")
+def stream_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Events by type and ten minutes, arriving in order of time: the windows that an hour's delay has closed."""
+    top = shared_folder(spark)
+    rows = table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    rows.repartitionByRange(4, "ts").write.parquet(f"{top}/in")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{top}/in")
+    incremental.keep_counts(incremental.running_counts(stream, "ts", "event_type"), "event_type", f"{top}/out", f"{top}/checkpoint").awaitTermination()
+    return spark.read.schema("begin timestamp, event_type string, n long").parquet(f"{top}/out")

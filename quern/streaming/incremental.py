@@ -1,4 +1,7 @@
-"""The stateless operators over growing folders: each run takes what is new, then stops."""
+"""Operators over growing folders: each run takes what is new, then stops, and goes on from its checkpoint the next time.
+
+Rows that pass one by one are appended; totals and counts by window are state, which the checkpoint keeps between runs.
+"""
 
 from __future__ import annotations
 
@@ -30,3 +33,36 @@ def write_new(docs: DataFrame, folder: str, checkpoint: str, transform: Callable
 def running_counts(events: DataFrame, time: str, key: str, late: str = "1 hour", window: str = "10 minutes") -> DataFrame:
     """Rows by key and window; rows later than ``late`` are dropped by the watermark, which bounds the state."""
     return events.withWatermark(time, late).groupBy(F.window(time, window), key).agg(F.count(F.lit(1)).alias("n"))
+
+
+def totals(docs: DataFrame) -> DataFrame:
+    """docs and tokens of each split over all documents so far."""
+    return prepared(docs).groupBy("split").agg(F.count(F.lit(1)).alias("docs"), F.sum("tokens").alias("tokens"))
+
+
+def keep_totals(docs: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Brings the totals of all files so far up to date and ends; a batch that is run again writes the same rows in its place.
+
+    The state has a row for each split, whatever the number of documents.
+    """
+
+    def put(rows: DataFrame, batch: int) -> None:
+        rows.coalesce(1).write.mode("overwrite").parquet(f"{folder}/batch={batch}")
+
+    return totals(docs).writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """split, docs, tokens as the last batch left them."""
+    rows = spark.read.parquet(folder)
+    last = rows.agg(F.max("batch").alias("batch"))
+    return rows.join(last, "batch").select("split", "docs", "tokens")
+
+
+def keep_counts(counts: DataFrame, key: str, folder: str, checkpoint: str) -> StreamingQuery:
+    """Appends the windows of running_counts that can't change any more to Parquet (begin, key, n) and ends.
+
+    Open windows stay in the state for the next run; the watermark drops those that are written.
+    """
+    rows = counts.select(F.col("window.start").alias("begin"), key, "n")
+    return rows.writeStream.format("parquet").outputMode("append").option("path", folder).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

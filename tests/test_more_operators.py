@@ -1,10 +1,11 @@
 import json
+import math
 
 import pytest
 from pyspark.sql import functions as F
 
 from quern.functions import numbers
-from quern.operators import filters, mix, preferences, sanitize, scaling, score, sft, splits
+from quern.operators import filters, mix, preferences, profile, reports, sanitize, scaling, score, sft, splits
 from quern.sources import readers
 
 
@@ -87,3 +88,99 @@ def test_budget_counts(spark, budget):
     df = spark.createDataFrame(list(enumerate(flags)), "pos long, ok boolean").repartition(3)
     assert tuple(splits.budget_counts(df, F.col("ok"), budget, "pos", 2).first()) == (kept, skipped)
     assert tuple(splits.budget_counts(df.limit(0), F.col("ok"), budget, "pos", 2).first()) == (0, 0)
+
+
+def test_long_texts_settle_at_their_ends(spark):
+    """Marks in the middle of a text cost nothing: time goes with length."""
+    import time
+
+    def took(n):
+        text = "Sure, x = 1\n" + "Good luck with this. " * n + "end"
+        begun = time.monotonic()
+        assert values(spark, sanitize.without_preamble(F.lit(text))) == [text[6:]]
+        return time.monotonic() - begun
+
+    took(10)
+    assert took(8000) < 8 * took(2000) + 1
+
+
+def test_large_masks(spark):
+    """A vocabulary's worth of scores in a row, with ties."""
+    n = 50_000
+    v = [((i * 7919) % 1009) / 1009 for i in range(n)]
+    row = spark.createDataFrame([(v,)], "v array<double>").select(score.top_k(F.col("v"), 120).alias("k"), score.nucleus_kept(F.col("v"), 0.3).alias("n")).first()
+    least = sorted(v)[-120]
+    assert row["k"] == [x >= least for x in v]
+    order = sorted(range(n), key=lambda i: (-v[i], i))
+    total, sum_, kept = sum(math.exp(x) for x in v), 0.0, set()
+    for i in order:
+        if sum_ > 0.3:
+            break
+        kept.add(i)
+        sum_ += math.exp(v[i]) / total
+    assert abs(sum(row["n"]) - len(kept)) <= 1 and all(row["n"][i] for i in order[: len(kept) - 1])
+
+
+def test_table_driven_searches(spark):
+    budgets = [1000, 20_000_000, 125_000_000, 350_000_000, 3_000_000_000]
+    df = spark.createDataFrame([(b,) for b in budgets * 2], "budget long")
+    size = lambda w, layers, ffn: 50_304 * w + w + layers * (2 * w * w + 2 * w * (w // 3) + 2 * w + 3 * w * ffn)
+    one, two = {}, {}
+    for b in budgets:
+        fits, floor = [], []
+        for w in range(192, 4097, 192):
+            ffn = round(8 / 3 * w / 256) * 256
+            layers = max(8, round((b - 50_304 * w) / (size(w, 1, ffn) - size(w, 0, ffn))))
+            floor.append((size(w, 8, ffn), w, 8))
+            if b > 50_304 * w and 0.010 <= layers / w <= 0.040:
+                fits.append((abs(size(w, layers, ffn) - b), w, layers))
+        one[b] = min(fits or floor)[1:]
+        grid = []
+        for w in range(384, 4096, 192):
+            ffn = -(-int(8 / 3 * w) // 256) * 256
+            low = max(4, int(w * 0.010))
+            grid += [(abs(size(w, n, ffn) - b), w, n) for n in range(low, max(low + 2, int(w * 0.025) + 6))]
+        two[b] = min(grid)[1:]
+    assert {r["budget"]: (r["width"], r["layers"]) for r in scaling.architectures(df, 50_273).collect()} == one
+    rows = {r["budget"]: r for r in scaling.model_plans(df).collect()}
+    assert {b: (r["width"], r["layers"]) for b, r in rows.items()} == two
+    for r in rows.values():
+        assert r["most_rate"] == pytest.approx(6e-4 * (768 / r["width"]) ** 0.5, abs=1e-6) and r["tokens"] == 20 * r["params"] and r["batch_tokens"] % 2048 == 0
+
+
+def test_curriculum_of_many_budgets(spark):
+    budgets = [(10_000_000, 125_000_000), (10_000_000_000, 350_000_000), (80_000_000_000, 600_000_000), (80_000_000_000, 600_000_001)]
+    got = {(r["total"], r["params"], r["source"]): r["weight"] for r in mix.curriculum_table(spark.createDataFrame(budgets, "total long, params long")).collect()}
+    for total, params in budgets:
+        for r in mix.curriculum_weights(mix.curriculum(spark), total, params).collect():
+            assert got[total, params, r["source"]] == pytest.approx(r["weight"], abs=1e-12)
+
+
+def test_families_in_the_order_they_are_seen(spark):
+    rows = [(i, f, "x" * i) for i, f in enumerate("bacbacdda")]
+    df = spark.createDataFrame(rows, "pos int, f string, text string").repartition(4)
+    got = profile.family_stats(df, "f", pos="pos").orderBy("place").collect()
+    assert [(r["f"], r["n"], r["first"]) for r in got] == [("a", 3, 1), ("b", 2, 0), ("c", 2, 2), ("d", 2, 6)]
+    marked = profile.marker_counts(profile.first_rows(df.withColumn("text", F.when(F.col("pos") % 2 == 0, "def f")), "pos", 5))
+    assert {r["marker"]: r["n"] for r in marked.collect()}["def "] == 3
+    tags = profile.family_tags(df.select("f", "pos", F.create_map(F.lit("topic"), F.col("f")).alias("m")), "f", "m", "pos")
+    assert {r["tag"]: (r["n"], r["first"]) for r in tags.collect()} == {"topic:a": (3, 1), "topic:b": (2, 0), "topic:c": (2, 2), "topic:d": (2, 6)}
+
+
+def test_the_whole_card(spark):
+    counts = spark.createDataFrame([("a", 3_000_000, None, None), ("b", 1_000_000, "org/b", "2 epochs")], "source string, tokens long, upstream string, status string")
+    files = spark.createDataFrame([("train_00000.bin", 2000), ("x/train_00001.bin", 1500), ("val.bin", 10), ("notes.md", 7)], "path string, length long")
+    text = reports.card(reports.source_table(counts), reports.corpus_summary(counts, ("b",)), "My corpus", reports.shard_summary(files), "byte pairs", 50256, reports.special_token_table(spark))
+    for line in ("pretty_name: My corpus", "- n<1B", "- tokens: 4,000,000", "- reasoning: 25.0 %", "- training shards: 2 of up to 1,000 tokens (0.0 MB)", "- validation tokens: 5", "- documents end with token 50256", "- a: 3,000,000 tokens (75.00 %), from Custom, 100% Unique", "| `<|im_start|>` | 50257 | ChatML Turn Start |", "## Reading"):
+        assert line in text.splitlines()
+    short = reports.card(reports.source_table(counts), reports.corpus_summary(counts, ()))
+    assert "## Reading" not in short and "Special" not in short
+    texts = spark.createDataFrame([("<|im_start|>a<|im_end|><|im_end|>",), (None,), ("<s>",)], "text string")
+    assert {r["token"]: r["n"] for r in reports.special_token_counts(spark, texts).where("n > 0").collect()} == {"<|im_start|>": 1, "<|im_end|>": 2, "<s>": 1}
+
+
+def test_prompt_ids(spark):
+    rows = [values(spark, sft.prompt_ids(F.array(*map(F.lit, range(n))).cast("array<int>"), 10, 4))[0] for n in (0, 3, 6, 9)]
+    assert rows == [[], [0, 1, 2], [0, 1, 2, 3, 4, 5], [3, 4, 5, 6, 7, 8]]
+    with pytest.raises(ValueError, match="shorter"):
+        sft.prompt_ids(F.array(), 4, 4)

@@ -87,3 +87,39 @@ def test_stream_equals_batch(spark, tmp_path):
     incremental.write_new(incremental.new_documents(spark, str(tmp_path / "in"), files=2), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     got = sorted((r["doc_id"], r["split"], r["tokens"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert got == sorted((r["doc_id"], r["split"], r["tokens"]) for r in incremental.prepared(docs).collect())
+
+
+def test_totals_go_on_after_a_restart(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"document {i} " * (i % 7 + 4), "s") for i in range(90)], "doc_id long, text string, source string")
+    folder, checkpoint = str(tmp_path / "totals"), str(tmp_path / "check")
+    run = lambda: incremental.keep_totals(incremental.new_documents(spark, str(tmp_path / "in"), files=1), folder, checkpoint).awaitTermination()
+    seen = docs.limit(0)
+    for lot in range(3):
+        more = docs.where(F.col("doc_id") % 3 == lot)
+        more.repartition(2).write.mode("append").parquet(str(tmp_path / "in"))
+        seen = seen.unionByName(more)
+        run()
+        want = {r["split"]: (r["docs"], r["tokens"]) for r in incremental.totals(seen).collect()}
+        assert {r["split"]: (r["docs"], r["tokens"]) for r in incremental.latest_totals(spark, folder).collect()} == want
+    run()  # nothing new
+    assert {r["split"]: (r["docs"], r["tokens"]) for r in incremental.latest_totals(spark, folder).collect()} == want
+
+
+def test_windows_with_late_rows_and_a_restart(spark, tmp_path):
+    """Late rows within the hour count, later ones are dropped, and open windows survive the restart."""
+    schema = "ts timestamp, kind string"
+    lots = [["12:01", "12:05", "12:14"], ["13:30", "12:45", "12:41"], ["12:03", "13:01", "13:31", "14:55"], ["16:20"], ["12:44", "16:21"]]
+    run = lambda: incremental.keep_counts(incremental.running_counts(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), "ts", "kind"), "kind", str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+    minutes = lambda t: int(t[:2]) * 60 + int(t[3:])
+    want, watermark = {}, 0
+    for i, lot in enumerate(lots):
+        spark.createDataFrame([(f"2024-01-01 {t}:00", "a") for t in lot], "t string, kind string").select(F.col("t").cast("timestamp").alias("ts"), "kind").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        run()
+        for t in lot:
+            begin = minutes(t) // 10 * 10
+            if begin + 10 > watermark:
+                want[begin] = want.get(begin, 0) + 1
+        watermark = max(watermark, max(map(minutes, lot)) - 60)
+        got = {r["begin"].hour * 60 + r["begin"].minute: r["n"] for r in spark.read.schema("begin timestamp, kind string, n long").parquet(str(tmp_path / "out")).collect()}
+        assert got == {b: n for b, n in want.items() if b + 10 <= watermark}, i
+    assert want[720] == 2 and want[760] == 2 and got[840 + 50] == 1
