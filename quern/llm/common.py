@@ -99,13 +99,20 @@ def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(a, b - a).set_column(at, "text", pa.array(texts, pa.large_binary()))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with underscores after it until no column is called so."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def one_of_each(docs: DataFrame, grouped: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """docs with one row of each group: the smallest doc_id, null ones last, and one of the rows that share it.
 
     grouped() gets the rows' texts with a key of each row as doc_id, and returns (doc_id, group_id) of all of them. The key
     is written along with the rows, so it stays the same for all who read it.
     """
-    key = "_row_key"
+    key = free_name(docs, "_row_key")
     rows = written(docs.withColumn(key, F.monotonically_increasing_id()))
     groups = grouped(rows.select(F.col(key).alias("doc_id"), "text")).select(F.col("doc_id").alias(key), "group_id")
     groups = written(rows.select(key, F.col("doc_id").alias("_id")).join(groups, key))

@@ -6,9 +6,9 @@ Fixed masks look at some of the words at a position and ignore the others. Seeds
 and documents are joined as tables, and each pair is verified on its diagonal with the words around it. A document is
 contaminated by an item if ``WINDOW`` consecutive words of it (all of it, where an item has fewer) agree with
 ``MOST_SUBSTITUTIONS`` exceptions at most, in whole documents and whole items. The masks hit every such pair of windows:
-each choice of two exceptions among twelve words leaves some mask at some place untouched. An item shorter than the window
-must agree in all its words, and one that is shorter than the masks is looked up as a whole; only items without any word
-are left out.
+each choice of two exceptions among twelve words leaves some mask at some place untouched. An item of 6 to 11
+words may differ in one, which leaves one of its halves whole; a shorter one is looked up as a whole and reported apart, since
+a common phrase of one to five words doesn't make a document contaminated; only items without any word are left out.
 
 1. The benchmark becomes a table of seeds, each with the ``REACH`` item words on either side of its first one.
 2. A bitmap of the benchmark's seeds (at most ``1 << MOST_BITS`` bits; a fuller one lets more pass) goes along with the
@@ -33,11 +33,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import LOWER, NOT_ALNUM, bounded_batches, buffers, docs_of, mixed, slices, step, word_hashes, words, written
+from quern.llm.common import LOWER, NOT_ALNUM, bounded_batches, buffers, docs_of, free_name, mixed, slices, step, word_hashes, words, written
 
 WINDOW = 12
 MOST_SUBSTITUTIONS = 2
+#: Exceptions in an item of LEAST_JUDGED words or more that is shorter than a window.
+SHORT_SUBSTITUTIONS = 1
 LEAST_WORDS = 1
+#: Items of fewer words are found and reported, but say nothing about a document: common phrases are like that too.
+LEAST_JUDGED = 6
 #: Positions that count; together they hit any 12 words of which any two differ.
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 2, 3, 6, 7, 8), (0, 1, 2, 3, 4, 5))
 #: For items that are shorter than those, all of their words.
@@ -130,8 +134,14 @@ def _seed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for mask in (*MASKS, *SHORT_MASKS):
                 s, doc = seeds(h, mask), np.repeat(np.arange(b - a), size)
                 at = np.arange(len(s))
-                fits = (doc[at] == doc[at + mask[-1]]) & ((size[doc[at]] >= 6) if mask in MASKS else (size[doc[at]] == len(mask))) if len(s) else np.zeros(0, bool)
-                at = at[fits]
+                n = size[doc[at]]
+                if mask in MASKS:
+                    wanted = n >= 6
+                else:
+                    # All of an item of so many words, or either half of one that may differ in a word.
+                    half = (n >= LEAST_JUDGED) & (n < WINDOW) & (n // 2 == len(mask)) & ((at == off[doc[at]]) | (at + len(mask) == off[doc[at] + 1]))
+                    wanted = (n == len(mask)) | half
+                at = at[wanted & (doc[at] == doc[at + mask[-1]])] if len(s) else at
                 yield pa.RecordBatch.from_arrays([batch.column("item_id").take(pa.array(a + doc[at])), pa.array(size[doc[at]]), pa.array(s[at].view(np.int64)), _lists(around(h, off, doc[at], at, NO_ITEM))], ["item_id", "n", "seed", "words"])
 
 
@@ -177,13 +187,14 @@ def _hit_rows(bits: int, present: np.ndarray, masks: list[tuple[int, ...]]):
 
 
 def agree(doc: np.ndarray, item: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """For rows of words around a seed: whether some window agrees, or all of an item that is shorter than a window."""
+    """For rows of words around a seed: whether some window agrees, or an item that is shorter than a window, all of it."""
     real = (item != NO_ITEM) & (doc != NO_TEXT)
     same = (doc == item) & real
     count = lambda x: np.pad(np.cumsum(x, 1), ((0, 0), (1, 0)))
     windows = lambda x: count(x)[:, WINDOW:] - count(x)[:, :-WINDOW]
     close = ((windows(real) == WINDOW) & (windows(same) >= WINDOW - MOST_SUBSTITUTIONS)).any(1)
-    return np.where(n >= WINDOW, close, same.sum(1) == n)
+    short = (real.sum(1) >= n) & (same.sum(1) >= n - np.where(n >= LEAST_JUDGED, SHORT_SUBSTITUTIONS, 0))
+    return np.where(n >= WINDOW, close, short)
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,31 +202,40 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = 2 * REACH + 1
         doc, item = (batch.column(c).flatten().to_numpy().view(np.uint64).reshape(-1, width) for c in ("around", "words"))
         ok = agree(doc, item, batch.column("n").to_numpy())
-        yield batch.select(["key", "item_id"]).filter(pa.array(ok))
+        yield batch.select(["key", "item_id", "n"]).filter(pa.array(ok))
 
 
 def row_overlaps(rows: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(key, item_id) of rows (key long, text) and the items that they hold, once each."""
+    """(key, item_id, n) of rows (key long, text) and the items that they hold, once each; n: the item's words."""
     bounded_batches(rows.sparkSession)
     some = benchmark_seeds(benchmark)
-    short = {r["n"] for r in some.where("n < 6").select("n").distinct().collect()}
+    sizes = [r["n"] for r in some.where(F.col("n") < WINDOW).select("n").distinct().collect()]  # 11 at most
+    short = {n if n < LEAST_JUDGED else n // 2 for n in sizes}
     masks = [*MASKS, *(m for m in SHORT_MASKS if len(m) in short)]
     hits = rows.select("key", "text").mapInArrow(_hit_rows(*bitmap(some), masks), "key long, seed long, around array<long>")
-    return hits.join(some, "seed").select("key", "item_id", "n", "around", "words").mapInArrow(_verified, "key long, item_id long").distinct()
+    return hits.join(some, "seed").select("key", "item_id", "n", "around", "words").mapInArrow(_verified, "key long, item_id long, n long").distinct()
 
 
 def decontamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row per document: doc_id, contaminated, n_items, items (ascending, comma-joined)."""
+    """One row per document: doc_id, contaminated, n_items, items (ascending, comma-joined), n_short.
+
+    n_short of the items have fewer than LEAST_JUDGED words; a document that holds no others isn't contaminated.
+    """
     by = row_overlaps(docs_of(docs, "doc_id", "text").withColumnRenamed("doc_id", "key"), benchmark)
-    by = written(by.groupBy("key").agg(F.array_sort(F.collect_list("item_id")).alias("found")))
+    by = by.groupBy("key", "item_id").agg(F.max("n").alias("n")).groupBy("key")
+    by = written(by.agg(F.array_sort(F.collect_list("item_id")).alias("found"), F.count_if(F.col("n") < LEAST_JUDGED).alias("n_short"), F.max("n").alias("n")))
     rows = docs_of(docs, "doc_id").join(by, F.col("doc_id").eqNullSafe(F.col("key")), "left")
     found = F.coalesce("found", F.array().cast("array<long>"))
-    return rows.select("doc_id", (F.size(found) > 0).alias("contaminated"), F.size(found).cast("long").alias("n_items"), F.array_join(found.cast("array<string>"), ",").alias("items"))
+    judged = F.coalesce(F.col("n") >= LEAST_JUDGED, F.lit(False))
+    return rows.select("doc_id", judged.alias("contaminated"), F.size(found).cast("long").alias("n_items"), F.array_join(found.cast("array<string>"), ",").alias("items"), F.coalesce("n_short", F.lit(0)).cast("long").alias("n_short"))
 
 
 def clean_rows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the rows whose own text is contaminated, whatever their ids; all columns stay."""
-    key = "_row_key"
+    """docs without the rows whose own text is contaminated, whatever their ids; all columns stay.
+
+    Items of fewer than LEAST_JUDGED words are left out of this.
+    """
+    key = free_name(docs, "_row_key")
     rows = written(docs.withColumn(key, F.monotonically_increasing_id()))
-    gone = written(row_overlaps(rows.select(F.col(key).alias("key"), "text"), benchmark).select(F.col("key").alias(key)).distinct())
+    gone = written(row_overlaps(rows.select(F.col(key).alias("key"), "text"), benchmark).where(F.col("n") >= LEAST_JUDGED).select(F.col("key").alias(key)).distinct())
     return rows.join(gone, key, "left_anti").drop(key)

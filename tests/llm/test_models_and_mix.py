@@ -224,3 +224,34 @@ def test_pipeline(spark):
     empty = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0
+
+
+def test_pipeline_as_a_chain_of_awkward_rows(spark):
+    """Null ids, texts and sources, repeated rows, columns with the stages' own names and a text of 10 MB, all the way."""
+    import random
+
+    from quern.llm.common import written
+
+    pipeline = importlib.import_module("corpus_pipeline")
+    r = random.Random(1)
+    base = spark.read.parquet(f"{SF}/documents.parquet")
+    good = base.join(spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1"), "doc_id").orderBy("doc_id").select("text").limit(3).collect()
+    vocabulary = " ".join(x["text"] for x in good).split()
+    long = " ".join(r.choice(vocabulary) for _ in range(1_700_000))
+    assert len(long) > 10_000_000
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first()["text"]
+    own = " ".join(f"{w}{i}" for i, w in enumerate(vocabulary[:200]))
+    rows = [(None, good[0]["text"]), (None, good[0]["text"]), (7_000_000, None), (7_000_001, own), (7_000_001, own), (None, own + "  "), (7_000_002, own.upper() + " one more"), (7_000_003, f"{own} and {item}"), (7_000_004, long), (None, None), (7_000_005, "")]
+    more = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], base.schema)
+    docs = base.unionByName(more).withColumns({c: F.lit("x") for c in ("_row_key", "group_id", "keep_id", "fp", "cls", "key", "n", "score", "token", "seed")})
+    columns = docs.columns
+    for _, stage in pipeline.STAGES[:-1]:
+        docs = written(stage(spark, docs, SF))
+        assert docs.columns == columns and docs.where("_row_key <> 'x' or key <> 'x' or seed <> 'x'").count() == 0
+    kept = docs.where("doc_id is null or doc_id >= 7000000").select("doc_id", F.length("text").alias("n")).collect()
+    ids = [x["doc_id"] for x in kept]
+    # The classifier decides which stay; of what stays there is one row of each group, and none that holds a benchmark item.
+    assert len(set(ids)) == len(ids) or ids.count(None) == 1
+    assert sum(i in (7_000_001, 7_000_002) for i in ids) <= 1 and 7_000_003 not in ids
+    last = pipeline.STAGES[-1][1](spark, docs, SF)
+    assert last.count() == docs.count()

@@ -93,6 +93,39 @@ def test_literals_of_each_syntax():
     assert found('db_pwd = db_pwd\n' * 3) == [] and found("if db_pwd == other: pass") == []
 
 
+def test_syntaxes_come_as_spans():
+    """Through the query's own spans: syntax without = or :, subscripts, attributes, definitions, calls."""
+    key = "aB3$x9zQ!kk77LLm2"
+    said = lambda text: [text[a:b] for k, a, b in secret_scan.spans_of(text) if k == "literal"]
+    for text in (
+        f"<pwd>{key}</pwd>", f'set("pwd", "{key}")', f'config["pwd"] = "{key}"', f"os.environ['DB_PASSWD_X'] = '{key}'", f'<add key="dbPwd" value="{key}"/>', f'<meta name="auth_token" content="{key}">',
+        f'#define DB_PWD "{key}"', f'# define DB_PWD "{key}"', f'pwd = new String("{key}")', f'pwd = os.getenv("X", "{key}")', f'pwd = f(g("{key}"))', f'pwd = base + "{key}"', f"- pwd:\n  - {key}\n- x: 1", f"pwd:\n- {key}\n",
+    ):
+        assert said(text) == [key], text
+    for text in (f'colour = "{key}"', f'config["colour"] = "{key}"', f'<add key="colour" value="{key}"/>', "pwd = other_name_1A + x", "the author of the key", ""):
+        assert said(text) == [], text
+    # A list belongs to the key that it is indented under.
+    assert said(f"- pwd:\n- {key}\n") == [] and said(f"- colour:\n    - x: 1\n- pwd:\n    - {key}\n") == [key]
+
+
+def test_time_goes_with_length():
+    import time
+
+    units = ("- a:\n", "a:\n", "pwd:\n- x9X$aB3zQ!kk77LL\n", "- a:\n  - b:\n", 'pwd = [k]\nk = ["a1B2c3D4e5F6","x"]\n', '#define A "', "pwd = f(", "pwd = new ", "<a>", '"a"] ', 'key="a" value=', "x['a'] = ", 'pwd = "', "`", "'''")
+
+    def took(unit, n):
+        begun = time.process_time()
+        secret_scan.spans_of(unit * n + " token")
+        return time.process_time() - begun
+
+    for unit in units:
+        assert took(unit, 8000) < 6 * took(unit, 2000) + 0.2, unit
+    many = "k = [" + ",".join(f'"aB3$x9zQ!kk{i}LLm2"' for i in range(1600)) + "]\n" + "pwd = k\n" * 1600
+    begun = time.process_time()
+    assert len([1 for k, _, _ in secret_scan.spans_of(many) if k == "literal"]) == 1600
+    assert time.process_time() - begun < 3
+
+
 def literals_expected(lines):
     """Brute force over programs of simple assignments: each sensitive name's reachable literal, by walking the lines."""
     out = set()
@@ -216,7 +249,7 @@ def contaminated_expected(text, item):
     a, b = split(text), split(item)
     if len(b) < decontaminate.LEAST_WORDS:
         return False
-    size, most = min(decontaminate.WINDOW, len(b)), decontaminate.MOST_SUBSTITUTIONS if len(b) >= decontaminate.WINDOW else 0
+    size, most = min(decontaminate.WINDOW, len(b)), 2 if len(b) >= 12 else 1 if len(b) >= 6 else 0
     if len(a) < size:
         return False
     # All windows of a against all of b: how many of their words agree, place by place.
@@ -249,7 +282,10 @@ def test_decontamination(spark, monkeypatch):
         assert rows == expected and sum(map(bool, expected.values())) > 20
     df = wide(spark, [*enumerate(docs), (None, items[0][1]), (None, "clean")])
     kept = decontaminate.clean_rows(df, bench)
-    assert kept.columns == df.columns and kept.count() == sum(not v for v in expected.values()) + 1
+    judged = lambda v: any(len(items[int(i)][1].split()) >= 6 for i in v.split(",") if i)
+    assert kept.columns == df.columns and kept.count() == sum(not judged(v) for v in expected.values()) + 1
+    found = {x["doc_id"]: (x["contaminated"], x["n_items"], x["n_short"]) for x in decontaminate.decontamination(wide(spark, list(enumerate(docs))), bench).collect()}
+    assert found == {d: (judged(v), len(v.split(",")) if v else 0, v.split(",").count("6")) for d, v in expected.items()}
     assert decontaminate.decontamination(df.limit(0), bench).count() == 0
     assert decontaminate.decontamination(df, bench.limit(0)).where("contaminated").count() == 0
 
@@ -262,6 +298,14 @@ def test_clean_rows_go_by_the_row(spark):
     assert kept.columns == df.columns and sorted((str(r["doc_id"]), str(r["text"])) for r in kept.collect()) == [("5", "clean too"), ("6", "None"), ("None", "clean")]
 
 
+def test_an_item_of_one_word_spoils_nothing(spark):
+    bench = spark.createDataFrame([(1, "Yes."), (2, "It depends on that"), (3, "one two three four five six"), (4, "which of these nine words is the odd one")], "item_id long, text string")
+    df = wide(spark, [(1, "well yes it is so"), (2, "yes: it depends on that"), (3, "One two, three four five six; yes"), (4, "no"), (5, "which of those nine words is the odd one"), (6, "which of those nine words is the last one"), (7, "two three four five six"), (8, "x one two three for five six")])
+    rows = {r["doc_id"]: (r["contaminated"], r["items"], r["n_short"]) for r in decontaminate.decontamination(df, bench).collect()}
+    assert rows == {1: (False, "1", 1), 2: (False, "1,2", 2), 3: (True, "1,3", 1), 4: (False, "", 0), 5: (True, "4", 0), 6: (False, "", 0), 7: (False, "", 0), 8: (True, "3", 0)}
+    assert sorted(r["doc_id"] for r in decontaminate.clean_rows(df, bench).collect()) == [1, 2, 4, 6, 7]
+
+
 def test_a_large_benchmark_with_one_opening(spark):
     """20,000 items that begin alike: the opening is in all of them, and is found with each only where a window agrees."""
     opening = "choose the best answer to this question"
