@@ -35,9 +35,13 @@ def char_split(text: Column, val: float = 0.1, test: float = 0.1) -> Column:
     return F.struct(F.substr(text, F.lit(1), a).alias("train"), F.substr(text, a + 1, b - a).alias("val"), F.substr(text, b + 1).alias("test"))
 
 
-def first_passing(df: DataFrame, budget: int, order: list[str]) -> DataFrame:
-    """The first rows in order, at most budget; a top-k, so no global sort."""
-    return df.orderBy(*order).limit(budget)
+def first_passing(df: DataFrame, budget: int, order: list[str], bucket_rows: int = 1 << 16) -> DataFrame:
+    """The first rows in order, at most budget; order begins with a number such as a position.
+
+    Rows are numbered by totals of buckets, so a budget of any size is spread over tasks.
+    """
+    one = df.withColumn("_one", F.lit(1).cast("long"))
+    return running_total(one, "_one", order, F.floor(F.col(order[0]) / bucket_rows), "_nth").where(F.col("_nth") <= budget).drop("_one", "_nth")
 
 
 def token_prefix(df: DataFrame, tokens: str, most: int, pos: str, bucket_rows: int = 1 << 16) -> DataFrame:
