@@ -9,7 +9,7 @@
    the targets' distribution with its own random number, and the draws of a shard are its counts of each source. The
    numbers of a shard are stratified (slot t of m draws from [t/m, (t+1)/m)), so a source's count in a shard misses its
    share by two at most, where plain multinomial draws would miss by the square root of the count. Nothing corrects the
-   counts afterwards: what a source gives is what was drawn.
+   counts afterwards: what a source gives is what was drawn. ``shard_pieces`` puts a shard's slots in an order by hash.
 4. Running counts over shards number the slots of a source. Slot k reads epoch k div n and block perm(k mod n) of its
    source's n blocks, where perm is an affine map of the indexes with a multiplier and an offset drawn from seed, source
    and epoch. Blocks are joined by index. A slot past ``most_epochs`` epochs has no block left and stays empty, so no
@@ -133,6 +133,12 @@ def slot_blocks(slots: DataFrame, quota: DataFrame, seed: int = SEED) -> DataFra
     return rows.select("shard", "slot", "rank", "k", F.when(F.col("k") < F.col("most"), block).alias("block"))
 
 
+def shuffled_slots(slots: DataFrame, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
+    """The slots of each shard, which are drawn in the order of their sources, in an order by hash; a shard's are few."""
+    mixed = W.partitionBy("shard").orderBy(F.md5(F.concat_ws(":", F.lit("place"), F.lit(seed), F.col("slot").cast("string"))), "slot")
+    return slots.withColumn("slot", F.col("shard") * shard_slots + F.row_number().over(mixed) - 1)
+
+
 def packed(sizes: DataFrame, quota: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """doc_id, source, size, source_size, target, rank, at: where each document starts among its source's words."""
     rows = sizes.join(quota.select(F.col("source").alias("_source"), "rank", "source_size", "target"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
@@ -157,7 +163,7 @@ def prepared(docs: DataFrame, block_words: int = BLOCK_WORDS, buckets: int = BUC
 def shard_pieces(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, buckets: int = BUCKETS, seed: int = SEED) -> DataFrame:
     """shard, slot, doc_id, first, n_words: the words of each document that each slot of the output holds."""
     rows, quota = prepared(docs, block_words, buckets)
-    reads = slot_blocks(drawn_slots(quota, shard_slots, seed), quota, seed).where("block is not null")
+    reads = shuffled_slots(slot_blocks(drawn_slots(quota, shard_slots, seed), quota, seed), shard_slots, seed).where("block is not null")
     held = pieces(rows, block_words).join(sorted_side(reads), ["rank", "block"])
     return held.select("shard", "slot", "doc_id", F.expr(f"greatest(0, block * {block_words} - at)").alias("first"), F.col("inside").alias("n_words"))
 

@@ -186,6 +186,21 @@ def test_slots_are_drawn_and_permuted(spark):
             assert abs(sum(r["shard"] == shard for r in mine) - size * (mine[0]["hi"] - mine[0]["lo"])) < 2
 
 
+def test_shards_are_mixed(spark):
+    """Inside a shard sources follow one another at random, not one after the other."""
+    docs = some_sources(spark)
+    source = {r["doc_id"]: r["source"] for r in docs.collect()}
+    rows = source_mix.shard_pieces(docs, 8, 64).select("shard", "slot", "doc_id").distinct().collect()
+    order, slots = {}, {}
+    for r in rows:
+        assert slots.setdefault(r["slot"], r["shard"]) == r["shard"] == r["slot"] // 64
+        order.setdefault(r["shard"], {})[r["slot"]] = source[r["doc_id"]]
+    for of in order.values():
+        line = [of[k] for k in sorted(of)]
+        if len(line) > 32:
+            assert sum(a != b for a, b in zip(line, line[1:], strict=False)) > 2 * len(set(line))
+
+
 def test_draws_decide_what_is_taken(spark):
     docs = some_sources(spark)
     drawn = [{r["rank"]: r["n"] for r in source_mix.drawn_slots(source_mix.prepared(docs, 8)[1], 32, seed).groupBy("rank").agg(F.count("*").alias("n")).collect()} for seed in (42, 7)]
