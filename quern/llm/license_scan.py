@@ -3,7 +3,8 @@
 A text is split into sentences; each is normalised (lower case, letters, digits and dots between digits; the rest is one
 space) and looked up among known licence sentences. A line is a sentence, and so are lines that follow one another without
 a terminator or a blank line between them, so sentences are found however they are wrapped; comment leaders (``*``, ``#``,
-``//``) are no words. The identifiers found, in text order, are matched against ordered
+``//``) are no words. The names of an SPDX expression are a sentence each, and a holder's name in the sentences of BSD
+licences may be any. The identifiers found, in text order, are matched against ordered
 rules: a rule is a sequence of identifiers that must follow one another among the identifiers found. Rules are tried in
 their order, longer ones first, and a match takes its identifiers away from later rules.
 
@@ -59,9 +60,17 @@ SENTENCES = {
 }
 #: Licence names of SPDX tags; a tag is a sentence of its own.
 SPDX = ("MIT", "Apache-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "ISC", "BSL-1.0", "Unlicense", "CC0-1.0", "EPL-2.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0")
-SENTENCES |= {f"SPDX License Identifier {name}": f"spdx-{name}" for name in SPDX}
+#: Names that SPDX has given up, and what they stand for.
+OLD_SPDX = {"GPL-2.0": "GPL-2.0-only", "GPL-3.0": "GPL-3.0-only", "LGPL-2.1": "LGPL-2.1-only", "LGPL-3.0": "LGPL-3.0-only", "AGPL-3.0": "AGPL-3.0-only"}
+SENTENCES |= {f"SPDX License Identifier {name}": f"spdx-{name}" for name in (*SPDX, *OLD_SPDX)}
 #: Ordered rules, each a licence and the identifiers that must follow one another; longer ones come first.
 RULES = (
+    # A reservation before a licence that grants rights says nothing of its own.
+    ("BSD-3-Clause", ("all-rights-reserved", "bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse")),
+    ("BSD-2-Clause", ("all-rights-reserved", "bsd-grant", "bsd-source", "bsd-binary")),
+    ("Apache-2.0", ("all-rights-reserved", "apache2-notice", "apache2-compliance", "apache2-copy")),
+    ("MIT", ("all-rights-reserved", "mit-grant", "mit-condition")),
+    ("ISC", ("all-rights-reserved", "isc-grant")),
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse")),
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
     ("Apache-2.0", ("apache2-notice", "apache2-compliance", "apache2-copy")),
@@ -91,10 +100,19 @@ RULES = (
     ("CC0-1.0", ("cc0-grant",)),
     ("EPL-2.0", ("epl2-notice",)),
     *((name, (f"spdx-{name}",)) for name in SPDX),
+    *((name, (f"spdx-{old}",)) for old, name in OLD_SPDX.items()),
     ("LicenseRef-Proprietary", ("all-rights-reserved",)),
 )
-#: An SPDX tag begins a line of its own here, without the colon that would end a sentence.
-TAG = r"spdx-license-identifier:[ \t]*"
+#: What is rewritten before sentences are looked up, in this order: pattern and replacement.
+#: A holder's name in a known sentence is the usual one; in an SPDX tag + is or-later, each name of an expression has a tag of
+#: its own, and a tag is a line of its own, without the colon that would end a sentence.
+REWRITES = (
+    (r"neither(?:[^a-z0-9]+the)?[^a-z0-9]+names?[^a-z0-9]+of(?s:.{1,80}?)[^a-z0-9]nor[^a-z0-9]+the[^a-z0-9]+names[^a-z0-9]+of[^a-z0-9]+(?:its|their|other|any)[^a-z0-9]+contributors", "neither the name of the copyright holder nor the names of its contributors"),
+    (r"(spdx-license-identifier:[^\n]*[0-9])\+", "$1-or-later"),
+    (r"(?<=spdx-license-identifier:[^\n]{0,200})[ \t)]+(?:or|and|with)[ \t(]+", "\nspdx-license-identifier: "),
+    (r"spdx-license-identifier:[ \t(]*([a-z0-9.-]+)", "\nspdx license identifier $1\n"),
+)
+TAG = "spdx-license-identifier:"
 #: A sentence ends at . ; : ! ? before white space, or at a blank or full line end.
 SENTENCE_END = r"(?:[.;:!?]\s+|\n+)"
 NOT_WORD = r"[^a-z0-9.]+|\.(?![0-9])|(?<![0-9])\."
@@ -136,11 +154,20 @@ def _wrapped(known: dict[str, str]) -> str:
     return rf"(?:\A|(?<=[a-z0-9])(?=[^a-z0-9]*?(?:{end})))[^a-z0-9]*+({pieces})(?=[^a-z0-9]*?(?:\z|{end}))"
 
 
+def _rewritten(text: Column, rewrites: tuple) -> Column:
+    for pattern, instead in rewrites:
+        text = F.regexp_replace(text, pattern, instead)
+    return text
+
+
 def license_scan(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules: tuple = RULES) -> DataFrame:
     """doc_id, sentence_ids (in text order, comma-joined), licenses (sorted, comma-joined), n_licenses."""
     known = known_pieces(sentences)
     table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-    text = F.regexp_replace(F.lower(F.coalesce(F.col("text"), F.lit(""))), TAG, "\nspdx license identifier ")
+    text = F.lower(F.coalesce(F.col("text"), F.lit("")))
+    holder, tags = REWRITES[:1], REWRITES[1:]
+    text = F.when(F.contains(text, F.lit("neither")), _rewritten(text, holder)).otherwise(text)
+    text = F.when(F.contains(text, F.lit(TAG)), _rewritten(text, tags)).otherwise(text)
     names = F.array_compact(F.transform(F.regexp_extract_all(text, F.lit(_wrapped(known)), F.lit(1)), lambda s: F.try_element_at(table, normalised(s))))
     # A text without the first words of any known sentence is not searched.
     found = docs.select("doc_id", F.when(text.rlike(_starts(known)), names).otherwise(F.array().cast("array<string>")).alias("names"))

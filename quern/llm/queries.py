@@ -78,13 +78,21 @@ def _license_sql() -> str:
     spelled = r"regexp_replace(lower(x), '[^a-z0-9.]+', ' ', 'g')"
     spelled = rf"regexp_replace(regexp_replace({spelled}, '([0-9])\.([0-9])', '\1#\2', 'g'), '([0-9])\.([0-9])', '\1#\2', 'g')"
     spelled = f"trim(regexp_replace(replace(replace({spelled}, '.', ' '), '#', '.'), ' +', ' ', 'g'))"
+    # No look-behind: an expression is taken apart from its tag on, one operator a round.
+    text = "lower(coalesce(text, ''))"
+    for pattern, instead in license_scan.REWRITES[:1]:
+        text = f"regexp_replace({text}, '{pattern}', '{instead}', 'g')"
+    text = rf"regexp_replace({text}, '(spdx-license-identifier:[^\n]*[0-9])\+', '\1-or-later', 'g')"
+    for _ in range(6):
+        text = rf"regexp_replace({text}, '(spdx-license-identifier:[^\n]*?)[ \t)]+(?:or|and|with)[ \t(]+', '\1' || chr(10) || 'spdx-license-identifier: ', 'g')"
+    text = rf"regexp_replace({text}, 'spdx-license-identifier:[ \t(]*([a-z0-9.-]+)', chr(10) || 'spdx license identifier \1' || chr(10), 'g')"
     steps, last = [], "r0"
     for k, (name, ids) in enumerate(license_scan.RULES, 1):
         needle = "|" + "||".join(ids) + "|"
         steps.append(f"r{k} AS (SELECT doc_id, ids, replace(state, '{needle}', '||') AS state, CASE WHEN contains(state, '{needle}') THEN list_append(got, '{name}') ELSE got END AS got FROM {last})")
         last = f"r{k}"
     return rf"""
-        WITH s AS (SELECT doc_id, regexp_split_to_array(regexp_replace(lower(coalesce(text, '')), 'spdx-license-identifier:[ \t]*', chr(10) || 'spdx license identifier ', 'g'), '[.;:!?]\s+|\n+') AS parts FROM documents),
+        WITH s AS (SELECT doc_id, regexp_split_to_array({text}, '[.;:!?]\s+|\n+') AS parts FROM documents),
         n AS (SELECT doc_id, list_filter(list_transform(parts, lambda x: MAP {{{known}}}[{spelled}]), lambda y: y IS NOT NULL) AS names FROM s),
         r0 AS (SELECT doc_id, ids, '|' || array_to_string(ids, '||') || '|' AS state, []::VARCHAR[] AS got FROM
             (SELECT doc_id, list_filter(names, lambda x, i: i = 1 OR names[i - 1] <> x) AS ids FROM n)),

@@ -209,6 +209,31 @@ def test_wrapped_licenses(spark):
     assert [(texts[i][0][:300], rows[i]) for i in rows if rows[i] != texts[i][1]] == []
 
 
+def test_tags_and_holders(spark):
+    """Real headers with what each is: names of holders, SPDX expressions, names that were given up, code on the tag's line."""
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are\nmet:\n\n   * Redistributions of source code must retain the above copyright\nnotice, this list of conditions and the following disclaimer.\n   * Redistributions in binary form must reproduce the above\ncopyright notice, this list of conditions and the following disclaimer\nin the documentation and/or other materials provided with the\ndistribution.\n"
+    ends = " nor the names of its\ncontributors may be used to endorse or promote products derived from\nthis software without specific prior written permission.\n"
+    texts = [
+        (f"Copyright (c) 2015, Google Inc.\nAll rights reserved.\n\n{bsd}   * Neither the name of Google Inc.{ends}", "BSD-3-Clause"),
+        (f"Copyright (c) 2015, The Authors. All rights reserved.\n\n{bsd}", "BSD-2-Clause"),
+        (f"{bsd}   * Neither the name of the copyright holder{ends}", "BSD-3-Clause"),
+        (f"{bsd}   * Neither the name of the University of Somewhere and its\n     departments{ends}", "BSD-3-Clause"),
+        ("// SPDX-License-Identifier: Apache-2.0 OR MIT", "Apache-2.0,MIT"),
+        ("# SPDX-License-Identifier: (MIT AND BSD-3-Clause) OR GPL-2.0-only\nx", "BSD-3-Clause,GPL-2.0-only,MIT"),
+        ("SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0", "GPL-2.0-only"),
+        ("SPDX-License-Identifier: GPL-2.0", "GPL-2.0-only"),
+        ("SPDX-License-Identifier: LGPL-2.1+", "LGPL-2.1-or-later"),
+        ("/* SPDX-License-Identifier: MIT */ int x;", "MIT"),
+        ("SPDX-License-Identifier: Unknown-1.0 OR ISC", "ISC"),
+        ("SPDX-License-Identifier:", ""),
+        ("MIT or Apache-2.0 and BSD", ""),
+        ("All rights reserved.\nmore words here.\nno licence", "LicenseRef-Proprietary"),
+        ("SPDX-License-Identifier: MIT" + " or MIT" * 20000, "MIT"),
+    ]
+    rows = {r["doc_id"]: r["licenses"] for r in license_scan.license_scan(wide(spark, [(i, t) for i, (t, _) in enumerate(texts)])).collect()}
+    assert [(texts[i][0][:80], rows[i]) for i in rows if rows[i] != texts[i][1]] == []
+
+
 TURNS = [
     (1, 0, "system", "s"),
     (1, 1, "user", "</turn> ### x \\ \\o \\\\c"),
