@@ -8,9 +8,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from quern.functions.running import running_total
 from quern.operators.mix import shard_pieces, shard_tokens
@@ -30,7 +31,7 @@ def shard_name(split: str, shard: int) -> str:
     return f"{split}.bin" if shard < 0 else f"{split}_{shard:05d}.bin"
 
 
-class _ShardWriter(DataSourceWriter):
+class _ShardWriter(DataSourceArrowWriter):
     """Each task writes whole shards below _temporary/<job>/<task attempt>; the commit gives them their names.
 
     Attempts don't share a folder, so one that is retried, lost or run twice leaves nothing but its own temporary files, and
@@ -44,27 +45,31 @@ class _ShardWriter(DataSourceWriter):
     def temporary(self) -> str:
         return f"{self.folder}/_temporary/{self.job}"
 
-    def write(self, rows: Iterator) -> _Wrote:
+    def write(self, batches: Iterator[pa.RecordBatch]) -> _Wrote:
         from pyspark import TaskContext
 
         store, task = store_of(self.folder, self.named), TaskContext.get().taskAttemptId()
         done: list[list] = []
         key, out = None, None
-        for row in rows:  # sorted by split, shard, at
-            if (row["split"], row["shard"]) != key:
-                if out:
-                    out.close()
-                key = (row["split"], row["shard"])
-                name = shard_name(*key)
-                done.append([f"{self.temporary}/{task}/{name}", name, 0])
-                out = store.create(done[-1][0])
-            if row["at"] != done[-1][2]:
-                raise ValueError(f"{name}: a piece begins at {row['at']} where {done[-1][2]} tokens have been written")
-            ids = np.asarray(row["tokens"], np.int64)
+        for batch in batches:  # sorted by split, shard, at
+            lists = batch.column("tokens")
+            ids, ends = lists.flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(lists.value_lengths().fill_null(0).to_numpy())]
             if len(ids) and not 0 <= ids.min() <= ids.max() <= 0xFFFF:
-                raise ValueError(f"{name}: a token needs more than 16 bits")
-            out.write(ids.astype("<u2").tobytes())
-            done[-1][2] += len(ids)
+                raise ValueError("a token needs more than 16 bits")
+            packed = ids.astype("<u2")
+            rows = zip(batch.column("split").to_pylist(), batch.column("shard").to_pylist(), batch.column("at").to_pylist(), strict=True)
+            for i, (split, shard, at) in enumerate(rows):
+                if (split, shard) != key:
+                    if out:
+                        out.close()
+                    key = (split, shard)
+                    name = shard_name(*key)
+                    done.append([f"{self.temporary}/{task}/{name}", name, 0])
+                    out = store.create(done[-1][0])
+                if at != done[-1][2]:
+                    raise ValueError(f"{name}: a piece begins at {at} where {done[-1][2]} tokens have been written")
+                out.write(packed[ends[i] : ends[i + 1]].tobytes())
+                done[-1][2] += int(ends[i + 1] - ends[i])
         if out:
             out.close()
         return _Wrote(tuple(tuple(x) for x in done))

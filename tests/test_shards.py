@@ -67,9 +67,11 @@ def test_a_retried_attempt_counts_once(tmp_path):
     """Two attempts of one task write apart; only the one that is committed gives shards."""
     folder = f"only://{str(tmp_path)[1:]}"
     writer = sinks._ShardWriter(folder, "job", "tests.only_store:FailsOnce")
-    rows = [{"split": "train", "shard": k, "at": 0, "tokens": [k, k + 1]} for k in range(3)]
+    import pyarrow as pa
     import pyspark
 
+    rows = [pa.RecordBatch.from_pylist([{"split": "train", "shard": k, "at": 0, "tokens": [k, k + 1]} for k in range(3)])]
+
     class Context:
         attempt = 0
 
