@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.operators.tokens import SPECIAL_TOKENS, byte_values, pieces, special_spans
+from quern.operators.tokens import SPECIAL_TOKENS, byte_lookup, pieces, special_spans
 
 
 def printable(text: Column) -> Column:
@@ -19,7 +19,7 @@ def printable(text: Column) -> Column:
     shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
     more = iter(range(256, 512))
     letters = F.array(*[F.lit(chr(b if b in shown else next(more))) for b in range(256)])
-    return F.array_join(F.transform(byte_values(text), lambda v: F.get(letters, v)), "")
+    return F.array_join(byte_lookup(text, letters), "")
 
 
 def check_merges(merges: DataFrame) -> None:

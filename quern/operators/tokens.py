@@ -67,6 +67,12 @@ def byte_values(text: Column) -> Column:
     return F.get(every, F.lit(0))
 
 
+def byte_lookup(text: Column, table: Column) -> Column:
+    """What a table of 256 entries, bound once, has for each byte of a text."""
+    every = F.transform(F.array(F.struct(table.alias("table"), byte_values(text).alias("bytes"))), lambda s: F.transform(s["bytes"], lambda v: F.get(s["table"], v)))
+    return F.get(every, F.lit(0))
+
+
 def _places(n: Column) -> Column:
     """1 to n, or nothing."""
     return F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
@@ -74,8 +80,7 @@ def _places(n: Column) -> Column:
 
 def byte_ids(text: Column) -> Column:
     """Base ids of a text's bytes: printable bytes come first, in the usual byte-level order; then the end mark."""
-    table = F.array(*map(F.lit, _base_ids()))
-    return F.array_append(F.transform(byte_values(text), lambda v: F.get(table, v)), F.lit(END_OF_TEXT))
+    return F.array_append(byte_lookup(text, F.array(*map(F.lit, _base_ids()))), F.lit(END_OF_TEXT))
 
 
 def _base_ids() -> list[int]:

@@ -64,7 +64,7 @@ y AS (SELECT name, (i - 1) // {LENGTH} AS k, sum(tok)::BIGINT AS y FROM u WHERE
 SELECT name, k * {LENGTH} AS start, x, y FROM x JOIN y USING (name, k)""")
 def shard_windows(spark: SparkSession, d: str) -> DataFrame:
     """Training windows over shards that many tasks read in ranges."""
-    ranges = readers.read_token_ranges(spark, document_shards(spark, d), LENGTH, 1 << 12, 1 << 16)
+    ranges = readers.read_token_ranges(spark, document_shards(spark, d), LENGTH, 1 << 12, 1 << 17)
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, v: a + v)
     return windows.range_windows(ranges, LENGTH, LENGTH).select(_name(), "start", total("x").alias("x"), total("y").alias("y"))
 
@@ -78,7 +78,7 @@ e AS (SELECT name, row_number() OVER w - 1 AS pos, i - coalesce(lag(i) OVER w, -
 SELECT name, pos, n, total::BIGINT AS total FROM e WHERE n > 0""")
 def shard_documents(spark: SparkSession, d: str) -> DataFrame:
     """Documents between the end marks of shards."""
-    rows = readers.range_documents(readers.read_token_ranges(spark, document_shards(spark, d), 0, 1 << 12, 1 << 16), tokens.END_OF_TEXT)
+    rows = readers.range_documents(readers.read_token_ranges(spark, document_shards(spark, d), 0, 1 << 12, 1 << 17), tokens.END_OF_TEXT)
     return rows.select(_name(), "pos", F.size("ids").cast("long").alias("n"), F.aggregate("ids", F.lit(0).cast("long"), lambda a, v: a + v).alias("total"))
 
 
