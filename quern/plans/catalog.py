@@ -480,8 +480,9 @@ def prompt_window(spark: SparkSession, d: str) -> DataFrame:
 
 
 def streams(spark: SparkSession, d: str) -> DataFrame:
-    """vec_id, tokens: small streams of whole numbers made from the embeddings."""
-    return table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.floor(x * 100).cast("int")).alias("tokens"))
+    """vec_id, tokens: small streams of whole numbers made from the embeddings; the product is rounded as a float, so 0.29 gives 29."""
+    hundredths = lambda x: F.floor((x * F.lit(100).cast("float")).cast("double")).cast("int")
+    return table(spark, d, "embeddings").select("vec_id", F.transform("embedding", hundredths).alias("tokens"))
 
 
 _STREAM_SQL = "WITH s AS (SELECT vec_id, list_transform(embedding, lambda x: floor((x * 100::FLOAT)::DOUBLE)::BIGINT) AS t FROM embeddings)"
