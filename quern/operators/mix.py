@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from quern.functions.running import running_total
 
@@ -97,9 +98,15 @@ def shard_pieces(order: DataFrame, shard_size: int, budget: int) -> DataFrame:
 
 
 def shard_tokens(pieces: DataFrame, docs: DataFrame, ids: str = "ids", keep: tuple[str, ...] = ()) -> DataFrame:
-    """shard, at, tokens: the tokens of every piece, ready for a sink that writes a shard's pieces in order."""
+    """shard, at, tokens: the tokens of every piece, ready for a sink that writes a shard's pieces in order.
+
+    ids is an array of numbers or a binary value of 16-bit tokens; pieces are in the same form.
+    """
     joined = pieces.join(docs.select("source", "pos", ids), ["source", "pos"])
-    return joined.select(*keep, "shard", "at", F.slice(F.col(ids), (F.col("first") + 1).cast("int"), F.col("length").cast("int")).alias("tokens"))
+    first, length = F.col("first").cast("int"), F.col("length").cast("int")
+    packed = isinstance(docs.schema[ids].dataType, BinaryType)
+    part = F.col(ids).substr(2 * first + 1, 2 * length) if packed else F.slice(F.col(ids), first + 1, length)
+    return joined.select(*keep, "shard", "at", part.alias("tokens"))
 
 
 def validation_tokens(budget: int) -> int:

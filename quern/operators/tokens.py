@@ -67,6 +67,15 @@ def byte_values(text: Column) -> Column:
     return F.get(every, F.lit(0))
 
 
+def packed_bytes(text: Column) -> Column:
+    """binary: the UTF-8 bytes of a text as 16-bit little-endian tokens, the form of a shard; null is an empty text.
+
+    Latin-1 names each byte by a character of its own number, so whole texts are converted at once and not byte by byte.
+    """
+    raw = F.encode(F.coalesce(text, F.lit("")), "UTF-8")
+    return F.encode(F.decode(raw, "ISO-8859-1"), "UTF-16LE")
+
+
 def byte_lookup(text: Column, table: Column) -> Column:
     """What a table of 256 entries, bound once, has for each byte of a text."""
     every = F.transform(F.array(F.struct(table.alias("table"), byte_values(text).alias("bytes"))), lambda s: F.transform(s["bytes"], lambda v: F.get(s["table"], v)))

@@ -13,8 +13,12 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from quern.sources.stores import store_of
 
 
+#: A task takes several ranges, up to so many tokens, where there are more ranges than ``tasks``.
+MOST_TASK_TOKENS = 1 << 24
+
+
 @dataclass
-class _Range(InputPartition):
+class _Range:
     """Tokens [first, stop) of a shard of size tokens."""
 
     path: str
@@ -23,21 +27,40 @@ class _Range(InputPartition):
     stop: int
 
 
+@dataclass
+class _Ranges(InputPartition):
+    ranges: list[_Range]
+
+
 class _RangeReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.files = json.loads(options["files"])
         self.overlap, self.row, self.task = (int(options[k]) for k in ("overlap", "rowtokens", "tasktokens"))
+        self.tasks = int(options.get("tasks", 1 << 62))
         self.named = options.get("store")
         if self.overlap < 0 or self.row < 1 or self.task < 1:
             raise ValueError("overlap can't be negative, rowTokens and taskTokens must be positive")
 
-    def partitions(self) -> list[_Range]:
+    def partitions(self) -> list[_Ranges]:
         step = -(-self.task // self.row) * self.row  # rows are the same, however the work is cut
-        return [_Range(path, n // 2, a, min(a + step, n // 2)) for path, n in self.files for a in range(0, n // 2, step)] or [_Range("", 0, 0, 0)]
-
-    def read(self, part: _Range) -> Iterator[pa.RecordBatch]:
-        if part.stop <= part.first:
-            return
+        files, self.files = self.files, []  # each task gets this reader: without the list of all files
+        room = max(step, min(MOST_TASK_TOKENS, sum(n // 2 for _, n in files) // self.tasks))
+        out, left = [_Ranges([])], room
+        for path, n in files:
+            for a in range(0, n // 2, step):
+                b = min(a + step, n // 2)
+                if out[-1].ranges and b - a > left:
+                    out.append(_Ranges([]))
+                    left = room
+                out[-1].ranges.append(_Range(path, n // 2, a, b))
+                left -= b - a
+        return out
+
+    def read(self, part: _Ranges) -> Iterator[pa.RecordBatch]:
+        for r in part.ranges:
+            yield from self._range(r)
+
+    def _range(self, part: _Range) -> Iterator[pa.RecordBatch]:
         folder = part.path.rpartition("/")[0]
         with store_of(folder, self.named).open(part.path) as file:
             for first in range(part.first, part.stop, self.row):
@@ -55,7 +78,8 @@ class _RangeReader(DataSourceReader):
 class TokenRanges(DataSource):
     """Format "token_ranges": headerless files of little-endian 16-bit tokens, read in ranges.
 
-    Options: files (a JSON list of paths and bytes), overlap, rowTokens, taskTokens, store (see stores.py).
+    Options: files (a JSON list of paths and bytes), overlap, rowTokens, taskTokens, tasks (no more
+    than taskTokens needs are made as long as there are so many), store (see stores.py).
     """
 
     @classmethod

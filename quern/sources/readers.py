@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import partial
 from itertools import accumulate, groupby
 
 import numpy as np
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from quern.functions.running import running_total
+from quern.functions.shared import shared_folder
 from quern.functions.text import first_truthy, strip
 from quern.operators.filters import code_quality, min_length, pick_text_column, rendered_reasoning
 from quern.sources.ranges import TokenRanges
@@ -102,11 +104,12 @@ def shard_paths(spark: SparkSession, root: str, split: str) -> list[tuple[str, i
 def read_token_ranges(spark: SparkSession, shards: list[tuple[str, int]], overlap: int = 0, row_tokens: int = 1 << 16, task_tokens: int = 1 << 24, store: str | None = None) -> DataFrame:
     """path, size, first, own, tokens: token shards in rows of ``row_tokens`` tokens, with up to ``overlap`` that follow.
 
-    Tasks read byte ranges, so a shard of any size is read by many of them; no row holds more than row_tokens + overlap.
+    Tasks read byte ranges, so a shard of any size is read by many of them, and many small ones by one; no row holds more than row_tokens + overlap.
     size is the shard's number of tokens, first the place of a row's first one, own how many are its own.
     """
     spark.dataSource.register(TokenRanges)
     rows = spark.read.format("token_ranges").option("files", json.dumps(shards)).option("overlap", overlap).option("rowTokens", row_tokens).option("taskTokens", task_tokens)
+    rows = rows.option("tasks", spark.conf.get("spark.sql.shuffle.partitions"))
     return (rows.option("store", store) if store else rows).load()
 
 
@@ -150,19 +153,39 @@ def drawn_places(spark: SparkSession, shards: list[tuple[str, int]], count: int,
     return met.select("draw", "path", "size", (F.col("place") - F.col("begin")).alias("offset"))
 
 
+def _cut(batch: pa.RecordBatch, end: int) -> pa.RecordBatch:
+    """path, pos, first, ends, whole, ids: the parts of rows of tokens between end marks; a row has one more than marks."""
+    lists = batch.column("tokens")
+    flat, size = lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False)
+    starts = np.r_[0, np.cumsum(size)]
+    marks = np.flatnonzero(flat == end)
+    at = np.searchsorted(starts, marks, "right") - 1 + np.arange(len(marks))  # the parts that end at marks
+    n = np.bincount(at - np.arange(len(marks)), minlength=batch.num_rows)
+    row = np.repeat(np.arange(batch.num_rows), n + 1)
+    last = np.cumsum(n + 1) - 1
+    k = np.arange(len(row)) - (last - n)[row]
+    begin, stop = np.zeros(len(row), np.int64), np.zeros(len(row), np.int64)
+    begin[last - n], stop[last] = starts[:-1], starts[1:]
+    begin[at + 1], stop[at] = marks + 1, marks
+    ids = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(stop - begin)].astype(np.int32)), pa.array(flat[flat != end]))
+    before, first = (batch.column(c).to_numpy()[row] for c in ("before", "first"))
+    columns = [batch.column("path").take(pa.array(row)), pa.array(before + k), pa.array(first), pa.array(k < n[row]), pa.array((k > 0) & (k < n[row])), ids]
+    return pa.RecordBatch.from_arrays(columns, ["path", "pos", "first", "ends", "whole", "ids"])
+
+
 def range_documents(ranges: DataFrame, end: int) -> DataFrame:
     """path, pos, ids: the documents in ranges without overlap, each up to its end mark; what follows the last mark is left out.
 
-    Only documents that reach over the end of a row are shuffled; pos counts empty documents too, which aren't returned.
+    Rows meet the number of documents before them, then only documents that reach over the end of a row are shuffled; pos counts empty documents too, which aren't returned.
     """
-    marks = F.filter(F.transform("tokens", lambda t, i: F.when(t == end, i)), lambda i: i.isNotNull())
-    rows = ranges.select("path", "first", "tokens", marks.alias("marks")).withColumn("n", F.size("marks").cast("long"))
-    # Documents before each row, from a table of one short row for each row of tokens.
-    before = running_total(rows.select("path", "first", "n"), "n", ["first"], F.floor(F.col("first") / (1 << 26)), "upto", ["path"]).select("path", "first", (F.col("upto") - F.col("n")).alias("before"))
-    rows = rows.withColumn("bounds", F.concat(F.array(F.lit(-1)), F.col("marks"), F.array(F.size("tokens"))))
-    cut = lambda k: F.slice("tokens", F.get("bounds", k) + 2, F.get("bounds", k + 1) - F.get("bounds", k) - 1)
-    pieces = F.transform(F.sequence(F.lit(0), F.size("marks")), lambda k: F.struct(k.cast("long").alias("k"), cut(k).alias("ids")))
-    parts = rows.select("path", "first", "n", F.inline(pieces)).join(before, ["path", "first"]).select("path", (F.col("before") + F.col("k")).alias("pos"), "first", (F.col("k") < F.col("n")).alias("ends"), ((F.col("k") > 0) & (F.col("k") < F.col("n"))).alias("whole"), "ids")
+    spark = ranges.sparkSession
+    # Documents before each row, from a table of one short row for each row of tokens; it is written, so tokens are counted once.
+    counts = f"{shared_folder(spark)}/marks"
+    ranges.select("path", "first", F.size(F.filter("tokens", lambda t: t == end)).cast("long").alias("n")).write.parquet(counts)
+    counted = spark.read.schema("path string, first long, n long").parquet(counts)
+    before = running_total(counted, "n", ["first"], F.floor(F.col("first") / (1 << 26)), "upto", ["path"]).select("path", "first", "n", (F.col("upto") - F.col("n")).alias("before"))
+    rows = ranges.select("path", "first", "tokens").join(before.select("path", "first", "before"), ["path", "first"])
+    parts = rows.mapInArrow(lambda batches: map(partial(_cut, end=end), batches), "path string, pos long, first long, ends boolean, whole boolean, ids array<int>")
     inner = parts.where("whole").select("path", "pos", "ids")
     torn = parts.where("not whole").groupBy("path", "pos").agg(F.max("ends").alias("ends"), F.array_sort(F.collect_list(F.struct("first", "ids"))).alias("p"))
     return inner.unionByName(torn.where("ends").select("path", "pos", F.flatten(F.transform("p", lambda x: x["ids"])).alias("ids"))).where(F.size("ids") > 0)

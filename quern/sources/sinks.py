@@ -6,12 +6,14 @@ import json
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
+from pyspark.sql.types import BinaryType
 
 from quern.functions.running import running_total
 from quern.operators.mix import shard_pieces, shard_tokens
@@ -31,6 +33,17 @@ def shard_name(split: str, shard: int) -> str:
     return f"{split}.bin" if shard < 0 else f"{split}_{shard:05d}.bin"
 
 
+def _packed(tokens: pa.Array) -> list[bytes]:
+    """Lists of tokens as 16-bit values; binary values are packed already."""
+    if not isinstance(tokens, pa.ListArray):
+        return tokens.fill_null(b"").to_pylist()
+    ids, ends = tokens.flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(tokens.value_lengths().fill_null(0).to_numpy())]
+    if len(ids) and not 0 <= ids.min() <= ids.max() <= 0xFFFF:
+        raise ValueError("a token needs more than 16 bits")
+    packed = ids.astype("<u2")
+    return [packed[a:b].tobytes() for a, b in pairwise(ends)]
+
+
 class _ShardWriter(DataSourceArrowWriter):
     """Each task writes whole shards below _temporary/<job>/<task attempt>; the commit gives them their names.
 
@@ -52,11 +65,7 @@ class _ShardWriter(DataSourceArrowWriter):
         done: list[list] = []
         key, out = None, None
         for batch in batches:  # sorted by split, shard, at
-            lists = batch.column("tokens")
-            ids, ends = lists.flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(lists.value_lengths().fill_null(0).to_numpy())]
-            if len(ids) and not 0 <= ids.min() <= ids.max() <= 0xFFFF:
-                raise ValueError("a token needs more than 16 bits")
-            packed = ids.astype("<u2")
+            pieces = _packed(batch.column("tokens"))
             rows = zip(batch.column("split").to_pylist(), batch.column("shard").to_pylist(), batch.column("at").to_pylist(), strict=True)
             for i, (split, shard, at) in enumerate(rows):
                 if (split, shard) != key:
@@ -68,8 +77,8 @@ class _ShardWriter(DataSourceArrowWriter):
                     out = store.create(done[-1][0])
                 if at != done[-1][2]:
                     raise ValueError(f"{name}: a piece begins at {at} where {done[-1][2]} tokens have been written")
-                out.write(packed[ends[i] : ends[i + 1]].tobytes())
-                done[-1][2] += int(ends[i + 1] - ends[i])
+                out.write(pieces[i])
+                done[-1][2] += len(pieces[i]) // 2
         if out:
             out.close()
         return _Wrote(tuple(tuple(x) for x in done))
@@ -92,7 +101,7 @@ class _ShardWriter(DataSourceArrowWriter):
 class TokenShards(DataSource):
     """Format "token_shards": rows (split, shard, at, tokens) become {split}_{shard}.bin in a folder of a store.
 
-    Options: path, job (a name of its own for each job), store (see stores.py).
+    tokens may also be binary, 16 bits each. Options: path, job (a name of its own for each job), store (see stores.py).
     """
 
     @classmethod
@@ -126,10 +135,13 @@ def write_shards(pieces: DataFrame, folder: str, prefix: str = "train", partitio
 def write_splits(df: DataFrame, folder: str, split: str, ids: str, pos: str, shard_size: int | None = 25_000_000, end: int | None = None, store: str | None = None) -> None:
     """Token documents in the order of pos as shards of each split, in one job.
 
-    end, if given, follows each document. shard_size None gives one file without a number for each split.
+    ids has lists of numbers or, which moves half the bytes, binary values of 16-bit tokens. end, if given, follows each document. shard_size None gives one file without a number for each split.
     """
-    tokens = F.col(ids) if end is None else F.array_append(F.col(ids), F.lit(end))
-    rows = df.select(F.col(split).alias("source"), F.col(pos).alias("pos"), F.lit(0).alias("epoch"), tokens.alias("ids"), F.size(ids).cast("long").alias("n"))
+    packed = isinstance(df.schema[ids].dataType, BinaryType)
+    tokens, size = F.col(ids), (F.expr(f"octet_length(`{ids}`) div 2") if packed else F.size(ids)).cast("long")
+    if end is not None:
+        tokens = F.concat(tokens, F.lit(bytearray(end.to_bytes(2, "little")))) if packed else F.array_append(tokens, F.lit(end))
+    rows = df.select(F.col(split).alias("source"), F.col(pos).alias("pos"), F.lit(0).alias("epoch"), tokens.alias("ids"), size.alias("n"))
     rows = rows.withColumn("n", F.col("n") + 1) if end is not None else rows
     placed = running_total(rows.drop("ids"), "n", ["pos"], F.floor(F.col("pos") / 4096), "end", ["source"]).withColumn("start", F.col("end") - F.col("n")).drop("end").where("n > 0")
     pieces = shard_tokens(shard_pieces(placed, shard_size or 1 << 62, 1 << 62), rows, keep=("source",))

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quern.operators import windows
+from quern.operators import tokens, windows
 from quern.sources import readers, sinks
 
 END = 50256
@@ -131,3 +131,24 @@ def test_ranges_refuse_what_they_cannot_read(spark, tmp_path):
     with pytest.raises(Exception, match="overlap"):
         readers.read_token_ranges(spark, shards, -1).collect()
     assert readers.read_token_ranges(spark, []).count() == 0
+
+
+def test_many_small_shards_are_read_by_few_tasks(spark, tmp_path):
+    docs = token_docs(5, 400)
+    sinks.write_splits(frame(spark, docs), str(tmp_path), "split", "ids", "pos", 9, END)
+    wanted = expected(docs, 9, END)
+    shards = [(f"{tmp_path}/{name}", 2 * len(v)) for name, v in wanted.items()]
+    rows = readers.read_token_ranges(spark, shards, row_tokens=4, task_tokens=8)
+    assert len(shards) > 150 and rows.rdd.getNumPartitions() <= 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    got = {}
+    for r in sorted(rows.collect(), key=lambda r: (r["path"], r["first"])):
+        got.setdefault(r["path"].rpartition("/")[2], []).extend(r["tokens"])
+    assert got == wanted
+
+
+@pytest.mark.parametrize("end", [None, END])
+def test_texts_go_to_shards_as_packed_bytes(spark, tmp_path, end):
+    texts = [("train" if i % 3 else "val", i, t) for i, t in enumerate(["", "a", "\u0000\u0080ÿ€", "\U0001f600" * 9, None, "abc\n" * 20])]
+    rows = spark.createDataFrame(texts, "split string, pos long, text string").select("split", "pos", tokens.packed_bytes(F.col("text")).alias("ids"))
+    sinks.write_splits(rows, str(tmp_path), "split", "ids", "pos", 7, end)
+    assert read(tmp_path) == expected([(s, i, list((t or "").encode())) for s, i, t in texts], 7, end)
