@@ -13,7 +13,7 @@ LEAST_LAYERS = 8
 STEP_FFN = 256
 
 
-def parameters(vocab: Column, width: Column, layers: Column, ffn: Column, heads: Column, kv_heads: Column) -> Column:
+def parameters[N: (int, Column)](vocab: N, width: N, layers: N, ffn: N, heads: N, kv_heads: N) -> N:
     """Parameters of a decoder with tied embeddings, grouped heads and a gated feed-forward block."""
     side = width * heads * HEAD + 2 * width * kv_heads * HEAD + heads * HEAD * width
     return vocab * width + width + layers * (side + 2 * width + 3 * width * ffn)
@@ -26,18 +26,22 @@ def architectures(budgets: DataFrame, vocab: int, budget: str = "budget") -> Dat
     nearest of all wins, the narrowest of ties. If none fits, the smallest width with the fewest layers stands in.
     """
     padded = -(-vocab // 64) * 64
-    rows = budgets.select(F.col(budget).alias("budget")).distinct().withColumn("width", F.explode(F.sequence(F.lit(192), F.lit(4096), F.lit(64)).cast("array<long>")))
-    rows = rows.withColumn("heads", F.expr(f"width div {HEAD}")).where(F.col("heads") % KV_SHARE == 0)
-    rows = rows.withColumn("kv_heads", F.expr(f"heads div {KV_SHARE}")).withColumn("ffn", (F.bround(F.lit(8 / 3) * F.col("width") / STEP_FFN) * STEP_FFN).cast("long"))
-    size = lambda layers: parameters(F.lit(padded), F.col("width"), layers, F.col("ffn"), F.col("heads"), F.col("kv_heads"))
-    each = size(F.lit(1)) - size(F.lit(0))
-    left = F.col("budget") - F.lit(padded) * F.col("width")
-    rows = rows.withColumn("least_params", size(F.lit(LEAST_LAYERS))).withColumn("layers", F.greatest(F.lit(LEAST_LAYERS), F.bround(left / each).cast("long")))
-    fits = (left > 0) & (F.col("layers") / F.col("width")).between(0.010, 0.040)
-    rows = rows.withColumn("params", size(F.col("layers"))).withColumn("off", F.when(fits, F.abs(F.col("params") - F.col("budget"))))
-    best = F.min(F.when(F.col("off").isNotNull(), F.struct("off", "width", "layers", "ffn", "heads", "kv_heads", "params")))
-    floor = F.min(F.struct(F.col("least_params").alias("off"), "width", F.lit(LEAST_LAYERS).cast("long").alias("layers"), "ffn", "heads", "kv_heads", F.col("least_params").alias("params")))
-    return rows.groupBy("budget").agg(F.coalesce(best, floor).alias("a")).select("budget", "a.width", "a.layers", "a.ffn", "a.heads", "a.kv_heads", "a.params")
+    rows = budgets.select(F.col(budget).cast("long").alias("budget")).distinct()
+    fit, least = [], []
+    for width in range(192, 4097, HEAD * KV_SHARE):  # twenty-one widths, whatever the number of budgets
+        heads, kv_heads, ffn = width // HEAD, width // HEAD // KV_SHARE, round(8 / 3 * width / STEP_FFN) * STEP_FFN
+        none, one, floor = (parameters(padded, width, n, ffn, heads, kv_heads) for n in (0, 1, LEAST_LAYERS))
+        left = F.col("budget") - padded * width
+        layers = F.greatest(F.lit(LEAST_LAYERS), F.bround(left / (one - none)).cast("long"))
+        params = none + layers * (one - none)
+
+        def named(off, layers, params, width=width, ffn=ffn, heads=heads, kv_heads=kv_heads):  # noqa: ANN001, ANN202
+            parts = {"off": off, "width": F.lit(width), "layers": layers, "ffn": F.lit(ffn), "heads": F.lit(heads), "kv_heads": F.lit(kv_heads), "params": params}
+            return F.struct(*[c.cast("long").alias(k) for k, c in parts.items()])
+
+        fit.append(F.when((left > 0) & (layers / width).between(0.010, 0.040), named(F.abs(params - F.col("budget")), layers, params)))
+        least.append(named(F.lit(floor), F.lit(LEAST_LAYERS), F.lit(floor)))
+    return rows.select("budget", F.coalesce(F.array_min(F.array(*fit)), F.array_min(F.array(*least))).alias("a")).select("budget", "a.width", "a.layers", "a.ffn", "a.heads", "a.kv_heads", "a.params")
 
 
 def architecture(spark: SparkSession, budget: int, vocab: int) -> DataFrame:
@@ -52,19 +56,27 @@ def _up_to(value: Column, multiple: int) -> Column:
 def model_plans(budgets: DataFrame, vocab: int = 50_259, length: int = 2048, budget: str = "budget") -> DataFrame:
     """The second search: every width from 384 in steps of a group of heads with every depth of its own range.
 
+    Parameters grow evenly with the depth, so a width's nearest depths are the two around the budget, or an end of its range.
+    A budget's candidates stay in its row, and only the nearest is left.
     budget, width, layers, heads, kv_heads, ffn, params, embedding, most_rate, least_rate, batch_tokens, tokens; the first
     nearest to the budget wins. Rates and batches follow the width and size that were found.
     """
     padded = -(-vocab // 128) * 128
     step = HEAD * KV_SHARE
-    rows = budgets.select(F.col(budget).alias("budget")).distinct().withColumn("width", F.explode(F.sequence(F.lit(384), F.lit(4095), F.lit(step)).cast("array<long>")))
-    rows = rows.withColumn("heads", F.expr(f"width div {HEAD}")).withColumn("kv_heads", F.expr(f"heads div {KV_SHARE}")).withColumn("ffn", _up_to(F.floor(F.lit(8 / 3) * F.col("width")), STEP_FFN).cast("long"))
-    fewest = F.greatest(F.lit(4), F.floor(F.col("width") * F.lit(0.010)))
-    most = F.greatest(fewest + 2, F.floor(F.col("width") * F.lit(0.025)) + 6)
-    rows = rows.withColumn("layers", F.explode(F.sequence(fewest, most - 1)))
-    rows = rows.withColumn("params", parameters(F.lit(padded), F.col("width"), F.col("layers"), F.col("ffn"), F.col("heads"), F.col("kv_heads")))
-    best = F.min(F.struct(F.abs(F.col("params") - F.col("budget")).alias("off"), "width", "layers", "heads", "kv_heads", "ffn", "params"))
-    found = rows.groupBy("budget").agg(best.alias("a")).select("budget", "a.width", "a.layers", "a.heads", "a.kv_heads", "a.ffn", "a.params")
+    rows = budgets.select(F.col(budget).cast("long").alias("budget")).distinct()
+    near = []
+    for width in range(384, 4096, step):  # fixed by the search: twenty widths, whatever the number of budgets
+        heads, kv_heads, ffn = width // HEAD, width // HEAD // KV_SHARE, -(-math.floor(8 / 3 * width) // STEP_FFN) * STEP_FFN
+        fewest = max(4, math.floor(width * 0.010))
+        most = max(fewest + 2, math.floor(width * 0.025) + 6) - 1
+        none, one = (parameters(padded, width, n, ffn, heads, kv_heads) for n in (0, 1))
+        below = F.expr(f"(budget - {none}L) div {one - none}L")
+        for layers in (below, below + 1):
+            layers = F.least(F.greatest(layers, F.lit(fewest).cast("long")), F.lit(most).cast("long"))
+            params = none + layers * (one - none)
+            fixed = [F.lit(v).cast("long").alias(k) for k, v in (("heads", heads), ("kv_heads", kv_heads), ("ffn", ffn))]
+            near.append(F.struct(F.abs(params - F.col("budget")).alias("off"), F.lit(width).cast("long").alias("width"), layers.alias("layers"), *fixed, params.alias("params")))
+    found = rows.select("budget", F.array_min(F.array(*near)).alias("a")).select("budget", "a.width", "a.layers", "a.heads", "a.kv_heads", "a.ffn", "a.params")
     rate = F.round(F.lit(6e-4) * F.sqrt(F.lit(768.0) / F.col("width")), 6)
     batch = F.when(F.col("params") >= 125_000_000, _up_to(F.floor(F.lit(250_000) * F.sqrt(F.col("params") / F.lit(125e6))), length).cast("long")).otherwise(F.lit(262_144))
     return found.select("*", (F.lit(padded) * F.col("width")).alias("embedding"), rate.alias("most_rate"), F.round(rate * 0.1, 7).alias("least_rate"), batch.alias("batch_tokens"), (F.col("params") * 20).alias("tokens"))

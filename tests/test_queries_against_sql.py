@@ -38,3 +38,13 @@ def test_windows_of_events_in_whole_milliseconds(spark, tmp_path):
     events = pa.table({"event_id": pa.array(range(len(times)), pa.int64()), "ts": pa.array(times, pa.timestamp("us")), "event_type": [f"t{i % 2}" for i in range(len(times))]})
     got, wanted = against_sql(spark, tmp_path, "stream_windows", events=events)
     assert got == wanted and wanted
+
+
+@pytest.mark.parametrize("name", ["architecture_search", "model_plans"])
+def test_model_sizes_keep_their_candidates_in_one_row(spark, tmp_path, name):
+    keys = [0, -57, -500, 1, 2, 3, 500, 5_000, 30_000, 200_000]
+    part = pa.table({"p_partkey": pa.array([*keys, 1, 2], pa.int64())})
+    got, wanted = against_sql(spark, tmp_path, name, part=part)
+    assert got == sorted(set(wanted)) and len(got) == len(keys)
+    plan = catalog.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "SortAggregate" not in plan
