@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, DataType, IntegerType, LongType, StringType, StructField, StructType
+
+from quern.functions.shared import bounded_batches
 
 #: The pre-tokenising pattern and the special tokens with their ids.
 PIECES = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -116,40 +119,66 @@ def _encoder(path: str):
 _encoders: dict = {}
 
 
+#: Python holds the tokens of so many bytes at a time, or of one longer row.
+SLICE_BYTES = 1 << 19
+
+
+def _slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of SLICE_BYTES of a column of texts or lists of numbers, or of one longer row."""
+    values = batch.column(column)
+    sizes = pc.list_value_length(values) if pa.types.is_list(values.type) or pa.types.is_large_list(values.type) else pc.binary_length(values)
+    ends = np.cumsum(sizes.fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    a = 0
+    while a < batch.num_rows:
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + SLICE_BYTES, "right")))
+        yield batch.slice(a, b - a)
+        a = b
+
+
+def _with_column(df: DataFrame, read: str, out: str, kind: DataType, values: Callable[[pa.Array], pa.Array]) -> DataFrame:
+    """df with ``out`` made of the column ``read``, slice by slice, so that memory follows a slice and not a batch."""
+    bounded_batches(df.sparkSession)
+    fields = [f for f in df.schema.fields if f.name != out]
+    kept = [f.name for f in fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _slices(batch, read):
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], values(part.column(read))], [*kept, out])
+
+    return df.mapInArrow(run, StructType([*fields, StructField(out, kind)]))
+
+
 def encode(df: DataFrame, vocabulary: str, text: str = "text", out: str = "ids") -> DataFrame:
     """Adds the ids of each text, with special tokens recognised, and the end mark; the file is read once a worker."""
 
-    @F.pandas_udf("array<int>")
-    def ids(texts: pd.Series) -> pd.Series:
+    def ids(texts: pa.Array) -> pa.Array:
         encoder = _encoder(vocabulary)
-        return texts.map(lambda t: [*encoder.encode(t or "", allowed_special="all"), END_OF_TEXT], na_action=None)
+        lists = [np.append(encoder.encode_to_numpy(t or "", allowed_special="all").astype(np.int32), np.int32(END_OF_TEXT)) for t in texts.to_pylist()]
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in lists])].astype(np.int32)), pa.array(np.concatenate(lists)))
 
-    return df.withColumn(out, ids(F.col(text)))
+    return _with_column(df, text, out, ArrayType(IntegerType()), ids)
 
 
 def decode(df: DataFrame, vocabulary: str, ids: str = "ids", out: str = "text") -> DataFrame:
     """Adds the text of ids; ids outside the vocabulary are skipped, broken UTF-8 is replaced."""
 
-    @F.pandas_udf("string")
-    def text(lists: pd.Series) -> pd.Series:
+    def texts(lists: pa.Array) -> pa.Array:
         encoder = _encoder(vocabulary)
         known = encoder.n_vocab
-        return lists.map(lambda v: None if v is None else encoder.decode([int(i) for i in v if 0 <= i < known], errors="replace"), na_action=None)
+        return pa.array([None if v is None else encoder.decode([i for i in v if i is not None and 0 <= i < known], errors="replace") for v in lists.to_pylist()], pa.string())
 
-    return df.withColumn(out, text(F.col(ids)))
+    return _with_column(df, ids, out, StringType(), texts)
 
 
 def token_lengths(df: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
     """Adds n, the number of tokens with the end mark, without keeping the ids."""
-    schema = StructType([*df.schema.fields, StructField("n", LongType())])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(texts: pa.Array) -> pa.Array:
         encoder = _encoder(vocabulary)
-        for batch in batches:
-            n = [len(encoder.encode(t or "", allowed_special="all")) + 1 for t in batch.column(text).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64())], [*batch.schema.names, "n"])
+        return pa.array([len(encoder.encode(t or "", allowed_special="all")) + 1 for t in texts.to_pylist()], pa.int64())
 
-    return df.mapInArrow(count, schema)
+    return _with_column(df, text, "n", LongType(), count)
 
 
 def special_spans(text: Column) -> Column:
