@@ -8,18 +8,27 @@ come from one join of the pieces' substrings with the merges; the walk is a fold
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from functools import reduce
+from operator import or_
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StringType, StructType
 
-from quern.operators.tokens import SPECIAL_TOKENS, byte_lookup, pieces, special_spans
+from quern.functions.shared import bounded_batches, shared_folder
+from quern.operators.tokens import SPECIAL_TOKENS, pieces, special_spans
 
 
 def printable(text: Column) -> Column:
-    """A text's bytes as characters of the byte-level alphabet, one each."""
-    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
-    more = iter(range(256, 512))
-    letters = F.array(*[F.lit(chr(b if b in shown else next(more))) for b in range(256)])
-    return F.array_join(byte_lookup(text, letters), "")
+    """A text's bytes as characters of the byte-level alphabet, one each; null is an empty text."""
+    hidden = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+    # Latin-1 names each byte by a character of its own number.
+    raw = F.decode(F.encode(F.coalesce(text, F.lit("")), "UTF-8"), "ISO-8859-1")
+    return F.translate(raw, "".join(map(chr, hidden)), "".join(chr(256 + i) for i in range(len(hidden))))
 
 
 def check_merges(merges: DataFrame) -> None:
@@ -34,14 +43,17 @@ def check_merges(merges: DataFrame) -> None:
 
 
 def merged_pieces(words: DataFrame, merges: DataFrame) -> DataFrame:
-    """piece, tokens of words (piece): distinct pieces and their tokens in the byte-level alphabet."""
-    words = words.select("piece").distinct().select("piece", printable(F.col("piece")).alias("letters")).withColumn("size", F.length("letters"))
+    """piece, tokens of words (piece): distinct pieces and their tokens in the byte-level alphabet.
+
+    The merges, a vocabulary's own, go to every task: substrings of pieces are many more than pieces.
+    """
+    words = words.select("piece").distinct().select("piece", printable(F.col("piece")).alias("letters"), F.octet_length("piece").alias("size"))
     table = merges.select(F.concat("left", "right").alias("token"), F.length("left").alias("cut"), "rank")
     longest = table.agg(F.max(F.length("token"))).first()[0] or 1
     starts = words.select("piece", "letters", "size", F.explode(F.when(F.col("size") > 1, F.sequence(F.lit(0), F.col("size") - 2))).alias("i"))
     parts = starts.select("piece", "i", F.explode(F.sequence(F.col("i") + 2, F.least("size", F.col("i") + longest))).alias("j"), "letters")
     parts = parts.select("piece", "i", "j", F.substring("letters", F.col("i") + 1, F.col("j") - F.col("i")).alias("token"))
-    places = parts.join(table, "token").groupBy("piece").agg(F.sort_array(F.collect_list(F.struct("rank", "i", (F.col("i") + F.col("cut")).alias("k"), "j"))).alias("places"))
+    places = parts.join(F.broadcast(table), "token").groupBy("piece").agg(F.sort_array(F.collect_list(F.struct("rank", "i", (F.col("i") + F.col("cut")).alias("k"), "j"))).alias("places"))
     rows = words.join(places, "piece", "left")
 
     def walk(ends: Column, m: Column) -> Column:
@@ -58,32 +70,81 @@ def merged_pieces(words: DataFrame, merges: DataFrame) -> DataFrame:
 
 def piece_ids(words: DataFrame, merges: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """piece, ids of words (piece); vocabulary has token, id. A token without an id is left out."""
-    rows = merged_pieces(words, merges).select("piece", F.posexplode("tokens").alias("at", "token")).join(vocabulary.select("token", "id"), "token")
+    # Outer, as Spark works out what an inner explode reads once more, to leave empty lists out.
+    rows = merged_pieces(words, merges).select("piece", F.posexplode_outer("tokens").alias("at", "token")).join(F.broadcast(vocabulary.select("token", "id")), "token")
     return rows.groupBy("piece").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "id"))), lambda x: x["id"]).alias("ids"))
 
 
-def text_pieces(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """key, at, piece, special of all texts in order; a special token is a piece of its own."""
-    spans = texts.select(key, F.posexplode(special_spans(F.coalesce(F.col(text), F.lit("")))).alias("span", "part"))
-    special = F.col("part").isin(*SPECIAL_TOKENS)
-    cut = F.when(special, F.array("part")).otherwise(pieces(F.col("part")))
-    rows = spans.select(key, "span", special.alias("special"), F.posexplode(cut).alias("at", "piece"))
-    return rows.select(key, F.struct("span", "at").alias("at"), "piece", "special")
+def text_pieces(text: Column) -> Column:
+    """array<string>: the pieces of a text in order, null as empty. A special token is a piece of its own; no other piece equals one."""
+    whole = F.coalesce(text, F.lit(""))
+    may_have = reduce(or_, [F.contains(whole, F.lit(c)) for c in sorted({t[0] for t in SPECIAL_TOKENS})])
+    spans = F.when(may_have, special_spans(whole)).otherwise(F.array(whole))
+    return F.flatten(F.transform(spans, lambda s: F.when(s.isin(*SPECIAL_TOKENS), F.array(s)).otherwise(pieces(s))))
+
+
+#: A chunk takes batches up to so many bytes of pieces, or one longer batch.
+CHUNK_BYTES = 1 << 25
+
+
+def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of texts as chunks: each text's pieces as codes, and a row with the pieces that the codes stand for."""
+
+    def chunk(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, names = uuid.uuid4().bytes, ["chunk", "key", "codes", "pieces"]
+        key, lists = (pa.concat_arrays([r.column(c) for r in rows]) for c in ("key", "pieces"))
+        values = lists.flatten().dictionary_encode()
+        codes = pa.ListArray.from_arrays(_offsets(lists), values.indices)
+        yield pa.RecordBatch.from_arrays([pa.array([name] * len(lists), pa.binary()), key, codes, pa.nulls(len(lists), pa.list_(pa.string()))], names)
+        yield pa.RecordBatch.from_arrays([pa.array([name], pa.binary()), pa.nulls(1, key.type), pa.nulls(1, codes.type), pa.ListArray.from_arrays([0, len(values.dictionary)], values.dictionary)], names)
+
+    held, size = [], 0
+    for batch in batches:
+        if held and size + batch.nbytes > CHUNK_BYTES:
+            yield from chunk(held)
+            held, size = [], 0
+        held.append(batch)
+        size += batch.nbytes
+    if held:
+        yield from chunk(held)
+
+
+def _offsets(lists: pa.ListArray) -> pa.Array:
+    return pa.array(np.r_[0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))].astype(np.int32))
+
+
+def _decoded(known: pa.Table, coded: pa.Table) -> pa.Table:
+    """key, ids of the texts of one chunk, given the ids of its codes."""
+    ids = known.column("ids").combine_chunks().take(pa.array(np.argsort(known.column("code").to_numpy())))
+    codes = coded.column("codes").combine_chunks()
+    found = ids.take(codes.flatten())
+    ends = _offsets(found).take(_offsets(codes))
+    return pa.table({"key": coded.column("key"), "ids": pa.ListArray.from_arrays(ends, found.flatten())})
 
 
 def encode_by_merges(texts: DataFrame, merges: DataFrame, vocabulary: DataFrame, key: str, text: str = "text", end: int | None = None) -> DataFrame:
     """key, ids of all texts: special tokens found first, pieces merged once each, end (if given) last.
 
-    A frequent piece has one row among the merged ones, so the join back splits its many rows; ids of a text come together
-    by its key. Texts that share a key are one text after the other, in no fixed order; a null key is one of its own.
+    Texts are written once as codes, in chunks of CHUNK_BYTES. A piece goes to the merged ones and back as one row a chunk,
+    however often it occurs there, so no piece is a large group; a chunk's texts and codes then meet in one task. Texts that
+    share a key are one text after the other, in no fixed order; a null key is one of its own.
     """
     check_merges(merges)
-    rows = text_pieces(texts, key, text)
-    known = piece_ids(rows.where("not special").select("piece"), merges, vocabulary)
+    spark = texts.sparkSession
+    bounded_batches(spark)
+    kind, path = texts.select(F.col(key).alias("key")).schema["key"].dataType, f"{shared_folder(spark)}/codes"
+    rows = texts.select(F.col(key).alias("key"), text_pieces(F.col(text)).alias("pieces"))
+    form = StructType().add("chunk", BinaryType()).add("key", kind).add("codes", ArrayType(IntegerType())).add("pieces", ArrayType(StringType()))
+    rows.mapInArrow(_coded, form).write.option("compression", "zstd").parquet(path)
+    stored = spark.read.schema(form).parquet(path)
+    used = stored.where("pieces IS NOT NULL").select("chunk", F.posexplode("pieces").alias("code", "piece"))
+    known = piece_ids(used.select("piece").where(~F.col("piece").isin(*SPECIAL_TOKENS)), merges, vocabulary)
     special = F.create_map(*[F.lit(x) for pair in SPECIAL_TOKENS.items() for x in pair])
-    plain = rows.where("not special").join(known, "piece").select(key, "at", "ids")
-    both = plain.unionByName(rows.where("special").select(key, "at", F.array(F.try_element_at(special, F.col("piece"))).alias("ids")))
-    found = both.groupBy(key).agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("at", "ids"))), lambda x: x["ids"])).alias("ids"))
-    every = texts.select(F.col(key)).distinct().join(found.withColumnRenamed(key, "_key"), F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
-    ids = F.coalesce("ids", F.array().cast("array<int>"))
-    return every.select(key, (ids if end is None else F.array_append(ids, F.lit(end))).alias("ids"))
+    special = F.when(F.col("piece").isin(*SPECIAL_TOKENS), F.array(F.try_element_at(special, F.col("piece"))))
+    ids = used.join(known, "piece", "left").select("chunk", "code", F.coalesce("ids", special, F.array().cast("array<int>")).alias("ids"))
+    coded = spark.read.schema(form).parquet(path).where("codes IS NOT NULL").select("chunk", "key", "codes")
+    found = ids.groupBy("chunk").cogroup(coded.groupBy("chunk")).applyInArrow(_decoded, StructType().add("key", kind).add("ids", ArrayType(IntegerType())))
+    # Ids are shuffled once more only where texts share a key.
+    if stored.where("pieces IS NULL").groupBy("key").count().where("count > 1").take(1):
+        found = found.groupBy("key").agg(F.flatten(F.collect_list("ids")).alias("ids"))
+    return found.select(F.col("key").alias(key), (F.col("ids") if end is None else F.array_append("ids", F.lit(end))).alias("ids"))

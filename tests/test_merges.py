@@ -114,3 +114,34 @@ def test_bytes_of_texts(spark):
     for x, text in zip(rows, texts, strict=True):
         raw = list((text or "").encode())
         assert x["v"] == raw and x["ids"] == [*(place[b] for b in raw), tokens.END_OF_TEXT] and x["p"] == "".join(letters[b] for b in raw)
+
+
+def test_a_frequent_piece_is_shuffled_once_a_chunk(spark):
+    """Rows that tasks exchange follow the distinct pieces of a chunk, not how often each occurs."""
+    store, none = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+    stages = lambda: {s.stageId(): s.shuffleWriteRecords() for s in map(every.apply, range(every.size()))}
+    every = store.stageList(None, False, False, none, None)
+    before = stages()
+    table, vocabulary, ids = tables(spark, [("t", "h"), ("th", "e"), ("Ġ", "the")])
+    texts = ["the" + " the" * 20_000 + " é<think>" * k for k in range(5)]
+    got = {x["k"]: x["ids"] for x in merges.encode_by_merges(spark.createDataFrame([*enumerate(texts)], "k int, text string"), table, vocabulary, "k").collect()}
+    accent = [ids[c] for c in "ĠÃ©"] + [tokens.SPECIAL_TOKENS["<think>"]]
+    assert got == {k: [ids["the"]] + [ids["Ġthe"]] * 20_000 + accent * k for k in range(5)}
+    every = store.stageList(None, False, False, none, None)
+    assert sum(n for stage, n in stages().items() if stage not in before) < 10_000
+
+
+def test_texts_that_share_a_key_and_chunks_of_several_batches(spark, monkeypatch):
+    table, vocabulary, ids = tables(spark, [("t", "h"), ("th", "e")])
+    texts = [(1, "the"), (1, "x"), (None, "y"), (None, ""), (2, None), *((k, "the<s>" * k) for k in range(3, 40))]
+    rows = spark.createDataFrame(texts, "k int, text string").coalesce(1)
+    want = {k: sorted([plain(t, {("t", "h"): 0, ("th", "e"): 1}, ids, 0)[:-1] for j, t in texts if j == k]) for k, _ in texts}
+    for records, most in ((3, 1 << 25), (3, 1), (1000, 200)):
+        monkeypatch.setattr(merges, "CHUNK_BYTES", most)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", records)
+        try:
+            got = merges.encode_by_merges(rows, table, vocabulary, "k").collect()
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert len(got) == len(want)
+        assert all(x["ids"] in (sum(want[x["k"]], []), sum(want[x["k"]][::-1], [])) for x in got)
