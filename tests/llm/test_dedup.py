@@ -83,6 +83,22 @@ def test_suffix_dedup(spark, depth, gram, seed):
     assert [(x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in rows] == suffix_expected(texts, depth)
 
 
+def test_suffix_dedup_at_the_contract_length(spark):
+    """Passages of over 50 words that other documents have too go from 400 bytes on, and stay below that."""
+    r = random.Random(11)
+    prose = lambda n: "".join("".join(r.choice("abcdeé") for _ in range(r.randrange(2, 8))) + " " for _ in range(n)).encode()
+    cut = lambda n: prose(150)[:n].decode("utf-8", "ignore").ljust(n, "z")
+    fill = lambda: prose(r.randrange(5, 90)).decode()
+    under, just, over, twice = "".join(r.choice("abc ") for _ in range(399)), "".join(r.choice("abc ") for _ in range(400)), cut(900), "".join(r.choice("abc ") for _ in range(450))
+    copy = fill() + cut(300)
+    texts = ["1" + fill() + f"<{under}>" + fill(), "2" + fill() + f"({under})" + fill(), "3" + fill() + f"<{just}>" + fill(), "4" + fill() + f"({just})" + fill()]
+    texts += [fill() + f"<{over}>", f"({over[300:]})" + fill(), f"({over[:610]})" + fill(), fill() + f"<{twice}>" + fill() + f"({twice})", copy, copy, None, ""]
+    assert len(under.split()) > 50
+    rows = suffix_dedup.suffix_dedup(docs_of(spark, texts)).orderBy("doc_id").collect()
+    assert [(x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in rows] == suffix_expected(texts, 400)
+    assert [x["n_removed"] for x in rows[:4]] == [0, 0, 400, 400]
+
+
 def test_suffix_dedup_edges(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "SLICE_BYTES", 64)
     r = random.Random(5)
