@@ -3,17 +3,21 @@
 A document's set is its distinct five-word shingles (see ``common.shingle_sets``), as 64-bit hashes. Documents with equal
 sets are one class; classes, not documents, are joined. Two classes link at ``100 * both >= 75 * either`` (a parameter).
 
-1. Frequencies. All distinct shingles of all documents are counted; the ``MOST_HOT`` most frequent of those in more than
-   ``GROUP`` classes go along with the later tasks (a bounded list: it only decides the order, never the result).
-2. First order: shingles outside that list by hash, then those in it from rare to frequent. If two sets are similar enough,
+1. Frequencies. All distinct shingles of one document of each class are counted; the ``MOST_HOT`` most frequent of those in
+   more than ``GROUP`` classes are listed: they go along with the later tasks, with a table of their levels by hash of at most
+   ``1 << MOST_CELL_BITS`` bytes (a bounded list: it only decides the order, never the result).
+2. First order: shingles outside that list by hash, then those in it from rare to frequent by level. If two sets are similar enough,
    the smaller one's indexing prefix and the larger one's probing prefix share a shingle under *any* order. Prefix entries
    are packed by bucket of the shingle's hash, one row for each task and bucket, and grouped by Spark; inside a bucket,
    groups of at most ``GROUP`` classes give their pairs.
 3. Larger groups, and entries of listed shingles (which are dealt out evenly rather than by shingle), give a star around
    their most typical class first; only classes that still lie in different components afterwards, and that share enough
    listed shingles at best, are paired. So a group of copies of any size gives links in proportion to its size, and no
-   pair that could change the result is skipped.
-4. Candidates must share prefix shingles under two more orders too (hashes of the hashes), then are verified exactly.
+   pair that could change the result is skipped: a prefix with a listed shingle has all others of its set before it, so
+   two classes that share one of those meet there, whether or not the list is full.
+4. Candidates must share prefix shingles under two more orders too (hashes of the hashes), then are verified exactly. Their
+   texts are dealt out compressed, those of other documents not at all: bitmaps of ids (``MOST_BITS`` at most; a fuller one
+   lets more pass) go along with the tasks that read texts.
 5. Links become components (``graph.connected_components``).
 
 Defined results: a null text is an empty one; a text without words has no set, links with nothing and is its own
@@ -29,20 +33,29 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import bounded_batches, buffers, cut_lineage, docs_of, mixed, one_of_each, opened, shingle_sets, slices, squeezed, written
+from quern.llm.common import BATCH_BYTES, bounded_batches, buffers, cut_lineage, docs_of, mixed, one_of_each, shingle_sets, slices, written
 from quern.llm.graph import connected_components
 
 WORDS = 5
 #: The threshold as a fraction, 75 / 100.
 LEAST = (3, 4)
 GROUP = 8
-MOST_HOT = 1 << 19
+MOST_HOT = 1 << 22
+#: The table of levels has at least so many cells for each listed shingle, and at most 1 << MOST_CELL_BITS.
+CELLS = 4
+MOST_CELL_BITS = 24
+#: Levels for each doubling of a shingle's frequency.
+LEVELS = 8
 #: Buckets for each shuffle partition, and the shingles of all texts for each bucket: the larger number of buckets holds.
 BUCKETS = 16
 BUCKET_SHINGLES = 1 << 20
+#: Bits of a bitmap for each of its ids, and of one bitmap.
+ID_BITS = 16
+MOST_BITS = 27
 #: The two further orders sort by these remixes of the hashes.
 ORDERS = (np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F))
 
@@ -64,6 +77,29 @@ def reduced(tokens: np.ndarray, buckets: int) -> np.ndarray:
     return ((tokens >> np.uint64(32)) % np.uint64(buckets)) << np.uint64(32) | (tokens & np.uint64(0xFFFFFFFF))
 
 
+def _bitmap(ids: DataFrame) -> np.ndarray:
+    """Bits set at the hashes of ids.doc_id."""
+    bits = min(MOST_BITS, max(6, (ID_BITS * ids.count()).bit_length()))
+    place = F.xxhash64("doc_id").bitwiseAND((1 << bits) - 1)
+    held = ids.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(place & 63 as int)))").alias("bit")).toArrow()
+    out = np.zeros((1 << bits) >> 6, np.int64)
+    out[held["word"].to_numpy()] = held["bit"].to_numpy()
+    return out.view(np.uint64)
+
+
+def _hashed(docs: DataFrame) -> DataFrame:
+    """text, and its doc_id's hash as place; rows without a doc_id are left out."""
+    return docs_of(docs, "doc_id", "text").where("doc_id is not null").select("text", F.xxhash64("doc_id").alias("place"))
+
+
+def _among(present: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of _hashed() whose doc_id is in a bitmap."""
+    last = np.uint64(64 * len(present) - 1)
+    for batch in batches:
+        at = batch.column("place").to_numpy().view(np.uint64) & last
+        yield batch.filter(pa.array((present[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)) == 1))
+
+
 def _sets(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """For slices of a batch: first and last row, shingles and offsets."""
     data, at = buffers(batch.column("text"))
@@ -109,9 +145,9 @@ def _new_rows(off: np.ndarray, classes: np.ndarray, seen: set[int]) -> np.ndarra
     return fresh
 
 
-def _count_batches(buckets: int):
+def _count_batches(buckets: int, present: np.ndarray):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _among(present, batches):
             seen: set[int] = set()
             tokens = []
             for _, _, s, off in _sets(batch):
@@ -142,14 +178,16 @@ def _frequent(table: pa.Table) -> pa.Table:
     n = np.bincount(at, _joined(table["counts"], np.uint32), len(token)).astype(np.int64)
     hot = n > GROUP
     key = table["bucket"][0].as_py() << 32
-    return pa.table({"token": pa.array(token[hot].astype(np.int64) | key), "df": pa.array(n[hot].astype(np.int64))})
+    level = np.minimum(255, 1 + np.floor(LEVELS * np.log2(n[hot] / GROUP)))
+    return pa.table({"token": pa.array(token[hot].astype(np.int64) | key), "level": pa.array(level.astype(np.int16))})
 
 
-def _entry_batches(buckets: int, hot: np.ndarray, rank: np.ndarray, least: tuple[int, int] = LEAST):
-    """Prefix entries under the first order; hot: listed shingles ascending, rank: their place from rare to frequent."""
+def _entry_batches(buckets: int, present: np.ndarray, hot: np.ndarray, levels: np.ndarray, least: tuple[int, int] = LEAST):
+    """Prefix entries under the first order; hot: listed shingles ascending, levels: by their low bits, higher for frequent ones."""
+    cell = np.uint64(len(levels) - 1)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _among(present, batches):
             seen: set[int] = set()
             usual: list[tuple[np.ndarray, ...]] = []
             special: list[tuple[np.ndarray, ...]] = []
@@ -161,13 +199,13 @@ def _entry_batches(buckets: int, hot: np.ndarray, rank: np.ndarray, least: tuple
                 keep = fresh[doc]
                 s, doc = s[keep], doc[keep]
                 t = reduced(s, buckets)
-                late = np.zeros(len(s), np.int64)
-                if len(hot) and len(s):
-                    at = np.minimum(np.searchsorted(hot, t), len(hot) - 1)
-                    late = np.where(hot[at] == t, rank[at] + 1, 0)
-                    if late.any():
-                        order = np.lexsort((s, late, doc))
-                        t, late, doc = t[order], late[order], doc[order]
+                late = levels[(t & cell).astype(np.int64)]
+                maybe = np.flatnonzero(late)
+                if len(maybe):
+                    at = np.minimum(np.searchsorted(hot, t[maybe]), len(hot) - 1)
+                    late[maybe[hot[at] != t[maybe]]] = 0
+                    order = np.lexsort((s, late, doc))
+                    t, late, doc = t[order], late[order], doc[order]
                 first = np.searchsorted(doc, np.arange(len(n)))
                 pos = np.arange(len(doc)) - first[doc]
                 size = n[doc]
@@ -218,12 +256,11 @@ def _found(token, a, n, index, b=None, typical=None, reach=None) -> pa.Table:
     )
 
 
-def _bucket_pairs(buckets: int, complete: bool, least: tuple[int, int] = LEAST):
+def _bucket_pairs(buckets: int, least: tuple[int, int] = LEAST):
     """Pairs (a, b) of small groups; b null: an entry of a larger group or a listed shingle.
 
-    complete: every shingle of more than GROUP classes is listed. Then a class with a listed shingle in its prefix has all
-    its others in it too, a partner that shares one of those is found in that one's bucket, and any other partner shares
-    listed shingles only.
+    A class with a listed shingle in its prefix has all its others in it too. A partner that shares one of those is found in
+    that one's group, small or large, and any other partner shares listed shingles only.
     """
 
     num, den = least
@@ -234,7 +271,7 @@ def _bucket_pairs(buckets: int, complete: bool, least: tuple[int, int] = LEAST):
         n, index = (mark >> 1).astype(np.int64), (mark & 1).astype(bool)
         if special:
             typical = n - quiet
-            return _found(token, c, n, index, typical=typical, reach=typical if complete else n)
+            return _found(token, c, n, index, typical=typical, reach=typical)
         order = np.lexsort((c, n, token))  # inside a group by size, so a pair's first is the smaller one
         token, c, n, index = token[order], c[order], n[order], index[order]
         new = np.ones(len(token), bool)
@@ -258,11 +295,18 @@ def _bucket_pairs(buckets: int, complete: bool, least: tuple[int, int] = LEAST):
     return pairs
 
 
-def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in opened(batches):
-        for _, _, s, off in _sets(batch):
-            raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(off) - 1, [None, pa.py_buffer(off * 8), pa.py_buffer(np.ascontiguousarray(s))])
-            yield pa.RecordBatch.from_arrays([pa.array(_class_of(s, off)), raw.cast(pa.binary())], ["cls", "set"])
+def _frames(present: np.ndarray):
+    """Class and zstandard frame of the texts whose doc_id is in a bitmap."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tool = zstandard.ZstdCompressor(level=3)
+        for batch in _among(present, batches):
+            data, at = buffers(batch.column("text"))
+            classes = [np.zeros(0, np.int64), *(_class_of(s, off) for _, _, s, off in _sets(batch))]
+            frames = [tool.compress(data[x:y]) for x, y in zip(at[:-1], at[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(classes)), pa.array(frames, pa.binary())], ["cls", "text"])
+
+    return pack
 
 
 def similar(x: np.ndarray, y: np.ndarray, least: tuple[int, int]) -> bool:
@@ -298,36 +342,55 @@ def verified(test: Callable[[np.ndarray, np.ndarray], bool]):
     return rows
 
 
+def _checked(least: tuple[int, int]):
+    """The pairs (a, b) whose sets, those of the frames text_a and text_b, are similar enough."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tool = zstandard.ZstdDecompressor()
+        for batch in batches:
+            a, b, x, y = (batch.column(k).to_pylist() for k in ("a", "b", "text_a", "text_b"))
+            ends = np.r_[0, np.cumsum([zstandard.frame_content_size(p) + zstandard.frame_content_size(q) for p, q in zip(x, y, strict=True)], dtype=np.int64)]
+            for i, j in slices(ends, BATCH_BYTES):
+                frames = dict(zip([*a[i:j], *b[i:j]], [*x[i:j], *y[i:j]], strict=True))
+                texts = pa.RecordBatch.from_arrays([pa.array([tool.decompress(f) for f in frames.values()], pa.large_binary())], ["text"])
+                sets = dict(zip(frames, (s[p:q] for _, _, s, off in _sets(texts) for p, q in zip(off[:-1], off[1:], strict=True)), strict=True))
+                yield batch.slice(i, j - i).select(["a", "b"]).filter(pa.array([linked(sets[p], sets[q], least) for p, q in zip(a[i:j], b[i:j], strict=True)], pa.bool_()))
+
+    return rows
+
+
 def _links(pairs: DataFrame, docs: DataFrame, ids: DataFrame, least: tuple[int, int]) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough."""
     pairs = cut_lineage(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     if not pairs.take(1):
         return pairs
-    asked = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    # The texts of one document of each class that is asked for.
-    texts = squeezed(docs_of(docs, "doc_id", "text")).join(asked.join(ids, "cls").select("doc_id"), "doc_id", "left_semi")
-    sets = texts.select("text").mapInArrow(_set_rows, "cls long, set binary")
-    both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("cls").alias("b"), F.col("set").alias("set_b")), "b")
-    # A doc_id that several rows have can bring a class twice.
-    return cut_lineage(both.mapInArrow(verified(lambda x, y: linked(x, y, least)), "a long, b long").distinct())
-
-
-def _frequent_shingles(texts: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles of more than GROUP classes, ascending, and their places from rare to frequent."""
-    counts = texts.mapInArrow(_count_batches(buckets), "bucket long, tokens binary, counts binary").groupBy("bucket").applyInArrow(_frequent, "token long, df long")
-    hot = counts.orderBy(F.desc("df"), "token").limit(MOST_HOT).toArrow()
-    token, df = hot["token"].to_numpy().astype(np.uint64), hot["df"].to_numpy()
-    rank = np.empty(len(token), np.int64)
-    rank[np.lexsort((token, df))] = np.arange(len(token))
-    order = np.argsort(token)
-    return token[order], rank[order]
-
-
-def _found_rows(texts: DataFrame, buckets: int, least: tuple[int, int]) -> DataFrame:
+    asked = cut_lineage(pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct().join(ids, "cls"))
+    # The text of one document of each class that is asked for; some others pass the bitmap.
+    texts = _hashed(docs).mapInArrow(_frames(_bitmap(asked)), "cls long, text binary").dropDuplicates(["cls"]).join(asked.select("cls"), "cls", "left_semi")
+    both = pairs.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b")), "b")
+    return cut_lineage(both.mapInArrow(_checked(least), "a long, b long"))
+
+
+def _frequent_shingles(texts: DataFrame, present: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles of more than GROUP classes, ascending, and their levels by low bits."""
+    counts = written(texts.mapInArrow(_count_batches(buckets, present), "bucket long, tokens binary, counts binary").groupBy("bucket").applyInArrow(_frequent, "token long, level short"))
+    least, held = 256, 0
+    for level, n in sorted(((r["level"], r["n"]) for r in counts.groupBy("level").agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True):
+        if held + n > MOST_HOT:
+            break
+        least, held = level, held + n
+    out = np.zeros(1 << min(MOST_CELL_BITS, (CELLS * held).bit_length()), np.uint8)
+    hot = counts.where(F.col("level") >= least).toArrow()
+    token, level = hot["token"].to_numpy(), hot["level"].to_numpy()
+    order = np.argsort(level, kind="stable")
+    out[token[order] & (len(out) - 1)] = level[order]  # of a cell's levels the highest
+    return np.sort(token.astype(np.uint64)), out
+
+
+def _found_rows(texts: DataFrame, present: np.ndarray, buckets: int, least: tuple[int, int]) -> DataFrame:
     """Pairs of small groups and entries of large ones, as FOUND."""
-    token, rank = _frequent_shingles(texts, buckets)
-    packed = texts.mapInArrow(_entry_batches(buckets, token, rank, least), "bucket long, tokens binary, classes binary, marks binary, quiets binary")
-    return written(packed.groupBy("bucket").applyInArrow(_bucket_pairs(buckets, len(token) < MOST_HOT, least), FOUND))
+    packed = texts.mapInArrow(_entry_batches(buckets, present, *_frequent_shingles(texts, present, buckets), least), "bucket long, tokens binary, classes binary, marks binary, quiets binary")
+    return written(packed.groupBy("bucket").applyInArrow(_bucket_pairs(buckets, least), FOUND))
 
 
 def near_dup(docs: DataFrame, group_buckets: int | None = None, least: tuple[int, int] = LEAST) -> DataFrame:
@@ -337,9 +400,9 @@ def near_dup(docs: DataFrame, group_buckets: int | None = None, least: tuple[int
     bounded_batches(spark)
     rows = cut_lineage(docs_of(docs, "doc_id", "text").mapInArrow(_summaries, "doc_id long, n long, cls long"))
     buckets = group_buckets or max(BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions")), (rows.agg(F.sum("n")).first()[0] or 0) // BUCKET_SHINGLES)
-    ids = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    found = _found_rows(docs_of(docs, "text"), buckets, least)
-    large = found.where("b is null").select("token", F.col("a").alias("cls"), F.col("n_a").alias("n"), F.col("index_a").alias("indexed"), "typical", "reach").distinct()
+    ids = rows.where("cls is not null and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
+    found = _found_rows(_hashed(docs), _bitmap(ids), buckets, least)
+    large = found.where("b is null").select("token", F.col("a").alias("cls"), F.col("n_a").alias("n"), F.col("index_a").alias("indexed"), "typical", "reach", F.expr("typical > 0").alias("listed")).distinct()
     # The centre of a group is its most typical class, the one with the most listed shingles.
     # Written, here and below, so that a group's rows can be split over tasks where they meet its one row.
     star = written(large.groupBy("token").agg(F.max(F.struct("typical", "cls", "n")).alias("centre")))
@@ -352,15 +415,16 @@ def near_dup(docs: DataFrame, group_buckets: int | None = None, least: tuple[int
     torn = written(placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token"))
     # Written, so that a frequent shingle's rows are aggregated where they lie before they are dealt out again.
     open_ = written(placed.join(torn, "token", "left_semi"))
-    sides = written(open_.groupBy("token", "component").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("reach").alias("reach"), F.min(F.when(F.col("indexed"), F.col("n"))).alias("least_indexed")))
+    sides = written(open_.groupBy("token", "component").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("reach").alias("reach"), F.max("listed").alias("listed"), F.min(F.when(F.col("indexed"), F.col("n"))).alias("least_indexed")))
     x, y = sides.alias("x"), sides.alias("y")
     enough = f"{num + den} * least({{0}}.reach, {{1}}.reach) >= {num} * ({{0}}.{{2}} + {{1}}.{{2}})"
     apart = x.join(y, F.col("x.token") == F.col("y.token"))
     apart = apart.where("x.component <> y.component and x.least_indexed is not null").where(f"x.least_indexed <= y.most and {den} * x.most >= {num} * y.least and " + enough.format("x", "y", "least"))
-    apart = apart.select(F.col("x.component").alias("small"), F.col("y.component").alias("big")).distinct()
-    members = open_.groupBy("component", "cls").agg(F.max("n").alias("n"), F.max("reach").alias("reach"), F.max("indexed").alias("indexed"))
+    # What a class can share at a listed shingle says nothing about others, so the two kinds stay apart.
+    apart = apart.select(F.col("x.component").alias("small"), F.col("y.component").alias("big"), F.col("x.listed").alias("kind")).distinct()
+    members = open_.groupBy("component", "cls", "listed").agg(F.max("n").alias("n"), F.max("reach").alias("reach"), F.max("indexed").alias("indexed"))
     s, g = members.where("indexed").alias("s"), members.alias("g")
-    across = apart.join(s, F.col("small") == F.col("s.component")).join(g, F.col("big") == F.col("g.component"))
+    across = apart.join(s, (F.col("small") == F.col("s.component")) & (F.col("kind") == F.col("s.listed"))).join(g, (F.col("big") == F.col("g.component")) & (F.col("kind") == F.col("g.listed")))
     across = across.where(f"s.n <= g.n and {den} * s.n >= {num} * g.n and " + enough.format("s", "g", "n")).select(F.col("s.cls").alias("a"), F.col("g.cls").alias("b"))
     more = _links(across, docs, ids, least)
     final = connected_components(links.unionByName(more)) if more.take(1) else first

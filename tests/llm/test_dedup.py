@@ -3,6 +3,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -269,3 +270,41 @@ def test_words_with_equal_polynomial_hashes(spark):
     ends = np.cumsum([len(x.encode()) for x in some])
     h = common.word_hashes(data, np.r_[0, ends[:-1]], ends).tolist()
     assert len(set(h)) == len(some) - 2 and h[1] == h[2] and h[9] == h[10]
+
+
+def test_copies_make_no_shingle_frequent(spark, monkeypatch):
+    """Shingles are counted in one document of each class, whatever batches its copies lie in."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "10")
+    texts = [" ".join(f"d{i}x{j}" for j in range(20)) for i in range(10)] * 12
+    listed, find = [], near_dup._frequent_shingles
+    monkeypatch.setattr(near_dup, "_frequent_shingles", lambda *x: listed.append(find(*x)) or listed[0])
+    try:
+        rows = near_dup.near_dup(docs_of(spark, texts)).orderBy("doc_id").collect()
+    finally:
+        spark.conf.set(key, before)
+    assert [(x["n_shingles"], x["component_id"]) for x in rows] == near_expected(texts)
+    assert not any(len(x[0]) for x in listed)
+
+
+def test_only_texts_of_pairs_are_dealt_out(spark, monkeypatch):
+    r = random.Random(9)
+    texts = [" ".join(f"{r.getrandbits(40):x}" for _ in range(3000)) for _ in range(60)]
+    texts.append(texts[7] + " more")
+    context, shuffled, links = spark._jsc.sc(), [], near_dup._links
+
+    def written():
+        context.listenerBus().waitUntilEmpty(30_000)
+        return context.statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+    def measured(*x):
+        before = written()
+        out = links(*x)
+        shuffled.append(written() - before)
+        return out
+
+    monkeypatch.setattr(near_dup, "_links", measured)
+    rows = near_dup.near_dup(docs_of(spark, texts)).orderBy("doc_id").collect()
+    assert [x["component_id"] for x in rows] == [*range(60), 7]
+    assert 0 < shuffled[0] < sum(map(len, texts)) / 5
